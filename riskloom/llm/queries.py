@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe_round_trip
 from .media import op1_media_columns
+from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
