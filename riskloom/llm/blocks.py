@@ -168,11 +168,11 @@ def shingles(w: Words, hashes: np.ndarray, size: int = 5) -> tuple[np.ndarray, n
     words has none. Shingles repeat as often as they occur; ``np.unique`` gives a document's set.
     """
     n = np.diff(w.first)
-    odd = [np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF) for k in range(size)]
+    odd = list(mix64(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1))
     total = len(hashes)
     full = np.zeros(total, np.uint64)
-    for k in range(size):
-        full[: total - k] += hashes[k:] * odd[k] if k else hashes * odd[0]
+    for k in range(min(size, total)):
+        full[: total - k] += hashes[k:] * odd[k]
     counts = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     bounds = np.concatenate([[0], np.cumsum(counts)])
     at = np.arange(bounds[-1]) + np.repeat(w.first[:-1] - bounds[:-1], counts)
@@ -181,3 +181,19 @@ def shingles(w: Words, hashes: np.ndarray, size: int = 5) -> tuple[np.ndarray, n
         seq = hashes[w.first[i] : w.first[i + 1]]
         out[bounds[i]] = np.uint64(len(seq)) + (seq * np.array(odd[: len(seq)], np.uint64)).sum(dtype=np.uint64)
     return mix64(out), bounds
+
+
+def may_be_in(df: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``ids`` (one column): a filter before an exact join.
+
+    A bit array of fixed size, built by an aggregate, is broadcast: at most 2**(bits-6) rows of
+    16 bytes however many ids there are. Beyond some 2**bits ids it lets all rows pass.
+    """
+    from pyspark.sql import functions as F
+
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    name = ids.columns[0]
+    one = ids.select(slot(F.col(name)).alias("_s")).select(F.shiftright("_s", 6).alias("_w"), F.expr("shiftleft(1L, cast(_s & 63 as int))").alias("_m"))
+    table = one.groupBy("_w").agg(F.bit_or("_m").alias("_m"))
+    marked = df.withColumn("_s", slot(F.col(key))).withColumn("_w", F.shiftright("_s", 6))
+    return marked.join(F.broadcast(table), "_w").where(F.expr("(shiftright(_m, cast(_s & 63 as int)) & 1) = 1")).select(*df.columns)

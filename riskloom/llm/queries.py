@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe_round_trip
 from .media import op1_media_columns
+from .ngramjoin import op5_ngram_jaccard
 from .sharding import op2_balanced_shards
 from .tokenfiles import op3_token_files
 from .toxicity import op9_toxicity
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_balanced_shards": op2_balanced_shards,
     "op3_token_files": op3_token_files,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_warc_segments": op6_warc_segments,
     "op9_toxicity": op9_toxicity,
     "op10_bpe_round_trip": op10_bpe_round_trip,
