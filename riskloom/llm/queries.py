@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe_round_trip
+from .decontaminate import op8_decontaminate
 from .media import op1_media_columns
 from .ngramjoin import op5_ngram_jaccard
 from .sharding import op2_balanced_shards
+from .suffixes import op7_repeats
 from .tokenfiles import op3_token_files
 from .toxicity import op9_toxicity
 from .warc import op6_warc_segments
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_warc_segments": op6_warc_segments,
+    "op7_repeats": op7_repeats,
+    "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
