@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, may_be_in, mix64, shingles, stored, text_blocks, words
+from .blocks import Block, forget, may_be_in, mix64, shingles, stored, text_blocks, words
 from .components import components
 
 SIZE = 5
@@ -216,6 +216,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     late = stored(_verify(rest, tokens, orders, False), "jaccard-late")
     links = tested.where("link").select("a", "b").union(late.select("a", "b"))
     final = stored(components(links, "jaccard-final"), "jaccard-comps")
+    forget(repeated, meet, members, tokens, tested, near, m, late)
 
     own = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     own = own.join(final.select(F.col("node").alias("set_id"), "comp"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))

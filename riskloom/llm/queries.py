@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe_round_trip
 from .decontaminate import op8_decontaminate
+from .lm import op4_lm_scores
 from .media import op1_media_columns
 from .ngramjoin import op5_ngram_jaccard
 from .sharding import op2_balanced_shards
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_balanced_shards": op2_balanced_shards,
     "op3_token_files": op3_token_files,
+    "op4_lm_scores": op4_lm_scores,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_warc_segments": op6_warc_segments,
     "op7_repeats": op7_repeats,

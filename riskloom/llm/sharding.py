@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import stored
+from .blocks import forget, stored
 
 SHARDS = 16
 ROUNDS = 3
@@ -101,8 +101,11 @@ def balanced_shards(docs: DataFrame, link: Column, shards: int = SHARDS, rounds:
     salt = F.when(F.col("_copies") > room, F.pmod(F.xxhash64("row_id", F.lit(23)), parts)).otherwise(F.lit(0))
     linked = linked.withColumn("hub", F.when(F.col("_copies").isNotNull(), F.xxhash64("_link", salt))).drop("_copies", "_link")
     state = stored(first_shards(linked, shards, buckets), "shards-0")
+    forget(rows)
     for k in range(1, rounds + 1):
-        state = one_round(state, k, buckets)
+        before, state = state, one_round(state, k, buckets)
+        if before is not state:
+            forget(before)
     return ranked(state, ["shard"], [], ["row_id"], max(4, buckets // shards), "slot").drop("row_id")
 
 

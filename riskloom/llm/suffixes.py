@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Block, may_be_in, mix64, prefix_hash, span_hash, stored, text_blocks
+from .blocks import Block, forget, may_be_in, mix64, prefix_hash, span_hash, stored, text_blocks
 
 LENGTH = 100
 GRAM = 24
@@ -268,7 +268,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     settled = stored(_settle(_phrase_rows(docs)), "repeat-phrases")
     found = _compare(_contexts(docs, settled.where("windows IS NOT NULL").select("key", "doc", "pos", "windows", "hot")))
     ranges = settled.where("end IS NOT NULL").select("doc", "pos", "end").union(found)
-    return stored(ranges.groupBy("doc").agg(F.collect_list(F.struct("pos", "end")).alias("spans")), "repeat-ranges")
+    out = stored(ranges.groupBy("doc").agg(F.collect_list(F.struct("pos", "end")).alias("spans")), "repeat-ranges")
+    forget(settled)
+    return out
 
 
 def _spans(cells: list[dict]) -> list[tuple[int, int]]:
