@@ -80,6 +80,16 @@ class LibraryPieces(dict):
             yield b"".join(map(self.__getitem__, t))
 
 
+_KNOWN: dict[tuple[str, str], LibraryPieces] = {}
+
+
+def known_pieces(tokenizer: str, dtype: str) -> LibraryPieces:
+    """The pieces that this Python worker remembers, from one task to the next."""
+    if (tokenizer, dtype) not in _KNOWN:
+        _KNOWN[tokenizer, dtype] = LibraryPieces(tokenizer, dtype)
+    return _KNOWN[tokenizer, dtype]
+
+
 def id_dtype(tokenizer: str) -> str:
     from tokenizers import Tokenizer
 
@@ -168,7 +178,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        known = LibraryPieces(tokenizer, dtype)
+        known = known_pieces(tokenizer, dtype)
         pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_dict_id=False)
         done: list[tuple] = []
         shard = None
