@@ -256,10 +256,8 @@ def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text", keep_id
     kept = [f for f in df.schema.fields if f.name not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _merges(tokenizer)
-        decoder = TokenDecoder(merges)
-        known = RememberedPieces(PieceEncoder(merges), decoder)
-        gap = b" " if decoder.mode == "tokens" else b""
+        known = known_pieces(tokenizer)
+        gap = b" " if known.decoder.mode == "tokens" else b""
         for b in text_blocks(batches, text):
             cols: list[list] = [[] for _ in fields]
             for i in range(len(b)):
@@ -273,13 +271,15 @@ def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text", keep_id
     return df.mapInArrow(run, T.StructType(kept + fields))
 
 
-_MERGES: dict[str, MergeList] = {}
+_KNOWN: dict[str, RememberedPieces] = {}
 
 
-def _merges(path: str) -> MergeList:
-    if path not in _MERGES:
-        _MERGES[path] = MergeList(path)
-    return _MERGES[path]
+def known_pieces(path: str) -> RememberedPieces:
+    """The pieces that this Python worker remembers, from one task to the next."""
+    if path not in _KNOWN:
+        merges = MergeList(path)
+        _KNOWN[path] = RememberedPieces(PieceEncoder(merges), TokenDecoder(merges))
+    return _KNOWN[path]
 
 
 def default_tokenizer() -> str:
