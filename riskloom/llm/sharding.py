@@ -52,7 +52,9 @@ def one_round(state: DataFrame, number: int, buckets: int) -> DataFrame:
     """``state``: row_id, hub (null: no link), shard, ...; the same with some rows moved."""
     held = state.where("hub IS NOT NULL").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
     best = held.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("top")).select("hub", F.col("top.shard").alias("best"))
-    asked = state.join(best, "hub", "left").withColumn("to", F.when(F.col("best") != F.col("shard"), F.col("best"))).drop("best")
+    # Rows without a hub stay out of the join, whose key would be null for all of them.
+    linked = state.where("hub IS NOT NULL").join(best, "hub").withColumn("to", F.when(F.col("best") != F.col("shard"), F.col("best"))).drop("best")
+    asked = linked.unionByName(state.where("hub IS NULL").withColumn("to", F.lit(None).cast("int")))
     want = asked.where("to IS NOT NULL").groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n"))
     free = asked.where("hub IS NULL").groupBy("shard").agg(F.count(F.lit(1)).alias("free"))
     # 16 x 16 counts: the quotas are settled in the driver.
