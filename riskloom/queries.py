@@ -1,10 +1,6 @@
-"""Registered queries over the driver's tables, and the same in SQL."""
+"""All registered queries of the core library; importing the modules fills the registry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import queries_moments, queries_panel, queries_portfolio, queries_windows  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
