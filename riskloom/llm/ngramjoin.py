@@ -9,7 +9,8 @@ the shingles that two of its sets share). A wrong count changes the work, never
 1. Equal sets are one from here on: they carry one set id.
 2. Order 1 gives (token, set) rows; tokens that only one set has in its prefix drop out.
 3. Each token's hub is the set whose prefix is shared the most. Sets are verified against the hubs
-   of their tokens (a star, not all pairs), and components of the links found are made.
+   of their tokens (a star, not all pairs) unless their unshared prefix tokens alone make a link
+   impossible, and components of the links found are made.
 4. Only pairs of sets that share a hub but no component remain. The difference of two sets has at
    least their unshared prefix tokens plus the difference of what they lack of the hub; pairs for
    which that is too much can't link. The rest must share prefix tokens under every order, and are
@@ -130,9 +131,10 @@ def shingle_sets(docs: DataFrame, orders: Orders, size: int = SIZE) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set_id long, prefix array<bigint>")
 
 
-def _fetch(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_id, n, tokens) of the wanted sets, from one document each."""
-    one = sets.join(wanted.select("set_id").distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+def _fetch(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(set_id, tokens) of the sets in pairs (a, b), from one document each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    one = sets.join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     one = stored(one, "jaccard-fetch")
     texts = may_be_in(docs.select("doc_id", "text"), "doc_id", one.select("doc_id")).join(one, "doc_id").select("text", "set_id")
 
@@ -191,7 +193,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     sets = stored(shingle_sets(docs, orders, size), "jaccard-docs")
     rows = sets.where("prefix IS NOT NULL").select("set_id", "n", F.posexplode("prefix").alias("pos", "token"))
     repeated = stored(rows.groupBy("token").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("token"), "jaccard-tokens")
-    meet = rows.join(repeated, "token").groupBy("set_id", "token").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    meet = may_be_in(rows, "token", repeated, 24).join(repeated, "token").groupBy("set_id", "token").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     by_set = meet.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("hits"), F.first("n").alias("n"))
     share = F.size("hits") / (F.col("n") - F.expr("(4L * n + 4) div 5") + 1)
     meet = by_set.select("set_id", "n", share.alias("share"), F.posexplode("hits").alias("place", "hit"))
@@ -199,8 +201,10 @@ def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     hubs = meet.groupBy("token").agg(F.max(F.struct("share", "set_id", "n")).alias("hub")).select("token", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n"))
     members = stored(meet.join(hubs, "token").groupBy("hub", "hub_n", "set_id", "n").agg(F.min("alone").alias("alone")), "jaccard-members")
     fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-    tokens = _fetch(docs, sets, members, size)
-    star = members.where(F.col("hub") != F.col("set_id")).where(fits(F.col("hub_n"), F.col("n"))).select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
+    own_hub = members.where(F.col("hub") == F.col("set_id")).select("hub", F.col("alone").alias("hub_alone"))
+    star = members.where(F.col("hub") != F.col("set_id")).where(fits(F.col("hub_n"), F.col("n"))).join(own_hub, "hub").where(9 * (F.col("alone") + F.col("hub_alone")) <= F.col("n") + F.col("hub_n"))
+    star = stored(star.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "jaccard-pairs")
+    tokens = _fetch(docs, sets, star, size)
     tested = stored(_verify(star, tokens, orders, True), "jaccard-star")
     near = stored(components(tested.where("link").select("a", "b"), "jaccard-cc"), "jaccard-near")
 
@@ -213,10 +217,12 @@ def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     lost = F.col("x_alone") + F.col("y_alone") + F.coalesce(F.abs(F.col("x_lack") - F.col("y_lack")), F.lit(0))
     rest = x.join(y, (x["hub"] == y["hub"]) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("hub_comp")) | (F.col("x_set_id") < F.col("y_set_id"))) & fits(F.col("x_n"), F.col("y_n")) & (9 * lost <= F.col("x_n") + F.col("y_n")))
     rest = rest.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
-    late = stored(_verify(rest, tokens, orders, False), "jaccard-late")
+    rest = stored(rest, "jaccard-pairs")
+    more = _fetch(docs, sets, rest, size)
+    late = stored(_verify(rest, more, orders, False), "jaccard-late")
     links = tested.where("link").select("a", "b").union(late.select("a", "b"))
     final = stored(components(links, "jaccard-final"), "jaccard-comps")
-    forget(repeated, meet, members, tokens, tested, near, m, late)
+    forget(repeated, meet, members, star, tokens, tested, near, m, rest, more, late)
 
     own = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     own = own.join(final.select(F.col("node").alias("set_id"), "comp"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
