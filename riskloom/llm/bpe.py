@@ -107,7 +107,7 @@ class WordTransducer:
 
     def feed(self, data: bytes) -> Iterator[int]:
         room = 2 * self.m.lookahead + 2
-        if len(data) <= room:
+        if len(self.pending) + len(data) <= room:
             self.pending += [self.table[b] for b in data]
             return
         for at in range(0, len(data), room):
