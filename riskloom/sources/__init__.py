@@ -1,0 +1,96 @@
+"""Readers and writers: dated Parquet tables, comment-headed CSV, and parsers of semi-structured text columns.
+
+A parser takes a DataFrame with one text column and gives typed rows; lines or documents that do not
+fit go to the caller as nulls or by a reject rule of ``contracts``, never silently into defaults.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def read_table(spark: SparkSession, path: str, boundary: str | None, date: str = "date") -> DataFrame:
+    """A Parquet table, cut strictly before the boundary; the filter is pushed to the scan."""
+    df = spark.read.parquet(path)
+    return df if boundary is None else df.where(F.col(date) < F.to_date(F.lit(boundary)))
+
+
+def read_full(spark: SparkSession, path: str, reason: str) -> DataFrame:
+    """The whole table; the caller says why."""
+    if not reason.strip():
+        raise ValueError("a reason is needed to read past the boundary")
+    return spark.read.parquet(path)
+
+
+def write_pull(df: DataFrame, path: str, pull_date: str) -> None:
+    """One pull of a source as a partition; a second write of the same day replaces only that day."""
+    df.withColumn("pull_date", F.to_date(F.lit(pull_date))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pull_date").parquet(path)
+
+
+def read_spells_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Spell file with # comment lines: ticker, start, end (blank: open), start_known, security."""
+    return spark.read.option("comment", "#").option("header", True).schema("ticker string, start date, end date, start_known boolean, security string").csv(path)
+
+
+def blank_to_null(c: Column) -> Column:
+    t = F.trim(c)
+    return F.when(F.lower(t) == "nan", None).otherwise(F.nullif(t, F.lit("")))
+
+
+def parse_observations(df: DataFrame, body: str = "body") -> DataFrame:
+    """JSON with an observations array: date, value ('.' and blank are missing), realtime_start, realtime_end (text: 9999-12-31 is a sentinel)."""
+    schema = "struct<observations: array<struct<date: string, value: string, realtime_start: string, realtime_end: string>>>"
+    o = df.select(*(c for c in df.columns if c != body), F.inline(F.from_json(body, schema)["observations"]))
+    value = F.expr("try_cast(nullif(nullif(trim(value), '.'), '') as double)")
+    return o.withColumn("date", F.to_date("date")).withColumn("value", value).withColumn("realtime_start", F.to_date("realtime_start"))
+
+
+def parse_frame(df: DataFrame, body: str = "body") -> DataFrame:
+    """JSON with a data array of facts: end, cik, entity_name, accn, val."""
+    schema = "struct<data: array<struct<end: string, cik: bigint, entityName: string, accn: string, val: double>>>"
+    o = df.select(*(c for c in df.columns if c != body), F.inline(F.from_json(body, schema)["data"]))
+    return o.withColumn("end", F.to_date("end")).withColumnRenamed("entityName", "entity_name")
+
+
+def parse_submissions(df: DataFrame, body: str = "body") -> DataFrame:
+    """JSON with arrays side by side: accession, form, filing_date, report_date, one row a filing."""
+    schema = "struct<accessionNumber: array<string>, form: array<string>, filingDate: array<string>, reportDate: array<string>>"
+    rec = F.from_json(body, schema)
+    rows = F.inline(F.arrays_zip(*(rec[k].alias(a) for k, a in (("accessionNumber", "accession"), ("form", "form"), ("filingDate", "filing_date"), ("reportDate", "report_date")))))
+    o = df.select(*(c for c in df.columns if c != body), rows)
+    return o.withColumn("filing_date", F.to_date("filing_date")).withColumn("report_date", F.to_date(blank_to_null(F.col("report_date"))))
+
+
+def parse_index_line(df: DataFrame, line: str = "line") -> DataFrame:
+    """Pipe-delimited index lines: cik, company_name, form, filed, accn; other lines (preamble, rule) are left out."""
+    part = F.split(line, r"\|")
+    ok = df.where(F.size(part) == 5).where(F.col(line).rlike(r"^\d+\|"))
+    return ok.select(*(c for c in df.columns if c != line), part[0].cast("long").alias("cik"), F.trim(part[1]).alias("company_name"), part[2].alias("form"), F.to_date(part[3]).alias("filed"), F.regexp_extract(part[4], r"(\d{10}-\d{2}-\d{6})", 1).alias("accn"))
+
+
+def parse_code_ranges(df: DataFrame, file: str, number: str, line: str) -> DataFrame:
+    """Fixed-width code table: a header line (number, abbreviation, name) opens a group, indented low-high lines belong to it."""
+    head = F.regexp_extract(line, r"^\s{0,2}(\d{1,2})\s+(\w+)\s+(.+?)\s*$", 1)
+    w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    rng = r"^\s{3,}(\d{4})-(\d{4})"
+    g = df.withColumn("_h", F.when(~F.col(line).rlike(rng) & (head != ""), F.struct(head.cast("int").alias("group"), F.regexp_extract(line, r"^\s{0,2}\d{1,2}\s+(\w+)", 1).alias("label"))))
+    g = g.withColumn("_g", F.last("_h", ignorenulls=True).over(w)).where(F.col(line).rlike(rng))
+    return g.select(file, F.col("_g.group").alias("group"), F.col("_g.label").alias("label"), F.regexp_extract(line, rng, 1).cast("int").alias("low"), F.regexp_extract(line, rng, 2).cast("int").alias("high"))
+
+
+def first_filing(filings: DataFrame, key: str, forms: list[str], start: str) -> DataFrame:
+    """Earliest (filing_date, accession) of the given forms on or after ``start``."""
+    f = filings.where(F.col("form").isin(forms) & (F.col("filing_date") >= F.to_date(F.lit(start))))
+    return f.groupBy(key).agg(F.min(F.struct("filing_date", "accession")).alias("x")).select(key, "x.filing_date", "x.accession")
+
+
+def svensson(n: Column, beta: list[Column], tau: list[Column]) -> Column:
+    """Zero-coupon yield at maturity n; without a second tau (null or not positive) the four-parameter form."""
+    a = n / tau[0]
+    h1 = F.when(a == 0, 1.0).otherwise((1 - F.exp(-a)) / F.when(a != 0, a))
+    y = beta[0] + beta[1] * h1 + beta[2] * (h1 - F.exp(-a))
+    t2 = F.when(tau[1] > 0, tau[1])
+    b = n / t2
+    h2 = F.when(b == 0, 1.0).otherwise((1 - F.exp(-b)) / F.when(b != 0, b))
+    return y + F.coalesce(beta[3] * (h2 - F.exp(-b)), F.lit(0.0))
