@@ -40,6 +40,7 @@ END_ID = 2
 SHARD_BYTES = 64 << 20
 DICT_BYTES = 64 << 10
 DICT_DOCS = 400
+MARKS = (".", ",", "!", "?", ";", ":")
 
 
 def open_path(uri: str) -> tuple[fs.FileSystem, str]:
@@ -49,7 +50,7 @@ def open_path(uri: str) -> tuple[fs.FileSystem, str]:
 class LibraryPieces(dict):
     """piece -> ids as bytes, by the tokenizers library; a bounded number of pieces is remembered."""
 
-    def __init__(self, tokenizer: str, dtype: str, most: int = 600_000) -> None:
+    def __init__(self, tokenizer: str, dtype: str, most: int = 900_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,13 +66,25 @@ class LibraryPieces(dict):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        new = list({p for t in texts for p in t if p not in self})
-        fresh = [p for p in new if p not in self.old]
+        seen: set[str] = set()
+        for t in texts:
+            seen.update(t)
+        new = seen.difference(self)
+        again = new.intersection(self.old)
+        for p in again:
+            self[p] = self.old[p]
+        new -= again
+        # An ASCII word and one mark behind it are two words to the tokenizer, whatever the case.
+        parts = {p: (p[:-1].lower(), p[-1]) if p[-1:] in MARKS and p[:-1].isalpha() else (p.lower(),) for p in new if p.isascii() and p[:-1].isalpha()}
+        fresh = list({c for x in parts.values() for c in x} | (new - parts.keys()))
+        coded = dict(zip(fresh, self.code(fresh), strict=True))
         for p in new:
-            if p in self.old:
-                self[p] = self.old[p]
-        for p, e in zip(fresh, self.tok.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self[p] = np.array(e.ids, self.dtype).tobytes()
+            self[p] = b"".join([coded[c] for c in parts[p]]) if p in parts else coded[p]
+
+    def code(self, fresh: list[str]) -> list[bytes]:
+        """Ids of each text by the library."""
+        form = "H" if self.dtype == "<u2" else "I"
+        return [struct.pack(f"<{len(i)}{form}", *i) for i in (e.ids for e in self.tok.encode_batch(fresh, add_special_tokens=False))]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         cut = [pieces(t) for t in texts]
