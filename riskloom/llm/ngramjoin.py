@@ -40,6 +40,7 @@ ORDERS = 3
 HEAVY_FROM = 16
 HEAVY_MOST = 1 << 17
 COUNT_BYTES = 8 << 20
+PART_PAIRS = 512
 NULL_ID = -(1 << 63)
 
 
@@ -131,59 +132,70 @@ def shingle_sets(docs: DataFrame, orders: Orders, size: int = SIZE) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set_id long, prefix array<bigint>")
 
 
-def _fetch(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(set_id, tokens) of the sets in pairs (a, b), from one document each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    one = sets.join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+def _with_tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(a, part, b, tokens): of each pair (a, b) the tokens of b, and, with b null, those of a.
+
+    A set is read from one document that has it. Its tokens are made where that document's text is
+    joined with its partners' ids, so they are shuffled once a pair and not once more before. A set
+    with many partners has its pairs dealt into parts, each with the set's own tokens.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART_PAIRS).cast("int").alias("parts"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    partners = dealt.groupBy("b").agg(F.collect_list(F.struct("a", "part")).alias("with")).select(F.col("b").alias("set_id"), "with")
+    wanted = many.select(F.col("a").alias("set_id"), "parts").join(partners, "set_id", "full")
+    one = sets.select("set_id", "doc_id").join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("with").alias("with"), F.first("parts").alias("parts"))
     one = stored(one, "jaccard-fetch")
-    texts = may_be_in(docs.select("doc_id", "text"), "doc_id", one.select("doc_id")).join(one, "doc_id").select("text", "set_id")
+    texts = may_be_in(docs.select("doc_id", "text"), "doc_id", one.select("doc_id")).join(one, "doc_id").select("text", "set_id", "with", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_blocks(batches):
-            got = document_sets(b, size)
-            asked = b.rows.column(1).to_pylist()
-            keep = [i for i, s in enumerate(got) if len(s) and set_id(s) == asked[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in keep], pa.int64()), pa.array([got[i].tobytes() for i in keep], pa.binary())], ["set_id", "tokens"])
+        for block in text_blocks(batches):
+            rows = []
+            for i, s in enumerate(document_sets(block, size)):
+                asked = block.rows.column(1)[i].as_py()
+                if not len(s) or set_id(s) != asked:  # another text of a repeated doc_id
+                    continue
+                raw = s.tobytes()
+                rows += [(asked, part, None, raw) for part in range(block.rows.column(3)[i].as_py() or 0)]
+                rows += [(w["a"], w["part"], asked, raw) for w in block.rows.column(2)[i].as_py() or ()]
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["a", "part", "b", "tokens"])
 
-    return stored(texts.mapInArrow(run, "set_id long, tokens binary").dropDuplicates(["set_id"]), "jaccard-sets")
+    return texts.mapInArrow(run, "a long, part int, b long, tokens binary")
 
 
-def _verify(pairs: DataFrame, tokens: DataFrame, orders: Orders, all_counts: bool) -> DataFrame:
-    """(a, b, common, link) of pairs (a, b); without ``all_counts`` only of those that link.
+def _verify(rows: DataFrame, orders: Orders, all_counts: bool) -> DataFrame:
+    """(a, b, common, link) of the pairs of ``_with_tokens``; without ``all_counts`` only of those that link.
 
     A pair is a candidate if its prefixes meet under every order; only then it can link.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast(orders)
-    rows = pairs.select("a", "b").join(tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b").join(tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
+    shared = rows.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = shared.value
-        seen: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-
-        def known(i: int, raw: pa.BinaryScalar) -> tuple[np.ndarray, list[np.ndarray]]:
-            if i not in seen:
-                if len(seen) >= 256:
-                    seen.clear()
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                seen[i] = s, [np.sort(o.prefix(s, k)) for k in range(1, ORDERS + 1)]
-            return seen[i]
-
+        first, sa, prefixes = None, None, []
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                a, b = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                (sa, pa_), (sb, pb) = known(a, batch.column(2)[k]), known(b, batch.column(3)[k])
-                candidate = all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(pa_, pb, strict=True))
+                a, b = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                s = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
+                if b is None:
+                    if a != first:
+                        first, sa = a, s.copy()
+                        prefixes = [o.prefix(sa, i) for i in range(1, ORDERS + 1)]
+                    continue
+                if a != first:
+                    raise ValueError(f"the tokens of set {a} are missing")
+                candidate = all(len(np.intersect1d(x, o.prefix(s, i), assume_unique=True)) for i, x in enumerate(prefixes, 1))
                 if not candidate and not all_counts:
                     continue
-                common = len(np.intersect1d(sa, sb, assume_unique=True))
-                link = candidate and 100 * common >= 80 * (len(sa) + len(sb) - common)
+                common = len(np.intersect1d(sa, s, assume_unique=True))
+                link = candidate and 100 * common >= 80 * (len(sa) + len(s) - common)
                 if link or all_counts:
                     out.append((a, b, common, link))
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "common", "link"])
 
-    return rows.mapInArrow(run, "a long, b long, common long, link boolean")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long, common long, link boolean").distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -195,6 +207,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     repeated = stored(rows.groupBy("token").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("token"), "jaccard-tokens")
     meet = may_be_in(rows, "token", repeated, 24).join(repeated, "token").groupBy("set_id", "token").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     by_set = meet.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("hits"), F.first("n").alias("n"))
+    by_set = stored(by_set, "jaccard-hits")
     share = F.size("hits") / (F.col("n") - F.expr("(4L * n + 4) div 5") + 1)
     meet = by_set.select("set_id", "n", share.alias("share"), F.posexplode("hits").alias("place", "hit"))
     meet = stored(meet.select("set_id", "n", "share", "hit.token", (F.col("hit.pos") - F.col("place")).alias("alone")), "jaccard-meet")
@@ -204,8 +217,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     own_hub = members.where(F.col("hub") == F.col("set_id")).select("hub", F.col("alone").alias("hub_alone"))
     star = members.where(F.col("hub") != F.col("set_id")).where(fits(F.col("hub_n"), F.col("n"))).join(own_hub, "hub").where(9 * (F.col("alone") + F.col("hub_alone")) <= F.col("n") + F.col("hub_n"))
     star = stored(star.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "jaccard-pairs")
-    tokens = _fetch(docs, sets, star, size)
-    tested = stored(_verify(star, tokens, orders, True), "jaccard-star")
+    tested = stored(_verify(_with_tokens(docs, sets, star, size), orders, True), "jaccard-star")
     near = stored(components(tested.where("link").select("a", "b"), "jaccard-cc"), "jaccard-near")
 
     m = members.join(tested.select(F.col("a").alias("hub"), F.col("b").alias("set_id"), "common"), ["hub", "set_id"], "left")
@@ -214,15 +226,18 @@ def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     m = stored(m.where(F.col("hub") != F.col("set_id")), "jaccard-rest")
     x = m.where(F.col("comp") != F.col("hub_comp")).select("hub", *(F.col(c).alias(f"x_{c}") for c in ("set_id", "n", "alone", "lack", "comp")))
     y = m.select("hub", "hub_comp", *(F.col(c).alias(f"y_{c}") for c in ("set_id", "n", "alone", "lack", "comp")))
-    lost = F.col("x_alone") + F.col("y_alone") + F.coalesce(F.abs(F.col("x_lack") - F.col("y_lack")), F.lit(0))
+    # Unshared tokens outside the hub: those known to be alone, or the difference of what each has beyond it.
+    beyond = F.abs((F.col("x_n") + F.col("x_lack")) - (F.col("y_n") + F.col("y_lack")))
+    lost = F.greatest(F.col("x_alone") + F.col("y_alone"), F.coalesce(beyond, F.lit(0))) + F.coalesce(F.abs(F.col("x_lack") - F.col("y_lack")), F.lit(0))
     rest = x.join(y, (x["hub"] == y["hub"]) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("hub_comp")) | (F.col("x_set_id") < F.col("y_set_id"))) & fits(F.col("x_n"), F.col("y_n")) & (9 * lost <= F.col("x_n") + F.col("y_n")))
     rest = rest.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
+    hits = by_set.select("set_id", F.col("hits.token").alias("hits"))
+    rest = rest.join(hits.withColumnsRenamed({"set_id": "a", "hits": "ha"}), "a").join(hits.withColumnsRenamed({"set_id": "b", "hits": "hb"}), "b").where(F.arrays_overlap("ha", "hb")).select("a", "b")
     rest = stored(rest, "jaccard-pairs")
-    more = _fetch(docs, sets, rest, size)
-    late = stored(_verify(rest, more, orders, False), "jaccard-late")
+    late = stored(_verify(_with_tokens(docs, sets, rest, size), orders, False), "jaccard-late")
     links = tested.where("link").select("a", "b").union(late.select("a", "b"))
     final = stored(components(links, "jaccard-final"), "jaccard-comps")
-    forget(repeated, meet, members, star, tokens, tested, near, m, rest, more, late)
+    forget(repeated, by_set, meet, members, star, tested, near, m, rest, late)
 
     own = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     own = own.join(final.select(F.col("node").alias("set_id"), "comp"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
