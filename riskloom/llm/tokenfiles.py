@@ -29,8 +29,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import shared_dir, text_blocks
-from .bpe import default_tokenizer, pieces
+from .blocks import Block, shared_dir, text_blocks
+from .bpe import default_tokenizer
 
 MAGIC = b"RLTOKEN1"
 FOOTER = struct.Struct("<QQc7x8s")
@@ -40,6 +40,7 @@ END_ID = 2
 SHARD_BYTES = 64 << 20
 DICT_BYTES = 64 << 10
 DICT_DOCS = 400
+PLAIN = "\u0130"  # below it all letters are composed, and lower case is one character
 MARKS = (".", ",", "!", "?", ";", ":")
 
 
@@ -48,9 +49,12 @@ def open_path(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class LibraryPieces(dict):
-    """piece -> ids as bytes, by the tokenizers library; a bounded number of pieces is remembered."""
+    """piece (UTF-8, between spaces and line feeds) -> ids as bytes, by the tokenizers library.
 
-    def __init__(self, tokenizer: str, dtype: str, most: int = 900_000) -> None:
+    A bounded number of pieces is remembered; a full table starts anew.
+    """
+
+    def __init__(self, tokenizer: str, dtype: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,39 +62,53 @@ class LibraryPieces(dict):
         self.tok = Tokenizer.from_file(tokenizer)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.dtype, self.most = dtype, most // 2
-        self.old: dict[str, bytes] = {}
+        self.dtype, self.most = dtype, most
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, keys: list[bytes]) -> None:
         """Encode what isn't known yet, many at once."""
         if len(self) >= self.most:
-            self.old = dict(self)
             self.clear()
-        seen: set[str] = set()
-        for t in texts:
-            seen.update(t)
-        new = seen.difference(self)
-        again = new.intersection(self.old)
-        for p in again:
-            self[p] = self.old[p]
-        new -= again
-        # An ASCII word and one mark behind it are two words to the tokenizer, whatever the case.
-        parts = {p: (p[:-1].lower(), p[-1]) if p[-1:] in MARKS and p[:-1].isalpha() else (p.lower(),) for p in new if p.isascii() and p[:-1].isalpha()}
-        fresh = list({c for x in parts.values() for c in x} | (new - parts.keys()))
-        coded = dict(zip(fresh, self.code(fresh), strict=True))
-        for p in new:
-            self[p] = b"".join([coded[c] for c in parts[p]]) if p in parts else coded[p]
-
-    def code(self, fresh: list[str]) -> list[bytes]:
-        """Ids of each text by the library."""
+        new = {k: k.decode() for k in set(keys).difference(self)}
+        # A word of letters that normalisation leaves alone and one mark behind it are two words to
+        # the tokenizer, whatever the case.
+        parts = {k: (p[:-1].lower(), p[-1]) if p[-1] in MARKS else (p.lower(),) for k, p in new.items() if p[:-1].isalpha() and max(p) < PLAIN}
+        fresh = list({c for x in parts.values() for c in x} | {p for k, p in new.items() if k not in parts})
         form = "H" if self.dtype == "<u2" else "I"
-        return [struct.pack(f"<{len(i)}{form}", *i) for i in (e.ids for e in self.tok.encode_batch(fresh, add_special_tokens=False))]
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [pieces(t) for t in texts]
-        self.learn(cut)
-        for t in cut:
-            yield b"".join(map(self.__getitem__, t))
+        coded = {c: struct.pack(f"<{len(i)}{form}", *i) for c, i in zip(fresh, (e.ids for e in self.tok.encode_batch(fresh, add_special_tokens=False)), strict=True)}
+        for k, p in new.items():
+            self[k] = b"".join([coded[c] for c in parts[k]]) if k in parts else coded[p]
+
+    def ids(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents of a block one behind the other, and each document's range.
+
+        Equal pieces are found by Arrow's dictionary encoding, so each is looked up once a block. A
+        piece here carries the blanks behind it, which leaves Arrow the block's own bytes to read.
+        """
+        data = block.data
+        ink = (data != 0x20) & (data != 0x0A)
+        begins = ink.copy()
+        begins[1:] &= ~ink[:-1]
+        inner = block.offsets[1:-1]
+        inner = inner[inner < len(data)]
+        begins[inner] = ink[inner]
+        start = np.flatnonzero(begins)
+        bounds = np.searchsorted(start, block.offsets)
+        if not len(start):
+            return np.zeros(0, self.dtype), bounds
+        edges = np.append(start, len(data)).astype(np.int64)
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = raw.dictionary_encode()
+        keys = [k.rstrip(b" \n") for k in coded.dictionary.to_pylist()]
+        self.learn(keys)
+        found = list(map(self.__getitem__, keys))
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
+        first = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        count = size[which]
+        ends = np.cumsum(count)
+        out = flat[np.arange(int(ends[-1])) + np.repeat(first[which] - ends + count, count)]
+        return out, np.concatenate([[0], ends])[bounds]
 
 
 _KNOWN: dict[tuple[str, str], LibraryPieces] = {}
@@ -180,7 +198,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     dtype = id_dtype(tokenizer)
     sample = [r.text or "" for r in docs.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(dict_docs).select("text").toLocalIterator()]
     end = np.array([end_id], dtype).tobytes()
-    dictionary = train_dictionary([x + end for x in LibraryPieces(tokenizer, dtype).ids(sample)])
+    known = LibraryPieces(tokenizer, dtype)
+    trained: list[bytes] = []
+    for b in text_blocks(iter([pa.RecordBatch.from_arrays([pa.array(sample, pa.string())], ["text"])])):
+        ids, bounds = known.ids(b)
+        trained += [ids[bounds[k] : bounds[k + 1]].tobytes() + end for k in range(len(b))]
+    dictionary = train_dictionary(trained)
     files, base = open_path(folder)
     files.create_dir(base, recursive=True)
     with files.open_output_stream(f"{base}/dictionary") as f:
@@ -195,12 +218,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_dict_id=False)
         done: list[tuple] = []
         shard = None
-        for b in text_blocks(batches):
-            ids = b.rows.column(0).fill_null(NULL_ID).to_pylist()
-            for i, raw in enumerate(known.ids([b.text(k).decode() for k in range(len(b))])):
+        for b in text_blocks(batches, block_bytes=8 << 20):
+            docs_ = b.rows.column(0).fill_null(NULL_ID).to_pylist()
+            ids, bounds = known.ids(b)
+            for i, doc in enumerate(docs_):
                 if shard is None:
                     shard = ShardWriter(folder, dictionary)
-                shard.add(ids[i], len(raw) // width + 1, pack.compress(raw + end))
+                raw = ids[bounds[i] : bounds[i + 1]].tobytes()
+                shard.add(doc, len(raw) // width + 1, pack.compress(raw + end))
                 if shard.at >= SHARD_BYTES:
                     done.append((part, len(done), shard.docs[0], *shard.close(width)))
                     shard = None
