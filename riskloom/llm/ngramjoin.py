@@ -10,7 +10,8 @@ the shingles that two of its sets share). A wrong count changes the work, never
 2. Order 1 gives (token, set) rows; tokens that only one set has in its prefix drop out.
 3. Each token's hub is the set whose prefix is shared the most. Sets are verified against the hubs
    of their tokens (a star, not all pairs) unless their unshared prefix tokens alone make a link
-   impossible, and components of the links found are made.
+   impossible, and components of the links found are made. Before tokens are fetched, the counts
+   of each set's tokens in 256 hash buckets bound the difference of a pair from below.
 4. Only pairs of sets that share a hub but no component remain. The difference of two sets has at
    least their unshared prefix tokens plus the difference of what they lack of the hub; pairs for
    which that is too much can't link. The rest must share prefix tokens under every order, and are
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, forget, may_be_in, mix64, shingles, stored, text_blocks, words
+from .blocks import Block, column_bytes, forget, may_be_in, mix64, shingles, stored, text_blocks, words
 from .components import components
 
 SIZE = 5
@@ -58,6 +59,14 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def profile(s: np.ndarray) -> bytes:
+    """How many tokens fall into each of 256 hash buckets, 255 at most.
+
+    The difference of two sets has at least the sum of the differences of their profiles.
+    """
+    return np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 class Orders:
     """Global token orders: frequent shingles last (by the logarithm of their count), then by hash."""
 
@@ -112,24 +121,42 @@ def frequent_shingles(docs: DataFrame, size: int = SIZE) -> Orders:
 
 
 def shingle_sets(docs: DataFrame, orders: Orders, size: int = SIZE) -> DataFrame:
-    """doc_id, n, set_id, and the prefix under order 1 (null where a task gave that set before)."""
+    """doc_id, n, set_id, and the prefix under order 1 and the profile (null where a task gave that set before)."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = shared.value
         given: set[int] = set()
         for b in text_blocks(batches):
-            n, ids, firsts = [], [], []
+            n, ids, firsts, profiles = [], [], [], []
             for s in document_sets(b, size):
                 i = set_id(s) if len(s) else None
                 n.append(len(s))
                 ids.append(i)
-                firsts.append(None if i is None or i in given else o.prefix(s, 1).view(np.int64))
+                new = i is not None and i not in given
+                firsts.append(o.prefix(s, 1).view(np.int64) if new else None)
+                profiles.append(profile(s) if new else None)
                 if len(given) < 1_000_000:
                     given.add(i)
-            yield pa.RecordBatch.from_arrays([b.rows.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.rows.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(profiles, pa.binary())], ["doc_id", "n", "set_id", "prefix", "profile"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set_id long, prefix array<bigint>, profile binary")
+
+
+def _by_profile(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose profiles allow a link: 9 times their difference is at most n_a + n_b."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    known = sets.where("profile IS NOT NULL").select("set_id", "n", "profile").join(ids, "set_id").groupBy("set_id").agg(F.first("n").alias("n"), F.first("profile").alias("p"))
+    side = lambda c: known.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("p").alias(f"p_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "p_a", "p_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (column_bytes(batch.column(k))[0].reshape(-1, 256).astype(np.int16) for k in (3, 4))
+            near = 9 * np.abs(x - y).sum(axis=1) <= batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set_id long, prefix array<bigint>")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _with_tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -216,7 +243,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
     own_hub = members.where(F.col("hub") == F.col("set_id")).select("hub", F.col("alone").alias("hub_alone"))
     star = members.where(F.col("hub") != F.col("set_id")).where(fits(F.col("hub_n"), F.col("n"))).join(own_hub, "hub").where(9 * (F.col("alone") + F.col("hub_alone")) <= F.col("n") + F.col("hub_n"))
-    star = stored(star.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "jaccard-pairs")
+    star = stored(_by_profile(star.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), sets), "jaccard-pairs")
     tested = stored(_verify(_with_tokens(docs, sets, star, size), orders, True), "jaccard-star")
     near = stored(components(tested.where("link").select("a", "b"), "jaccard-cc"), "jaccard-near")
 
@@ -233,7 +260,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     rest = rest.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
     hits = by_set.select("set_id", F.col("hits.token").alias("hits"))
     rest = rest.join(hits.withColumnsRenamed({"set_id": "a", "hits": "ha"}), "a").join(hits.withColumnsRenamed({"set_id": "b", "hits": "hb"}), "b").where(F.arrays_overlap("ha", "hb")).select("a", "b")
-    rest = stored(rest, "jaccard-pairs")
+    rest = stored(_by_profile(rest, sets), "jaccard-pairs")
     late = stored(_verify(_with_tokens(docs, sets, rest, size), orders, False), "jaccard-late")
     links = tested.where("link").select("a", "b").union(late.select("a", "b"))
     final = stored(components(links, "jaccard-final"), "jaccard-comps")
