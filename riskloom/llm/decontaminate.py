@@ -1,15 +1,15 @@
 """Benchmark decontamination with DataFrame functions only: SimHash windows of the items' sizes.
 
-A window of a document is compared with an item if the item's *anchors* allow it: the anchors of an
-item are its longest words, as many as it takes so that losing all of them costs more shingles than
-a similarity of 0.8 can spare. A document word equal to an anchor fixes where the item would begin;
-windows of the item's size start there, give or take the shingles that can be spared. This drops no
-window of similarity 0.8 or more. Each window's 64-bit SimHash (bits by majority over its weighted
-five-word shingles; a shingle weighs as often as it occurs) is cut into RADIUS + 1 blocks, joined
-with the item's blocks: fingerprints within RADIUS bits agree in one block at least. Those within
-the radius are verified by the exact weighted Jaccard similarity of their shingles.
+A window of a document is compared with an item if it holds enough of the item's shingles: at a
+similarity of 0.8 windows of the shingle counts a and b share 4 (a + b) / 9 of them at least, in any
+order and at any place. Document shingles equal to an item's are gathered by document and item; the
+windows are those that hold so many of them, each made once. This drops no window of similarity 0.8
+or more. Each window's 64-bit SimHash (bits by majority over its weighted five-word shingles; a
+shingle weighs as often as it occurs) is cut into RADIUS + 1 blocks, joined with the item's blocks:
+fingerprints within RADIUS bits agree in one block at least. Those within the radius are verified by
+the exact weighted Jaccard similarity of their shingles.
 
-The anchor table is joined without a hint: Spark broadcasts it if it is under its size threshold.
+The shingles of the items are joined without a hint: Spark broadcasts it if it is under its size threshold.
 
 Defined results: null and empty texts or items have no hits; items or documents of fewer than five
 words are one shingle; a document shorter than an item is one window; repeated document rows count
@@ -19,7 +19,7 @@ no hits. Extra columns are ignored by ``contamination`` and kept by ``drop_conta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import stored
@@ -69,34 +69,37 @@ def blocks_of(fingerprint: str) -> Column:
     return F.expr(f"array({', '.join(edges)})")
 
 
-def item_anchors(items: DataFrame) -> DataFrame:
-    """(anchor, place, item, n, spare): an item's longest words, enough that one survives."""
-    word = items.select("item", "n", "total", "spare", F.posexplode("words").alias("place", "anchor"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(F.length("anchor")), "place"))
-    word = word.withColumn("rank", rank)
-    holds = word.select("item", "spare", "rank", F.explode(F.sequence(F.greatest(F.col("place") - (SIZE - 1), F.lit(0)), F.least("place", F.col("total") - 1))).alias("shingle"))
-    first = holds.groupBy("item", "spare", "shingle").agg(F.min("rank").alias("rank")).groupBy("item", "spare", "rank").agg(F.count(F.lit(1)).alias("lost"))
-    enough = first.withColumn("lost", F.sum("lost").over(Window.partitionBy("item").orderBy("rank"))).where("lost > spare").groupBy("item").agg(F.min("rank").alias("last"))
-    return word.join(enough, "item").where("rank <= last").select("anchor", "place", "item", "n", "spare")
+def placed_shingles(words: Column, sizes: list[int]) -> Column:
+    """(pos, h) of all shingles of the given numbers of words."""
+
+    def of(n: int) -> Column:
+        at = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat_ws(" ", F.slice(words, i + 1, F.lit(n)))).alias("h")))
+        return F.when(F.size(words) >= n, at).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+
+    return F.concat(*(of(n) for n in sizes))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): the best window for each pair that has one of 0.8 or more."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where("words IS NOT NULL AND words[0] <> ''").withColumn("item", F.xxhash64("item_id", "words"))
-    items = items.dropDuplicates(["item"]).withColumn("n", F.size("words")).withColumn("total", F.greatest(F.col("n") - (SIZE - 1), F.lit(1))).withColumn("spare", F.expr("total div 9").cast("int"))
+    items = items.dropDuplicates(["item"]).withColumn("n", F.size("words")).withColumn("total", F.greatest(F.col("n") - (SIZE - 1), F.lit(1)))
     items = stored(items, "decontaminate-items")
-    anchors = stored(item_anchors(items), "decontaminate-anchors")
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    shingles = stored(items.select("item", "n", "total", F.explode(F.array_distinct(shingles_of(F.col("words")))).alias("h")), "decontaminate-shingles")
+    # An item of fewer than five words is one shingle of its own size.
+    short = sorted(r.n for r in items.where(F.col("n") < SIZE).select("n").distinct().collect())
+    words = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words_of(F.col("text")).alias("words"))
     # The outer form keeps Catalyst from inferring a filter that would split each text twice.
-    placed = words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "anchor")).join(anchors, "anchor")
-    begin = F.greatest(F.col("pos") - F.col("place") - F.col("spare"), F.lit(0))
-    region = placed.select("doc_id", "item", "n", "spare", (F.col("pos") - F.col("place")).alias("at"), begin.alias("begin"), F.size("words").alias("size"), F.slice("words", begin + 1, F.col("n") + 2 * F.col("spare")).alias("region"))
-    region = stored(region.dropDuplicates(["doc_id", "item", "at"]), "decontaminate-regions")
-    last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
-    start = F.explode(F.array_distinct(F.transform(F.sequence(-F.col("spare"), F.col("spare")), lambda d: F.least(F.greatest(F.col("at") + d, F.lit(0)), last))))
-    window = region.select("doc_id", "item", "n", "begin", "region", start.alias("start")).where(F.col("start") >= F.col("begin"))
-    window = window.select("doc_id", "item", "start", "n", F.slice("region", F.col("start") - F.col("begin") + 1, F.col("n")).alias("w")).dropDuplicates(["doc_id", "item", "start"])
-    window = window.select("doc_id", "item", "start", "n", shingles_of(F.col("w")).alias("hashes"), F.xxhash64("doc_id", "item", "start").alias("window"))
+    placed = words.select("doc_id", "row", F.size("words").alias("size"), F.explode_outer(placed_shingles(F.col("words"), [SIZE, *short])).alias("s")).select("doc_id", "row", "size", "s.*")
+    held = placed.join(shingles, "h").groupBy("doc_id", "row", "item", "n", "total", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    held = held.withColumn("has", F.least("total", F.greatest(F.col("size") - (SIZE - 1), F.lit(1)))).withColumn("need", F.expr("int((4 * (total + has) + 8) div 9)")).where("size(at) >= need")
+    # Starts whose first shingle of the item is at[k], and whose window still holds at[k + need - 1].
+    spans = F.expr("transform(sequence(0, size(at) - need), k -> struct(greatest(at[k + need - 1] - total + 1, if(k > 0, at[k - 1] + 1, 0), 0) AS lo, least(at[k], greatest(size - n, 0)) AS hi))")
+    spans = held.select("doc_id", "row", "item", "n", "has", F.explode(spans).alias("span")).select("doc_id", "row", "item", "n", "has", "span.*").where("lo <= hi")
+    spans = stored(spans, "decontaminate-spans")
+    text = words.join(spans.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("row", "words")
+    region = spans.join(text, "row").withColumn("hashes", shingles_of(F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("n"))))
+    window = region.select("doc_id", "row", "item", "n", "has", "lo", "hashes", F.explode(F.sequence("lo", "hi")).alias("start"))
+    window = window.select("doc_id", "item", "start", "n", F.slice("hashes", F.col("start") - F.col("lo") + 1, F.col("has")).alias("hashes"), F.xxhash64("row", "item", "start").alias("window"))
     window = stored(window, "decontaminate-windows")
     prints = simhash(window.select("window", "item", "hashes"), ["window", "item"], "hashes")
     item_hashes = items.select("item", "item_id", shingles_of(F.col("words")).alias("item_hashes"))

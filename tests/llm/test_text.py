@@ -126,6 +126,43 @@ def test_decontamination(spark, docs, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_decontamination_of_parts_in_another_order_and_of_cut_items(spark):
+    w = [f"w{i}x" for i in range(160)]
+    item, five = w[:100], [f"v{i}" for i in range(9)]
+    rare = [*w[100:150], *(f"extraordinarily{i}" for i in range(10))]
+    texts = [
+        item[50:] + item[:50],
+        ["before"] * 7 + item[67:] + item[33:67] + item[:33] + ["after"] * 7,
+        item[:81],
+        item[:80],
+        rare[:-11],
+        five[:8],
+        ["a", "b"] + five[:2] + ["c"],
+    ]
+    items = [item, rare, five, five[:2], five[:1]]
+    docs = spark.createDataFrame([(1 if i > 3 else None, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.start_word) for r in decontaminate.contamination(docs, bench).collect()}
+
+    def count(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    want = {}
+    for d, t in enumerate(texts):
+        for i, v in enumerate(items):
+            for s in range(max(1, len(t) - len(v) + 1)):
+                a, b = count(v), count(t[s : s + len(v)])
+                both = sum((a & b).values())
+                like = round(both / (sum(a.values()) + sum(b.values()) - both), 6)
+                key = (1 if d > 3 else None, i)
+                if like >= 0.8:
+                    want[key] = max(want.get(key, (0, 0)), (like, -s))
+    assert got == want and {(None, 0), (1, 1), (1, 2), (1, 3), (1, 4)} == set(got)
+    for t in texts[:3]:
+        one = spark.createDataFrame([(5, " ".join(t))], "doc_id long, text string")
+        assert [r.item_id for r in decontaminate.contamination(one, bench).collect()] == [0]
+
+
 def test_decontamination_is_native(docs, spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     plan = decontaminate.contamination(docs, bench)._jdf.queryExecution().executedPlan().toString()
