@@ -4,17 +4,19 @@ A word's vector is the sum of hashed embeddings of the word and of its first 4 a
 of several widths run over each whole text, their maxima are pooled, and a dense layer gives the
 probability. Only embeddings of buckets that two training texts hold are trained; others are zero.
 The model is fitted in the driver on at most ``sample_rows`` labelled rows (those with the smallest
-hash of their id); scoring covers all rows and whole texts, in tasks, without a shuffle.
+hash of their id) and at most four fifths of all; scoring covers all rows and whole texts, in tasks,
+without a shuffle. Every labelled row that wasn't fitted counts for its language's threshold: Spark
+scores it and adds it up by (language, score bin, toxic).
 
 Defined results: null and empty texts score like a text without words; a label row that lacks its
 document, or whose label is null, is not used; a repeated label row counts as often as it occurs;
-without any usable label every score is 0.5 and no text is rejected; a null or unseen language
-takes the threshold 0.5. Extra columns are kept, and one that bears an added name is replaced.
+without any usable label every score is 0.5 and no text is rejected; a null or unseen language, and
+one with fewer than three toxic or three clean rows to count, takes the threshold 0.5. Extra columns are kept, and one that bears an added name is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 from .blocks import Block, mix64, prefix_hash, span_hash, text_blocks, words
 
 SAMPLE_ROWS = 6000
+#: A power of two, so that a score is in bin k or above exactly if it is k / BINS or more.
+BINS = 1024
 BUCKET_BITS, DIM, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
 PAD = max(WIDTHS) - 1
 
@@ -134,31 +138,28 @@ class TextCNN:
                                 rate_sum["table"][bucket] += g**2
                                 self.table[bucket] -= rate * g / np.sqrt(rate_sum["table"][bucket])
 
-    def calibrate(self, scores: np.ndarray, toxic: np.ndarray, lang: list[str | None]) -> None:
-        """By language the threshold with the fewest errors, in the middle of the scores that allow it."""
-        groups: dict[str, list[int]] = {}
-        for i, x in enumerate(lang):
-            if x is not None:
-                groups.setdefault(x, []).append(i)
-        for name, at in groups.items():
-            s, y = scores[at], toxic[at]
-            if not 3 <= y.sum() <= len(y) - 3:
+    def calibrate(self, counts: Iterable[tuple[str, int, int, int]]) -> None:
+        """By language the threshold with the fewest errors, the nearest to 0.5; from (lang, bin, toxic, n)."""
+        groups: dict[str, np.ndarray] = {}
+        for name, at, toxic, n in counts:
+            groups.setdefault(name, np.zeros((2, BINS), np.int64))[toxic, at] += n
+        for name, (clean, toxic) in groups.items():
+            if min(clean.sum(), toxic.sum()) < 3:
                 continue
-            order = np.argsort(s, kind="stable")
-            s, y = s[order], y[order]
-            errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-            edges = np.concatenate([[0.0], (s[1:] + s[:-1]) / 2, [1.0]])
-            best = edges[errors == errors.min()]
+            errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+            best = np.flatnonzero(errors == errors.min()) / BINS
             near = best[np.argmin(np.abs(best - 0.5))]
             self.thresholds[name] = float(np.clip(near, 0.05, 0.95))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> TextCNN | None:
-    """The classifier, learned from at most ``sample_rows`` labelled rows for which ``usable`` holds."""
+    """The classifier, learned from at most ``sample_rows`` labelled rows for which ``usable`` holds; the others calibrate it."""
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     if usable is not None:
         picked = picked.where(usable)
-    picked = picked.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "toxic").limit(sample_rows)
+    known = picked.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    n = known.count()
+    picked = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "toxic").limit(min(sample_rows, n - n // 5))
     lang = "lang" if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     rows = docs.select("doc_id", "text", lang).join(F.broadcast(picked), "doc_id").toArrow()
     if not rows.num_rows:
@@ -171,8 +172,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     toxic = rows.column("toxic").to_numpy().astype(np.float32)
     model = TextCNN()
     model.fit(texts, toxic)
-    scores = np.concatenate([model.scores(t, np.array([0, len(t)])) for t in texts])
-    model.calibrate(scores, toxic, rows.column("lang").to_pylist())
+    # Scored before the join, so that no text is shuffled.
+    scored = score_toxicity(docs.select("doc_id", "text", lang).where("doc_id IS NOT NULL AND lang IS NOT NULL"), model)
+    scored = scored.select("doc_id", "lang", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    rest = known.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_anti")
+    model.calibrate(map(tuple, scored.join(rest, "doc_id").groupBy("lang", "bin", "toxic").count().collect()))
     return model
 
 

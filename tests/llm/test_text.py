@@ -230,6 +230,31 @@ def test_toxicity_learns(spark):
     assert nothing is None and toxicity.score_toxicity(docs, nothing).where("rejected").count() == 0
 
 
+def test_toxicity_thresholds_cover_all_labelled_rows_that_were_not_fitted(spark):
+    import random
+
+    rng = random.Random(3)
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    order = [r.doc_id for r in lab.orderBy(F.xxhash64("doc_id", F.lit(11))).collect()]
+    rows = []
+    for k, i in enumerate(order):
+        w = [f"w{rng.randint(0, 60)}" for _ in range(12)]
+        if rng.random() < (0.7 if i % 3 == 0 else 0.1):
+            w.append(rng.choice(["nasty", "vile"]))
+        rows.append((i, " ".join(w), "xx" if k >= 260 else ("en", "fr", None)[i % 7 % 3]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.fit_toxicity(docs, lab, sample_rows=100)
+    out = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    want = {}
+    for name in ("en", "fr", "xx"):
+        rest = [(out[i].score, i % 3 == 0) for i in order[100:] if out[i].lang == name]
+        edges = [k / toxicity.BINS for k in range(toxicity.BINS + 1)]
+        errors = [sum((s >= e) != y for s, y in rest) for e in edges]
+        best = min((e for e, x in zip(edges, errors, strict=True) if x == min(errors)), key=lambda e: abs(e - 0.5))
+        want[name] = min(max(best, 0.05), 0.95)
+    assert model.thresholds == want and all(r.threshold == want.get(r.lang, 0.5) for r in out.values())
+
+
 def test_empty_tables(spark, empty):
     assert ngramjoin.jaccard_components(empty).count() == 0
     assert suffixes.repeat_digests(empty, suffixes.repeated_ranges(empty)).count() == 0
