@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -49,6 +49,15 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A name for an added column that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{wish}"
+    while any(c.startswith(name) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise on uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -78,20 +78,55 @@ def brute_repeats(texts: list[str | None]) -> list[tuple[int, int, int, str]]:
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_repeats(docs, texts, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT_PHRASES", hot)
-    want = brute_repeats(texts)
-    got = suffixes.repeat_digests(docs, suffixes.repeated_ranges(docs)).collect()
-    assert len(got) == len(texts) + 1
-    for r in got:
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
-    assert want[7][1] == want[7][0] and want[12][1] > 0
+def repeats_of(rows: list[tuple[int | None, str | None]]) -> dict[tuple, tuple]:
+    """By (doc_id, text): brute force over the distinct rows in corpus order."""
+    import xxhash
+
+    def order(r):
+        h = xxhash.xxh64_intdigest((r[1] or "").encode(), 42)
+        return (r[0] is not None, r[0] or 0, h >> 3 if r[0] is None else h >> 33)
+
+    distinct = sorted({(i, t or "") for i, t in rows}, key=order)
+    return dict(zip(distinct, brute_repeats([t for _, t in distinct]), strict=True))
+
+
+def odd_ids(texts: list[str | None]) -> list[tuple[int | None, str | None]]:
+    """Null ids, one id with two texts, repeated rows; a long periodic text, and one with a long run."""
+    rows = list(enumerate(texts))
+    rows += [(None, texts[6] + " tail"), (None, texts[10]), (None, texts[10]), (5, texts[11] + texts[16]), (5, texts[16]), rows[6], (6, None)]
+    return rows + [(70, "abcabcd" * 90_000), (71, "x" * 300_000 + texts[16] + "y" * 50), (72, texts[16][200:] + "x" * 150)]
+
+
+@pytest.mark.parametrize("limits", [(2000, 24, 60_000, 6_000), (1, 24, 60_000, 6_000), (2000, 2, 7, 5), (1, 3, 2, 1)])
+def test_repeats(spark, texts, monkeypatch, limits):
+    for name, value in zip(("HOT_PHRASES", "HOT_IN_FLUSH", "CHUNK_ROWS", "COMPARE_ROWS"), limits, strict=True):
+        monkeypatch.setattr(suffixes, name, value)
+    rows = odd_ids(texts)
+    want = repeats_of(rows)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, doc string, spans string").repartition(3)
+    digests = suffixes.repeat_digests(docs, suffixes.repeated_ranges(docs))
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in digests.collect()))
+    assert got == sorted((i is not None, i or 0, *want[i, t or ""]) for i, t in rows)
+    assert want[7, texts[7]][1] == want[7, texts[7]][0] and want[12, texts[12]][1] > 0 and want[70, rows[-3][1]][1] > 600_000
+
+
+def test_suffix_ranks():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    raw = np.concatenate([rng.integers(97, 99, 3000), np.full(400, 97), np.tile([97, 98, 97], 200)]).astype(np.uint8)
+    rank = suffixes.suffix_ranks(raw)
+    heads = [raw[i : i + 100].tobytes() for i in range(len(raw) - 100)]
+    order = {h: k for k, h in enumerate(sorted(set(heads)))}
+    by_rank = {r: k for k, r in enumerate(sorted(set(rank[: len(heads)].tolist())))}
+    assert [by_rank[r] for r in rank[: len(heads)].tolist()] == [order[h] for h in heads]
 
 
 def test_drop_repeats_keeps_columns_and_characters(docs, texts):
     out = suffixes.drop_repeats(docs)
     assert out.columns == docs.columns
+    clash = suffixes.drop_repeats(docs.withColumnsRenamed({"lang": "_doc", "source": "_spans", "key": "_sub"})).collect()
+    assert {(r.doc_id, r.text, r["_spans"], r["_sub"]) for r in clash} == {(r.doc_id, r.text, "s", "k") for r in out.collect()}
     got = {r.doc_id: r.text for r in out.collect()}
     assert got[0] is None and got[7] == "" and got[6] == texts[6] and len(got[11]) < len(texts[11])
 
