@@ -23,6 +23,19 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Rows and bytes of an Arrow batch between Spark and Python: of whole texts fewer rows than Spark's default.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session gets batches of bounded size where the user has set none."""
+    conf = df.sparkSession.conf
+    for key, value in BATCHES.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return df
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .blocks import text_blocks
+from .blocks import small_batches, text_blocks
 
 PIECES_KEPT = 500_000
 
@@ -268,7 +268,7 @@ def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text", keep_id
                     c.append(x)
             yield pa.RecordBatch.from_arrays([b.rows.column(b.rows.schema.get_field_index(f.name)) for f in kept] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.name for f in kept + fields])
 
-    return df.mapInArrow(run, T.StructType(kept + fields))
+    return small_batches(df).mapInArrow(run, T.StructType(kept + fields))
 
 
 _KNOWN: dict[str, RememberedPieces] = {}

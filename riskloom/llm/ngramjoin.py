@@ -6,16 +6,18 @@ The orders here put shingles that are frequent in the whole corpus last and diff
 among the rest; what is frequent is a lossy count over all documents (each block of documents keeps
 the shingles that two of its sets share). A wrong count changes the work, never the result.
 
-1. Equal sets are one from here on: they carry one set id.
+1. Equal sets are one from here on: they carry one set id, and a sketch of fixed size (``SKETCH``):
+   a bit for each class of tokens of the prefix under each order, and the parity of the number of
+   tokens in each of 512 classes. Two sets differ by as many tokens at least as their parities.
 2. Order 1 gives (token, set) rows; tokens that only one set has in its prefix drop out.
-3. Each token's hub is the set whose prefix is shared the most. Sets are verified against the hubs
-   of their tokens (a star, not all pairs) unless their unshared prefix tokens alone make a link
-   impossible, and components of the links found are made. Before tokens are fetched, the counts
-   of each set's tokens in 256 hash buckets bound the difference of a pair from below.
-4. Only pairs of sets that share a hub but no component remain. The difference of two sets has at
-   least their unshared prefix tokens plus the difference of what they lack of the hub; pairs for
-   which that is too much can't link. The rest must share prefix tokens under every order, and are
-   then verified in full.
+3. Each token's hub is the set whose prefix tokens are the most common ones, so that the hub of a
+   group of near copies is the text in its middle. Sets are candidates against the hubs of their
+   tokens (a star, not all pairs) if neither their unshared prefix tokens nor their parities rule a
+   link out and their prefixes meet in the sketches of all orders. Only then tokens are fetched,
+   the prefixes under every order intersected, and the pair verified. Components of the links
+   found are made.
+4. Of sets that share a hub but no component, the same bounds and filters, as the condition of one
+   join, leave those that may link; these are verified in the same way.
 
 No pair is formed within a component, copies are never expanded, and nothing is capped.
 
@@ -27,13 +29,14 @@ smallest; an empty table gives an empty one; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, column_bytes, forget, may_be_in, mix64, shingles, stored, text_blocks, words
+from .blocks import Block, forget, free_name, may_be_in, mix64, shingles, small_batches, stored, text_blocks, words
 from .components import components
 
 SIZE = 5
@@ -42,6 +45,7 @@ HEAVY_FROM = 16
 HEAVY_MOST = 1 << 17
 COUNT_BYTES = 8 << 20
 PART_PAIRS = 512
+GIVEN_MOST = 200_000
 NULL_ID = -(1 << 63)
 
 
@@ -59,12 +63,30 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def profile(s: np.ndarray) -> bytes:
-    """How many tokens fall into each of 256 hash buckets, 255 at most.
+PARITY_BITS, ORDER_BITS = 512, 256
+SKETCH = [*(f"s{k}" for k in range(PARITY_BITS // 64)), *(f"p{i}_{k}" for i in range(ORDERS) for k in range(ORDER_BITS // 64))]
+
+
+def sketch(s: np.ndarray, prefixes: list[np.ndarray]) -> np.ndarray:
+    """The columns of ``SKETCH``: parities of token classes, then a bit for each class of prefix tokens by order."""
+    parity = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    parts = [parity.astype(np.uint8)]
+    for p in prefixes:
+        bits = np.zeros(ORDER_BITS, np.uint8)
+        bits[(p >> np.uint64(20) & np.uint64(ORDER_BITS - 1)).astype(np.int64)] = 1
+        parts.append(bits)
+    return np.packbits(np.concatenate(parts)).view(np.int64)
 
-    The difference of two sets has at least the sum of the differences of their profiles.
-    """
-    return np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+def may_link(a: str, b: str, n: Column) -> Column:
+    """Whether sketches with the given name prefixes allow a link of sets of ``n`` tokens together."""
+    word = lambda c: F.col(a + c).bitwiseXOR(F.col(b + c))
+    apart = sum((F.bit_count(word(c)) for c in SKETCH[1 : PARITY_BITS // 64]), F.bit_count(word(SKETCH[0])))
+    out = 9 * apart <= n
+    for i in range(ORDERS):
+        both = [F.col(a + c).bitwiseAND(F.col(b + c)) for c in SKETCH if c.startswith(f"p{i}_")]
+        out = out & (reduce(lambda x, y: x.bitwiseOR(y), both) != 0)
+    return out
 
 
 class Orders:
@@ -74,20 +96,23 @@ class Orders:
         at = np.argsort(heavy)
         self.heavy, self.level = heavy[at], np.log2(np.maximum(counts[at], 1)).astype(np.uint64)
 
-    def keys(self, s: np.ndarray, order: int) -> np.ndarray:
-        key = mix64(s + np.uint64(order * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+    def levels(self, s: np.ndarray) -> np.ndarray | None:
+        """0, or of frequent shingles 64 and more by their count."""
         if not len(self.heavy):
-            return key >> np.uint64(1)
+            return None
         at = np.minimum(np.searchsorted(self.heavy, s), len(self.heavy) - 1)
-        level = np.where(self.heavy[at] == s, self.level[at] + np.uint64(64), np.uint64(0))
-        return np.where(level > 0, level << np.uint64(56) | key >> np.uint64(8), key >> np.uint64(2))
+        return np.where(self.heavy[at] == s, self.level[at] + np.uint64(64), np.uint64(0))
 
-    def prefix(self, s: np.ndarray, order: int) -> np.ndarray:
-        """The first tokens in the order, in that order."""
+    def prefix(self, s: np.ndarray, order: int, level: np.ndarray | None = None, sort: bool = True) -> np.ndarray:
+        """The first tokens in the order, in that order if ``sort``; ``level`` as of ``levels``."""
         p = prefix_length(len(s))
-        key = self.keys(s, order)
+        if p >= len(s) and not sort:
+            return s
+        key = mix64(s + np.uint64(order * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+        level = self.levels(s) if level is None else level
+        key = key >> np.uint64(2) if level is None else np.where(level > 0, level << np.uint64(56) | key >> np.uint64(8), key >> np.uint64(2))
         first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-        return s[first[np.argsort(key[first])]]
+        return s[first[np.argsort(key[first])]] if sort else s[first]
 
 
 def frequent_shingles(docs: DataFrame, size: int = SIZE) -> Orders:
@@ -121,42 +146,48 @@ def frequent_shingles(docs: DataFrame, size: int = SIZE) -> Orders:
 
 
 def shingle_sets(docs: DataFrame, orders: Orders, size: int = SIZE) -> DataFrame:
-    """doc_id, n, set_id, and the prefix under order 1 and the profile (null where a task gave that set before)."""
+    """doc_id, row, n, set_id, and the prefix under order 1 and the sketch (null where a task gave that set before)."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = shared.value
         given: set[int] = set()
         for b in text_blocks(batches):
-            n, ids, firsts, profiles = [], [], [], []
+            n, ids, firsts, sketches = [], [], [], []
             for s in document_sets(b, size):
                 i = set_id(s) if len(s) else None
                 n.append(len(s))
                 ids.append(i)
                 new = i is not None and i not in given
-                firsts.append(o.prefix(s, 1).view(np.int64) if new else None)
-                profiles.append(profile(s) if new else None)
-                if len(given) < 1_000_000:
+                if new:
+                    level = o.levels(s)
+                    first = o.prefix(s, 1, level)
+                    sketches.append(sketch(s, [first, *(o.prefix(s, k, level, False) for k in range(2, ORDERS + 1))]))
+                firsts.append(first.view(np.int64) if new else None)
+                if len(given) < GIVEN_MOST:
                     given.add(i)
-            yield pa.RecordBatch.from_arrays([b.rows.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(profiles, pa.binary())], ["doc_id", "n", "set_id", "prefix", "profile"])
+            mask = np.array([x is None for x in firsts])
+            table = np.zeros((len(SKETCH), len(n)), np.int64)
+            if sketches:
+                table[:, ~mask] = np.stack(sketches, axis=1)
+            yield pa.RecordBatch.from_arrays([b.rows.column(0), b.rows.column(2), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), *(pa.array(x, mask=mask) for x in table)], ["doc_id", "row", "n", "set_id", "prefix", *SKETCH])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, set_id long, prefix array<bigint>, profile binary")
+    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, n int, set_id long, prefix array<bigint>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
-def _by_profile(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose profiles allow a link: 9 times their difference is at most n_a + n_b."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    known = sets.where("profile IS NOT NULL").select("set_id", "n", "profile").join(ids, "set_id").groupBy("set_id").agg(F.first("n").alias("n"), F.first("profile").alias("p"))
-    side = lambda c: known.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("p").alias(f"p_{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "p_a", "p_b")
+def _sketches(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_id and sketch of the sets of ``wanted`` (one column, distinct)."""
+    known = may_be_in(sets.where("prefix IS NOT NULL").select("set_id", *SKETCH), "set_id", wanted)
+    return known.join(wanted.withColumnsRenamed({wanted.columns[0]: "set_id"}), "set_id").groupBy("set_id").agg(*(F.first(c).alias(c) for c in SKETCH))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (column_bytes(batch.column(k))[0].reshape(-1, 256).astype(np.int16) for k in (3, 4))
-            near = 9 * np.abs(x - y).sum(axis=1) <= batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
-    return both.mapInArrow(run, "a long, b long")
+def _by_sketch(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with n tokens together whose sketches allow a link."""
+    known = stored(_sketches(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()), "jaccard-sketches")
+    side = lambda c: known.select(F.col("set_id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in SKETCH))
+    out = stored(pairs.join(side("b"), "b").join(side("a"), "a").where(may_link("a_", "b_", F.col("n"))).select("a", "b"), "jaccard-pairs")
+    forget(known)
+    return out
 
 
 def _with_tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -170,16 +201,17 @@ def _with_tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int)
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     partners = dealt.groupBy("b").agg(F.collect_list(F.struct("a", "part")).alias("with")).select(F.col("b").alias("set_id"), "with")
     wanted = many.select(F.col("a").alias("set_id"), "parts").join(partners, "set_id", "full")
-    one = sets.select("set_id", "doc_id").join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("with").alias("with"), F.first("parts").alias("parts"))
+    one = sets.select("set_id", "row").join(wanted, "set_id").groupBy("set_id").agg(F.min("row").alias("row"), F.first("with").alias("with"), F.first("parts").alias("parts"))
     one = stored(one, "jaccard-fetch")
-    texts = may_be_in(docs.select("doc_id", "text"), "doc_id", one.select("doc_id")).join(one, "doc_id").select("text", "set_id", "with", "parts")
+    # Rows that repeat an id and a text are read once.
+    texts = may_be_in(docs.select("row", "text"), "row", one.select("row")).join(one, "row").dropDuplicates(["row", "set_id"]).select("text", "set_id", "with", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             rows = []
             for i, s in enumerate(document_sets(block, size)):
                 asked = block.rows.column(1)[i].as_py()
-                if not len(s) or set_id(s) != asked:  # another text of a repeated doc_id
+                if not len(s) or set_id(s) != asked:  # another row of the same hash
                     continue
                 raw = s.tobytes()
                 rows += [(asked, part, None, raw) for part in range(block.rows.column(3)[i].as_py() or 0)]
@@ -190,8 +222,8 @@ def _with_tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int)
     return texts.mapInArrow(run, "a long, part int, b long, tokens binary")
 
 
-def _verify(rows: DataFrame, orders: Orders, all_counts: bool) -> DataFrame:
-    """(a, b, common, link) of the pairs of ``_with_tokens``; without ``all_counts`` only of those that link.
+def _verify(rows: DataFrame, orders: Orders) -> DataFrame:
+    """The pairs (a, b) of ``_with_tokens`` that link.
 
     A pair is a candidate if its prefixes meet under every order; only then it can link.
     """
@@ -208,26 +240,30 @@ def _verify(rows: DataFrame, orders: Orders, all_counts: bool) -> DataFrame:
                 if b is None:
                     if a != first:
                         first, sa = a, s.copy()
-                        prefixes = [o.prefix(sa, i) for i in range(1, ORDERS + 1)]
+                        prefixes = [o.prefix(sa, i, None, False) for i in range(1, ORDERS + 1)]
                     continue
                 if a != first:
                     raise ValueError(f"the tokens of set {a} are missing")
-                candidate = all(len(np.intersect1d(x, o.prefix(s, i), assume_unique=True)) for i, x in enumerate(prefixes, 1))
-                if not candidate and not all_counts:
+                level = o.levels(s)
+                if not all(len(np.intersect1d(x, o.prefix(s, i, level, False), assume_unique=True)) for i, x in enumerate(prefixes, 1)):
                     continue
                 common = len(np.intersect1d(sa, s, assume_unique=True))
-                link = candidate and 100 * common >= 80 * (len(sa) + len(s) - common)
-                if link or all_counts:
-                    out.append((a, b, common, link))
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "common", "link"])
+                if 100 * common >= 80 * (len(sa) + len(s) - common):
+                    out.append((a, b))
+            cols = list(zip(*out, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long, common long, link boolean").distinct()
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of each row of ``docs``."""
-    docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
+def row_hash() -> Column:
+    """Equal for rows of equal id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _classes(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id (NULL_ID for null), row, n, and low: the least (doc_id, row) of the row's component (null without words)."""
+    docs = small_batches(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", row_hash().alias("row"))
     orders = frequent_shingles(docs, size)
     sets = stored(shingle_sets(docs, orders, size), "jaccard-docs")
     rows = sets.where("prefix IS NOT NULL").select("set_id", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -235,44 +271,62 @@ def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
     meet = may_be_in(rows, "token", repeated, 24).join(repeated, "token").groupBy("set_id", "token").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     by_set = meet.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("hits"), F.first("n").alias("n"))
     by_set = stored(by_set, "jaccard-hits")
-    share = F.size("hits") / (F.col("n") - F.expr("(4L * n + 4) div 5") + 1)
-    meet = by_set.select("set_id", "n", share.alias("share"), F.posexplode("hits").alias("place", "hit"))
-    meet = stored(meet.select("set_id", "n", "share", "hit.token", (F.col("hit.pos") - F.col("place")).alias("alone")), "jaccard-meet")
-    hubs = meet.groupBy("token").agg(F.max(F.struct("share", "set_id", "n")).alias("hub")).select("token", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    prefix = F.col("n") - F.expr("(4L * n + 4) div 5") + 1
+    meet = by_set.select("set_id", "n", prefix.alias("p"), F.posexplode("hits").alias("place", "hit"))
+    meet = stored(meet.select("set_id", "n", "p", "hit.token", (F.col("hit.pos") - F.col("place")).alias("alone")), "jaccard-meet")
+    # The set in the middle of its group has the most common tokens.
+    common = meet.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
+    middle = meet.join(common, "token").groupBy("set_id").agg((F.sum("sets") / F.first("p")).alias("middle"))
+    hubs = meet.join(middle, "set_id").groupBy("token").agg(F.max(F.struct("middle", "set_id", "n")).alias("hub")).select("token", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n"))
     members = stored(meet.join(hubs, "token").groupBy("hub", "hub_n", "set_id", "n").agg(F.min("alone").alias("alone")), "jaccard-members")
     fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
     own_hub = members.where(F.col("hub") == F.col("set_id")).select("hub", F.col("alone").alias("hub_alone"))
     star = members.where(F.col("hub") != F.col("set_id")).where(fits(F.col("hub_n"), F.col("n"))).join(own_hub, "hub").where(9 * (F.col("alone") + F.col("hub_alone")) <= F.col("n") + F.col("hub_n"))
-    star = stored(_by_profile(star.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), sets), "jaccard-pairs")
-    tested = stored(_verify(_with_tokens(docs, sets, star, size), orders, True), "jaccard-star")
-    near = stored(components(tested.where("link").select("a", "b"), "jaccard-cc"), "jaccard-near")
-
-    m = members.join(tested.select(F.col("a").alias("hub"), F.col("b").alias("set_id"), "common"), ["hub", "set_id"], "left")
-    m = m.join(near.select(F.col("node").alias("set_id"), "comp"), "set_id", "left").join(near.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left")
-    m = m.select("hub", "set_id", "n", "alone", (F.col("hub_n") - F.col("common")).alias("lack"), F.coalesce("comp", "set_id").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
-    m = stored(m.where(F.col("hub") != F.col("set_id")), "jaccard-rest")
-    x = m.where(F.col("comp") != F.col("hub_comp")).select("hub", *(F.col(c).alias(f"x_{c}") for c in ("set_id", "n", "alone", "lack", "comp")))
-    y = m.select("hub", "hub_comp", *(F.col(c).alias(f"y_{c}") for c in ("set_id", "n", "alone", "lack", "comp")))
-    # Unshared tokens outside the hub: those known to be alone, or the difference of what each has beyond it.
-    beyond = F.abs((F.col("x_n") + F.col("x_lack")) - (F.col("y_n") + F.col("y_lack")))
-    lost = F.greatest(F.col("x_alone") + F.col("y_alone"), F.coalesce(beyond, F.lit(0))) + F.coalesce(F.abs(F.col("x_lack") - F.col("y_lack")), F.lit(0))
-    rest = x.join(y, (x["hub"] == y["hub"]) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("hub_comp")) | (F.col("x_set_id") < F.col("y_set_id"))) & fits(F.col("x_n"), F.col("y_n")) & (9 * lost <= F.col("x_n") + F.col("y_n")))
-    rest = rest.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
-    hits = by_set.select("set_id", F.col("hits.token").alias("hits"))
-    rest = rest.join(hits.withColumnsRenamed({"set_id": "a", "hits": "ha"}), "a").join(hits.withColumnsRenamed({"set_id": "b", "hits": "hb"}), "b").where(F.arrays_overlap("ha", "hb")).select("a", "b")
-    rest = stored(_by_profile(rest, sets), "jaccard-pairs")
-    late = stored(_verify(_with_tokens(docs, sets, rest, size), orders, False), "jaccard-late")
-    links = tested.where("link").select("a", "b").union(late.select("a", "b"))
+    star = _by_sketch(star.select(F.col("hub").alias("a"), F.col("set_id").alias("b"), (F.col("n") + F.col("hub_n")).alias("n")), sets)
+    tested = stored(_verify(_with_tokens(docs, sets, star, size), orders), "jaccard-star")
+    near = stored(components(tested, "jaccard-cc"), "jaccard-near")
+
+    m = members.where(F.col("hub") != F.col("set_id")).join(near.select(F.col("node").alias("set_id"), "comp"), "set_id", "left").join(near.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left")
+    m = stored(m.select("hub", "set_id", "n", "alone", F.coalesce("comp", "set_id").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp")), "jaccard-rest")
+    # Hubs with a set that is apart from them and another set besides.
+    open_ = m.groupBy("hub").agg(F.max((F.col("comp") != F.col("hub_comp")).cast("int")).alias("apart"), F.count(F.lit(1)).alias("sets")).where("apart = 1 AND sets > 1").select("hub")
+    m = m.join(open_, "hub")
+    m = stored(m.join(_sketches(sets, m.select("set_id").distinct()), "set_id"), "jaccard-open")
+    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("set_id", "n", "alone", "comp", *SKETCH)]
+    x = m.where(F.col("comp") != F.col("hub_comp")).select("hub", *side("x"))
+    y = m.select(F.col("hub").alias("y_hub"), "hub_comp", *side("y"))
+    total = F.col("x_n") + F.col("y_n")
+    rest = x.join(
+        y,
+        (x["hub"] == y["y_hub"]) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("hub_comp")) | (F.col("x_set_id") < F.col("y_set_id")))
+        & fits(F.col("x_n"), F.col("y_n")) & (9 * (F.col("x_alone") + F.col("y_alone")) <= total) & may_link("x_", "y_", total),
+    )
+    rest = stored(rest.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct(), "jaccard-pairs")
+    late = stored(_verify(_with_tokens(docs, sets, rest, size), orders), "jaccard-late")
+    links = tested.union(late)
     final = stored(components(links, "jaccard-final"), "jaccard-comps")
     forget(repeated, by_set, meet, members, star, tested, near, m, rest, late)
 
-    own = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    own = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     own = own.join(final.select(F.col("node").alias("set_id"), "comp"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     low = own.groupBy("comp").agg(F.min("least").alias("low"))
-    own = own.join(low, "comp").select("set_id", "low")
-    out = sets.select("doc_id", "n", "set_id").join(own, "set_id", "left")
+    own = stored(own.join(low, "comp").select("set_id", "low"), "jaccard-low")
+    return sets.select("doc_id", "row", "n", "set_id").join(own, "set_id", "left")
+
+
+def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of each row of ``docs``."""
     clear = lambda c: F.when(c != NULL_ID, c)
-    return out.select(clear(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), clear(F.coalesce("low", "doc_id")).alias("component_id"))
+    out = _classes(docs, size)
+    return out.select(clear(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), clear(F.coalesce("low.doc_id", "doc_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (a null one first), then
+    of the smallest hash. Rows of equal id and text stay once; rows without words stay. All columns are kept."""
+    row = free_name(docs, "row")
+    stay = _classes(docs, size).where("low IS NULL OR low.row = row").select(F.col("row").alias(f"{row}_")).distinct()
+    return docs.withColumn(row, row_hash()).join(stay, F.col(row) == F.col(f"{row}_")).dropDuplicates([row]).select(docs.columns)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Block, column_bytes, forget, free_name, may_be_in, mix64, prefix_hash, span_hash, stored, text_blocks
+from .blocks import Block, column_bytes, forget, free_name, may_be_in, mix64, prefix_hash, small_batches, span_hash, stored, text_blocks
 
 LENGTH = 100
 GRAM = 24
@@ -414,7 +414,7 @@ def _compare(contexts: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame) -> DataFrame:
     doc, sub = place_of(F.col("doc_id"), F.col("text"))
-    return docs.select(doc.alias("doc"), sub.alias("sub"), F.coalesce("text", F.lit("")).alias("text"))
+    return small_batches(docs).select(doc.alias("doc"), sub.alias("sub"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import Block, shared_dir, text_blocks
+from .blocks import Block, shared_dir, small_batches, text_blocks
 from .bpe import default_tokenizer
 
 MAGIC = b"RLTOKEN1"
@@ -194,7 +194,7 @@ class ShardReader:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, dict_docs: int = DICT_DOCS) -> DataFrame:
     """Write ``docs`` (doc_id, text) in ascending doc_id order; the manifest: one row a shard."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     dtype = id_dtype(tokenizer)
     sample = [r.text or "" for r in docs.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(dict_docs).select("text").toLocalIterator()]
     end = np.array([end_id], dtype).tobytes()

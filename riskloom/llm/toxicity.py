@@ -4,7 +4,7 @@ A word's vector is the sum of hashed embeddings of the word and of its first 4 a
 of several widths run over each whole text, their maxima are pooled, and a dense layer gives the
 probability. Only embeddings of buckets that two training texts hold are trained; others are zero.
 The model is fitted in the driver on at most ``sample_rows`` labelled rows (those with the smallest
-hash of their id) and at most four fifths of all; scoring covers all rows and whole texts, in tasks,
+hash of their id), ``sample_bytes`` of their text (one text an id) and at most four fifths of all; scoring covers all rows and whole texts, in tasks,
 without a shuffle. Every labelled row that wasn't fitted counts for its language's threshold: Spark
 scores it and adds it up by (language, score bin, toxic).
 
@@ -24,9 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Block, mix64, prefix_hash, span_hash, text_blocks, words
+from .blocks import Block, free_name, mix64, prefix_hash, small_batches, span_hash, text_blocks, words
 
 SAMPLE_ROWS = 6000
+SAMPLE_BYTES = 96 << 20
 #: A power of two, so that a score is in bin k or above exactly if it is k / BINS or more.
 BINS = 1024
 BUCKET_BITS, DIM, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
@@ -152,8 +153,19 @@ class TextCNN:
             self.thresholds[name] = float(np.clip(near, 0.05, 0.95))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> TextCNN | None:
-    """The classifier, learned from at most ``sample_rows`` labelled rows for which ``usable`` holds; the others calibrate it."""
+def _sample(docs: DataFrame, picked: DataFrame, sample_bytes: int) -> pa.Table:
+    """doc_id, toxic, text, lang of the picked labels; one text an id, by hash, and ``sample_bytes`` of text at most."""
+    found = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))).alias("x"))
+    sizes = found.select("doc_id", "toxic", "x.h", "x.n").toArrow().to_pandas().sort_values(["doc_id", "toxic"])
+    order = sizes.assign(o=mix64(sizes["doc_id"].to_numpy(np.int64).view(np.uint64))).sort_values("o")
+    ids = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(order["doc_id"][order["n"].cumsum() <= sample_bytes].unique(), pa.int64())}))
+    texts = docs.join(F.broadcast(ids), "doc_id").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("x"))
+    return texts.select("doc_id", "toxic", "x.text", "x.lang").toArrow()
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> TextCNN | None:
+    """The classifier, learned from at most ``sample_rows`` labelled rows with ``sample_bytes`` of text for
+    which ``usable`` holds; the others calibrate it."""
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     if usable is not None:
         picked = picked.where(usable)
@@ -161,7 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     n = known.count()
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "toxic").limit(min(sample_rows, n - n // 5))
     lang = "lang" if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    rows = docs.select("doc_id", "text", lang).join(F.broadcast(picked), "doc_id").toArrow()
+    rows = _sample(docs.select("doc_id", "text", lang), picked, sample_bytes)
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
@@ -180,12 +192,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     return model
 
 
-def score_toxicity(df: DataFrame, model: TextCNN | None, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Add ``score``, ``predicted`` (score >= 0.5), ``threshold`` (of the row's language) and ``rejected``."""
-    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("threshold", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+def score_toxicity(df: DataFrame, model: TextCNN | None, text: str = "text", keep_text: bool = False, prefix: str = "") -> DataFrame:
+    """Add ``score``, ``predicted`` (score >= 0.5), ``threshold`` (of the row's language) and ``rejected``, their names behind ``prefix``."""
+    fields = [T.StructField(prefix + name, kind) for name, kind in (("score", T.DoubleType()), ("predicted", T.IntegerType()), ("threshold", T.DoubleType()), ("rejected", T.BooleanType()))]
     new = {f.name for f in fields} | (set() if keep_text else {text})
     kept = [f for f in df.schema.fields if f.name not in new]
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(df).sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -200,6 +212,12 @@ def score_toxicity(df: DataFrame, model: TextCNN | None, text: str = "text", kee
     return df.mapInArrow(run, T.StructType(kept + fields))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose score reaches the threshold of their language; all columns are kept."""
+    prefix = free_name(docs, "toxicity_")
+    return score_toxicity(docs, fit_toxicity(docs, labels), keep_text=True, prefix=prefix).where(~F.col(f"{prefix}rejected")).select(docs.columns)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole text; learned without the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import shared_dir
+from .blocks import shared_dir, small_batches
 
 SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
@@ -95,7 +95,7 @@ class Archive:
 def write_warc(pages: DataFrame, folder: str, least_revisit: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html); the manifest: one row an archive."""
     spark = pages.sparkSession
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
+    pages = small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
     first = pages.where(F.octet_length("html") >= least_revisit).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     rows = pages.join(first, "sha", "left").select("page_id", "url", "html", F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers"))
     files, base = fs.FileSystem.from_uri(folder)

@@ -27,13 +27,12 @@ def shingle_set(text: str | None) -> set[tuple[str, ...]]:
 
 def brute_components(texts) -> dict[int, int]:
     s = [shingle_set(t) for t in texts]
-    comp = list(range(len(s)))
-    for _ in s:
-        for a in range(len(s)):
-            for b in range(a):
-                both = len(s[a] & s[b])
-                if both and 100 * both >= 80 * len(s[a] | s[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
+    links = [(a, b) for a in range(len(s)) for b in range(a) if (both := len(s[a] & s[b])) and 100 * both >= 80 * len(s[a] | s[b])]
+    comp, before = list(range(len(s))), None
+    while comp != before:
+        before = [*comp]
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
     return dict(enumerate(comp))
 
 
@@ -298,12 +297,51 @@ def test_empty_tables(spark, empty):
     assert lm.score_texts(empty, lm.fold() != 1).count() == 0
 
 
-def test_pipeline(spark, docs, texts, tmp_path):
+def test_jaccard_of_many_near_copies_and_odd_ids(spark):
+    """Copies of one text, near ones and ones too far off, in one group; null ids and one id with two texts."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(140)]
+    rows = [(0, " ".join(base)), (None, " ".join(base)), (None, "some other words that link with nothing"), (3, None), (3, "two texts of one id here")]
+    for i in range(10, 160):
+        w = [*base]
+        for k in range(rng.choice((1, 2, 3, 4, 6, 7, 8))):
+            w[rng.randrange(140)] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [rows[7], (3, "two texts of one id here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    comp = brute_components([t for _, t in rows])
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low[comp[k]] = min(low.get(comp[k], (True, 10**9)), (i is not None, i or 0))
+    want = sorted((i is not None, i or 0, len(shingle_set(t)), *(low[comp[k]] if words(t) else (i is not None, i or 0))) for k, (i, t) in enumerate(rows))
+    got = ngramjoin.jaccard_components(docs).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id is not None, r.component_id or 0) for r in got) == want
+    kept = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in ngramjoin.drop_near_duplicates(docs).collect())
+    assert len(kept) == len({comp[k] for k in range(len(rows))} - {k for k in range(len(rows)) if (rows[k][0], rows[k][1]) in rows[:k]}) and (False, 0, rows[1][1]) in kept
+
+
+def pipeline_rows(c, spark, docs, benchmark, tmp_path, name):
+    docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    return c.run(spark, f"{tmp_path}/{name}").collect()
+
+
+def test_pipeline(spark, docs, texts, empty, tmp_path):
     import corpus_pipeline as c
 
-    docs.where("doc_id <> 6").union(docs.where("doc_id = 6").limit(1)).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, texts[16])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id for r in c.run(spark, str(tmp_path)).collect()}
+    rows = pipeline_rows(c, spark, docs, [(1, texts[16])], tmp_path, "a")
     near = brute_components(texts)
-    assert got == {i for i in range(len(texts)) if near[i] == i} - {16}
+    assert sorted(r.doc_id for r in rows) == sorted({i for i in range(len(texts)) if near[i] == i} - {16})
+    odd = [(None, texts[6], 1.0), (None, texts[18], 0.7), (None, "another text " + texts[16], 0.7), (4, texts[13], 0.2), (4, texts[14] + " more", 0.2), (4, texts[13], 0.2), (9, None, None)]
+    odd = spark.createDataFrame([(i, t, "en", "s", None, x, None, True, "z") for i, t, x in odd], "doc_id long, text string, lang string, source string, n_chars long, score double, rejected string, _row boolean, _doc string")
+    for name, stage in c.STAGES[:-1]:
+        spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        spark.createDataFrame([(1, texts[16])], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        assert stage(spark, odd, str(tmp_path)).columns == odd.columns, name
+    assert {r.score for r in c.STAGES[0][1](spark, odd, str(tmp_path)).collect()} == {1.0, 0.7, 0.2, None}
+    rows = pipeline_rows(c, spark, odd, [(1, texts[16])], tmp_path, "b")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, 4), (False, 4), (False, 9), (True, 0), (True, 0)]
+    assert pipeline_rows(c, spark, empty, [], tmp_path, "c") == []
