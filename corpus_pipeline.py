@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of ``docs``. ``run`` writes each stage's rows as Parquet in the shared folder and reads them again
-as the next one's input. Kept documents are never cut short, and clean ones stay.
+as the next one's input. Rows are told apart by id and text, so a null id, an id with several texts
+and own columns of any name are handled; rows that repeat an id and a text are one row after the
+second stage. Null and empty texts pass all stages. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,21 +17,19 @@ from pyspark.sql import functions as F
 from riskloom.llm.blocks import stored
 from riskloom.llm.bpe import default_tokenizer, encode_and_decode
 from riskloom.llm.decontaminate import drop_contaminated
-from riskloom.llm.ngramjoin import jaccard_components
+from riskloom.llm.ngramjoin import drop_near_duplicates
 from riskloom.llm.suffixes import drop_repeats
-from riskloom.llm.toxicity import fit_toxicity, score_toxicity
+from riskloom.llm.toxicity import drop_toxic
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold of their language."""
-    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model, keep_text=True).where("NOT rejected").select(docs.columns)
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id."""
-    stay = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the row with the smallest id, and of equal rows one."""
+    return drop_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard", drop_near_duplicates),
+    ("toxicity", toxicity_stage),
+    ("ngram_jaccard", near_duplicates_stage),
     ("suffix_repeats", cut_repeats),
     ("decontamination", decontaminate),
     ("bpe", encode),
