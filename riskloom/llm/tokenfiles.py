@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import Block, shared_dir, small_batches, text_blocks
+from .blocks import Block, prefix_hash, shared_dir, small_batches, span_hash, text_blocks
 from .bpe import default_tokenizer
 
 MAGIC = b"RLTOKEN1"
@@ -40,74 +41,129 @@ END_ID = 2
 SHARD_BYTES = 64 << 20
 DICT_BYTES = 64 << 10
 DICT_DOCS = 400
-PLAIN = "\u0130"  # below it all letters are composed, and lower case is one character
-MARKS = (".", ",", "!", "?", ";", ":")
+DICT_SAMPLE_BYTES = 8 << 20
+
+
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,!?;:")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def open_path(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-class LibraryPieces(dict):
-    """piece (UTF-8, between spaces and line feeds) -> ids as bytes, by the tokenizers library.
+class LibraryPieces:
+    """Ids of texts by the tokenizers library; a bounded table remembers the ids of pieces between blanks.
 
-    A bounded number of pieces is remembered; a full table starts anew.
+    The table is open addressing over arrays: 64-bit hash of a piece of at most ``LONGEST`` bytes,
+    and where its ids lie in ``flat``. A table or an id store that fills up starts anew. Probes tell
+    whether the tokenizer's ids allow cuts at blanks, and at marks behind plain letters; one whose
+    ids depend on blanks has its texts encoded whole.
     """
 
-    def __init__(self, tokenizer: str, dtype: str, most: int = 1_000_000) -> None:
+    SLOTS = 1 << 21
+    MOST_IDS = 1 << 23
+    LONGEST = 64
+    PROBES = ("a b", "a  b", " a", "a ", "a\nb", "\n\na1 !", "x. y")
+    MARKED = (("ab", "."), ("ab", ",, "), ("Ab", ".cd"), ("x", "!\"'s"), ("it's", ";"), ("é b", ":?"))
+
+    def __init__(self, tokenizer: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok = Tokenizer.from_file(tokenizer)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.dtype, self.most = dtype, most
-
-    def learn(self, keys: list[bytes]) -> None:
-        """Encode what isn't known yet, many at once."""
-        if len(self) >= self.most:
-            self.clear()
-        new = {k: k.decode() for k in set(keys).difference(self)}
-        # A word of letters that normalisation leaves alone and one mark behind it are two words to
-        # the tokenizer, whatever the case.
-        parts = {k: (p[:-1].lower(), p[-1]) if p[-1] in MARKS else (p.lower(),) for k, p in new.items() if p[:-1].isalpha() and max(p) < PLAIN}
-        fresh = list({c for x in parts.values() for c in x} | {p for k, p in new.items() if k not in parts})
-        form = "H" if self.dtype == "<u2" else "I"
-        coded = {c: struct.pack(f"<{len(i)}{form}", *i) for c, i in zip(fresh, (e.ids for e in self.tok.encode_batch(fresh, add_special_tokens=False)), strict=True)}
-        for k, p in new.items():
-            self[k] = b"".join([coded[c] for c in parts[k]]) if k in parts else coded[p]
+        self.dtype = np.dtype(dtype)
+        whole = self._encode([*self.PROBES])
+        self.in_pieces = all(w == [i for x in self._encode(p.replace("\n", " ").split(" ")) for i in x] for p, w in zip(self.PROBES, whole, strict=True))
+        #: Whether a mark behind a plain letter begins a piece of its own.
+        self.at_marks = all(w == [i for x in self._encode([*p]) for i in x] for p, w in zip(self.MARKED, self._encode(["".join(p) for p in self.MARKED]), strict=True))
+        self.flat = np.zeros(1 << 16, self.dtype)
+        self._clear()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)(texts, add_special_tokens=False)]
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self.SLOTS, np.uint64)
+        self.at = np.zeros(self.SLOTS, np.int32)
+        self.size = np.zeros(self.SLOTS, np.int32)
+        self.held = self.used = 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        todo = np.arange(len(h))
+        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == h[todo]
+            out[todo[hit]] = slot[hit]
+            on = ~hit & (there != 0)
+            todo, slot = todo[on], (slot[on] + 1) & (self.SLOTS - 1)
+        return out
+
+    def _insert(self, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Distinct new hashes."""
+        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            won = free & (self.keys[slot] == h)
+            self.at[slot[won]], self.size[slot[won]] = at[won], size[won]
+            self.held += int(won.sum())
+            h, at, size, slot = h[~won], at[~won], size[~won], (slot[~won] + 1) & (self.SLOTS - 1)
+
+    def _store(self, coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each piece, put behind those in ``flat``."""
+        size = np.fromiter(map(len, coded), np.int32, len(coded))
+        total = int(size.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * total, self.dtype)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(coded), self.dtype, total)
+        at = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.used += total
+        return at, size
 
     def ids(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents of a block one behind the other, and each document's range.
-
-        Equal pieces are found by Arrow's dictionary encoding, so each is looked up once a block. A
-        piece here carries the blanks behind it, which leaves Arrow the block's own bytes to read.
-        """
+        """Ids of all documents of a block one behind the other, and each document's range."""
+        if not self.in_pieces:
+            coded = self._encode([block.text(i).decode() for i in range(len(block))])
+            return np.fromiter(chain.from_iterable(coded), self.dtype), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+        if self.held > self.SLOTS // 2 or self.used > self.MOST_IDS:
+            self._clear()
         data = block.data
         ink = (data != 0x20) & (data != 0x0A)
-        begins = ink.copy()
+        begins, ends = ink.copy(), ink.copy()
         begins[1:] &= ~ink[:-1]
+        ends[:-1] &= ~ink[1:]
         inner = block.offsets[1:-1]
-        inner = inner[inner < len(data)]
-        begins[inner] = ink[inner]
-        start = np.flatnonzero(begins)
+        inner = inner[(inner > 0) & (inner < len(data))]
+        begins[inner], ends[inner - 1] = ink[inner], ink[inner - 1]
+        if self.at_marks:
+            cut = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
+            begins[cut], ends[cut - 1] = True, True
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         bounds = np.searchsorted(start, block.offsets)
         if not len(start):
             return np.zeros(0, self.dtype), bounds
-        edges = np.append(start, len(data)).astype(np.int64)
-        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = raw.dictionary_encode()
-        keys = [k.rstrip(b" \n") for k in coded.dictionary.to_pylist()]
-        self.learn(keys)
-        found = list(map(self.__getitem__, keys))
-        flat = np.frombuffer(b"".join(found), self.dtype)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
-        first = np.cumsum(size) - size
-        which = coded.indices.to_numpy()
-        count = size[which]
+        h = np.maximum(span_hash(prefix_hash(data), start, end), np.uint64(1))
+        slot = self._find(h)
+        at, count = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            first = miss[first]
+            raw = data.tobytes()
+            texts = [raw[a:e].decode() for a, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            place, size = self._store(self._encode(texts))
+            at[miss], count[miss] = place[which], size[which]
+            short = end[first] - start[first] <= self.LONGEST
+            self._insert(new[short], place[short], size[short])
         ends = np.cumsum(count)
-        out = flat[np.arange(int(ends[-1])) + np.repeat(first[which] - ends + count, count)]
+        out = self.flat[np.arange(int(ends[-1])) + np.repeat(at - ends + count, count)]
         return out, np.concatenate([[0], ends])[bounds]
 
 
@@ -191,12 +247,26 @@ class ShardReader:
             i = j
 
 
+def sample_texts(docs: DataFrame, most: int, most_bytes: int = DICT_SAMPLE_BYTES) -> list[str]:
+    """Up to ``most`` texts with ``most_bytes`` together, those with the smallest hashes; hashes and sizes are fetched first."""
+    h = F.xxhash64("doc_id", "text", F.lit(3))
+    sizes = docs.select(h.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h").limit(most).collect()
+    picked, room = [], most_bytes
+    for r in sizes:
+        room -= r.n
+        if room < 0:
+            break
+        picked.append(r.h)
+    rows = docs.select(h.alias("h"), "text").where(F.col("h").isin(picked or [0])).dropDuplicates(["h"]).collect()
+    return [r.text or "" for r in sorted(rows, key=lambda r: r.h)]
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, dict_docs: int = DICT_DOCS) -> DataFrame:
     """Write ``docs`` (doc_id, text) in ascending doc_id order; the manifest: one row a shard."""
     spark = docs.sparkSession
     docs = small_batches(docs).select("doc_id", "text")
     dtype = id_dtype(tokenizer)
-    sample = [r.text or "" for r in docs.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(dict_docs).select("text").toLocalIterator()]
+    sample = sample_texts(docs, dict_docs)
     end = np.array([end_id], dtype).tobytes()
     known = LibraryPieces(tokenizer, dtype)
     trained: list[bytes] = []
@@ -218,7 +288,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_dict_id=False)
         done: list[tuple] = []
         shard = None
-        for b in text_blocks(batches, block_bytes=8 << 20):
+        for b in text_blocks(batches, block_bytes=1 << 20):
             docs_ = b.rows.column(0).fill_null(NULL_ID).to_pylist()
             ids, bounds = known.ids(b)
             for i, doc in enumerate(docs_):
