@@ -13,7 +13,8 @@ the shingles that two of its sets share). A wrong count changes the work, never
 3. Each token's hub is the set whose prefix tokens are the most common ones, so that the hub of a
    group of near copies is the text in its middle. Sets are candidates against the hubs of their
    tokens (a star, not all pairs) if neither their unshared prefix tokens nor their parities rule a
-   link out and their prefixes meet in the sketches of all orders. Only then tokens are fetched,
+   link out and their prefixes meet in the sketches of all orders; then by parities of a size that
+   grows with the set, a sixteenth of its tokens' bytes. Only then tokens are fetched,
    the prefixes under every order intersected, and the pair verified. Components of the links
    found are made.
 4. Of sets that share a hub but no component, the same bounds and filters, as the condition of one
@@ -78,6 +79,27 @@ def sketch(s: np.ndarray, prefixes: list[np.ndarray]) -> np.ndarray:
     return np.packbits(np.concatenate(parts)).view(np.int64)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Parity of the number of tokens in each of some 2 to 4 classes a token, a power of two.
+
+    Two sets differ by as many tokens at least as their parities; the halves of a longer one are
+    added to compare it with a shorter one.
+    """
+    bits = 1 << max(PARITY_BITS.bit_length() - 1, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart_at_least(x: np.ndarray, y: np.ndarray) -> int:
+    """Bytes of ``parities`` of two sets: a lower bound of their difference."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def may_link(a: str, b: str, n: Column) -> Column:
     """Whether sketches with the given name prefixes allow a link of sets of ``n`` tokens together."""
     word = lambda c: F.col(a + c).bitwiseXOR(F.col(b + c))
@@ -153,7 +175,7 @@ def shingle_sets(docs: DataFrame, orders: Orders, size: int = SIZE) -> DataFrame
         o = shared.value
         given: set[int] = set()
         for b in text_blocks(batches):
-            n, ids, firsts, sketches = [], [], [], []
+            n, ids, firsts, sketches, odd = [], [], [], [], []
             for s in document_sets(b, size):
                 i = set_id(s) if len(s) else None
                 n.append(len(s))
@@ -164,32 +186,50 @@ def shingle_sets(docs: DataFrame, orders: Orders, size: int = SIZE) -> DataFrame
                     first = o.prefix(s, 1, level)
                     sketches.append(sketch(s, [first, *(o.prefix(s, k, level, False) for k in range(2, ORDERS + 1))]))
                 firsts.append(first.view(np.int64) if new else None)
+                odd.append(parities(s) if new else None)
                 if len(given) < GIVEN_MOST:
                     given.add(i)
             mask = np.array([x is None for x in firsts])
             table = np.zeros((len(SKETCH), len(n)), np.int64)
             if sketches:
                 table[:, ~mask] = np.stack(sketches, axis=1)
-            yield pa.RecordBatch.from_arrays([b.rows.column(0), b.rows.column(2), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), *(pa.array(x, mask=mask) for x in table)], ["doc_id", "row", "n", "set_id", "prefix", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.rows.column(0), b.rows.column(2), pa.array(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(odd, pa.binary()), *(pa.array(x, mask=mask) for x in table)], ["doc_id", "row", "n", "set_id", "prefix", "parities", *SKETCH])
 
-    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, n int, set_id long, prefix array<bigint>, " + ", ".join(f"{c} long" for c in SKETCH))
+    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, n int, set_id long, prefix array<bigint>, parities binary, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
-def _sketches(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id and sketch of the sets of ``wanted`` (one column, distinct)."""
-    known = may_be_in(sets.where("prefix IS NOT NULL").select("set_id", *SKETCH), "set_id", wanted)
-    return known.join(wanted.withColumnsRenamed({wanted.columns[0]: "set_id"}), "set_id").groupBy("set_id").agg(*(F.first(c).alias(c) for c in SKETCH))
+def _known(sets: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """set_id and columns of the sets of ``wanted`` (one column, distinct)."""
+    known = may_be_in(sets.where("prefix IS NOT NULL").select("set_id", *columns), "set_id", wanted)
+    return known.join(wanted.withColumnsRenamed({wanted.columns[0]: "set_id"}), "set_id").groupBy("set_id").agg(*(F.first(c).alias(c) for c in columns))
 
 
 def _by_sketch(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with n tokens together whose sketches allow a link."""
-    known = stored(_sketches(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()), "jaccard-sketches")
+    known = stored(_known(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), SKETCH), "jaccard-sketches")
     side = lambda c: known.select(F.col("set_id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in SKETCH))
-    out = stored(pairs.join(side("b"), "b").join(side("a"), "a").where(may_link("a_", "b_", F.col("n"))).select("a", "b"), "jaccard-pairs")
+    out = stored(pairs.join(side("b"), "b").join(side("a"), "a").where(may_link("a_", "b_", F.col("n"))).select("a", "b", "n"), "jaccard-pairs")
     forget(known)
     return out
 
 
+def _by_parities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The stored pairs (a, b) with n tokens together whose parities allow a link; takes their place."""
+    known = _known(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), ["parities"])
+    side = lambda c: known.select(F.col("set_id").alias(c), F.col("parities").alias(f"x_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            x, y = batch.column(3), batch.column(4)
+            near = [9 * apart_at_least(np.frombuffer(x[k].as_buffer(), np.uint8), np.frombuffer(y[k].as_buffer(), np.uint8)) <= n[k] for k in range(len(n))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    out = stored(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n", "x_a", "x_b").mapInArrow(run, "a long, b long"), "jaccard-likely")
+    forget(pairs)
+    return out
+
+
 def _with_tokens(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """(a, part, b, tokens): of each pair (a, b) the tokens of b, and, with b null, those of a.
 
@@ -282,7 +322,7 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
     fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
     own_hub = members.where(F.col("hub") == F.col("set_id")).select("hub", F.col("alone").alias("hub_alone"))
     star = members.where(F.col("hub") != F.col("set_id")).where(fits(F.col("hub_n"), F.col("n"))).join(own_hub, "hub").where(9 * (F.col("alone") + F.col("hub_alone")) <= F.col("n") + F.col("hub_n"))
-    star = _by_sketch(star.select(F.col("hub").alias("a"), F.col("set_id").alias("b"), (F.col("n") + F.col("hub_n")).alias("n")), sets)
+    star = _by_parities(_by_sketch(star.select(F.col("hub").alias("a"), F.col("set_id").alias("b"), (F.col("n") + F.col("hub_n")).alias("n")), sets), sets)
     tested = stored(_verify(_with_tokens(docs, sets, star, size), orders), "jaccard-star")
     near = stored(components(tested, "jaccard-cc"), "jaccard-near")
 
@@ -291,7 +331,7 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
     # Hubs with a set that is apart from them and another set besides.
     open_ = m.groupBy("hub").agg(F.max((F.col("comp") != F.col("hub_comp")).cast("int")).alias("apart"), F.count(F.lit(1)).alias("sets")).where("apart = 1 AND sets > 1").select("hub")
     m = m.join(open_, "hub")
-    m = stored(m.join(_sketches(sets, m.select("set_id").distinct()), "set_id"), "jaccard-open")
+    m = stored(m.join(_known(sets, m.select("set_id").distinct(), SKETCH), "set_id"), "jaccard-open")
     side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("set_id", "n", "alone", "comp", *SKETCH)]
     x = m.where(F.col("comp") != F.col("hub_comp")).select("hub", *side("x"))
     y = m.select(F.col("hub").alias("y_hub"), "hub_comp", *side("y"))
@@ -301,7 +341,8 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
         (x["hub"] == y["y_hub"]) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("hub_comp")) | (F.col("x_set_id") < F.col("y_set_id")))
         & fits(F.col("x_n"), F.col("y_n")) & (9 * (F.col("x_alone") + F.col("y_alone")) <= total) & may_link("x_", "y_", total),
     )
-    rest = stored(rest.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct(), "jaccard-pairs")
+    rest = stored(rest.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"), total.alias("n")).distinct(), "jaccard-pairs")
+    rest = _by_parities(rest, sets)
     late = stored(_verify(_with_tokens(docs, sets, rest, size), orders), "jaccard-late")
     links = tested.union(late)
     final = stored(components(links, "jaccard-final"), "jaccard-comps")
