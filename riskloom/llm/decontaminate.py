@@ -1,31 +1,44 @@
 """Benchmark decontamination with DataFrame functions only: SimHash windows of the items' sizes.
 
-A window of a document is compared with an item if it holds enough of the item's shingles: at a
-similarity of 0.8 windows of the shingle counts a and b share 4 (a + b) / 9 of them at least, in any
-order and at any place. Document shingles equal to an item's are gathered by document and item; the
-windows are those that hold so many of them, each made once. This drops no window of similarity 0.8
-or more. Each window's 64-bit SimHash (bits by majority over its weighted five-word shingles; a
-shingle weighs as often as it occurs) is cut into RADIUS + 1 blocks, joined with the item's blocks:
-fingerprints within RADIUS bits agree in one block at least. Those within the radius are verified by
-the exact weighted Jaccard similarity of their shingles.
-
-The shingles of the items are joined without a hint: Spark broadcasts it if it is under its size threshold.
+1. Document places whose shingle is a shingle of any item are gathered by row. A window of a given
+   item size can reach a similarity of 0.8 only if it holds enough such places (windows of the
+   shingle counts a and b share 4 (a + b) / 9 at least), in any order. All such windows of every
+   item size are taken, each beginning at such a place: a window that doesn't can be moved on
+   without losing a shared shingle. Nothing here depends on which item a shingle is from.
+2. Each window and each item gets a 64-bit SimHash (bits by majority over its weighted five-word
+   shingles; a shingle weighs as often as it occurs). Sums of bits are packed several to a number.
+3. Multi-index Hamming search: fingerprints are cut into 4 blocks of 16 bits; of two that differ in
+   at most RADIUS = 19 bits, one block differs in at most 4. Every item's blocks are therefore filed
+   under all values within 4 bits; distinct fingerprints of windows look up their own four blocks.
+   The item isn't part of the key. All pairs within the radius are found.
+4. Of these, windows of the item's own size are verified by the exact weighted Jaccard similarity.
+
+A similarity of 0.8 lies 10 bits apart on average, with a deviation of 3: ``tests/llm`` measures the
+share of windows of similarity 0.80 to 0.85 within the radius by item length, repeated shingles
+included, and holds it to 0.98 at least. The shingles of the items are joined without a hint: Spark
+broadcasts them if they are under its size threshold.
 
 Defined results: null and empty texts or items have no hits; items or documents of fewer than five
-words are one shingle; a document shorter than an item is one window; repeated document rows count
-once, repeated item rows have equal hits; a null id is an id like any other; an empty table gives
-no hits. Extra columns are ignored by ``contamination`` and kept by ``drop_contaminated``.
+words are one shingle, which is its own fingerprint; a document shorter than an item is one window;
+repeated document rows count once, repeated item rows have equal hits; rows are told apart by id and
+text, so a null id, and an id with several texts, are like any other; an empty table gives no hits.
+Extra columns are ignored by ``contamination`` and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import stored
+from .blocks import forget, free_name, may_be_in, stored
 
 SIZE = 5
-RADIUS = 20
+RADIUS = 19
+BLOCKS = 4
+BLOCK_BITS = 64 // BLOCKS
+NEAR = RADIUS // BLOCKS
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -41,87 +54,118 @@ def shingles_of(words: Column) -> Column:
 
 
 def numbered(hashes: Column) -> Column:
-    """Each hash with the number of equal ones before it: a set whose Jaccard index is the weighted one."""
-    return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda y: y == h)).alias("k")))
+    """Each hash with its number among equal ones: a set whose Jaccard index is the weighted one."""
+    return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i - F.array_position(hashes, h)).alias("k")))
+
+
+def lane_bits(most: int) -> int:
+    """Width of the lanes in which bits of up to ``most`` shingles are counted."""
+    return next(w for w in (8, 16, 32) if most < 1 << (w - 1))
 
 
-def simhash(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
-    """``fingerprint`` by keys: bit b is set if more than half of the hashes have it.
+def simhash(hashes: Column, n: Column, width: int) -> Column:
+    """Bit b is set if more than half of the ``n`` hashes have it. ``width`` sums count 64 / width bits each."""
+    top = 64 - width  # the topmost lane is handled alone, which keeps all sums in a signed number
+    ones = sum(1 << k for k in range(0, 64, width))
+    signed = lambda x: F.lit(x - (1 << 64) if x >= 1 << 63 else x)
+    below, high = (1 << top) - 1, 1 << (width - 1)
+    lift = high - F.floor(n / 2) - 1
 
-    16 sums count the bits, four 16-bit lanes each.
-    """
-    one = rows.select(*keys, F.explode(hashes).alias("_h"))
+    def part(k: int) -> Column:
+        total = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(signed(ones)))
 
-    def lanes(k: int) -> Column:
-        return F.expr(f"sum((shiftrightunsigned(_h, {k}) & 1L) + shiftleft(shiftrightunsigned(_h, {k + 16}) & 1L, 16) + shiftleft(shiftrightunsigned(_h, {k + 32}) & 1L, 32) + shiftleft(shiftrightunsigned(_h, {k + 48}) & 1L, 48))").alias(f"_s{k}")
+        def bits(t: Column) -> Column:
+            lanes = (t.bitwiseAND(F.lit(below)) + lift * F.lit(ones & below)).bitwiseAND(F.lit((ones & below) << (width - 1)))
+            last = F.shiftleft(F.shiftrightunsigned((F.shiftrightunsigned(t, top) + lift).bitwiseAND(F.lit(high)), width - 1), top + k)
+            return F.shiftrightunsigned(lanes, width - 1 - k).bitwiseOR(last)
 
-    sums = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(lanes(k) for k in range(16)))
-    bit = lambda k, lane: f"if(2 * (shiftrightunsigned(_s{k}, {16 * lane}) & 65535L) > _n, shiftleft(1L, {k + 16 * lane}), 0L)"
-    return sums.select(*keys, F.expr(" | ".join(bit(k, lane) for lane in range(4) for k in range(16))).alias("fingerprint"))
+        return F.get(F.transform(F.array(total), bits), 0)
 
+    return reduce(lambda x, y: x.bitwiseOR(y), map(part, range(width)))
 
-def blocks_of(fingerprint: str) -> Column:
-    """RADIUS + 1 blocks of the 64 bits, as (number, value)."""
-    width, edges = 64 / (RADIUS + 1), []
-    for k in range(RADIUS + 1):
-        lo, hi = round(k * width), round((k + 1) * width)
-        edges.append(f"named_struct('block', {k}, 'value', shiftrightunsigned({fingerprint}, {lo}) & {(1 << (hi - lo)) - 1}L)")
-    return F.expr(f"array({', '.join(edges)})")
 
+def blocks_of(fingerprint: str, near: int = 0) -> Column:
+    """(block, value) of the blocks of a fingerprint, and of all values within ``near`` bits of each."""
+    values = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda x: F.bit_count(x) <= near) if near else F.array(F.lit(0))
+    own = F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(F.col(fingerprint), BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("value")) for b in range(BLOCKS)))
+    return F.flatten(F.transform(own, lambda s: F.transform(values, lambda x: F.struct(s["block"].alias("block"), s["value"].bitwiseXOR(x.cast("long")).alias("value")))))
 
-def placed_shingles(words: Column, sizes: list[int]) -> Column:
-    """(pos, h) of all shingles of the given numbers of words."""
+
+def within_radius(prints: DataFrame, items: DataFrame) -> DataFrame:
+    """(fingerprint, item, hamming) of all pairs within RADIUS; from ``fingerprint``, and ``item`` with ``item_print``."""
+    a = prints.select("fingerprint").distinct().select("fingerprint", F.explode(blocks_of("fingerprint")).alias("b")).select("fingerprint", "b.*")
+    b = items.select("item", "item_print", F.explode(blocks_of("item_print", NEAR)).alias("b")).select("item", "item_print", "b.*")
+    hamming = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
+    return a.join(b, ["block", "value"]).where(hamming <= RADIUS).select("fingerprint", "item", hamming.cast("int").alias("hamming")).distinct()
+
+
+def _windows(sizes: list[int]) -> Column:
+    """(start, n, has) of the windows of each size that hold enough places ``at``; ``size`` is the document's words."""
+    at, size = F.col("at"), F.col("size")
 
     def of(n: int) -> Column:
-        at = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.concat_ws(" ", F.slice(words, i + 1, F.lit(n)))).alias("h")))
-        return F.when(F.size(words) >= n, at).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+        total, has = n - SIZE + 1, F.least(F.lit(n - SIZE + 1), size - (SIZE - 1))
+        need = F.ceil(4 * (total + has) / 9).cast("int")
+        first = F.when(F.size(at) >= need, F.slice(at, F.lit(1), F.size(at) - need + 1)).otherwise(F.array().cast("array<int>"))
+        full = F.filter(first, lambda p, k: F.get(at, k + need - 1) - p < total)
+        start = F.array_distinct(F.transform(full, lambda p: F.least(p, F.greatest(size - n, F.lit(0)))))
+        return F.transform(start, lambda p: F.struct(p.alias("start"), F.lit(n).alias("n"), has.alias("has")))
 
     return F.concat(*(of(n) for n in sizes))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, hamming, similarity): the best window for each pair that has one of 0.8 or more."""
+    """(doc_id, row, item_id, start_word, n_words, hamming, similarity): the best window for each row and item that have one of 0.8 or more."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where("words IS NOT NULL AND words[0] <> ''").withColumn("item", F.xxhash64("item_id", "words"))
-    items = items.dropDuplicates(["item"]).withColumn("n", F.size("words")).withColumn("total", F.greatest(F.col("n") - (SIZE - 1), F.lit(1)))
-    items = stored(items, "decontaminate-items")
-    shingles = stored(items.select("item", "n", "total", F.explode(F.array_distinct(shingles_of(F.col("words")))).alias("h")), "decontaminate-shingles")
-    # An item of fewer than five words is one shingle of its own size.
-    short = sorted(r.n for r in items.where(F.col("n") < SIZE).select("n").distinct().collect())
+    items = stored(items.dropDuplicates(["item"]).withColumn("n", F.size("words")), "decontaminate-items")
+    # The sizes that items have are few; the longest settles the width of the counters.
+    sizes = sorted(r.n for r in items.select("n").distinct().collect())
+    full = [n for n in sizes if n >= SIZE]
+    width = lane_bits(max([SIZE, *full]))
     words = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words_of(F.col("text")).alias("words"))
+    long = items.where(F.col("n") >= SIZE).withColumn("hashes", shingles_of(F.col("words")))
+    long = stored(long.select("item", "item_id", "n", F.array_sort("hashes").alias("item_hashes"), simhash(F.col("hashes"), F.size("hashes"), width).alias("item_print")), "decontaminate-prints")
+    known = stored(long.select(F.explode("item_hashes").alias("h")).distinct(), "decontaminate-shingles")
+
     # The outer form keeps Catalyst from inferring a filter that would split each text twice.
-    placed = words.select("doc_id", "row", F.size("words").alias("size"), F.explode_outer(placed_shingles(F.col("words"), [SIZE, *short])).alias("s")).select("doc_id", "row", "size", "s.*")
-    held = placed.join(shingles, "h").groupBy("doc_id", "row", "item", "n", "total", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    held = held.withColumn("has", F.least("total", F.greatest(F.col("size") - (SIZE - 1), F.lit(1)))).withColumn("need", F.expr("int((4 * (total + has) + 8) div 9)")).where("size(at) >= need")
-    # Starts whose first shingle of the item is at[k], and whose window still holds at[k + need - 1].
-    spans = F.expr("transform(sequence(0, size(at) - need), k -> struct(greatest(at[k + need - 1] - total + 1, if(k > 0, at[k - 1] + 1, 0), 0) AS lo, least(at[k], greatest(size - n, 0)) AS hi))")
-    spans = held.select("doc_id", "row", "item", "n", "has", F.explode(spans).alias("span")).select("doc_id", "row", "item", "n", "has", "span.*").where("lo <= hi")
-    spans = stored(spans, "decontaminate-spans")
-    text = words.join(spans.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("row", "words")
-    region = spans.join(text, "row").withColumn("hashes", shingles_of(F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("n"))))
-    window = region.select("doc_id", "row", "item", "n", "has", "lo", "hashes", F.explode(F.sequence("lo", "hi")).alias("start"))
-    window = window.select("doc_id", "item", "start", "n", F.slice("hashes", F.col("start") - F.col("lo") + 1, F.col("has")).alias("hashes"), F.xxhash64("row", "item", "start").alias("window"))
-    window = stored(window, "decontaminate-windows")
-    prints = simhash(window.select("window", "item", "hashes"), ["window", "item"], "hashes")
-    item_hashes = items.select("item", "item_id", shingles_of(F.col("words")).alias("item_hashes"))
-    item_prints = simhash(item_hashes, ["item"], "item_hashes").withColumnRenamed("fingerprint", "item_print")
-    a = prints.select("window", "item", "fingerprint", F.explode(blocks_of("fingerprint")).alias("b")).select("window", "item", "fingerprint", "b.*")
-    b = item_prints.select("item", "item_print", F.explode(blocks_of("item_print")).alias("b")).select("item", "item_print", "b.*")
-    near = a.join(b, ["item", "block", "value"]).withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= RADIUS)
-    near = near.groupBy("window", "item").agg(F.min("hamming").alias("hamming"))
-    pair = window.join(near, ["window", "item"]).join(item_hashes, "item")
-    common = F.size(F.array_intersect(numbered(F.col("hashes")), numbered(F.col("item_hashes")))).cast("long")
-    pair = pair.withColumn("common", common).withColumn("all", F.size("hashes") + F.size("item_hashes") - F.col("common")).where("100 * common >= 80 * all")
+    placed = words.select("row", F.size("words").alias("size"), F.posexplode_outer(F.when(F.size("words") >= SIZE, shingles_of(F.col("words")))).alias("pos", "h"))
+    held = placed.join(known, "h").groupBy("row", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    spans = held.select("row", _windows(full).alias("windows")).where("size(windows) > 0") if full else held.select("row", F.lit(None).cast("array<struct<start:int,n:int,has:int>>").alias("windows")).where("false")
+    spans = stored(spans.select("row", "windows", F.array_min("windows.start").alias("base"), F.array_max(F.transform("windows", lambda w: w["start"] + w["has"])).alias("end")), "decontaminate-spans")
+    text = may_be_in(words, "row", spans.select("row")).join(spans, "row").dropDuplicates(["row"])
+    region = text.select("doc_id", "row", "base", "windows", shingles_of(F.slice("words", F.col("base") + 1, F.col("end") - F.col("base") + (SIZE - 1))).alias("hashes"))
+    region = stored(region, "decontaminate-regions")
+    window = region.select("row", "base", "hashes", F.explode("windows").alias("w")).select("row", "w.*", F.slice("hashes", F.col("w.start") - F.col("base") + 1, F.col("w.has")).alias("hashes"))
+    window = stored(window.select("row", "start", "n", "has", simhash(F.col("hashes"), F.col("has"), width).alias("fingerprint")), "decontaminate-windows")
+
+    near = stored(within_radius(window, long).join(long.select("item", F.col("n").alias("item_n")), "item"), "decontaminate-near")
+    near = may_be_in(window, "fingerprint", near.select("fingerprint")).join(near, "fingerprint").where("n = item_n")
+    near = near.groupBy("row").agg(F.collect_list(F.struct("start", "n", "has", "item", "hamming")).alias("near"))
+    pair = region.drop("windows").join(near, "row").select("doc_id", "row", "base", "hashes", F.explode("near").alias("w"))
+    pair = pair.select("doc_id", "row", "w.*", F.array_sort(F.slice("hashes", F.col("w.start") - F.col("base") + 1, F.col("w.has"))).alias("hashes")).join(long.select("item", "item_id", "item_hashes"), "item")
+    pair = pair.withColumn("common", F.size(F.array_intersect(numbered(F.col("hashes")), numbered(F.col("item_hashes")))).cast("long"))
+    pair = pair.withColumn("all", F.size("hashes") + F.size("item_hashes") - F.col("common")).where("100 * common >= 80 * all")
     best = F.max(F.struct((F.col("common") / F.col("all")).alias("similarity"), (-F.col("start")).alias("start"), "n", "hamming")).alias("best")
-    found = pair.groupBy("doc_id", "item_id").agg(best)
-    return found.select("doc_id", "item_id", (-F.col("best.start")).alias("start_word"), F.col("best.n").alias("n_words"), F.col("best.hamming").cast("int").alias("hamming"), F.round("best.similarity", 6).alias("similarity"))
+    found = pair.groupBy("doc_id", "row", "item_id").agg(best)
+    found = found.select("doc_id", "row", "item_id", (-F.col("best.start")).alias("start_word"), F.col("best.n").alias("n_words"), F.col("best.hamming").alias("hamming"), F.round("best.similarity", 6).alias("similarity"))
+    forget(spans, known)
+    short = [n for n in sizes if n < SIZE]
+    if not short:
+        return found
+    grams = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.xxhash64(F.concat_ws(" ", F.slice("words", i + 1, F.lit(n)))).alias("h")))).otherwise(F.array().cast("array<struct<start:int,n:int,h:bigint>>"))
+    own = items.where(F.col("n") < SIZE).select("item_id", "n", F.xxhash64(F.concat_ws(" ", "words")).alias("h"))
+    whole = words.select("doc_id", "row", F.explode_outer(F.concat(*(grams(n) for n in short))).alias("g")).select("doc_id", "row", "g.*").join(own, ["h", "n"])
+    whole = whole.groupBy("doc_id", "row", "item_id").agg(F.min("start").alias("start_word"), F.first("n").alias("n_words"))
+    return found.unionByName(whole.select("doc_id", "row", "item_id", "start_word", "n_words", F.lit(0).alias("hamming"), F.lit(1.0).alias("similarity")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold an item; all columns kept."""
-    hit = contamination(docs, benchmark).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    """``docs`` without the rows that hold an item; all columns kept."""
+    row = free_name(docs, "row")
+    hit = contamination(docs.select("doc_id", "text"), benchmark).select(F.col("row").alias(f"{row}_")).distinct()
+    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(hit, F.col(row) == F.col(f"{row}_"), "left_anti").select(docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in whole documents."""
-    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")

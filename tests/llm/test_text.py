@@ -130,34 +130,56 @@ def test_drop_repeats_keeps_columns_and_characters(docs, texts):
     assert got[0] is None and got[7] == "" and got[6] == texts[6] and len(got[11]) < len(texts[11])
 
 
-def test_decontamination(spark, docs, texts):
-    passage = texts[12]
-    near = passage.split()
-    near[30] = "other"
-    items = [(1, passage), (2, None), (3, ""), (4, "Word"), (5, " ".join(near)), (6, "never seen in any of the texts at all here"), (1, passage)]
-    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination(docs, bench).collect()}
+def brute_contamination(rows, items) -> dict[tuple, tuple[float, int]]:
+    """By (doc_id, text, item_id): best similarity of a window that begins with a shared shingle, and its first start."""
 
-    def count(w):
-        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    def shingles(w):
+        return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
 
+    items = {i: (x or "").lower().split() for i, x in items}
+    known = {x for v in items.values() if v for x in shingles(v)}
     want = {}
-    for d, t in enumerate(texts):
+    for d, t in rows:
         w = (t or "").lower().split()
-        for i, item in items:
-            v = (item or "").lower().split()
+        for i, v in items.items():
             if not v or not w:
                 continue
-            a, best = count(v), 0.0
-            for s in range(max(1, len(w) - len(v) + 1)):
-                b = count(w[s : s + len(v)])
+            a, last = Counter(shingles(v)), max(0, len(w) - len(v))
+            for s in range(last + 1):
+                part = shingles(w[s : s + len(v)])
+                if part[0] not in known and s < last:
+                    continue
+                b = Counter(part)
                 both = sum((a & b).values())
-                best = max(best, both / (sum(a.values()) + sum(b.values()) - both))
-            if best >= 0.8:
-                want[d, i] = round(best, 6)
-    assert got == want and (10, 1) in want and (11, 5) in want
-    kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == set(range(len(texts))) - {d for d, _ in want}
+                like = round(both / (sum(a.values()) + sum(b.values()) - both), 6)
+                if like >= 0.8 and (like, -s) > want.get((d, t, i), (0, 0)):
+                    want[d, t, i] = like, -s
+    return want
+
+
+def found_contamination(spark, rows, bench) -> dict[tuple, tuple[float, int]]:
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by_row = docs.withColumn("row", F.xxhash64("doc_id", "text")).distinct()
+    got = decontaminate.contamination(docs, bench).drop("doc_id").join(by_row, "row").collect()
+    out = {(r.doc_id, r.text, r.item_id): (r.similarity, -r.start_word) for r in got}
+    assert len(out) == len(got) and all(r.hamming <= decontaminate.RADIUS for r in got)
+    return out
+
+
+def test_decontamination(spark, docs, texts):
+    passage = texts[12]
+    near = passage.split()
+    near[30] = "other"
+    again = "one and two and three and one and two and three and one and two and five"
+    items = [(1, passage), (2, None), (3, ""), (4, "Word"), (5, " ".join(near)), (6, "never seen in any of the texts at all here"), (7, again), (1, passage)]
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
+    rows = [*enumerate(texts), (6, texts[6]), (None, passage + " x"), (None, "a clean one"), (None, "x y " + again), (3, "on " + again + " off")]
+    want = brute_contamination(rows, dict(items).items())
+    assert found_contamination(spark, rows, bench) == want and (10, texts[10], 1) in want and (11, texts[11], 5) in want and (3, rows[-1][1], 7) in want
+    odd = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, _row string, item long")
+    kept = decontaminate.drop_contaminated(odd, bench)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((d is None, d or 0, t or "") for d, t in rows if not any((d, t, i) in want for i, _ in items))
 
 
 def test_decontamination_of_parts_in_another_order_and_of_cut_items(spark):
@@ -173,28 +195,47 @@ def test_decontamination_of_parts_in_another_order_and_of_cut_items(spark):
         five[:8],
         ["a", "b"] + five[:2] + ["c"],
     ]
-    items = [item, rare, five, five[:2], five[:1]]
-    docs = spark.createDataFrame([(1 if i > 3 else None, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): (r.similarity, -r.start_word) for r in decontaminate.contamination(docs, bench).collect()}
+    items = [item, rare, five, five[:2], five[:1], [f"z{i}" for i in range(140)]]
+    rows = [(1 if i > 3 else None, " ".join(t)) for i, t in enumerate(texts)]
+    items = [(i, " ".join(t)) for i, t in enumerate(items)]
+    want = brute_contamination(rows, items)
+    assert found_contamination(spark, rows, spark.createDataFrame(items, "item_id long, text string")) == want
+    assert {(d, i) for d, _, i in want} == {(None, 0), (1, 1), (1, 2), (1, 3), (1, 4)} and sum(i == 0 for _, _, i in want) == 3
 
-    def count(w):
-        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
-    want = {}
-    for d, t in enumerate(texts):
-        for i, v in enumerate(items):
-            for s in range(max(1, len(t) - len(v) + 1)):
-                a, b = count(v), count(t[s : s + len(v)])
-                both = sum((a & b).values())
-                like = round(both / (sum(a.values()) + sum(b.values()) - both), 6)
-                key = (1 if d > 3 else None, i)
-                if like >= 0.8:
-                    want[key] = max(want.get(key, (0, 0)), (like, -s))
-    assert got == want and {(None, 0), (1, 1), (1, 2), (1, 3), (1, 4)} == set(got)
-    for t in texts[:3]:
-        one = spark.createDataFrame([(5, " ".join(t))], "doc_id long, text string")
-        assert [r.item_id for r in decontaminate.contamination(one, bench).collect()] == [0]
+@pytest.mark.parametrize("n", [15, 40, 120, 400])
+def test_radius_holds_windows_of_least_similarity(spark, n):
+    """Windows of similarity 0.80 to 0.85 within the radius; every third shingle is a repeated one."""
+    import random
+
+    rng = random.Random(n)
+    pairs = []
+    for _ in range(500):
+        a = [rng.getrandbits(63) for _ in range(n - n // 3)]
+        a += [rng.choice(a) for _ in range(n // 3)]
+        lost = max(k for k in range(n) if (n - k) / (n + k) >= 0.8)
+        b = [*a]
+        for k in rng.sample(range(n), lost):
+            b[k] = rng.getrandbits(63)
+        both = sum((Counter(a) & Counter(b)).values())
+        if both / (2 * n - both) >= 0.8:
+            pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>")
+    width = decontaminate.lane_bits(n)
+    x, y = (decontaminate.simhash(F.col(c), F.size(c), width) for c in "ab")
+    near = df.select((F.bit_count(x.bitwiseXOR(y)) <= decontaminate.RADIUS).alias("near")).collect()
+    assert len(pairs) > 300 and sum(r.near for r in near) >= 0.98 * len(pairs)
+
+
+def test_hamming_index_finds_all_within_the_radius(spark):
+    import random
+
+    rng = random.Random(6)
+    items = [rng.getrandbits(64) - (1 << 63) for _ in range(5)]
+    prints = [x ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 26))) for x in items for _ in range(40)] + [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
+    got = decontaminate.within_radius(spark.createDataFrame([(p,) for p in prints], "fingerprint long"), spark.createDataFrame(list(enumerate(items)), "item long, item_print long")).collect()
+    want = {(p, i, ((p ^ x) & ((1 << 64) - 1)).bit_count()) for p in prints for i, x in enumerate(items)}
+    assert sorted((r.fingerprint, r.item, r.hamming) for r in got) == sorted(x for x in want if x[2] <= decontaminate.RADIUS)
 
 
 def test_decontamination_is_native(docs, spark):
