@@ -11,8 +11,8 @@ buckets plus a rank within a small bucket, so that no task sorts a whole shard.
 
 Defined results: law ``rows`` (counts at most one apart); null text has no bytes and links to
 nothing, an empty text links like any other; a null doc_id hashes like any value; repeated rows are
-rows of their own; an empty table gives an empty one; extra columns are dropped, so their names
-cannot clash.
+rows of their own; an empty table gives an empty one; extra columns are kept, and one that bears an
+added name is replaced.
 """
 
 from __future__ import annotations
@@ -27,33 +27,49 @@ from .blocks import forget, stored
 SHARDS = 16
 ROUNDS = 3
 BUCKET_ROWS = 2000
+RUN = 1024
+HOT_SHARE = 2000
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], within: list[str], buckets: int, name: str) -> DataFrame:
     """Rank from 0 within ``group`` by ``order`` (few values), then by hash bucket, then by ``within``.
 
-    Only the counts by (group, order, bucket) are summed in order; rows are ranked within a bucket.
+    Only the counts by (group, order, bucket) are summed in order, in two levels: first within runs of
+    ``RUN`` buckets, then over the runs. Rows are ranked within a bucket.
     """
     df = df.withColumn("_b", F.pmod(F.xxhash64(*within, F.lit(17)), F.lit(buckets)).cast("int"))
     key = [*group, *order, "_b"]
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy(*order, "_b").rowsBetween(Window.unboundedPreceding, -1) if group else Window.orderBy(*order, "_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_run", F.expr(f"_b div {RUN}"))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy(*group, *order, "_run").agg(F.sum("_n").alias("_n"))
+    runs = runs.select(*group, *order, "_run", F.coalesce(F.sum("_n").over(up_to(Window.partitionBy(*group).orderBy(*order, "_run"))), F.lit(0)).alias("_far"))
+    base = counts.select(*key, "_run", F.coalesce(F.sum("_n").over(up_to(Window.partitionBy(*group, *order, "_run").orderBy("_b"))), F.lit(0)).alias("_base"))
+    base = base.join(runs, [*group, *order, "_run"]).select(*key, (F.col("_base") + F.col("_far")).alias("_base"))
     inner = df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*within)) - 1)
     return inner.join(base, key).withColumn(name, (F.col("_base") + F.col("_r")).cast("long")).drop("_b", "_r", "_base")
 
 
+def with_group(rows: DataFrame, groups: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with one row a group; groups of more than 1/HOT_SHARE of all rows, of which
+    there are fewer than HOT_SHARE, are broadcast, so no task gathers a large one."""
+    hot = F.col(copies) > max(64, total // HOT_SHARE)
+    near = rows.join(F.broadcast(groups.where(hot)), key, "left")
+    done = near.where(F.col(copies).isNotNull() | F.col(key).isNull())
+    rest = near.where(F.col(copies).isNull() & F.col(key).isNotNull()).select(rows.columns).join(groups.where(~hot), key, "left")
+    return done.unionByName(rest)
+
+
 def first_shards(rows: DataFrame, shards: int, buckets: int) -> DataFrame:
     """A shard for each row such that counts are at most one apart."""
     return ranked(rows, [], [], ["row_id"], buckets, "_rank").withColumn("shard", (F.col("_rank") % shards).cast("int")).drop("_rank")
 
 
-def one_round(state: DataFrame, number: int, buckets: int) -> DataFrame:
+def one_round(state: DataFrame, number: int, buckets: int, total: int) -> DataFrame:
     """``state``: row_id, hub (null: no link), shard, ...; the same with some rows moved."""
     held = state.where("hub IS NOT NULL").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-    best = held.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("top")).select("hub", F.col("top.shard").alias("best"))
+    best = held.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("top"), F.sum("n").alias("_copies")).select("hub", F.col("top.shard").alias("best"), "_copies")
     # Rows without a hub stay out of the join, whose key would be null for all of them.
-    linked = state.where("hub IS NOT NULL").join(best, "hub").withColumn("to", F.when(F.col("best") != F.col("shard"), F.col("best"))).drop("best")
+    linked = with_group(state.where("hub IS NOT NULL"), best, "hub", "_copies", total).withColumn("to", F.when(F.col("best") != F.col("shard"), F.col("best"))).drop("best", "_copies")
     asked = linked.unionByName(state.where("hub IS NULL").withColumn("to", F.lit(None).cast("int")))
     want = asked.where("to IS NOT NULL").groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n"))
     free = asked.where("hub IS NULL").groupBy("shard").agg(F.count(F.lit(1)).alias("free"))
@@ -91,13 +107,15 @@ def one_round(state: DataFrame, number: int, buckets: int) -> DataFrame:
 
 
 def balanced_shards(docs: DataFrame, link: Column, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Rows of ``docs`` (all its columns) with ``shard`` and ``slot``; rows of equal ``link`` belong together."""
-    rows = stored(docs.withColumn("_link", link).withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    """Rows of ``docs`` (its columns, but for those named like an added one) with ``hub``, ``shard`` and ``slot``; rows of equal ``link`` belong together."""
+    kept = [c for c in docs.columns if c.lower() not in ("hub", "shard", "slot")]
+    names = {f"c{k}": c for k, c in enumerate(kept)}
+    rows = stored(docs.select(*(F.col(f"`{c}`").alias(k) for k, c in names.items()), link.alias("_link"), F.monotonically_increasing_id().alias("row_id")), "rows")
     total = rows.count()
     buckets = max(8, total // BUCKET_ROWS)
     room = max(1, total // shards)
     shared = rows.where("_link IS NOT NULL").groupBy("_link").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    linked = rows.join(shared, "_link", "left")
+    linked = with_group(rows, shared, "_link", "_copies", total)
     # A hub that outgrows a shard is cut by a hash of the row into parts that fit with room to spare.
     parts = F.ceil(F.col("_copies") * 1.25 / room)
     salt = F.when(F.col("_copies") > room, F.pmod(F.xxhash64("row_id", F.lit(23)), parts)).otherwise(F.lit(0))
@@ -105,10 +123,18 @@ def balanced_shards(docs: DataFrame, link: Column, shards: int = SHARDS, rounds:
     state = stored(first_shards(linked, shards, buckets), "shards-0")
     forget(rows)
     for k in range(1, rounds + 1):
-        before, state = state, one_round(state, k, buckets)
+        before, state = state, one_round(state, k, buckets, total)
         if before is not state:
             forget(before)
-    return ranked(state, ["shard"], [], ["row_id"], max(4, buckets // shards), "slot").drop("row_id")
+    out = ranked(state, ["shard"], [], ["row_id"], max(4, buckets // shards), "slot")
+    return out.select(*(F.col(k).alias(c) for k, c in names.items()), "hub", "shard", "slot")
+
+
+def cut_links(sharded: DataFrame) -> DataFrame:
+    """One row: ``links`` (rows to their hubs) and ``cut``, those whose shard isn't the hub's favourite."""
+    held = sharded.where("hub IS NOT NULL").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
+    by_hub = held.groupBy("hub").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    return by_hub.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("n") - F.col("most")), F.lit(0)).alias("cut"))
 
 
 def op2_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,8 +96,12 @@ def write_warc(pages: DataFrame, folder: str, least_revisit: int = 0, segment_by
     """Write ``pages`` (page_id, url, html); the manifest: one row an archive."""
     spark = pages.sparkSession
     pages = small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    first = pages.where(F.octet_length("html") >= least_revisit).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    rows = pages.join(first, "sha", "left").select("page_id", "url", "html", F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers"))
+    slim = pages.select("page_id", "sha", F.octet_length("html").alias("n")).where(F.col("n") >= least_revisit)
+    first = slim.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND first_id IS NOT NULL").drop("copies")
+    # Only ids and digests meet by content; the pages themselves are dealt by page and content, so a
+    # page that is everywhere has no task of its own.
+    later = slim.join(first, "sha").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.xxhash64("page_id", "sha").alias("k"), F.col("first_id").alias("refers")).distinct()
+    rows = pages.withColumn("k", F.xxhash64("page_id", "sha")).join(later, "k", "left").select("page_id", "url", "html", "refers")
     files, base = fs.FileSystem.from_uri(folder)
     files.create_dir(base, recursive=True)
 
@@ -206,7 +210,8 @@ def reassemble(recs: DataFrame) -> DataFrame:
     main = recs.where("type <> 'continuation'")
     alone = main.where("segment IS NULL").withColumn("parts", F.lit(None).cast("array<struct<segment:int,total:bigint,block:binary>>"))
     more = recs.where("type = 'continuation'").groupBy(F.col("origin_id").alias("record_id")).agg(F.array_sort(F.collect_set(F.struct("segment", "total", "block"))).alias("parts"))
-    cut = main.where("segment IS NOT NULL").join(more, "record_id", "left").select(*main.columns, "parts")
+    # Spark takes the records for as small as the manifest they are read from, so it must not choose a broadcast.
+    cut = main.where("segment IS NOT NULL").hint("merge").join(more.hint("merge"), "record_id", "left").select(*main.columns, "parts")
     schema = "page_id long, type string, refers_to long, payload binary, payload_bytes long, payload_digest string, status string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

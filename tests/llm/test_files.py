@@ -120,6 +120,13 @@ def test_warc_round_trip(spark):
         assert r.payload is None if r.type == "revisit" else bytes(r.payload) == raw
 
 
+def test_warc_plan_has_no_broadcast_of_records(spark):
+    folder = shared_dir(spark, "warc")
+    warc.write_warc(spark.createDataFrame([(k, "u", "y" * 20_000) for k in range(4)], "page_id long, url string, html string"), folder)
+    back = warc.reassemble(warc.read_warc(spark, folder))
+    assert back.count() == 4 and "Broadcast" not in back._jdf.queryExecution().executedPlan().toString()
+
+
 def test_warc_reports_lost_segments(spark):
     folder = shared_dir(spark, "warc")
     warc.write_warc(spark.createDataFrame([(1, "u", "y" * 50_000)], "page_id long, url string, html string"), folder)

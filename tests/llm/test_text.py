@@ -244,19 +244,30 @@ def test_decontamination_is_native(docs, spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_balanced_shards(spark):
-    keys = ["hot"] * 40 + [f"t{i // 2}" for i in range(40)] + [None] * 30
-    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "doc_id long, k string")
-    rows = sharding.balanced_shards(df, F.col("k"), shards=8).collect()
+@pytest.mark.parametrize("share", [2000, 1])
+def test_balanced_shards(spark, monkeypatch, share):
+    monkeypatch.setattr(sharding, "HOT_SHARE", share)
+    monkeypatch.setattr(sharding, "RUN", 3)
+    keys = ["hot"] * 140 + [f"t{i // 2}" for i in range(40)] + [None] * 30
+    df = spark.createDataFrame([(i if i % 7 else None, k, i, 0.5, -1) for i, k in enumerate(keys)], "doc_id long, k string, row_id long, slot double, _link int")
+    out = sharding.balanced_shards(df, F.col("k"), shards=8)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "k", "row_id", "_link", "hub", "shard", "slot"] and sorted(r.row_id for r in rows) == list(range(210))
     size = Counter(r.shard for r in rows)
-    assert len(rows) == 110 and max(size.values()) - min(size.values()) <= 1
+    assert max(size.values()) - min(size.values()) <= 1
     for s in size:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(size[s]))
-    groups = {}
-    for r in rows:
-        if r.k and r.k != "hot":
-            groups.setdefault(r.k, set()).add(r.shard)
-    assert sum(len(g) == 1 for g in groups.values()) >= 15
+    # Cut links, counted by brute force, before and after the moves.
+    def cut(rows):
+        by = {}
+        for r in rows:
+            if r.hub is not None:
+                by.setdefault(r.hub, []).append(r.shard)
+        return sum(len(v) for v in by.values()), sum(len(v) - max(Counter(v).values()) for v in by.values())
+
+    still = sharding.balanced_shards(df, F.col("k"), shards=8, rounds=0)
+    assert tuple(sharding.cut_links(out).first()) == cut(rows) and tuple(sharding.cut_links(still).first()) == cut(still.collect())
+    assert cut(rows)[1] <= 0.5 * cut(still.collect())[1]
 
 
 def test_lm_counts_and_scores(docs, texts):
