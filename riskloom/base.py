@@ -78,11 +78,12 @@ MARKET = RETURNS + ", mkt AS (SELECT date, sum(lag_cap * r) / sum(CASE WHEN r IS
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Factor vectors: label, row number within it, and the first eight entries."""
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
-    return e.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    """Factor vectors: label, row number within it (0 the newest, so that decay weights stay finite), and all entries."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    w = Window.partitionBy("label")
+    return e.withColumn("rn", F.row_number().over(w.orderBy("vec_id")) - F.count(F.lit(1)).over(w))
 
 
-VECTORS = """vecs AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, embedding FROM embeddings),
- long AS (SELECT label, rn, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM vecs, (SELECT unnest(range(8)) AS i) AS idx),
+VECTORS = """vecs AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - count(*) OVER (PARTITION BY label) AS rn, embedding FROM embeddings),
+ long AS (SELECT label, rn, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM vecs),
  prs AS (SELECT a.label, a.rn, a.i, b.i AS j, a.x AS xi, b.x AS xj FROM long a JOIN long b ON a.label = b.label AND a.rn = b.rn AND a.i <= b.i)"""

@@ -90,3 +90,20 @@ def runs(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
 
 def quarter_label(date: str) -> Column:
     return F.concat(F.year(date).cast("string"), F.lit("Q"), F.quarter(date).cast("string"))
+
+
+def trading_dates(df: DataFrame, date: str = "date") -> DataFrame:
+    """Dates on which at least one other column isn't null."""
+    known = F.coalesce(*(F.when(F.col(c).isNotNull(), True) for c in df.columns if c != date))
+    return df.where(known).select(date).distinct()
+
+
+def quarters(start: str, end: str) -> Column:
+    """First days of all quarters from that of ``start`` to that of ``end``, exploded."""
+    return F.explode(F.sequence(F.trunc(start, "quarter"), F.trunc(end, "quarter"), F.expr("interval 3 month")))
+
+
+def three_states(date: Column, start: Column, end: Column, bar: Column) -> Column:
+    """0: outside [start, end); 1: member with a bar; 2: member without."""
+    inside = F.coalesce((date >= start) & (date < end), F.lit(False))
+    return F.when(~inside, 0).when(bar.isNotNull(), 1).otherwise(2)

@@ -70,7 +70,7 @@ def bucket_dispersion(spark, d):
     return g.select("asset", "bucket", rnd(F.col("s") * keep + (1 - keep) * F.col("mu")).alias("shrunk"))
 
 
-@query("m_bias_statistic", f"WITH {RETURNS}, z AS (SELECT asset, date, r / lag(stddev_samp(r) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) OVER (PARTITION BY asset ORDER BY date) AS z FROM rets WHERE r IS NOT NULL)" if False else f"WITH {RETURNS}, s AS (SELECT asset, date, r, stddev_samp(r) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s FROM rets WHERE r IS NOT NULL), z AS (SELECT asset, r / lag(s) OVER (PARTITION BY asset ORDER BY date) AS z FROM s) SELECT asset, round(stddev_samp(greatest(least(z, 4), -4)), 4) AS bias, count(z) AS n, round(avg(CASE WHEN abs(z) > 4 THEN 1.0 ELSE 0.0 END), 5) AS clipped FROM z WHERE z IS NOT NULL GROUP BY 1")
+@query("m_bias_statistic", f"WITH {RETURNS}, s AS (SELECT asset, date, r, stddev_samp(r) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s FROM rets WHERE r IS NOT NULL), z AS (SELECT asset, r / lag(s) OVER (PARTITION BY asset ORDER BY date) AS z FROM s) SELECT asset, round(stddev_samp(greatest(least(z, 4), -4)), 4) AS bias, count(z) AS n, round(avg(CASE WHEN abs(z) > 4 THEN 1.0 ELSE 0.0 END), 5) AS clipped FROM z WHERE z IS NOT NULL GROUP BY 1")
 def bias_statistic(spark, d):
     z = _scores(spark, d)
     c = F.greatest(F.least("z", F.lit(4.0)), F.lit(-4.0))
@@ -135,20 +135,21 @@ def ols_market(spark, d):
     return x.groupBy("asset").agg(rnd(F.regr_slope("r", "m"), 4).alias("beta"), rnd(F.regr_intercept("r", "m")).alias("alpha"), rnd(F.regr_r2("r", "m"), 4).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
-@query("m_identity_shrinkage", f"WITH {VECTORS}, n AS (SELECT label, count(*) AS t FROM vecs GROUP BY 1), s AS (SELECT label, i, j, sum(xi * xj) / count(*) AS v FROM prs GROUP BY 1, 2, 3), q AS (SELECT label, sum(CASE WHEN i = j THEN v ELSE 0 END) / 8 AS mu, sum(CASE WHEN i = j THEN v * v ELSE 2 * v * v END) AS sq FROM s GROUP BY 1) SELECT q.label, round(mu, 5) AS mu, round(least(1, ((1 - 2.0 / 8) * sq + 64 * mu * mu) / ((t + 1 - 2.0 / 8) * (sq - 8 * mu * mu))), 5) AS intensity FROM q JOIN n ON q.label = n.label")
+@query("m_identity_shrinkage", f"WITH {VECTORS}, n AS (SELECT label, count(*) AS t FROM vecs GROUP BY 1), s AS (SELECT label, i, j, sum(xi * xj) / count(*) AS v FROM prs GROUP BY 1, 2, 3), q AS (SELECT label, count(*) FILTER (WHERE i = j) AS p, avg(v) FILTER (WHERE i = j) AS mu, sum(CASE WHEN i = j THEN v * v ELSE 2 * v * v END) AS sq FROM s GROUP BY 1) SELECT q.label, round(mu, 5) AS mu, round(least(1, ((1 - 2.0 / p) * sq + p * p * mu * mu) / ((t + 1 - 2.0 / p) * (sq - p * mu * mu))), 5) AS intensity FROM q JOIN n ON q.label = n.label")
 def identity_shrinkage(spark, d):
     v = vectors(spark, d)
     s = M.second_moment(M.pairs(v, "label", "v", ["rn"]), "label")
     n = v.groupBy("label").agg(F.count(F.lit(1)).alias("t"))
-    sq = F.col("value") * F.col("value")
-    q = s.groupBy("label").agg((F.sum(F.when(F.col("i") == F.col("j"), F.col("value")).otherwise(0.0)) / 8).alias("mu"), F.sum(F.when(F.col("i") == F.col("j"), sq).otherwise(2 * sq)).alias("sq")).join(n, "label")
-    top = (1 - 2.0 / 8) * F.col("sq") + 64 * F.col("mu") * F.col("mu")
-    return q.select("label", rnd("mu").alias("mu"), rnd(F.least(F.lit(1.0), top / ((F.col("t") + 1 - 2.0 / 8) * (F.col("sq") - 8 * F.col("mu") * F.col("mu"))))).alias("intensity"))
+    own, sq = F.col("i") == F.col("j"), F.col("value") * F.col("value")
+    q = s.groupBy("label").agg(F.count_if(own).alias("p"), F.avg(F.when(own, F.col("value"))).alias("mu"), F.sum(F.when(own, sq).otherwise(2 * sq)).alias("sq")).join(n, "label")
+    p, mu = F.col("p"), F.col("mu")
+    top = (1 - 2.0 / p) * F.col("sq") + p * p * mu * mu
+    return q.select("label", rnd("mu").alias("mu"), rnd(F.least(F.lit(1.0), top / ((F.col("t") + 1 - 2.0 / p) * (F.col("sq") - p * mu * mu)))).alias("intensity"))
 
 
-@query("m_noise_edges", f"WITH {VECTORS} SELECT label, round(pow(1 - sqrt(8.0 / count(*)), 2), 5) AS low, round(pow(1 + sqrt(8.0 / count(*)), 2), 5) AS high FROM vecs GROUP BY 1")
+@query("m_noise_edges", f"WITH {VECTORS} SELECT label, round(pow(1 - sqrt(max(len(embedding)) / count(*)), 2), 5) AS low, round(pow(1 + sqrt(max(len(embedding)) / count(*)), 2), 5) AS high FROM vecs GROUP BY 1")
 def noise_edges(spark, d):
-    q = F.sqrt(F.lit(8.0) / F.count(F.lit(1)))
+    q = F.sqrt(F.max(F.size("v")) / F.count(F.lit(1)))
     return vectors(spark, d).groupBy("label").agg(rnd(F.pow(1 - q, 2)).alias("low"), rnd(F.pow(1 + q, 2)).alias("high"))
 
 
@@ -179,6 +180,6 @@ def psd_repair(spark, d):
 @query("s_denoise")
 def denoise(spark, d):
     """Correlation of the first two factors before and after denoising at the noise edge."""
-    n = vectors(spark, d).groupBy("label").agg(F.pow(1 + F.sqrt(F.lit(8.0) / F.count(F.lit(1))), 2).alias("edge"))
+    n = vectors(spark, d).groupBy("label").agg(F.pow(1 + F.sqrt(F.max(F.size("v")) / F.count(F.lit(1))), 2).alias("edge"))
     m = _matrices(spark, d, True).join(n, "label").withColumn("clean", S.denoised()("n", "cells", "edge"))
     return m.select("label", rnd(F.expr("cells[1]")).alias("raw"), rnd(F.expr("clean[1]")).alias("clean"))

@@ -31,9 +31,12 @@ def valid_bars(spark, d):
     return bars(spark, d).select("asset", "date", F.coalesce((F.col("close") > 0) & (F.col("volume") > 0), F.lit(False)).alias("valid"))
 
 
-@query("p_ohlc_rejects", f"WITH {BARS} SELECT asset, date FROM bars WHERE NOT coalesce(low > 0 AND low <= close + 1e-9 AND close <= high + 1e-9, false)")
+@query("p_ohlc_rejects", f"WITH {BARS}, o AS (SELECT *, lag(close) OVER (PARTITION BY asset ORDER BY date) AS open FROM bars) SELECT asset, date FROM o WHERE NOT coalesce(low > 0 AND low <= close + 1e-9 AND close <= high + 1e-9 AND low <= open AND open <= high, false)")
 def ohlc_rejects(spark, d):
-    return C.rejected(bars(spark, d), (F.col("low") > 0) & (F.col("low") <= F.col("close") + 1e-9) & (F.col("close") <= F.col("high") + 1e-9)).select("asset", "date")
+    """Bars without a bar before, or whose low and high don't hold the close and the close before."""
+    o = bars(spark, d).withColumn("open", F.lag("close").over(Window.partitionBy("asset").orderBy("date")))
+    good = (F.col("low") > 0) & (F.col("low") <= F.col("close") + 1e-9) & (F.col("close") <= F.col("high") + 1e-9) & (F.col("low") <= F.col("open")) & (F.col("open") <= F.col("high"))
+    return C.rejected(o, good).select("asset", "date")
 
 
 @query("p_basis_points", "SELECT l_orderkey, l_linenumber, round(l_discount * 10000, 4) AS bp, round(l_tax * 252, 6) AS annual FROM lineitem")
@@ -99,7 +102,6 @@ def code_groups(spark, d):
     return P.code_group(table(spark, d, "part").select("p_partkey", "p_size"), r, "p_size", "other")
 
 
-_SPELLS = "spells AS (SELECT l_partkey AS asset, min(CAST(l_shipdate AS DATE)) AS s, max(CAST(l_shipdate AS DATE)) AS e FROM lineitem WHERE l_partkey % 20 = 3 GROUP BY 1)"
 
 
 def _spells(spark, d):
@@ -107,18 +109,18 @@ def _spells(spark, d):
 
 
 @query("p_spell_days_by_month", """WITH spells AS (SELECT l_partkey AS asset, min(CAST(l_shipdate AS DATE)) AS s, max(CAST(l_shipdate AS DATE)) AS e FROM lineitem GROUP BY 1),
-days AS (SELECT asset, CAST(unnest(generate_series(greatest(s, DATE '1996-01-01'), least(e, DATE '1996-07-01') - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM spells WHERE greatest(s, DATE '1996-01-01') < least(e, DATE '1996-07-01'))
+days AS (SELECT asset, CAST(unnest(generate_series(greatest(s, DATE '1992-01-01'), least(e, DATE '1999-01-01') - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM spells WHERE greatest(s, DATE '1992-01-01') < least(e, DATE '1999-01-01'))
 SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS days, count(DISTINCT asset) AS assets FROM days GROUP BY 1""")
 def spell_days(spark, d):
-    return P.spells_to_days(_spells(spark, d), "1996-01-01", "1996-07-01").groupBy(P.month().alias("month")).agg(F.count(F.lit(1)).alias("days"), F.countDistinct("asset").alias("assets"))
+    return P.spells_to_days(_spells(spark, d), "1992-01-01", "1999-01-01").groupBy(P.month().alias("month")).agg(F.count(F.lit(1)).alias("days"), F.countDistinct("asset").alias("assets"))
 
 
 @query("p_membership_states", """WITH spells AS (SELECT l_partkey AS asset, min(CAST(l_shipdate AS DATE)) AS s, max(CAST(l_shipdate AS DATE)) AS e FROM lineitem GROUP BY 1),
-days AS (SELECT asset, CAST(unnest(generate_series(greatest(s, DATE '1997-03-01'), least(e, DATE '1997-04-01') - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM spells WHERE greatest(s, DATE '1997-03-01') < least(e, DATE '1997-04-01')),
+days AS (SELECT asset, CAST(unnest(generate_series(greatest(s, DATE '1992-01-01'), least(e, DATE '1999-01-01') - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM spells WHERE greatest(s, DATE '1992-01-01') < least(e, DATE '1999-01-01')),
 b AS (SELECT DISTINCT l_partkey AS asset, CAST(l_shipdate AS DATE) AS date FROM lineitem)
 SELECT days.date, CASE WHEN b.asset IS NULL THEN 2 ELSE 1 END AS state, count(*) AS n FROM days LEFT JOIN b ON days.asset = b.asset AND days.date = b.date GROUP BY 1, 2""")
 def membership_states(spark, d):
-    days = P.spells_to_days(_spells(spark, d), "1997-03-01", "1997-04-01").select("asset", "date")
+    days = P.spells_to_days(_spells(spark, d), "1992-01-01", "1999-01-01").select("asset", "date")
     b = _items(spark, d).select(F.col("l_partkey").alias("asset"), "date")
     return P.membership_state(days, b, ["asset", "date"]).groupBy("date", "state").agg(F.count(F.lit(1)).alias("n"))
 
@@ -169,7 +171,6 @@ SELECT asset, min(date) AS first, max(date) AS last, count(*) AS length FROM x G
 def bar_runs(spark, d):
     w = Window.partitionBy("asset").orderBy("date")
     x = bars(spark, d).select("asset", "date", F.expr("date_sub(date, cast(row_number() over (partition by asset order by date) as int))").alias("g"))
-    _ = w
     return x.groupBy("asset", "g").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).alias("length")).where("length >= 3").drop("g")
 
 
@@ -187,17 +188,20 @@ def missing_months(spark, d):
     return C.missing_periods(m, "asset", "month")
 
 
-@query("p_common_dates", f"WITH {BARS} SELECT date FROM bars WHERE asset % 10 = 1 INTERSECT SELECT date FROM bars WHERE asset % 10 = 2")
+@query("p_common_dates", f"WITH {BARS}, g AS (SELECT DISTINCT asset % 10 AS k, date FROM bars) SELECT date FROM g GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT k) FROM g)")
 def common_dates(spark, d):
-    b = bars(spark, d)
-    return b.where("asset % 10 = 1").select("date").intersect(b.where("asset % 10 = 2").select("date"))
+    """Dates on which every group of assets has a bar."""
+    g = bars(spark, d).select((F.col("asset") % 10).alias("k"), "date").distinct()
+    n = g.agg(F.count_distinct("k").alias("groups"))
+    return g.groupBy("date").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n), F.col("n") == F.col("groups")).select("date")
 
 
-@query("p_complete_dates", f"WITH {BARS}, n AS (SELECT count(DISTINCT asset) AS n FROM bars WHERE asset <= 3) SELECT date, count(*) AS assets FROM bars, n WHERE asset <= 3 GROUP BY date, n.n HAVING count(*) = n.n")
+@query("p_complete_dates", f"WITH {BARS}, n AS (SELECT count(DISTINCT asset) AS n FROM bars) SELECT date, count(*) AS assets, count(*) = n.n AS complete FROM bars, n GROUP BY date, n.n")
 def complete_dates(spark, d):
-    b = bars(spark, d).where("asset <= 3")
+    """Assets on each date, and whether all have a bar."""
+    b = bars(spark, d)
     n = b.agg(F.countDistinct("asset").alias("n"))
-    return b.groupBy("date").agg(F.count(F.lit(1)).alias("assets")).crossJoin(n).where("assets = n").drop("n")
+    return b.groupBy("date").agg(F.count(F.lit(1)).alias("assets")).join(F.broadcast(n), F.lit(True)).select("date", "assets", (F.col("assets") == F.col("n")).alias("complete"))
 
 
 @query("p_distinct_universe", "SELECT DISTINCT s_nationkey AS nation FROM supplier UNION SELECT DISTINCT c_nationkey FROM customer")
@@ -205,10 +209,13 @@ def distinct_universe(spark, d):
     return table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")).union(table(spark, d, "customer").select("c_nationkey")).distinct()
 
 
-@query("p_both_ways_equal", "SELECT 0 AS differences")
+@query("p_both_ways_equal", """WITH a AS (SELECT l_suppkey AS asset, CAST(l_shipdate AS DATE) AS date, count(*) AS trades FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2), b AS (SELECT l_suppkey AS asset, CAST(l_shipdate AS DATE) AS date, count(*) AS trades FROM lineitem GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS differences""")
 def both_ways_equal(spark, d):
-    a = table(spark, d, "nation").select("n_nationkey", "n_name")
-    return C.differences(a, table(spark, d, "nation").select("n_nationkey", "n_name"))
+    """Bars without returned lines against all bars: rows that only one of them has."""
+    items = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("asset"), F.col("l_shipdate").cast("date").alias("date"), "l_returnflag")
+    trades = lambda x: x.groupBy("asset", "date").agg(F.count(F.lit(1)).alias("trades"))
+    return C.differences(trades(items.where("l_returnflag <> 'R'")), trades(items))
 
 
 @query("p_unmatched_parts", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < DATE '1995-07-01')")
@@ -216,12 +223,13 @@ def unmatched_parts(spark, d):
     return table(spark, d, "part").select("p_partkey").join(table(spark, d, "lineitem").where("l_shipdate < timestamp '1995-07-01'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
 
 
-@query("p_two_step_match", """WITH n AS (SELECT n_name, min(n_nationkey) AS k, count(*) AS c FROM nation GROUP BY 1), s AS (SELECT s_suppkey, s_nationkey, substr(s_name, 1, 8) AS nm FROM supplier)
+@query("p_two_step_match", """WITH n AS (SELECT n_name, min(n_nationkey) AS k, count(*) AS c FROM nation GROUP BY 1), s AS (SELECT s_suppkey, s_nationkey, (SELECT n_name FROM nation n2 WHERE n2.n_nationkey = (s_suppkey * 7) % 40) AS nm FROM supplier)
 SELECT s_suppkey, coalesce(a.n_nationkey, n.k) AS matched, CASE WHEN a.n_nationkey IS NOT NULL THEN 'exact' WHEN n.c = 1 THEN 'name' WHEN n.c > 1 THEN 'ambiguous' ELSE 'unmapped' END AS method
 FROM s LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) a ON a.n_nationkey = s.s_nationkey LEFT JOIN n ON n.n_name = s.nm""")
 def two_step_match(spark, d):
     nation = table(spark, d, "nation")
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.substring("s_name", 1, 8).alias("nm"))
+    label = nation.select(F.col("n_nationkey").alias("_k"), F.col("n_name").alias("nm"))
+    s = table(spark, d, "supplier").join(label, F.col("s_suppkey") * 7 % 40 == F.col("_k"), "left").select("s_suppkey", "s_nationkey", "nm")
     exact = nation.where("n_regionkey < 3").select(F.col("n_nationkey").alias("a"))
     named = nation.groupBy("n_name").agg(F.min("n_nationkey").alias("k"), F.count(F.lit(1)).alias("c"))
     j = s.join(exact, s["s_nationkey"] == exact["a"], "left").join(named, s["nm"] == named["n_name"], "left")
@@ -256,9 +264,9 @@ def pivot_status(spark, d):
     return o.groupBy("year").pivot("k", ["urgent", "other"]).count().fillna(0)
 
 
-@query("p_unpivot_prices", "SELECT l_orderkey, l_linenumber, 'tax' AS name, l_tax AS value FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_orderkey, l_linenumber, 'discount', l_discount FROM lineitem WHERE l_quantity > 45")
+@query("p_unpivot_prices", "SELECT l_orderkey, l_linenumber, 'tax' AS name, l_tax AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'discount', l_discount FROM lineitem")
 def unpivot_prices(spark, d):
-    x = table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"))
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"))
     return x.unpivot(["l_orderkey", "l_linenumber"], ["tax", "discount"], "name", "value")
 
 

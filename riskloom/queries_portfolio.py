@@ -58,9 +58,9 @@ def costs_by_date(spark, d):
     return _costs(spark, d).groupBy("date").agg(rnd(F.sum("spread")).alias("spread"), rnd(F.sum("impact")).alias("impact"), rnd(F.sum(F.abs("z")) / 2).alias("turnover"))
 
 
-@query("f_cost_cube", f"WITH {_COST} SELECT CAST(year(date) AS INTEGER) AS year, asset, round(sum(spread + impact), 4) AS cost FROM c WHERE asset <= 20 GROUP BY CUBE (1, 2)")
+@query("f_cost_cube", f"WITH {_COST} SELECT CAST(year(date) AS INTEGER) AS year, asset, round(sum(spread + impact), 4) AS cost FROM c GROUP BY CUBE (1, 2)")
 def cost_cube(spark, d):
-    return _costs(spark, d).where("asset <= 20").withColumn("year", F.year("date")).cube("year", "asset").agg(rnd(F.sum(F.col("spread") + F.col("impact")), 4).alias("cost"))
+    return _costs(spark, d).withColumn("year", F.year("date")).cube("year", "asset").agg(rnd(F.sum(F.col("spread") + F.col("impact")), 4).alias("cost"))
 
 
 @query("f_aum_drag", f"WITH {_COST}, k AS (SELECT sum(impact) / sum(abs(z)) AS kappa, avg(spread) AS drag FROM c), g AS (SELECT unnest(range(9)) AS i) SELECT i, round(pow(10.0, 6 + 4 * i / 8.0), 1) AS aum, round(0.04 - drag - kappa * sqrt(pow(10.0, 4 * i / 8.0)), 4) AS net FROM k, g")
@@ -84,12 +84,12 @@ def brinson(spark, d):
     return P.brinson(s, "date").select("date", "sleeve", *(rnd(c, 6).alias(c) for c in ("allocation", "selection", "interaction")))
 
 
-@query("f_factor_variance", f"WITH {VECTORS}, cov AS (SELECT label, i, j, sum(xi * xj) / count(*) AS value FROM prs GROUP BY 1, 2, 3), e AS (SELECT label, rn, i, x FROM long WHERE rn <= 5) SELECT e.label, e.rn, round(sum(e.x * f.x * (CASE WHEN e.i <= f.i THEN c1.value ELSE c2.value END)), 5) AS variance FROM e JOIN e f ON e.label = f.label AND e.rn = f.rn LEFT JOIN cov c1 ON c1.label = e.label AND c1.i = e.i AND c1.j = f.i LEFT JOIN cov c2 ON c2.label = e.label AND c2.i = f.i AND c2.j = e.i GROUP BY 1, 2")
+@query("f_factor_variance", f"WITH {VECTORS}, cov AS (SELECT label, i, j, sum(xi * xj) / count(*) AS value FROM prs GROUP BY 1, 2, 3), e AS (SELECT label, rn, i, x FROM long) SELECT e.label, e.rn, round(sum(e.x * f.x * (CASE WHEN e.i <= f.i THEN c1.value ELSE c2.value END)), 5) AS variance FROM e JOIN e f ON e.label = f.label AND e.rn = f.rn LEFT JOIN cov c1 ON c1.label = e.label AND c1.i = e.i AND c1.j = f.i LEFT JOIN cov c2 ON c2.label = e.label AND c2.i = f.i AND c2.j = e.i GROUP BY 1, 2")
 def factor_variance(spark, d):
-    """Variance of the portfolios whose exposures are the first five vectors of each label (the portfolios of the report)."""
+    """Variance of the portfolios whose exposures are the vectors of each label."""
     v = vectors(spark, d)
     cov = M.both_triangles(M.second_moment(M.pairs(v, "label", "v", ["rn"]), "label"), "label")
-    e = v.where("rn <= 5").select("label", "rn", F.posexplode("v").alias("i", "x"))
+    e = v.select("label", "rn", F.posexplode("v").alias("i", "x"))
     return P.factor_variance(e, cov, "label", "rn").select("label", "rn", rnd("variance").alias("variance"))
 
 

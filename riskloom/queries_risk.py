@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import risk as R
 from . import solve as S
 from .base import RETURNS, VECTORS, query, returns, rnd, vectors
 
-_BLOCKS = f"""{RETURNS}, b AS (SELECT asset, CAST(floor((year(date) * 12 + month(date) - 1 - 23940) / 11) AS INTEGER) AS block, count(r) AS n, sum(r) AS s, sum(r * r) AS q FROM rets WHERE r IS NOT NULL GROUP BY 1, 2),
+_BLOCKS = f"""{RETURNS}, cal AS (SELECT date, CAST(floor((row_number() OVER (ORDER BY date) - 1) * 8 / count(*) OVER ()) AS INTEGER) AS block FROM (SELECT DISTINCT date FROM rets WHERE r IS NOT NULL)), b AS (SELECT asset, block, count(r) AS n, sum(r) AS s, sum(r * r) AS q FROM rets JOIN cal ON rets.date = cal.date WHERE r IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT m AS split FROM (SELECT unnest(range(256)) AS m) WHERE bit_count(m) = 4),
 x AS (SELECT split, asset, sum(CASE WHEN (split >> block) & 1 = 1 THEN n END) AS n1, sum(CASE WHEN (split >> block) & 1 = 1 THEN s END) AS s1, sum(CASE WHEN (split >> block) & 1 = 1 THEN q END) AS q1, sum(CASE WHEN (split >> block) & 1 = 0 THEN n END) AS n0, sum(CASE WHEN (split >> block) & 1 = 0 THEN s END) AS s0, sum(CASE WHEN (split >> block) & 1 = 0 THEN q END) AS q0 FROM b, k GROUP BY 1, 2),
 y AS (SELECT split, asset, (s1 / n1) / nullif(sqrt(greatest((q1 - s1 * s1 / n1) / (n1 - 1), 0)), 0) AS inside, (s0 / n0) / nullif(sqrt(greatest((q0 - s0 * s0 / n0) / (n0 - 1), 0)), 0) AS outside FROM x WHERE n1 > 1 AND n0 > 1)"""
 
 
 def _splits(spark, d):
-    r = returns(spark, d).where("r IS NOT NULL").withColumn("block", F.floor((F.year("date") * 12 + F.month("date") - 1 - 23940) / 11).cast("int"))
+    """Eight blocks of sessions, equal in number of sessions; the calendar has a row a session."""
+    r = returns(spark, d).where("r IS NOT NULL")
+    cal = r.select("date").distinct()
+    cal = cal.withColumn("block", F.floor((F.row_number().over(Window.orderBy("date")) - 1) * 8 / F.count(F.lit(1)).over(Window.partitionBy())).cast("int"))
+    r = r.join(cal, "date")
     return R.half_splits(r.select("asset", "block", "r"), "asset")
 
 
@@ -25,7 +30,7 @@ def half_splits(spark, d):
     return y.groupBy("split").agg(F.count(F.lit(1)).alias("trials"), rnd(F.avg("inside"), 6).alias("inside"), rnd(F.avg("outside"), 6).alias("outside"), rnd(F.regr_slope("outside", "inside"), 4).alias("slope"))
 
 
-@query("r_overfitting", f"WITH {_BLOCKS}, z AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY outside) AS rk, count(*) OVER (PARTITION BY split) AS c, row_number() OVER (PARTITION BY split ORDER BY inside DESC, asset DESC) AS o FROM y WHERE inside IS NOT NULL AND outside IS NOT NULL) SELECT count(*) AS splits, round(avg(CASE WHEN rk / (c + 1.0) <= 0.5 THEN 1.0 ELSE 0.0 END), 5) AS overfit FROM z WHERE o = 1")
+@query("r_overfitting", f"WITH {_BLOCKS}, z AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY outside) + (count(*) OVER (PARTITION BY split, outside) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY split) AS c, row_number() OVER (PARTITION BY split ORDER BY inside DESC, asset) AS o FROM y WHERE inside IS NOT NULL AND outside IS NOT NULL) SELECT count(*) AS splits, round(avg(CASE WHEN rk / (c + 1.0) <= 0.5 THEN 1.0 ELSE 0.0 END), 5) AS overfit FROM z WHERE o = 1")
 def overfitting(spark, d):
     best = R.overfitting(_splits(spark, d), "asset")
     return best.agg(F.count(F.lit(1)).alias("splits"), rnd(F.avg(F.when(F.col("share") <= 0.5, 1.0).otherwise(0.0))).alias("overfit"))

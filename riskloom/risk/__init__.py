@@ -72,8 +72,9 @@ def half_splits(r: DataFrame, trial: str, blocks: int = 8) -> DataFrame:
 
 
 def overfitting(splits: DataFrame, trial: str) -> DataFrame:
-    """By split: the best trial inside, and its rank outside as a share of (trials + 1)."""
+    """By split: the best trial inside (the first of equal ones), and its middle rank outside as a share of (trials + 1)."""
     w = Window.partitionBy("split")
     known = splits.where("inside IS NOT NULL AND outside IS NOT NULL")
-    ranked = known.withColumn("rank", F.rank().over(w.orderBy("outside"))).withColumn("trials", F.count(F.lit(1)).over(w))
-    return ranked.groupBy("split").agg(F.max_by(F.struct(trial, "rank", "trials", "outside"), F.struct("inside", trial)).alias("b")).select("split", F.col(f"b.{trial}").alias("best"), (F.col("b.rank") / (F.col("b.trials") + 1)).alias("share"), F.col("b.outside").alias("outside"))
+    ties = F.count(F.lit(1)).over(Window.partitionBy("split", "outside"))
+    ranked = known.withColumn("rank", F.rank().over(w.orderBy("outside")) + (ties - 1) / 2).withColumn("trials", F.count(F.lit(1)).over(w))
+    return ranked.groupBy("split").agg(F.max_by(F.struct(trial, "rank", "trials", "outside"), F.struct("inside", -F.col(trial))).alias("b")).select("split", F.col(f"b.{trial}").alias("best"), (F.col("b.rank") / (F.col("b.trials") + 1)).alias("share"), F.col("b.outside").alias("outside"))

@@ -38,6 +38,22 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.lower(t) == "nan", None).otherwise(F.nullif(t, F.lit("")))
 
 
+def number_and_unit(c: str) -> tuple[Column, Column]:
+    """``value`` and ``unit`` of text such as "0.01 USD"."""
+    value = F.expr(f"try_cast(regexp_extract(trim({c}), '^[0-9.eE+-]+', 0) AS double)")
+    return value.alias("value"), F.nullif(F.trim(F.regexp_extract(c, r"^\s*[0-9.eE+-]+\s*(.*)$", 1)), F.lit("")).alias("unit")
+
+
+def vendor_symbol(c: Column) -> Column:
+    """A class separator as the vendor writes it; null if it isn't a symbol."""
+    s = F.replace(c, F.lit("."), F.lit("-"))
+    return F.when(s.rlike(r"^[A-Z0-9]+(-[A-Z0-9]+)?$"), s)
+
+
+def listed_symbol(c: Column, template: str) -> Column:
+    return F.lower(F.format_string(template, c))
+
+
 def parse_observations(df: DataFrame, body: str = "body") -> DataFrame:
     """JSON with an observations array: date, value ('.' and blank are missing), realtime_start, realtime_end (text: 9999-12-31 is a sentinel)."""
     schema = "struct<observations: array<struct<date: string, value: string, realtime_start: string, realtime_end: string>>>"
