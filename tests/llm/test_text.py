@@ -271,7 +271,7 @@ def test_balanced_shards(spark, monkeypatch, share):
 
 
 def test_lm_counts_and_scores(docs, texts):
-    rows = lm.score_texts(docs, lm.fold() != 1, vocabulary=40, known=60).collect()
+    rows = lm.score_texts(docs, lm.fold() != 1, known=60, least=6).collect()
     ids = [*range(len(texts)), 6]
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in ids}
     c = Counter(w for i in ids if not held[i] for w in [*words(texts[i]), None])
@@ -284,13 +284,47 @@ def test_lm_counts_and_scores(docs, texts):
         assert r.n_known == sum(c[x] > 0 for x in w) and abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
 
 
-def test_lm_table_is_normalised():
+def test_lm_is_normalised_and_learns():
     import numpy as np
 
-    pairs = np.random.default_rng(1).integers(0, 30, (50, 50))
-    m = lm.LogBilinear(pairs.sum(axis=0))
-    m.fit(pairs, steps=50, batch=64)
-    assert np.allclose((10.0 ** m.log10_table().astype(np.float64)).sum(axis=1), 1, atol=1e-4)
+    rng = np.random.default_rng(1)
+    v = 40
+    stream = [2, 3, 4]
+    for _ in range(30_000):  # the next token depends on the one two before
+        stream.append(2 + (stream[-2] * 7 + 3) % (v - 2) if rng.random() < 0.8 else int(rng.integers(2, v)))
+    ids = np.array(stream)
+    before = np.stack([ids[2 - k : len(ids) - 1 - k] for k in range(3)], axis=1)
+    target = ids[3:]
+    m = lm.LogBilinear(np.bincount(ids, minlength=v))
+    some = before[:50]
+    every = np.stack([m.log_probabilities(some, np.full(50, w)) for w in range(v)], axis=1)
+    assert np.allclose(np.exp(every).sum(axis=1), 1, atol=1e-5)
+    was = m.log_probabilities(before, target).mean()
+    for _ in range(6):
+        for lo in range(0, 25_000, 256):
+            m.learn(before[lo : lo + 256], target[lo : lo + 256], rng)
+    every = np.stack([m.log_probabilities(some, np.full(50, w)) for w in range(v)], axis=1)
+    assert np.allclose(np.exp(every).sum(axis=1), 1, atol=1e-5)
+    now = m.log_probabilities(before[25_000:], target[25_000:]).mean()
+    assert now > was + 0.8
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    """Words that follow each other in pairs: the model's perplexity on the held-out fold is clearly under the base's."""
+    import random
+
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(60)]
+    after = {w: rng.sample(vocab, 3) for w in vocab}
+    texts = []
+    for _ in range(400):
+        w = [rng.choice(vocab)]
+        while len(w) < 80:
+            w.append(rng.choice(after[w[-1]]))
+        texts.append(" ".join(w))
+    rows = [r for r in lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lm.fold() != 1).collect() if r.held_out]
+    n = sum(r.n_tokens for r in rows)
+    assert 10 ** (-sum(r.score for r in rows) / n) < 0.5 * 10 ** (-sum(r.base_score for r in rows) / n)
 
 
 def test_toxicity_learns(spark):
