@@ -18,12 +18,12 @@ def _cov(spark, d):
     return M.second_moment(p, "label", F.pow(F.lit(2.0), F.col("rn") / 84.0))
 
 
-@query("m_equal_second_moment", f"WITH {VECTORS} SELECT label, i, j, round(sum(xi * xj) / count(*), 5) AS value FROM prs GROUP BY 1, 2, 3")
+@query("m_equal_second_moment", f"WITH {VECTORS} SELECT label, i, j, round(sum(xi * xj) / count(*), 5) + 0.0 AS value FROM prs GROUP BY 1, 2, 3")
 def equal_second_moment(spark, d):
     return M.second_moment(M.pairs(vectors(spark, d), "label", "v", ["rn"]), "label").select("label", "i", "j", rnd("value").alias("value"))
 
 
-@query("m_ewma_second_moment", f"WITH {VECTORS}, {_COV} SELECT label, i, j, round(value, 5) AS value FROM cov")
+@query("m_ewma_second_moment", f"WITH {VECTORS}, {_COV} SELECT label, i, j, round(value, 5) + 0.0 AS value FROM cov")
 def ewma_second_moment(spark, d):
     return _cov(spark, d).select("label", "i", "j", rnd("value").alias("value"))
 
@@ -36,7 +36,7 @@ def correlation(spark, d):
     return M.correlation(_cov(spark, d), "label").select("label", "i", "j", rnd("value").alias("value"))
 
 
-@query("m_two_half_lives", f"WITH {VECTORS}, v AS (SELECT label, i, sqrt(sum(pow(2.0, rn / 21.0) * xi * xi) / sum(pow(2.0, rn / 21.0))) AS s FROM prs WHERE i = j GROUP BY 1, 2), {_COV}, {_CORR} SELECT cor.label, cor.i, cor.j, round(cor.value * a.s * b.s, 5) AS value FROM cor JOIN v a ON a.label = cor.label AND a.i = cor.i JOIN v b ON b.label = cor.label AND b.i = cor.j")
+@query("m_two_half_lives", f"WITH {VECTORS}, v AS (SELECT label, i, sqrt(sum(pow(2.0, rn / 21.0) * xi * xi) / sum(pow(2.0, rn / 21.0))) AS s FROM prs WHERE i = j GROUP BY 1, 2), {_COV}, {_CORR} SELECT cor.label, cor.i, cor.j, round(cor.value * a.s * b.s, 5) + 0.0 AS value FROM cor JOIN v a ON a.label = cor.label AND a.i = cor.i JOIN v b ON b.label = cor.label AND b.i = cor.j")
 def two_half_lives(spark, d):
     p = M.pairs(vectors(spark, d), "label", "v", ["rn"])
     w = F.pow(F.lit(2.0), F.col("rn") / 21.0)

@@ -10,7 +10,7 @@ from . import windows as W
 from .base import BARS, MARKET, RETURNS, VECTORS, bars, corr, market, query, returns, rnd, table, vectors
 
 
-@query("e_lagged_pairs", f"WITH {VECTORS} SELECT a.label, a.i, b.i AS j, round(sum(a.x * b.x) / count(*), 5) AS value FROM long a JOIN long b ON a.label = b.label AND a.rn = b.rn + 1 GROUP BY 1, 2, 3")
+@query("e_lagged_pairs", f"WITH {VECTORS} SELECT a.label, a.i, b.i AS j, round(sum(a.x * b.x) / count(*), 5) + 0.0 AS value FROM long a JOIN long b ON a.label = b.label AND a.rn = b.rn + 1 GROUP BY 1, 2, 3")
 def lagged_pairs(spark, d):
     """Lag-one second moments over all pairs of factors: the lag is a window over the vector column."""
     v = vectors(spark, d).withColumn("p", F.lag("v").over(Window.partitionBy("label").orderBy("rn"))).where("p IS NOT NULL")

@@ -41,7 +41,7 @@ _D = "pow(2.0, rn / 84.0)"
 
 @query("r_newey_west_matrix", f"""WITH {VECTORS}, c0 AS (SELECT label, i, j, sum({_D} * xi * xj) / sum({_D}) AS v FROM prs GROUP BY 1, 2, 3),
 l AS (SELECT a.label, k.k, a.i, b.i AS j, sum(pow(2.0, a.rn / 84.0) * a.x * b.x) / sum(pow(2.0, a.rn / 84.0)) AS v FROM long a JOIN (SELECT unnest([1, 2]) AS k) k ON true JOIN long b ON a.label = b.label AND a.rn = b.rn + k.k GROUP BY 1, 2, 3, 4)
-SELECT c0.label, c0.i, c0.j, round(c0.v + (2.0 / 3) * (max(CASE WHEN l.k = 1 AND l.i = c0.i AND l.j = c0.j THEN l.v END) + max(CASE WHEN l.k = 1 AND l.i = c0.j AND l.j = c0.i THEN l.v END)) + (1.0 / 3) * (max(CASE WHEN l.k = 2 AND l.i = c0.i AND l.j = c0.j THEN l.v END) + max(CASE WHEN l.k = 2 AND l.i = c0.j AND l.j = c0.i THEN l.v END)), 5) AS value
+SELECT c0.label, c0.i, c0.j, round(c0.v + (2.0 / 3) * (max(CASE WHEN l.k = 1 AND l.i = c0.i AND l.j = c0.j THEN l.v END) + max(CASE WHEN l.k = 1 AND l.i = c0.j AND l.j = c0.i THEN l.v END)) + (1.0 / 3) * (max(CASE WHEN l.k = 2 AND l.i = c0.i AND l.j = c0.j THEN l.v END) + max(CASE WHEN l.k = 2 AND l.i = c0.j AND l.j = c0.i THEN l.v END)), 5) + 0.0 AS value
 FROM c0 JOIN l ON l.label = c0.label AND ((l.i = c0.i AND l.j = c0.j) OR (l.i = c0.j AND l.j = c0.i)) GROUP BY c0.label, c0.i, c0.j, c0.v""")
 def newey_west_matrix(spark, d):
     return R.newey_west(vectors(spark, d), "label", 84, 2).where("i <= j").select("label", "i", "j", rnd("value").alias("value"))
