@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
 from .bpe import op10_bpe_round_trip
 from .decontaminate import op8_decontaminate
 from .lm import op4_lm_scores
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_ngram_jaccard": oracle.COMPONENTS, "op6_warc_segments": oracle.PAGES, "op7_repeats": oracle.REPEATS}
