@@ -82,7 +82,8 @@ class TextCNN:
             best = np.maximum.reduceat(z, start[:-1], axis=0)
             out.append(np.maximum(best + bias, 0))
             if where:
-                spots.append(np.stack([[start[d] + int(z[start[d] : start[d + 1], f].argmax()) for f in range(FILTERS)] for d in range(len(first) - 1)]))
+                row = np.arange(rows)[:, None]
+                spots.append(np.minimum.reduceat(np.where(z == best[np.repeat(np.arange(len(first) - 1), np.diff(start))], row, rows), start[:-1], axis=0))
         return np.concatenate(out, axis=1), (vec, at, spots)
 
     def scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -114,15 +115,19 @@ class TextCNN:
                 g_pool = np.outer(err, self.dense) * (pool > 0)
                 word_at = np.full(len(vec), -1, np.int64)
                 word_at[at] = np.arange(len(at))
-                g_vec: dict[int, np.ndarray] = {}
+                moved, pulls = [], []
                 for w, (k, weights) in enumerate(zip(WIDTHS, self.conv, strict=True)):
                     g = g_pool[:, w * FILTERS : (w + 1) * FILTERS]
+                    d, f = np.nonzero(g)
+                    pull = g[d, f][:, None]
                     g_conv = np.zeros_like(weights)
-                    for d, f in zip(*np.nonzero(g), strict=True):
-                        spot = int(spots[w][d, f])
-                        g_conv[:, :, f] += g[d, f] * vec[spot : spot + k]
-                        for j in range(k):
-                            g_vec[spot + j] = g_vec.get(spot + j, 0) + g[d, f] * weights[j, :, f]
+                    for j in range(k):
+                        spot = spots[w][d, f] + j
+                        part = np.zeros((FILTERS, DIM), np.float32)
+                        np.add.at(part, f, pull * vec[spot])
+                        g_conv[j] = part.T
+                        moved.append(spot)
+                        pulls.append(pull * weights[j].T[f])
                     conv_sum[w] += g_conv**2
                     weights -= rate * g_conv / np.sqrt(conv_sum[w])
                     g_bias = g.sum(0)
@@ -132,12 +137,15 @@ class TextCNN:
                 self.dense -= rate * g_dense / np.sqrt(rate_sum["dense"])
                 shift_sum += float(err.sum()) ** 2
                 self.shift -= np.float32(rate * float(err.sum()) / shift_sum**0.5)
-                for row, g in g_vec.items():
-                    if row < len(word_at) and word_at[row] >= 0:
-                        for bucket in ids[word_at[row]]:
-                            if trained[bucket]:
-                                rate_sum["table"][bucket] += g**2
-                                self.table[bucket] -= rate * g / np.sqrt(rate_sum["table"][bucket])
+                rows, pull = np.concatenate(moved), np.concatenate(pulls)
+                word = np.where(rows < len(word_at), word_at[np.minimum(rows, len(word_at) - 1)], -1)
+                bucket, pull = ids[word[word >= 0]].ravel(), np.repeat(pull[word >= 0], ids.shape[1], axis=0)
+                bucket, pull = bucket[trained[bucket]], pull[trained[bucket]]
+                one, at = np.unique(bucket, return_inverse=True)
+                g_table = np.zeros((len(one), DIM), np.float32)
+                np.add.at(g_table, at, pull)
+                rate_sum["table"][one] += g_table**2
+                self.table[one] -= rate * g_table / np.sqrt(rate_sum["table"][one])
 
     def calibrate(self, counts: Iterable[tuple[str, int, int, int]]) -> None:
         """By language the threshold with the fewest errors, the nearest to 0.5; from (lang, bin, toxic, n)."""
@@ -201,7 +209,7 @@ def score_toxicity(df: DataFrame, model: TextCNN | None, text: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in text_blocks(batches, text, 1 << 20):
+        for b in text_blocks(batches, text, 1 << 18):
             score = m.scores(*word_features(b)) if m is not None else np.full(len(b), 0.5)
             at = b.rows.schema.get_field_index("lang")
             langs = b.rows.column(at).to_pylist() if at >= 0 else [None] * len(b)
