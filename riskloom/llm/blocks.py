@@ -155,6 +155,8 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_b
             lo, hi = offsets[first], offsets[last]
             yield Block(batch.slice(first, last - first), data[lo:hi], offsets[first : last + 1] - lo)
             first = last
+    # Workers live on from stage to stage: what Arrow keeps of this one goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -27,6 +27,7 @@ Extra columns are ignored by ``contamination`` and kept by ``drop_contaminated``
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,7 @@ RADIUS = 19
 BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
 NEAR = RADIUS // BLOCKS
+REGION = 256
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -63,27 +65,75 @@ def lane_bits(most: int) -> int:
     return next(w for w in (8, 16, 32) if most < 1 << (w - 1))
 
 
-def simhash(hashes: Column, n: Column, width: int) -> Column:
-    """Bit b is set if more than half of the ``n`` hashes have it. ``width`` sums count 64 / width bits each."""
+def _ones(width: int) -> int:
+    return sum(1 << k for k in range(0, 64, width))
+
+
+def _signed(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
+
+
+def lane(h: Column, k: int, width: int) -> Column:
+    """Bits k, k + width, ... of a hash, each in a lane of its own."""
+    return F.shiftrightunsigned(h, k).bitwiseAND(_signed(_ones(width)))
+
+
+def majority(total: Callable[[int], Column], n: Column, width: int) -> Column:
+    """The fingerprint from the sums of the lanes: bit b is set if more than half of the ``n`` hashes have it."""
     top = 64 - width  # the topmost lane is handled alone, which keeps all sums in a signed number
-    ones = sum(1 << k for k in range(0, 64, width))
-    signed = lambda x: F.lit(x - (1 << 64) if x >= 1 << 63 else x)
-    below, high = (1 << top) - 1, 1 << (width - 1)
+    ones, below, high = _ones(width), (1 << top) - 1, 1 << (width - 1)
     lift = high - F.floor(n / 2) - 1
 
     def part(k: int) -> Column:
-        total = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(signed(ones)))
-
         def bits(t: Column) -> Column:
             lanes = (t.bitwiseAND(F.lit(below)) + lift * F.lit(ones & below)).bitwiseAND(F.lit((ones & below) << (width - 1)))
             last = F.shiftleft(F.shiftrightunsigned((F.shiftrightunsigned(t, top) + lift).bitwiseAND(F.lit(high)), width - 1), top + k)
             return F.shiftrightunsigned(lanes, width - 1 - k).bitwiseOR(last)
 
-        return F.get(F.transform(F.array(total), bits), 0)
+        return F.get(F.transform(F.array(total(k)), bits), 0)
 
     return reduce(lambda x, y: x.bitwiseOR(y), map(part, range(width)))
 
 
+def simhash(hashes: Column, n: Column, width: int) -> Column:
+    """Fingerprint of ``n`` hashes; ``width`` sums count 64 / width bits each."""
+    return majority(lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + lane(h, k, width)), n, width)
+
+
+def running(hashes: Column, width: int) -> Column:
+    """Running sums of the lanes, from 0, as a struct of arrays; of at most a REGION and a window, for which appending is cheap."""
+
+    def sums(k: int) -> Column:
+        # Sums of a region may leave the lanes and the signed range; their differences don't, in two's complement.
+        step = lambda a, h: F.concat(a, F.array(_wrapped(F.element_at(a, -1), lane(h, k, width))))
+        return F.aggregate(hashes, F.array(F.lit(0).cast("long")), step)
+
+    return F.struct(*(sums(k).alias(f"p{k}") for k in range(width)))
+
+
+def _wrapped(a: Column, b: Column, minus: bool = False) -> Column:
+    """a + b or a - b modulo 2**64, in two halves."""
+    half = (1 << 32) - 1
+    sign = -1 if minus else 1
+    low = a.bitwiseAND(F.lit(half)) + sign * b.bitwiseAND(F.lit(half))
+    up = F.shiftrightunsigned(a, 32) + sign * F.shiftrightunsigned(b, 32) + F.shiftright(low, 32)
+    return F.shiftleft(up, 32).bitwiseOR(low.bitwiseAND(F.lit(half)))
+
+
+def rolling(hashes: Column, windows: Column, base: Column, width: int) -> Column:
+    """(start, n, has, fingerprint) of all windows of a region, each from two running sums."""
+
+    def of(p: Column) -> Column:
+        def one(w: Column) -> Column:
+            at = w["start"] - base
+            total = lambda k: _wrapped(F.get(p[f"p{k}"], at + w["has"]), F.get(p[f"p{k}"], at), True)
+            return F.struct(w["start"].alias("start"), w["n"].alias("n"), w["has"].alias("has"), majority(total, w["has"], width).alias("fingerprint"))
+
+        return F.transform(windows, one)
+
+    return F.get(F.transform(F.array(running(hashes, width)), of), 0)
+
+
 def blocks_of(fingerprint: str, near: int = 0) -> Column:
     """(block, value) of the blocks of a fingerprint, and of all values within ``near`` bits of each."""
     values = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda x: F.bit_count(x) <= near) if near else F.array(F.lit(0))
@@ -131,17 +181,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     placed = words.select("row", F.size("words").alias("size"), F.posexplode_outer(F.when(F.size("words") >= SIZE, shingles_of(F.col("words")))).alias("pos", "h"))
     held = placed.join(known, "h").groupBy("row", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     spans = held.select("row", _windows(full).alias("windows")).where("size(windows) > 0") if full else held.select("row", F.lit(None).cast("array<struct<start:int,n:int,has:int>>").alias("windows")).where("false")
-    spans = stored(spans.select("row", "windows", F.array_min("windows.start").alias("base"), F.array_max(F.transform("windows", lambda w: w["start"] + w["has"])).alias("end")), "decontaminate-spans")
-    text = may_be_in(words, "row", spans.select("row")).join(spans, "row").dropDuplicates(["row"])
-    region = text.select("doc_id", "row", "base", "windows", shingles_of(F.slice("words", F.col("base") + 1, F.col("end") - F.col("base") + (SIZE - 1))).alias("hashes"))
+    # Regions of a document: windows by the REGION words in which they begin.
+    region = spans.select("row", "windows", F.explode(F.array_distinct(F.transform("windows", lambda w: F.floor(w["start"] / REGION).cast("int")))).alias("region"))
+    region = region.select("row", F.filter("windows", lambda w: F.floor(w["start"] / REGION) == F.col("region")).alias("windows"))
+    spans = stored(region.select("row", "windows", F.array_min("windows.start").alias("base"), F.array_max(F.transform("windows", lambda w: w["start"] + w["has"])).alias("end")), "decontaminate-spans")
+    texts = may_be_in(words, "row", spans.select("row")).dropDuplicates(["row"]).join(spans, "row")
+    region = texts.select("doc_id", "row", "base", "windows", shingles_of(F.slice("words", F.col("base") + 1, F.col("end") - F.col("base") + (SIZE - 1))).alias("hashes"))
     region = stored(region, "decontaminate-regions")
-    window = region.select("row", "base", "hashes", F.explode("windows").alias("w")).select("row", "w.*", F.slice("hashes", F.col("w.start") - F.col("base") + 1, F.col("w.has")).alias("hashes"))
-    window = stored(window.select("row", "start", "n", "has", simhash(F.col("hashes"), F.col("has"), width).alias("fingerprint")), "decontaminate-windows")
+    window = region.select("row", "base", F.explode(rolling(F.col("hashes"), F.col("windows"), F.col("base"), width)).alias("w"))
+    window = stored(window.select("row", "base", "w.*"), "decontaminate-windows")
 
     near = stored(within_radius(window, long).join(long.select("item", F.col("n").alias("item_n")), "item"), "decontaminate-near")
     near = may_be_in(window, "fingerprint", near.select("fingerprint")).join(near, "fingerprint").where("n = item_n")
-    near = near.groupBy("row").agg(F.collect_list(F.struct("start", "n", "has", "item", "hamming")).alias("near"))
-    pair = region.drop("windows").join(near, "row").select("doc_id", "row", "base", "hashes", F.explode("near").alias("w"))
+    near = near.groupBy("row", "base").agg(F.collect_list(F.struct("start", "n", "has", "item", "hamming")).alias("near"))
+    pair = region.drop("windows").join(near, ["row", "base"]).select("doc_id", "row", "base", "hashes", F.explode("near").alias("w"))
     pair = pair.select("doc_id", "row", "w.*", F.array_sort(F.slice("hashes", F.col("w.start") - F.col("base") + 1, F.col("w.has"))).alias("hashes")).join(long.select("item", "item_id", "item_hashes"), "item")
     pair = pair.withColumn("common", F.size(F.array_intersect(numbered(F.col("hashes")), numbered(F.col("item_hashes")))).cast("long"))
     pair = pair.withColumn("all", F.size("hashes") + F.size("item_hashes") - F.col("common")).where("100 * common >= 80 * all")
