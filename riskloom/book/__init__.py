@@ -107,3 +107,10 @@ def crossing(points: DataFrame, key: str, x: str, net: str) -> DataFrame:
 
 def fisher_interval(c: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.tanh(F.atanh(c) - z / F.sqrt(n - 3)), F.tanh(F.atanh(c) + z / F.sqrt(n - 3))
+
+
+def book(periods: DataFrame, key: str, date: str, r: str, cost: str) -> DataFrame:
+    """``nav`` after each period, from 1, and ``cost``: the share of the NAV before that trading took."""
+    w = Window.partitionBy(key).orderBy(date)
+    n = periods.withColumn("nav", F.exp(F.sum(F.log((1 - F.col(cost)) * (1 + F.col(r)))).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    return n.select(key, date, "nav", (F.coalesce(F.lag("nav").over(w), F.lit(1.0)) * F.col(cost)).alias("cost"))

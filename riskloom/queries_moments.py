@@ -183,3 +183,47 @@ def denoise(spark, d):
     n = vectors(spark, d).groupBy("label").agg(F.pow(1 + F.sqrt(F.max(F.size("v")) / F.count(F.lit(1))), 2).alias("edge"))
     m = _matrices(spark, d, True).join(n, "label").withColumn("clean", S.denoised()("n", "cells", "edge"))
     return m.select("label", rnd(F.expr("cells[1]")).alias("raw"), rnd(F.expr("clean[1]")).alias("clean"))
+
+
+@query("s_variance_inflation")
+def variance_inflation(spark, d):
+    """Largest and mean variance inflation of each label's correlation."""
+    v = _matrices(spark, d, True).select("label", S.variance_inflation()("n", "cells").alias("v"))
+    return v.select("label", rnd(F.array_max("v"), 3).alias("most"), rnd(F.expr("aggregate(v, 0D, (a, x) -> a + x) / size(v)"), 3).alias("mean"))
+
+
+@query("s_minimum_variance")
+def minimum_variance(spark, d):
+    """Weights of least variance: their sum, the largest, and the variance they have."""
+    m = _matrices(spark, d).withColumn("w", S.minimum_variance()("n", "cells"))
+    var = F.expr("aggregate(sequence(0, n - 1), 0D, (a, i) -> a + w[i] * aggregate(sequence(0, n - 1), 0D, (b, j) -> b + cells[i * n + j] * w[j]))")
+    return m.select("label", rnd(F.expr("aggregate(w, 0D, (a, x) -> a + x)"), 6).alias("total"), rnd(F.array_max("w"), 4).alias("largest"), rnd(var, 6).alias("variance"))
+
+
+@query("s_eigen_portfolios")
+def eigen_portfolios(spark, d):
+    """Weights of the first eigen portfolio, scaled to a sum of absolute weights of one."""
+    m = _matrices(spark, d).select("label", "n", S.eigen_portfolios()("n", "cells").alias("v")).select("label", F.slice("v", F.lit(1), F.col("n")).alias("v"))
+    return m.select("label", F.posexplode(F.expr("transform(v, x -> x / aggregate(v, 0D, (a, y) -> a + abs(y)))")).alias("factor", "w")).select("label", "factor", rnd("w", 4).alias("weight"))
+
+
+@query("s_detoned")
+def detoned(spark, d):
+    """Mean correlation before and after the leading component is taken out."""
+    m = _matrices(spark, d, True).withColumn("clean", S.detoned(1)("n", "cells"))
+    mean = lambda c: F.expr(f"(aggregate({c}, 0D, (a, x) -> a + x) - n) / (n * (n - 1))")
+    return m.select("label", rnd(mean("cells")).alias("raw"), rnd(mean("clean")).alias("clean"))
+
+
+@query("s_eigen_scaled")
+def eigen_scaled(spark, d):
+    """Spectrum after scaling by a curve that falls from 1.2 to 0.9 over the eigenvalues."""
+    m = _matrices(spark, d).withColumn("curve", F.expr("transform(sequence(0, n - 1), k -> 1.2D - 0.3D * k / (n - 1))"))
+    m = m.withColumn("cells", S.eigen_scaled(1.4)("n", "cells", "curve"))
+    return m.select("label", S.spectrum("n", "cells").alias("s")).select("label", rnd("s.low", 6).alias("low"), rnd("s.high", 6).alias("high"))
+
+
+@query("s_present_factors")
+def present_factors(spark, d):
+    """Factors with a variance of their own, by label."""
+    return _matrices(spark, d).select("label", "n", F.size(S.present_block(F.col("n"), F.col("cells"))).alias("present"))

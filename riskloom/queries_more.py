@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from . import book as K
 from . import moments as M
+from . import regress as G
 from . import windows as W
 from .base import BARS, MARKET, RETURNS, VECTORS, bars, corr, market, query, returns, rnd, table, vectors
 
@@ -138,53 +140,43 @@ def crossing(spark, d):
     return c.groupBy("asset").agg(F.min(F.when(F.col("c") <= 0, F.col("date"))).alias("first_loss"), F.max_by("date", "c").alias("peak"))
 
 
-def _book(pdf):
-    """One portfolio's rebalances in order: NAV after costs that depend on the NAV before."""
-    import pandas as pd
-
-    pdf = pdf.sort_values("month")
-    nav, rows = 1.0, []
-    for month, r, turn in zip(pdf["month"], pdf["r"], pdf["turnover"], strict=True):
-        cost = nav * 0.001 * turn + nav * 0.002 * turn**1.5
-        nav = (nav - cost) * (1 + r)
-        rows.append((pdf["asset"].iloc[0], month, nav, cost))
-    return pd.DataFrame(rows, columns=["asset", "month", "nav", "cost"])
-
-
-@query("e_book_accounting")
+@query("e_book_accounting", f"WITH {RETURNS}, m AS (SELECT asset, CAST(date_trunc('month', date) AS DATE) AS month, exp(sum(r)) - 1 AS r, avg(abs(r)) AS t FROM rets WHERE r IS NOT NULL GROUP BY 1, 2), c AS (SELECT asset, month, r, 0.001 * t + 0.002 * t * sqrt(t) AS c FROM m), n AS (SELECT asset, month, c, exp(sum(ln((1 - c) * (1 + r))) OVER (PARTITION BY asset ORDER BY month)) AS nav FROM c) SELECT asset, month, round(nav, 5) AS nav, round(coalesce(lag(nav) OVER (PARTITION BY asset ORDER BY month), 1) * c, 7) AS cost FROM n")
 def book_accounting(spark, d):
-    """NAV of each book over its monthly rebalances; a book's rows are one a month, whatever the data."""
-    r = returns(spark, d).where("r IS NOT NULL").groupBy("asset", F.trunc("date", "MM").alias("month")).agg(F.expm1(F.sum("r")).alias("r"), F.avg(F.abs("r")).alias("turnover"))
-    out = r.groupBy("asset").applyInPandas(_book, "asset long, month date, nav double, cost double")
-    return out.select("asset", "month", rnd("nav", 6).alias("nav"), rnd("cost", 8).alias("cost"))
-
-
-def _wls(pdf):
-    """Country and industry returns of one date: industries sum to zero by cap, the largest is eliminated."""
-    import numpy as np
-    import pandas as pd
-
-    ind = sorted(pdf["industry"].unique())
-    cap = pdf.groupby("industry")["cap"].sum()
-    big = max(ind, key=lambda k: (cap[k], -k))
-    rest = [k for k in ind if k != big]
-    w = np.sqrt(pdf["cap"].to_numpy())
-    x = np.column_stack([np.ones(len(pdf)), *[(pdf["industry"] == k).to_numpy(float) - (pdf["industry"] == big).to_numpy(float) * cap[k] / cap[big] for k in rest], pdf["style"]])
-    beta = np.linalg.lstsq(x * np.sqrt(w)[:, None], pdf["r"].to_numpy() * np.sqrt(w), rcond=None)[0]
-    f = dict(zip(rest, beta[1:-1], strict=True))
-    f[big] = -sum(f[k] * cap[k] for k in rest) / cap[big]
-    res = pdf["r"].to_numpy() - x @ beta
-    date = pdf["date"].iloc[0]
-    rows = [(date, "country", beta[0]), (date, "style", beta[-1]), *[(date, f"industry {k}", v) for k, v in f.items()], (date, "residual sd", float(np.sqrt((w * res**2).sum() / w.sum())))]
-    return pd.DataFrame(rows, columns=["date", "factor", "value"])
+    """NAV of each book over its monthly rebalances; costs are a share of the NAV before."""
+    r = returns(spark, d).where("r IS NOT NULL").groupBy("asset", F.trunc("date", "MM").alias("month")).agg(F.expm1(F.sum("r")).alias("r"), F.avg(F.abs("r")).alias("t"))
+    out = K.book(r.withColumn("c", 0.001 * F.col("t") + 0.002 * F.col("t") * F.sqrt("t")), "asset", "month", "r", "c")
+    return out.select("asset", "month", rnd("nav").alias("nav"), rnd("cost", 7).alias("cost"))
 
 
-@query("e_constrained_regression")
-def constrained_regression(spark, d):
-    """Daily cross-sectional regression on country, regions and size, all known the session before."""
+def _day_panel(spark, d):
+    """Return of a session with the region, size and value of the one before; sessions with ten names and more."""
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("asset"), F.col("n_regionkey").alias("industry"))
     r = returns(spark, d).where("r IS NOT NULL").withColumn("style", F.log("lag_cap")).join(s, "asset")
     wd = Window.partitionBy("date")
     r = r.withColumn("style", F.col("style") - F.avg("style").over(wd)).withColumn("n", F.count(F.lit(1)).over(wd)).where("n >= 10")
-    out = r.select("date", "industry", F.col("lag_cap").alias("cap"), "style", "r").groupBy("date").applyInPandas(_wls, "date date, factor string, value double")
-    return out.withColumn("value", rnd("value", 6))
+    return r.select("date", "asset", "industry", F.col("lag_cap").alias("cap"), "style", "r")
+
+
+@query("e_constrained_regression")
+def constrained_regression(spark, d):
+    """Daily cross-sectional regression on country, regions and size, all known the session before."""
+    out = G.constrained_wls(_day_panel(spark, d), "date", "r", "industry", ["style"], "cap")
+    rows = out.select("date", "country", "r2", "condition", "eliminated", F.explode(F.map_concat(F.map_from_arrays("industries", "industry_returns"), F.create_map(F.lit(-1), F.col("style_returns")[0]))).alias("k", "v"))
+    return rows.select("date", rnd("country", 6).alias("country"), F.when(F.col("k") == -1, "style").otherwise(F.concat(F.lit("industry "), F.col("k"))).alias("factor"), rnd("v", 6).alias("value"), rnd("r2", 5).alias("r2"))
+
+
+@query("e_regression_sums", f"""WITH {RETURNS}, p AS (SELECT date, asset, n_regionkey AS g, lag_cap AS cap, r, ln(lag_cap) - avg(ln(lag_cap)) OVER (PARTITION BY date) AS s, count(*) OVER (PARTITION BY date) AS n FROM rets JOIN supplier ON s_suppkey = asset JOIN nation ON n_nationkey = s_nationkey WHERE r IS NOT NULL),
+e AS (SELECT date, asset, sqrt(cap) AS w, r, unnest([{{'i': 0, 'x': 1.0}}, {{'i': 1, 'x': s}}, {{'i': 2 + g, 'x': 1.0}}]) AS e FROM p WHERE n >= 10) SELECT a.date, a.e.i AS i, b.e.i AS j, round(sum(a.w * a.e.x * b.e.x), 2) + 0.0 AS xx FROM e a JOIN e b ON a.date = b.date AND a.asset = b.asset AND a.e.i <= b.e.i GROUP BY 1, 2, 3""")
+def regression_sums(spark, d):
+    """The weighted cross products of country (0), style (1) and regions (2 and more) that the regression solves."""
+    x = G.design_sums(_day_panel(spark, d), "date", "r", "industry", ["style"], "cap")
+    return x.where("j >= 0").select("date", "i", "j", (rnd("value", 2)).alias("xx"))
+
+
+@query("e_residual_dispersion")
+def residual_dispersion(spark, d):
+    """Residuals of the daily regression: weighted deviation and the share of value not explained."""
+    p = _day_panel(spark, d)
+    res = G.residuals(p, G.constrained_wls(p, "date", "r", "industry", ["style"], "cap"), "date", "r", "industry", ["style"])
+    w = F.sqrt("cap")
+    return res.groupBy("date").agg(F.count(F.lit(1)).alias("n"), rnd(F.sqrt(F.sum(w * F.col("residual") ** 2) / F.sum(w)), 5).alias("sd"), rnd(F.sum(F.col("cap") * F.col("residual")) / F.sum("cap"), 6).alias("specific"))

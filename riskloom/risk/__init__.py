@@ -42,6 +42,13 @@ def repaired(matrices: DataFrame) -> DataFrame:
     return matrices.withColumn("cells", S.floored()("n", "cells"))
 
 
+def eigen_adjusted(matrices: DataFrame) -> DataFrame:
+    """Eigenvalues scaled by the matrix's ``curve`` (one number an eigenvalue), or left alone without one."""
+    if "curve" not in matrices.columns:
+        matrices = matrices.withColumn("curve", F.transform(F.sequence(F.lit(1), F.col("n")), lambda _: F.lit(1.0)))
+    return matrices.withColumn("cells", S.eigen_scaled()("n", "cells", "curve"))
+
+
 def scaled(multiplier: float) -> Callable[[DataFrame], DataFrame]:
     return lambda m: m.withColumn("cells", F.transform("cells", lambda c: c * multiplier**2))
 
@@ -51,7 +58,8 @@ def covariance_job(vectors: DataFrame, key: str, half_life: float = 84, lags: in
     out = {"ewma": S.matrix_rows(ewma(vectors, key, half_life), key)}
     out["newey_west"] = S.matrix_rows(newey_west(vectors, key, half_life, lags), key)
     out["psd_repair"] = out["newey_west"].transform(repaired)
-    out["volatility_regime"] = out["psd_repair"].transform(scaled(multiplier))
+    out["eigenfactor"] = out["psd_repair"].transform(eigen_adjusted)
+    out["volatility_regime"] = out["eigenfactor"].transform(scaled(multiplier))
     return out
 
 
