@@ -54,3 +54,40 @@ def test_half_splits(spark):
     assert s.count() == 12
     best = risk.overfitting(s, "trial").collect()
     assert len(best) == 6 and all(0 < r.share < 1 for r in best)
+
+
+def test_sinks_and_their_readers(spark, tmp_path):
+    from datetime import date
+
+    import pytest
+
+    from riskloom import sources as S
+
+    at = lambda n: f"{tmp_path}/{n}"
+    df = spark.createDataFrame([(date(2020, 1, k), "a" if k % 2 else "b", k) for k in range(1, 7)], "date date, asset string, state int")
+    assert S.write_if_changed(df, at("t")) and not S.write_if_changed(df.orderBy("state"), at("t")) and S.write_if_changed(df.limit(3), at("t"))
+    assert S.read_table(spark, at("t"), "2020-01-03").count() == 2 and S.read_full(spark, at("t"), "audit").count() == 3
+    with pytest.raises(ValueError):
+        S.read_full(spark, at("t"), " ")
+    S.write_pull(df, at("pulls"), "2024-01-01")
+    S.write_pull(df.limit(2), at("pulls"), "2024-01-02")
+    S.write_pull(df.limit(1), at("pulls"), "2024-01-02")
+    assert {(str(r.pull_date), r["count"]) for r in spark.read.parquet(at("pulls")).groupBy("pull_date").count().collect()} == {("2024-01-01", 6), ("2024-01-02", 1)}
+    S.write_derived(df, at("derived"), at("manifest"), ["x", "y"])
+    assert {(r.input, r.rows) for r in spark.read.parquet(at("manifest")).collect()} == {("x", 6), ("y", 6)}
+    S.write_reference(df, at("ref"), {"source": "made up"})
+    assert spark.read.option("header", True).csv(at("ref")).count() == 6 and spark.read.json(at("ref") + ".provenance").first().value == "made up"
+    S.write_membership(df, at("wide"), "date", "asset", "state")
+    back = S.read_membership(spark, at("wide"), "2020-01-05")
+    assert sorted((r.date.day, r.asset, r.state) for r in back.collect()) == [(k, "a" if k % 2 else "b", k) for k in range(1, 5)]
+    for v in ("p", "q"):
+        S.write_partial(df.select("date", "state"), at("parts"), v, "d")
+    assert S.assemble(spark, at("parts"), "date", "state", ["q", "p"]).columns == ["date", "q", "p"]
+    with pytest.raises(ValueError):
+        S.assemble(spark, at("parts"), "date", "state", ["p", "r"])
+    S.write_metrics(df.limit(1), at("metrics"), "one")
+    S.write_metrics(df.limit(2), at("metrics"), "two")
+    assert {(r.section, r["count"]) for r in spark.read.json(at("metrics")).groupBy("section").count().collect()} == {("one", 1), ("two", 2)}
+    (tmp_path / "spells.csv").write_text("# from nowhere\nticker,start,end,start_known,security\nXY,2001-02-03,,true,Some Name\n")
+    r = S.read_spells_csv(spark, at("spells.csv")).first()
+    assert (r.ticker, str(r.start), r.end, r.start_known) == ("XY", "2001-02-03", None, True)
