@@ -8,8 +8,8 @@ reads symbols into a buffer, and whenever the buffer holds twice the lookahead i
 that end at least a lookahead before its end: nothing that follows can change them. Memory is
 constant for words of any length. ``TokenDecoder`` turns ids into text one at a time.
 
-Texts are read piece by piece (a piece ends at a space or a line feed, which no token crosses), and
-a bounded table remembers the ids of pieces met before.
+Texts are read in portions of ``PORTION`` bytes, piece by piece (a piece ends at a space or a line
+feed, which no token crosses), and a bounded table remembers the ids of short pieces met before.
 
 Defined results: null and empty texts have no tokens and decode to the empty string. Rows are handled
 alone; an empty table gives an empty one; extra columns are kept, and one that bears an added name is
@@ -20,18 +20,21 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .blocks import small_batches, text_blocks
+from .piecetable import PieceTable, Store, piece_hashes, piece_spans
 
-PIECES_KEPT = 500_000
+SLOT_BITS = 20
+PORTION = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -218,32 +221,63 @@ class TokenDecoder:
         return "".join([self.step(i) for i in ids]) + self.finish()
 
 
-class RememberedPieces(dict):
-    """piece -> (ids as little-endian unsigned 32-bit integers, decoded ids), for a bounded number of pieces.
-
-    Two generations: a full table becomes the old one, and what is met again moves to the new one.
-    """
-
-    def __init__(self, encoder: PieceEncoder, decoder: TokenDecoder, most: int = PIECES_KEPT) -> None:
-        super().__init__()
-        self.encoder, self.decoder, self.most = encoder, decoder, most // 2
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-
-    def __missing__(self, piece: str) -> tuple[bytes, bytes]:
-        got = self.old.get(piece)
-        if got is None:
-            ids = list(self.encoder.encode(piece))
-            got = (struct.pack(f"<{len(ids)}I", *ids), self.decoder.decode(ids).encode())
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = got
-        return got
-
-
-def pieces(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
+class RememberedPieces:
+    """Ids and decoded text of the pieces of texts, by the transducers; a bounded table remembers short pieces."""
+
+    MOST_NUMBERS = 1 << 23
+
+    def __init__(self, merges: MergeList, bits: int = SLOT_BITS) -> None:
+        self.encoder, self.decoder = PieceEncoder(merges), TokenDecoder(merges)
+        self.gap = b" " if self.decoder.mode == "tokens" else b""
+        self.table, self.ids, self.said = PieceTable(bits, 4), Store(np.uint32), Store(np.uint8)
+
+    def coded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all documents and their bounds, decoded bytes (a gap behind each piece) and their bounds."""
+        if self.table.full or max(self.ids.used, self.said.used // 2) > self.MOST_NUMBERS:
+            self.table.clear()
+            self.ids.used = self.said.used = 0
+        begins, ends = piece_spans(data, offsets)
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        bounds = np.searchsorted(start, offsets)
+        h = piece_hashes(data, start, end) if len(start) else np.zeros(0, np.uint64)
+        slot = self.table.find(h)
+        of = self.table.values[:, slot].astype(np.int64)
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            first = miss[first]
+            raw = data.tobytes()
+            ids, said = [], []
+            for a, e in zip(start[first].tolist(), end[first].tolist(), strict=True):
+                one = list(self.encoder.encode(raw[a:e].decode()))
+                ids.append(one)
+                text = self.decoder.decode(one).encode()
+                said.append(text + self.gap if text else b"")
+            n_ids, n_said = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, said))
+            at_ids = self.ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(n_ids.sum())), n_ids)
+            at_said = self.said.add(np.frombuffer(b"".join(said), np.uint8), n_said)
+            values = np.stack([at_ids, n_ids, at_said, n_said])
+            of[:, miss] = values[:, which]
+            short = end[first] - start[first] <= PieceTable.LONGEST
+            self.table.insert(new[short], values[:, short])
+        ids, edges = self.ids.gather(of[0], of[1])
+        said, said_edges = self.said.gather(of[2], of[3])
+        return ids, edges[bounds], said, said_edges[bounds]
+
+
+def _portions(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in portions that end behind a blank or a line feed; without one the portion grows."""
+    at = 0
+    while at < len(data):
+        end, size = len(data), PORTION
+        while at + size < len(data):
+            blank = np.flatnonzero((data[at : at + size] == 0x20) | (data[at : at + size] == 0x0A))
+            if len(blank):
+                end = at + int(blank[-1]) + 1
+                break
+            size *= 2
+        yield data[at:end]
+        at = end
 
 
 def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -257,15 +291,32 @@ def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text", keep_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_pieces(tokenizer)
-        gap = b" " if known.decoder.mode == "tokens" else b""
-        for b in text_blocks(batches, text):
+        gap = len(known.gap)
+        for b in text_blocks(batches, text, PORTION):
             cols: list[list] = [[] for _ in fields]
-            for i in range(len(b)):
-                ids, said = zip(*map(known.__getitem__, pieces(b.text(i).decode())), strict=True)
-                ids, said = b"".join(ids), gap.join(filter(None, said))
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said).hexdigest(), ids)
-                for c, x in zip(cols, row, strict=False):
+
+            def put(n: int, ids_sha: str, said_sha: str, ids: bytes, cols: list[list] = cols) -> None:
+                for c, x in zip(cols, (n, ids_sha, said_sha, ids), strict=False):
                     c.append(x)
+
+            if len(b) == 1 and len(b.data) > 2 * PORTION:
+                n, ids_sha, said_sha, wait, kept_ids = 0, hashlib.sha256(), hashlib.sha256(), b"", []
+                for part in _portions(b.data):
+                    ids, _, said, _ = known.coded(part, np.array([0, len(part)]))
+                    n += len(ids)
+                    ids_sha.update(ids.tobytes())
+                    said = wait + said.tobytes()
+                    # The gap behind the last piece of all isn't part of the text.
+                    wait = said[len(said) - gap :] if gap else b""
+                    said_sha.update(said[: len(said) - gap])
+                    if keep_ids:
+                        kept_ids.append(ids.tobytes())
+                put(n, ids_sha.hexdigest(), said_sha.hexdigest(), b"".join(kept_ids))
+            else:
+                ids, at, said, said_at = known.coded(b.data, b.offsets)
+                for i in range(len(b)):
+                    one = ids[at[i] : at[i + 1]].tobytes()
+                    put(len(one) // 4, hashlib.sha256(one).hexdigest(), hashlib.sha256(said[said_at[i] : max(said_at[i], said_at[i + 1] - gap)].tobytes()).hexdigest(), one)
             yield pa.RecordBatch.from_arrays([b.rows.column(b.rows.schema.get_field_index(f.name)) for f in kept] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.name for f in kept + fields])
 
     return small_batches(df).mapInArrow(run, T.StructType(kept + fields))
@@ -278,7 +329,7 @@ def known_pieces(path: str) -> RememberedPieces:
     """The pieces that this Python worker remembers, from one task to the next."""
     if path not in _KNOWN:
         merges = MergeList(path)
-        _KNOWN[path] = RememberedPieces(PieceEncoder(merges), TokenDecoder(merges))
+        _KNOWN[path] = RememberedPieces(merges)
     return _KNOWN[path]
 
 

@@ -30,8 +30,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import Block, prefix_hash, shared_dir, small_batches, span_hash, text_blocks
+from .blocks import Block, shared_dir, small_batches, text_blocks
 from .bpe import default_tokenizer
+from .piecetable import PieceTable, Store, piece_hashes, piece_spans
 
 MAGIC = b"RLTOKEN1"
 FOOTER = struct.Struct("<QQc7x8s")
@@ -62,9 +63,8 @@ class LibraryPieces:
     ids depend on blanks has its texts encoded whole.
     """
 
-    SLOTS = 1 << 21
+    SLOT_BITS = 21
     MOST_IDS = 1 << 23
-    LONGEST = 64
     PROBES = ("a b", "a  b", " a", "a ", "a\nb", "\n\na1 !", "x. y")
     MARKED = (("ab", "."), ("ab", ",, "), ("Ab", ".cd"), ("x", "!\"'s"), ("it's", ";"), ("é b", ":?"))
 
@@ -80,68 +80,21 @@ class LibraryPieces:
         self.in_pieces = all(w == [i for x in self._encode(p.replace("\n", " ").split(" ")) for i in x] for p, w in zip(self.PROBES, whole, strict=True))
         #: Whether a mark behind a plain letter begins a piece of its own.
         self.at_marks = all(w == [i for x in self._encode([*p]) for i in x] for p, w in zip(self.MARKED, self._encode(["".join(p) for p in self.MARKED]), strict=True))
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self._clear()
+        self.table, self.store = PieceTable(self.SLOT_BITS, 2), Store(self.dtype)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)(texts, add_special_tokens=False)]
 
-    def _clear(self) -> None:
-        self.keys = np.zeros(self.SLOTS, np.uint64)
-        self.at = np.zeros(self.SLOTS, np.int32)
-        self.size = np.zeros(self.SLOTS, np.int32)
-        self.held = self.used = 0
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Slot of each hash, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        todo = np.arange(len(h))
-        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        while len(todo):
-            there = self.keys[slot]
-            hit = there == h[todo]
-            out[todo[hit]] = slot[hit]
-            on = ~hit & (there != 0)
-            todo, slot = todo[on], (slot[on] + 1) & (self.SLOTS - 1)
-        return out
-
-    def _insert(self, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        """Distinct new hashes."""
-        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        while len(h):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[free]
-            won = free & (self.keys[slot] == h)
-            self.at[slot[won]], self.size[slot[won]] = at[won], size[won]
-            self.held += int(won.sum())
-            h, at, size, slot = h[~won], at[~won], size[~won], (slot[~won] + 1) & (self.SLOTS - 1)
-
-    def _store(self, coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of the ids of each piece, put behind those in ``flat``."""
-        size = np.fromiter(map(len, coded), np.int32, len(coded))
-        total = int(size.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * total, self.dtype)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(coded), self.dtype, total)
-        at = self.used + np.cumsum(size, dtype=np.int64) - size
-        self.used += total
-        return at, size
-
     def ids(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a block one behind the other, and each document's range."""
         if not self.in_pieces:
             coded = self._encode([block.text(i).decode() for i in range(len(block))])
             return np.fromiter(chain.from_iterable(coded), self.dtype), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
-        if self.held > self.SLOTS // 2 or self.used > self.MOST_IDS:
-            self._clear()
+        if self.table.full or self.store.used > self.MOST_IDS:
+            self.table.clear()
+            self.store.used = 0
         data = block.data
-        ink = (data != 0x20) & (data != 0x0A)
-        begins, ends = ink.copy(), ink.copy()
-        begins[1:] &= ~ink[:-1]
-        ends[:-1] &= ~ink[1:]
-        inner = block.offsets[1:-1]
-        inner = inner[(inner > 0) & (inner < len(data))]
-        begins[inner], ends[inner - 1] = ink[inner], ink[inner - 1]
+        begins, ends = piece_spans(data, block.offsets)
         if self.at_marks:
             cut = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
             begins[cut], ends[cut - 1] = True, True
@@ -149,22 +102,22 @@ class LibraryPieces:
         bounds = np.searchsorted(start, block.offsets)
         if not len(start):
             return np.zeros(0, self.dtype), bounds
-        h = np.maximum(span_hash(prefix_hash(data), start, end), np.uint64(1))
-        slot = self._find(h)
-        at, count = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        h = piece_hashes(data, start, end)
+        slot = self.table.find(h)
+        at, count = self.table.values[:, slot].astype(np.int64)
         miss = np.flatnonzero(slot < 0)
         if len(miss):
             new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
             first = miss[first]
             raw = data.tobytes()
-            texts = [raw[a:e].decode() for a, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            place, size = self._store(self._encode(texts))
+            coded = self._encode([raw[a:e].decode() for a, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            place = self.store.add(np.fromiter(chain.from_iterable(coded), self.dtype, int(size.sum())), size)
             at[miss], count[miss] = place[which], size[which]
-            short = end[first] - start[first] <= self.LONGEST
-            self._insert(new[short], place[short], size[short])
-        ends = np.cumsum(count)
-        out = self.flat[np.arange(int(ends[-1])) + np.repeat(at - ends + count, count)]
-        return out, np.concatenate([[0], ends])[bounds]
+            short = end[first] - start[first] <= PieceTable.LONGEST
+            self.table.insert(new[short], np.stack([place, size])[:, short])
+        out, edges = self.store.gather(at, count)
+        return out, edges[bounds]
 
 
 _KNOWN: dict[tuple[str, str], LibraryPieces] = {}

@@ -53,6 +53,36 @@ def test_bpe_equals_the_library(docs, texts):
         assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_reads_long_texts_in_portions(spark, texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "PORTION", 64)
+    tok = Tokenizer.from_file(WORD_BPE)
+    long_ = [" ".join([t or "" for t in texts] * 3), "  " + texts[6] + " \n ", "x" * 500 + " " + "y" * 300, " " * 400, texts[11]]
+    known = bpe.RememberedPieces(bpe.MergeList(WORD_BPE), bits=6)  # so small that it starts anew again and again
+    for t in long_:
+        parts = list(bpe._portions(np.frombuffer(t.encode(), np.uint8)))
+        assert b"".join(p.tobytes() for p in parts) == t.encode()
+        ids = [i for p in parts for i in known.coded(p, np.array([0, len(p)]))[0].tolist()]
+        assert ids == tok.encode(t, add_special_tokens=False).ids
+    schema = bpe.encode_and_decode(spark.createDataFrame(list(enumerate(long_)), "doc_id long, text string").coalesce(1), WORD_BPE, keep_ids=True).collect()
+    for r in schema:
+        ids = tok.encode(long_[r.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_piece_table_keeps_and_forgets():
+    from riskloom.llm.piecetable import PieceTable
+
+    t = PieceTable(4, 1)
+    h = np.array([1, 17, 33, 49, 2], np.uint64)  # four of them want one slot
+    t.insert(h, np.arange(5)[None])
+    assert t.values[0, t.find(h)].tolist() == [0, 1, 2, 3, 4] and t.find(np.array([65, 3], np.uint64)).tolist() == [-1, -1]
+    t.clear()
+    assert t.find(h).tolist() == [-1] * 5
+
+
 def test_bpe_streams_long_words():
     m = bpe.MergeList(WORD_BPE)
     word = ("thereisnospaceinthisword" * 400).encode()
