@@ -11,7 +11,10 @@ from .base import BARS, MARKET, RETURNS, bars, corr, market, query, returns, rnd
 from .panel import month
 from .queries_moments import _Z, _scores
 
-_BY = Window.partitionBy("asset").orderBy("date")
+
+
+def _by():
+    return Window.partitionBy("asset").orderBy("date")
 _ROLL = lambda n: f"OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
@@ -85,8 +88,8 @@ def large_t(spark, d):
 @query("k_rolling_bias", f"WITH {_Z}, n AS (SELECT asset, date, greatest(least(z, 4), -4) AS z, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM z), b AS (SELECT asset, date, rn, stddev_samp(z) {_ROLL(60)} AS b, count(z) {_ROLL(60)} AS c FROM n) SELECT asset, date, round(b, 4) AS b, CAST((rn - 1) // 60 AS BIGINT) AS block FROM b WHERE c = 60 AND rn % 20 = 0")
 def rolling_bias(spark, d):
     """Clipped deviation over 60 scores, read every 20; ``block`` tells which reads don't overlap."""
-    n = _scores(spark, d).select("asset", "date", F.greatest(F.least("z", F.lit(4.0)), F.lit(-4.0)).alias("z"), F.row_number().over(_BY).alias("rn"))
-    w = _BY.rowsBetween(-59, 0)
+    n = _scores(spark, d).select("asset", "date", F.greatest(F.least("z", F.lit(4.0)), F.lit(-4.0)).alias("z"), F.row_number().over(_by()).alias("rn"))
+    w = _by().rowsBetween(-59, 0)
     b = n.withColumn("b", F.stddev_samp("z").over(w)).withColumn("c", F.count("z").over(w)).where("c = 60 AND rn % 20 = 0")
     return b.select("asset", "date", rnd("b", 4).alias("b"), F.expr("(rn - 1) div 60").alias("block"))
 
@@ -101,22 +104,22 @@ def lagged_multiplier(spark, d):
 @query("k_mean_conventions", f"WITH {RETURNS}, n AS (SELECT asset, date, r, row_number() OVER (PARTITION BY asset ORDER BY date) AS rn FROM rets WHERE r IS NOT NULL), s AS (SELECT asset, date, rn, avg(r) OVER w AS m, sqrt(avg(r * r) OVER w) AS about_zero, sqrt(greatest(avg(r * r) OVER w - avg(r) OVER w * avg(r) OVER w, 0)) AS centred FROM n WINDOW w AS (PARTITION BY asset ORDER BY date)) SELECT asset, date, round(m, 5) AS mean, round(about_zero, 5) AS about_zero, round(centred, 5) AS centred FROM s WHERE rn % 21 = 0")
 def mean_conventions(spark, d):
     """Expanding deviation about zero and about the mean, read every 21 rows."""
-    w = _BY.rowsBetween(Window.unboundedPreceding, 0)
-    n = returns(spark, d).where("r IS NOT NULL").select("asset", "date", "r", F.row_number().over(_BY).alias("rn"))
+    w = _by().rowsBetween(Window.unboundedPreceding, 0)
+    n = returns(spark, d).where("r IS NOT NULL").select("asset", "date", "r", F.row_number().over(_by()).alias("rn"))
     s = n.withColumn("m", F.avg("r").over(w)).withColumn("q", F.avg(F.col("r") * F.col("r")).over(w)).where("rn % 21 = 0")
     return s.select("asset", "date", rnd("m").alias("mean"), rnd(F.sqrt("q")).alias("about_zero"), rnd(F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0)))).alias("centred"))
 
 
 @query("k_jump_band", f"WITH {BARS}, x AS (SELECT asset, date, close / lag(close) OVER (PARTITION BY asset ORDER BY date) AS ratio FROM bars) SELECT asset, date, round(ratio, 5) AS ratio FROM x WHERE (ratio > 1.8 AND ratio < 2.2) OR (ratio > 1 / 2.2 AND ratio < 1 / 1.8)")
 def jump_band(spark, d):
-    x = bars(spark, d).select("asset", "date", (F.col("close") / F.lag("close").over(_BY)).alias("ratio"))
+    x = bars(spark, d).select("asset", "date", (F.col("close") / F.lag("close").over(_by())).alias("ratio"))
     return x.where(K.in_band(F.col("ratio"), 1.8, 2.2)).select("asset", "date", rnd("ratio").alias("ratio"))
 
 
 @query("k_composite", f"WITH {RETURNS}, x AS (SELECT asset, date, sum(r) {_ROLL(20)} AS mom, stddev_samp(r) {_ROLL(20)} AS sd, max(close) {_ROLL(20)} / min(close) {_ROLL(20)} AS rng, count(r) {_ROLL(20)} AS n FROM rets), z AS (SELECT asset, date, (mom - avg(mom) OVER w) / stddev_samp(mom) OVER w AS a, (sd - avg(sd) OVER w) / stddev_samp(sd) OVER w AS b, (ln(rng) - avg(ln(rng)) OVER w) / stddev_samp(ln(rng)) OVER w AS c FROM x WHERE n = 20 WINDOW w AS (PARTITION BY date)) SELECT asset, date, round(0.74 * a + 0.16 * b + 0.10 * c, 4) + 0.0 AS composite FROM z WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL")
 def composite(spark, d):
     """Three descriptors, standardised by date, to one composite; null parts make it null."""
-    w = _BY.rowsBetween(-19, 0)
+    w = _by().rowsBetween(-19, 0)
     x = returns(spark, d).select("asset", "date", F.sum("r").over(w).alias("mom"), F.stddev_samp("r").over(w).alias("sd"), F.log(F.max("close").over(w) / F.min("close").over(w)).alias("rng"), F.count("r").over(w).alias("n")).where("n = 20")
     w = Window.partitionBy("date")
     z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w))
@@ -127,7 +130,7 @@ def composite(spark, d):
 @query("k_momentum_rate", f"WITH {RETURNS}, x AS (SELECT asset, date, avg(r) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 69 PRECEDING AND 10 PRECEDING) AS rate, count(r) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 69 PRECEDING AND 10 PRECEDING) AS n FROM rets) SELECT asset, date, round(rate, 6) AS rate FROM x WHERE n = 60")
 def momentum_rate(spark, d):
     """Mean return of 60 sessions that ended ten sessions ago, by session."""
-    w = _BY.rowsBetween(-69, -10)
+    w = _by().rowsBetween(-69, -10)
     x = returns(spark, d).select("asset", "date", F.avg("r").over(w).alias("rate"), F.count("r").over(w).alias("n"))
     return x.where("n = 60").select("asset", "date", rnd("rate", 6).alias("rate"))
 
@@ -281,7 +284,7 @@ def crossing_interpolated(spark, d):
 @query("k_financing", f"WITH {BARS}, x AS (SELECT asset, date, cap, volume, lag(cap - volume * close * 0.9) OVER (PARTITION BY asset ORDER BY date) AS cash FROM bars), r AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 1e9 AS rate FROM orders GROUP BY 1) SELECT asset, round(sum(cash * rate), 4) AS financing, count(cash * rate) AS sessions FROM x LEFT JOIN r ON r.date = x.date GROUP BY 1")
 def financing(spark, d):
     """Cash of the session before times the rate of this one."""
-    x = bars(spark, d).select("asset", "date", F.lag(F.col("cap") - F.col("volume") * F.col("close") * 0.9).over(_BY).alias("cash"))
+    x = bars(spark, d).select("asset", "date", F.lag(F.col("cap") - F.col("volume") * F.col("close") * 0.9).over(_by()).alias("cash"))
     r = table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg((F.avg("o_totalprice") / 1e9).alias("rate"))
     x = x.join(r, "date", "left").withColumn("leg", F.col("cash") * F.col("rate"))
     return x.groupBy("asset").agg(rnd(F.sum("leg"), 4).alias("financing"), F.count("leg").alias("sessions"))
@@ -332,7 +335,7 @@ def volatility_summary(spark, d):
 @query("k_screen_causes", f"WITH {RETURNS}, s AS (SELECT *, count(r) {_ROLL(60)} AS n FROM rets) SELECT date, count(*) AS names, count(*) FILTER (WHERE n < 60) AS short, count(*) FILTER (WHERE n >= 60 AND volume < 10) AS thin, count(*) FILTER (WHERE n >= 60 AND volume >= 10 AND r IS NULL) AS no_return, count(*) FILTER (WHERE n >= 60 AND volume >= 10 AND r IS NOT NULL) AS kept FROM s GROUP BY 1")
 def screen_causes(spark, d):
     """Names of a session by the first cause that screens them out."""
-    s = returns(spark, d).withColumn("n", F.count("r").over(_BY.rowsBetween(-59, 0)))
+    s = returns(spark, d).withColumn("n", F.count("r").over(_by().rowsBetween(-59, 0)))
     cause = F.when(F.col("n") < 60, "short").when(F.col("volume") < 10, "thin").when(F.col("r").isNull(), "no_return").otherwise("kept")
     names = ("short", "thin", "no_return", "kept")
     return s.withColumn("c", cause).groupBy("date").agg(F.count(F.lit(1)).alias("names"), *(F.count_if(F.col("c") == x).alias(x) for x in names))
@@ -391,7 +394,7 @@ def members_compared(spark, d):
 @query("k_lags_compared", f"WITH {RETURNS}, x AS (SELECT asset, date, r, lag(r, 1) OVER w AS r1, lag(r, 2) OVER w AS r2 FROM rets WHERE r IS NOT NULL WINDOW w AS (PARTITION BY asset ORDER BY date)), v AS (SELECT asset, avg(r * r) AS v0, avg(r * r) + 2 * (2.0 / 3) * avg(r * r1) + 2 * (1.0 / 3) * avg(r * r2) AS v2 FROM x GROUP BY 1) SELECT asset, round(sqrt(v0), 5) AS plain, round(CASE WHEN v2 > 0 THEN sqrt(v2 / v0) END, 4) AS ratio FROM v")
 def lags_compared(spark, d):
     """Volatility with lag terms over that without."""
-    x = returns(spark, d).where("r IS NOT NULL").select("asset", "r", F.lag("r", 1).over(_BY).alias("r1"), F.lag("r", 2).over(_BY).alias("r2"))
+    x = returns(spark, d).where("r IS NOT NULL").select("asset", "r", F.lag("r", 1).over(_by()).alias("r1"), F.lag("r", 2).over(_by()).alias("r2"))
     v0 = F.avg(F.col("r") * F.col("r"))
     v = x.groupBy("asset").agg(v0.alias("v0"), (v0 + 2 * (2 / 3) * F.avg(F.col("r") * F.col("r1")) + 2 * (1 / 3) * F.avg(F.col("r") * F.col("r2"))).alias("v2"))
     return v.select("asset", rnd(F.sqrt("v0")).alias("plain"), rnd(F.when(F.col("v2") > 0, F.sqrt(F.col("v2") / F.col("v0"))), 4).alias("ratio"))

@@ -11,7 +11,10 @@ from . import prices as PR
 from . import sources as S
 from .base import BARS, RETURNS, bars, query, returns, rnd, table
 
-_BY = Window.partitionBy("asset").orderBy("date")
+
+
+def _by():
+    return Window.partitionBy("asset").orderBy("date")
 
 
 @query("d_trading_dates", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_totalprice IS NOT NULL OR o_orderstatus IS NOT NULL")
@@ -135,7 +138,7 @@ def month_join(spark, d):
 
 @query("d_month_end_positions", f"WITH {BARS}, n AS (SELECT asset, date, row_number() OVER w AS rn, lead(date) OVER w AS nxt FROM bars WINDOW w AS (PARTITION BY asset ORDER BY date)) SELECT asset, date, rn FROM n WHERE nxt IS NULL OR date_trunc('month', nxt) <> date_trunc('month', date)")
 def month_end_positions(spark, d):
-    n = bars(spark, d).select("asset", "date", F.row_number().over(_BY).alias("rn"), F.lead("date").over(_BY).alias("nxt"))
+    n = bars(spark, d).select("asset", "date", F.row_number().over(_by()).alias("rn"), F.lead("date").over(_by()).alias("nxt"))
     return n.where(F.col("nxt").isNull() | (P.month("nxt") != P.month())).select("asset", "date", "rn")
 
 
@@ -151,8 +154,8 @@ def monthly_factor(spark, d):
 @query("d_monthly_hold", f"WITH {RETURNS}, s AS (SELECT asset, date, r, lag(sd) OVER (PARTITION BY asset ORDER BY date) AS f FROM (SELECT asset, date, r, stddev_samp(r) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sd FROM rets WHERE r IS NOT NULL)) SELECT asset, CAST(date_trunc('month', date) AS DATE) AS month, round(sum(r), 5) AS r, round(arg_min(f, date) * sqrt(count(*)), 5) AS sigma FROM s WHERE f IS NOT NULL GROUP BY 1, 2")
 def monthly_hold(spark, d):
     """Summed return of a month and the volatility forecast at its start on that horizon."""
-    s = returns(spark, d).where("r IS NOT NULL").withColumn("sd", F.stddev_samp("r").over(_BY.rowsBetween(-19, 0)))
-    s = s.withColumn("f", F.lag("sd").over(_BY)).where("f IS NOT NULL")
+    s = returns(spark, d).where("r IS NOT NULL").withColumn("sd", F.stddev_samp("r").over(_by().rowsBetween(-19, 0)))
+    s = s.withColumn("f", F.lag("sd").over(_by())).where("f IS NOT NULL")
     return s.groupBy("asset", P.month().alias("month")).agg(rnd(F.sum("r")).alias("r"), rnd(F.min_by("f", "date") * F.sqrt(F.count(F.lit(1)))).alias("sigma"))
 
 
@@ -182,7 +185,7 @@ def drift_counts(spark, d):
 
 @query("d_gaps_by_year", f"WITH {BARS}, g AS (SELECT asset, date, date - lag(date) OVER (PARTITION BY asset ORDER BY date) AS gap FROM bars), y AS (SELECT CAST(unnest(range((SELECT min(year(date)) FROM bars), (SELECT max(year(date)) FROM bars) + 1)) AS INTEGER) AS year) SELECT y.year, count(g.gap) FILTER (WHERE gap > 7) AS long, count(g.gap) FILTER (WHERE gap BETWEEN 2 AND 7) AS short FROM y LEFT JOIN g ON year(g.date) = y.year GROUP BY 1")
 def gaps_by_year(spark, d):
-    g = bars(spark, d).select("asset", "date", F.datediff("date", F.lag("date").over(_BY)).alias("gap"))
+    g = bars(spark, d).select("asset", "date", F.datediff("date", F.lag("date").over(_by())).alias("gap"))
     spine = g.agg(F.sequence(F.year(F.min("date")), F.year(F.max("date"))).alias("y")).select(F.explode("y").alias("year"))
     n = g.groupBy(F.year("date").alias("year")).agg(F.count_if(F.col("gap") > 7).alias("long"), F.count_if(F.col("gap").between(2, 7)).alias("short"))
     return spine.join(n, "year", "left").fillna(0)
@@ -220,7 +223,7 @@ def total_return(spark, d):
 @query("d_split_check", f"WITH {BARS}, x AS (SELECT asset, date, trades, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY date)) AS move FROM bars) SELECT asset, date, round(move, 5) AS move, abs(move + ln(trades)) < 0.5 * ln(trades) AS not_applied FROM x WHERE trades > 1 AND move IS NOT NULL")
 def split_check(spark, d):
     """Whether the log move across a split date is nearer to the split than half its size."""
-    x = bars(spark, d).withColumn("move", F.log(F.col("close") / F.lag("close").over(_BY))).where("trades > 1 AND move IS NOT NULL")
+    x = bars(spark, d).withColumn("move", F.log(F.col("close") / F.lag("close").over(_by()))).where("trades > 1 AND move IS NOT NULL")
     return x.select("asset", "date", rnd("move").alias("move"), PR.split_not_applied(F.col("move"), F.col("trades")).alias("not_applied"))
 
 

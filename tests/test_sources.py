@@ -91,3 +91,13 @@ def test_sinks_and_their_readers(spark, tmp_path):
     (tmp_path / "spells.csv").write_text("# from nowhere\nticker,start,end,start_known,security\nXY,2001-02-03,,true,Some Name\n")
     r = S.read_spells_csv(spark, at("spells.csv")).first()
     assert (r.ticker, str(r.start), r.end, r.start_known) == ("XY", "2001-02-03", None, True)
+
+
+def test_entry_is_readable_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"], cwd=root, capture_output=True, text=True, check=False)
+    assert said.returncode == 0 and int(said.stdout.split()[-1]) > 200, said.stderr
