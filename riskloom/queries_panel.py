@@ -305,9 +305,11 @@ def content_digest(spark, d):
     return C.digest(table(spark, d, "orders"))
 
 
-@query("p_html_links")
+_LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]*)"""
+
+
+@query("p_html_links", f"WITH t AS (SELECT page_id, regexp_extract_all(html, '{_LINK.replace(chr(39), chr(39) * 2)}', 1) AS x FROM pages) SELECT page_id, CAST(unnest(range(len(x))) AS INTEGER) AS place, unnest(x) AS target FROM t")
 def html_links(spark, d):
-    """Anchor targets of each page, in page order."""
+    """Anchor targets of each page, in page order: any case, either quote or none, after other attributes too."""
     pages = table(spark, d, "pages")
-    hits = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
-    return pages.select("page_id", F.posexplode(hits).alias("place", "target"))
+    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("place", "target"))

@@ -58,11 +58,10 @@ def decay_mean_sd(spark, d):
 
 def _beta_frame(spark, d, rows: int, h: int):
     r = returns(spark, d)
-    x = r.where("r IS NOT NULL").join(market(r), "date")
-    w = W.trailing("asset", rows)
-    slope, intercept, resid = W.decay_beta(F.col("r"), F.col("m"), h, w)
-    n = F.count(F.lit(1)).over(w)
-    return x.select("asset", "date", "lag_cap", *(F.when(n == rows, c).alias(name) for c, name in ((slope, "beta"), (intercept, "alpha"), (resid, "resid"))))
+    # The market's return of a date by a window, so that the bars are made once.
+    ok, day = F.when(F.col("r").isNotNull(), F.col("lag_cap")), Window.partitionBy("date")
+    x = r.withColumn("m", F.sum(ok * F.col("r")).over(day) / F.sum(ok).over(day)).where("r IS NOT NULL")
+    return W.decay_beta(x.select("asset", "date", "rn", "lag_cap", "r", "m"), "asset", "date", "r", "m", h, rows).select("asset", "date", "lag_cap", "beta", "alpha", "resid")
 
 
 def _beta_sql(rows: int, h: int) -> str:
@@ -174,7 +173,7 @@ def autocorrelations(spark, d):
     return c.groupBy("asset").agg(*(rnd(rho[k], 4).alias(f"rho{k}") for k in rho), rnd(q, 3).alias("q"))
 
 
-@query("w_traffic_blocks")
+@query("w_traffic_blocks", f"WITH {RETURNS}, s AS (SELECT asset, date, r, stddev_samp(r) OVER ({_T20}) AS s, count(r) OVER ({_T20}) AS c FROM rets WHERE r IS NOT NULL), z0 AS (SELECT asset, date, r / lag(s) OVER (PARTITION BY asset ORDER BY date) AS z FROM s), z AS (SELECT asset, z, row_number() OVER (PARTITION BY asset ORDER BY date) AS k, count(*) OVER (PARTITION BY asset) AS n FROM z0 WHERE z IS NOT NULL), b AS (SELECT asset, CAST(floor((k - 1) / 50) AS BIGINT) AS block, count(*) FILTER (WHERE z < -1.645) AS breaches FROM z WHERE floor((k - 1) / 50) < floor(n / 50) GROUP BY 1, 2) SELECT asset, block, breaches, CASE WHEN breaches <= 4 THEN 'green' WHEN breaches <= 7 THEN 'yellow' ELSE 'red' END AS zone FROM b")
 def traffic_blocks(spark, d):
     """Breaches of a lagged rolling sd by non-overlapping block of 50 rows; the incomplete last block is left out."""
     w = Window.partitionBy("asset").orderBy("date")

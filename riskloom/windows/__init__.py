@@ -43,11 +43,17 @@ def decay_sd(x: Column, half_life: float, w: WindowSpec) -> Column:
     return F.sqrt(F.greatest(decay_mean(x * x, half_life, w) - m * m, F.lit(0.0)))
 
 
-def decay_beta(y: Column, x: Column, half_life: float, w: WindowSpec) -> tuple[Column, Column, Column]:
-    """Slope, intercept and residual standard deviation of y on x."""
-    my, mx = decay_mean(y, half_life, w), decay_mean(x, half_life, w)
-    vx = decay_mean(x * x, half_life, w) - mx * mx
-    cxy = decay_mean(x * y, half_life, w) - mx * my
-    vy = decay_mean(y * y, half_life, w) - my * my
-    slope = F.try_divide(cxy, F.when(vx != 0, vx))
-    return slope, my - slope * mx, F.sqrt(F.greatest(vy - slope * cxy, F.lit(0.0)))
+def decay_beta(df: DataFrame, key: str, date: str, y: str, x: str, half_life: float, rows: int) -> DataFrame:
+    """``beta``, ``alpha`` and ``resid`` (residual standard deviation) of y on x over complete decayed windows.
+
+    Six window sums are named columns of their own, so that none is spelled out twice.
+    """
+    w = trailing(key, rows, date)
+    d = df.withColumn("_g", decay(half_life))
+    sums = {"_my": y, "_mx": x, "_mxx": f"{x} * {x}", "_mxy": f"{x} * {y}", "_myy": f"{y} * {y}"}
+    d = d.select(*df.columns, F.count(F.lit(1)).over(w).alias("_n"), F.sum("_g").over(w).alias("_w"), *(F.sum(F.expr(f"_g * {e}")).over(w).alias(n) for n, e in sums.items()))
+    d = d.select(*df.columns, "_n", *((F.col(n) / F.col("_w")).alias(n) for n in sums))
+    d = d.withColumn("_vx", F.expr("_mxx - _mx * _mx")).withColumn("_c", F.expr("_mxy - _mx * _my"))
+    d = d.withColumn("beta", F.when(F.col("_n") == rows, F.try_divide("_c", F.when(F.col("_vx") != 0, F.col("_vx")))))
+    d = d.withColumn("alpha", F.expr("_my - beta * _mx")).withColumn("resid", F.sqrt(F.greatest(F.expr("_myy - _my * _my - beta * _c"), F.when(F.col("beta").isNotNull(), 0.0))))
+    return d.drop("_n", "_vx", "_c", *sums)
