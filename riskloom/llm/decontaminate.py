@@ -138,7 +138,8 @@ def blocks_of(fingerprint: str, near: int = 0) -> Column:
     """(block, value) of the blocks of a fingerprint, and of all values within ``near`` bits of each."""
     values = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda x: F.bit_count(x) <= near) if near else F.array(F.lit(0))
     own = F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(F.col(fingerprint), BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("value")) for b in range(BLOCKS)))
-    return F.flatten(F.transform(own, lambda s: F.transform(values, lambda x: F.struct(s["block"].alias("block"), s["value"].bitwiseXOR(x.cast("long")).alias("value")))))
+    each = lambda v: F.flatten(F.transform(own, lambda s: F.transform(v, lambda x: F.struct(s["block"].alias("block"), s["value"].bitwiseXOR(x.cast("long")).alias("value")))))
+    return F.get(F.transform(F.array(values), each), 0)
 
 
 def within_radius(prints: DataFrame, items: DataFrame) -> DataFrame:
@@ -177,8 +178,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     long = stored(long.select("item", "item_id", "n", F.array_sort("hashes").alias("item_hashes"), simhash(F.col("hashes"), F.size("hashes"), width).alias("item_print")), "decontaminate-prints")
     known = stored(long.select(F.explode("item_hashes").alias("h")).distinct(), "decontaminate-shingles")
 
-    # The outer form keeps Catalyst from inferring a filter that would split each text twice.
-    placed = words.select("row", F.size("words").alias("size"), F.posexplode_outer(F.when(F.size("words") >= SIZE, shingles_of(F.col("words")))).alias("pos", "h"))
+    # The outer form keeps Catalyst from inferring a filter that would split each text again and again;
+    # the rows that it makes carry no array.
+    hashed = words.select("row", F.size("words").alias("size"), F.when(F.size("words") >= SIZE, shingles_of(F.col("words"))).alias("hashes"))
+    placed = hashed.select("row", "size", F.posexplode_outer("hashes").alias("pos", "h"))
     held = placed.join(known, "h").groupBy("row", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     spans = held.select("row", _windows(full).alias("windows")).where("size(windows) > 0") if full else held.select("row", F.lit(None).cast("array<struct<start:int,n:int,has:int>>").alias("windows")).where("false")
     # Regions of a document: windows by the REGION words in which they begin.
