@@ -145,9 +145,10 @@ def blocks_of(fingerprint: str, near: int = 0) -> Column:
 def within_radius(prints: DataFrame, items: DataFrame) -> DataFrame:
     """(fingerprint, item, hamming) of all pairs within RADIUS; from ``fingerprint``, and ``item`` with ``item_print``."""
     a = prints.select("fingerprint").distinct().select("fingerprint", F.explode(blocks_of("fingerprint")).alias("b")).select("fingerprint", "b.*")
+    # Spark takes the filed items for as small as the table of items, so it must not choose a broadcast.
     b = items.select("item", "item_print", F.explode(blocks_of("item_print", NEAR)).alias("b")).select("item", "item_print", "b.*")
     hamming = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
-    return a.join(b, ["block", "value"]).where(hamming <= RADIUS).select("fingerprint", "item", hamming.cast("int").alias("hamming")).distinct()
+    return a.hint("merge").join(b.hint("merge"), ["block", "value"]).where(hamming <= RADIUS).select("fingerprint", "item", hamming.cast("int").alias("hamming")).distinct()
 
 
 def _windows(sizes: list[int]) -> Column:

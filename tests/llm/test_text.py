@@ -234,6 +234,8 @@ def test_hamming_index_finds_all_within_the_radius(spark):
     items = [rng.getrandbits(64) - (1 << 63) for _ in range(5)]
     prints = [x ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 26))) for x in items for _ in range(40)] + [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
     got = decontaminate.within_radius(spark.createDataFrame([(p,) for p in prints], "fingerprint long"), spark.createDataFrame(list(enumerate(items)), "item long, item_print long")).collect()
+    plan = decontaminate.within_radius(spark.range(9).withColumnRenamed("id", "fingerprint"), spark.createDataFrame(list(enumerate(items)), "item long, item_print long"))
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
     want = {(p, i, ((p ^ x) & ((1 << 64) - 1)).bit_count()) for p in prints for i, x in enumerate(items)}
     assert sorted((r.fingerprint, r.item, r.hamming) for r in got) == sorted(x for x in want if x[2] <= decontaminate.RADIUS)
 
