@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 1 << 19
+#: A group of more than 1 / HOT_SHARE of all rows is joined by a broadcast of such groups.
+HOT_SHARE = 2000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -217,6 +219,18 @@ def shingles(w: Words, hashes: np.ndarray, size: int = 5) -> tuple[np.ndarray, n
     return mix64(out), bounds
 
 
+def with_group(rows: DataFrame, groups: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with one row a group; groups of more than 1/HOT_SHARE of all rows, of which
+    there are fewer than HOT_SHARE, are broadcast, so no task gathers a large one."""
+    from pyspark.sql import functions as F
+
+    hot = F.col(copies) > max(64, total // HOT_SHARE)
+    near = rows.join(F.broadcast(groups.where(hot)), key, "left")
+    done = near.where(F.col(copies).isNotNull() | F.col(key).isNull())
+    rest = near.where(F.col(copies).isNull() & F.col(key).isNotNull()).select(rows.columns).join(groups.where(~hot), key, "left")
+    return done.unionByName(rest)
+
+
 def may_be_in(df: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be in ``ids`` (one column): a filter before an exact join.
 

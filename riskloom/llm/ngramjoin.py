@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, forget, free_name, may_be_in, mix64, shingles, small_batches, stored, text_blocks, words
+from .blocks import Block, forget, free_name, may_be_in, mix64, shingles, small_batches, stored, text_blocks, with_group, words
 from .components import components
 
 SIZE = 5
@@ -348,11 +348,12 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
     final = stored(components(links, "jaccard-final"), "jaccard-comps")
     forget(repeated, by_set, meet, members, star, tested, near, m, rest, late)
 
-    own = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    own = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("copies"))
     own = own.join(final.select(F.col("node").alias("set_id"), "comp"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     low = own.groupBy("comp").agg(F.min("least").alias("low"))
-    own = stored(own.join(low, "comp").select("set_id", "low"), "jaccard-low")
-    return sets.select("doc_id", "row", "n", "set_id").join(own, "set_id", "left")
+    own = stored(own.join(low, "comp").select("set_id", "copies", "low"), "jaccard-low")
+    # Copies share a set, and a third of all rows may be copies of one text.
+    return with_group(sets.select("doc_id", "row", "n", "set_id"), own, "set_id", "copies", sets.count()).drop("copies")
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE) -> DataFrame:

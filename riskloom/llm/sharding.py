@@ -22,13 +22,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import forget, stored
+from .blocks import forget, stored, with_group
 
 SHARDS = 16
 ROUNDS = 3
 BUCKET_ROWS = 2000
 RUN = 1024
-HOT_SHARE = 2000
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], within: list[str], buckets: int, name: str) -> DataFrame:
@@ -49,16 +48,6 @@ def ranked(df: DataFrame, group: list[str], order: list[str], within: list[str],
     return inner.join(base, key).withColumn(name, (F.col("_base") + F.col("_r")).cast("long")).drop("_b", "_r", "_base")
 
 
-def with_group(rows: DataFrame, groups: DataFrame, key: str, copies: str, total: int) -> DataFrame:
-    """Left join of ``rows`` with one row a group; groups of more than 1/HOT_SHARE of all rows, of which
-    there are fewer than HOT_SHARE, are broadcast, so no task gathers a large one."""
-    hot = F.col(copies) > max(64, total // HOT_SHARE)
-    near = rows.join(F.broadcast(groups.where(hot)), key, "left")
-    done = near.where(F.col(copies).isNotNull() | F.col(key).isNull())
-    rest = near.where(F.col(copies).isNull() & F.col(key).isNotNull()).select(rows.columns).join(groups.where(~hot), key, "left")
-    return done.unionByName(rest)
-
-
 def first_shards(rows: DataFrame, shards: int, buckets: int) -> DataFrame:
     """A shard for each row such that counts are at most one apart."""
     return ranked(rows, [], [], ["row_id"], buckets, "_rank").withColumn("shard", (F.col("_rank") % shards).cast("int")).drop("_rank")

@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import components, decontaminate, lm, ngramjoin, sharding, suffixes, toxicity
+from riskloom.llm import blocks, components, decontaminate, lm, ngramjoin, sharding, suffixes, toxicity
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -248,7 +248,7 @@ def test_decontamination_is_native(docs, spark):
 
 @pytest.mark.parametrize("share", [2000, 1])
 def test_balanced_shards(spark, monkeypatch, share):
-    monkeypatch.setattr(sharding, "HOT_SHARE", share)
+    monkeypatch.setattr(blocks, "HOT_SHARE", share)
     monkeypatch.setattr(sharding, "RUN", 3)
     keys = ["hot"] * 140 + [f"t{i // 2}" for i in range(40)] + [None] * 30
     df = spark.createDataFrame([(i if i % 7 else None, k, i, 0.5, -1) for i, k in enumerate(keys)], "doc_id long, k string, row_id long, slot double, _link int")
