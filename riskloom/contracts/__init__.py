@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +51,17 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def digest(df: DataFrame) -> DataFrame:
     return df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+def perturbed(df: DataFrame, date: str, after: str, columns: list[str], seed: int = 1) -> DataFrame:
+    """Rows after a date with their numbers multiplied by the exponential of a normal draw."""
+    late = F.col(date) > F.to_date(F.lit(after))
+    for k, c in enumerate(columns):
+        df = df.withColumn(c, F.when(late, F.col(c) * F.exp(F.randn(seed + k))).otherwise(F.col(c)))
+    return df
+
+
+def lookahead(state: Callable[[DataFrame], DataFrame], df: DataFrame, date: str, at: str, columns: list[str]) -> DataFrame:
+    """Rows of ``state`` up to a date that change when later rows of ``df`` are perturbed; none if it doesn't look ahead."""
+    seen = lambda x: state(x).where(F.col(date) <= F.to_date(F.lit(at)))
+    return seen(df).exceptAll(seen(perturbed(df, date, at, columns)))

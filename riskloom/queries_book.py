@@ -398,3 +398,67 @@ def lags_compared(spark, d):
     v0 = F.avg(F.col("r") * F.col("r"))
     v = x.groupBy("asset").agg(v0.alias("v0"), (v0 + 2 * (2 / 3) * F.avg(F.col("r") * F.col("r1")) + 2 * (1 / 3) * F.avg(F.col("r") * F.col("r2"))).alias("v2"))
     return v.select("asset", rnd(F.sqrt("v0")).alias("plain"), rnd(F.when(F.col("v2") > 0, F.sqrt(F.col("v2") / F.col("v0"))), 4).alias("ratio"))
+
+
+_PAIR = f"{_RM}, mo AS (SELECT asset, CAST(date_trunc('month', date) AS DATE) AS month, sum(r) AS y, sum(m) AS x, avg(volume) / 100 AS u FROM rm GROUP BY 1, 2)"
+
+
+def _monthly_pair(spark, d):
+    return _with_market(spark, d).groupBy("asset", month().alias("month")).agg(F.sum("r").alias("y"), F.sum("m").alias("x"), (F.avg("volume") / 100).alias("u"))
+
+
+@query("k_comparand_fit", f"""WITH {_PAIR}, b AS (SELECT asset, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM mo GROUP BY 1), e AS (SELECT mo.asset, month, (y - alpha - beta * x) * (n * x - s) / (n * q - s * s) AS g, beta, n FROM mo JOIN b ON b.asset = mo.asset), l AS (SELECT *, lag(g, 1) OVER w AS g1, lag(g, 2) OVER w AS g2, lag(g, 3) OVER w AS g3 FROM e WINDOW w AS (PARTITION BY asset ORDER BY month))
+SELECT asset, max(n) AS months, round(max(beta), 4) + 0.0 AS beta, round(sqrt(greatest(sum(g * g) + 2 * 0.75 * sum(coalesce(g * g1, 0)) + 2 * 0.5 * sum(coalesce(g * g2, 0)) + 2 * 0.25 * sum(coalesce(g * g3, 0)), 0)), 4) AS error FROM l GROUP BY 1""")
+def comparand_fit(spark, d):
+    """Monthly regression on a published series with HAC errors of three lags."""
+    x = G.ols_hac(_monthly_pair(spark, d), "asset", "month", "y", "x", 3)
+    return x.select("asset", F.col("n").alias("months"), rnd("beta", 4).alias("beta"), rnd("beta_error", 4).alias("error"))
+
+
+@query("k_comparands_equal", f"WITH {_PAIR}, s AS (SELECT asset, (y - avg(y) OVER p) / stddev_samp(y) OVER p - (x - avg(x) OVER p) / stddev_samp(x) OVER p AS z, y - x AS raw, y, x FROM mo WINDOW p AS (PARTITION BY asset)) SELECT asset, round(max(abs(z)), 4) AS standardised, round(max(abs(raw)), 4) AS raw, round(corr(y, x), 4) + 0.0 AS corr, max(abs(raw)) > 1e-9 AS are_distinct FROM s GROUP BY 1")
+def comparands_equal(spark, d):
+    """Largest difference of two series, raw and standardised, their correlation, and whether they are two at all."""
+    p = Window.partitionBy("asset")
+    z = lambda c: (F.col(c) - F.avg(c).over(p)) / F.stddev_samp(c).over(p)
+    s = _monthly_pair(spark, d).select("asset", "y", "x", (z("y") - z("x")).alias("z"), (F.col("y") - F.col("x")).alias("raw"))
+    big = F.max(F.abs("raw"))
+    return s.groupBy("asset").agg(rnd(F.max(F.abs("z")), 4).alias("standardised"), rnd(big, 4).alias("raw"), rnd(corr("y", "x"), 4).alias("corr"), (big > 1e-9).alias("are_distinct"))
+
+
+@query("k_alpha_confound", f"""WITH {_PAIR}, s AS (SELECT asset, avg(y) AS my, avg(x) AS mx, avg(u) AS mu, covar_pop(y, x) AS p, covar_pop(y, u) AS q, var_pop(x) AS a, var_pop(u) AS b, covar_pop(x, u) AS o, count(*) AS n FROM mo GROUP BY 1)
+SELECT asset, n AS months, round(my - p / a * mx, 4) + 0.0 AS alpha, round(my - (p * b - q * o) / (a * b - o * o) * mx - (q * a - p * o) / (a * b - o * o) * mu, 3) + 0.0 AS alpha_with FROM s""")
+def alpha_confound(spark, d):
+    """Intercept with and without a second regressor, from sums by asset."""
+    s = _monthly_pair(spark, d).groupBy("asset").agg(F.avg("y").alias("my"), F.avg("x").alias("mx"), F.avg("u").alias("mu"), F.covar_pop("y", "x").alias("p"), F.covar_pop("y", "u").alias("q"), F.var_pop("x").alias("a"), F.var_pop("u").alias("b"), F.covar_pop("x", "u").alias("o"), F.count(F.lit(1)).alias("n"))
+    return s.select("asset", F.col("n").alias("months"), rnd(F.expr("my - p / a * mx"), 4).alias("alpha"), rnd(F.expr("my - (p * b - q * o) / (a * b - o * o) * mx - (q * a - p * o) / (a * b - o * o) * mu"), 3).alias("alpha_with"))
+
+
+@query("k_kappa_sensitivity", f"WITH {RETURNS}, s AS (SELECT asset, avg(r) * 252 AS alpha, avg(trades) AS tau, avg((high - low) / close) / 100 AS kappa FROM rets WHERE r IS NOT NULL GROUP BY 1), g AS (SELECT unnest([{{'regime': 'patient', 'k': 0.58}}, {{'regime': 'urgent', 'k': 1.4}}]) AS g) SELECT asset, g.regime AS regime, round(CASE WHEN alpha > 0.001 AND kappa > 0 THEN pow((alpha - 0.001) / (tau * kappa * g.k), 2) END, 3) AS break_even, round(CASE WHEN alpha > 0.001 AND kappa > 0 THEN pow((alpha - 0.001) / (1.5 * tau * kappa * g.k), 2) END, 3) AS effective FROM s, g")
+def kappa_sensitivity(spark, d):
+    """Both capacity points under two prefactors of the impact."""
+    s = returns(spark, d).where("r IS NOT NULL").groupBy("asset").agg((F.avg("r") * 252).alias("alpha"), F.avg("trades").alias("tau"), (F.avg((F.col("high") - F.col("low")) / F.col("close")) / 100).alias("kappa"))
+    s = s.withColumn("g", F.explode(F.array(*(F.struct(F.lit(n).alias("regime"), F.lit(k).alias("k")) for n, k in (("patient", 0.58), ("urgent", 1.4))))))
+    points = K.capacity(F.col("alpha"), F.col("tau"), F.col("kappa") * F.col("g.k"), 1.5, 0.001)
+    return s.select("asset", "g.regime", rnd(points[0], 3).alias("break_even"), rnd(points[1], 3).alias("effective"))
+
+
+@query("k_excess_panel", f"WITH {RETURNS}, c AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 1e8 AS cash FROM orders GROUP BY 1) SELECT asset, rets.date, round(r - cash, 5) + 0.0 AS excess FROM rets JOIN c ON c.date = rets.date WHERE r IS NOT NULL")
+def excess_panel(spark, d):
+    """Return less the cash rate on shared dates."""
+    c = table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg((F.avg("o_totalprice") / 1e8).alias("cash"))
+    return returns(spark, d).where("r IS NOT NULL").join(c, "date").select("asset", "date", rnd(F.col("r") - F.col("cash")).alias("excess"))
+
+
+@query("k_complete_panel", f"WITH {RETURNS}, g AS (SELECT date, asset % 4 AS g, avg(r) AS r FROM rets WHERE r IS NOT NULL GROUP BY 1, 2), n AS (SELECT date FROM g GROUP BY 1 HAVING count(*) = 4) SELECT g, count(*) AS dates, round(avg(r), 5) + 0.0 AS mean, round(stddev_samp(r), 5) AS sd FROM g JOIN n ON n.date = g.date GROUP BY 1")
+def complete_panel(spark, d):
+    """Groups of assets on the dates on which all four have a return."""
+    g = returns(spark, d).where("r IS NOT NULL").groupBy("date", (F.col("asset") % 4).alias("g")).agg(F.avg("r").alias("r"))
+    g = g.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date"))).where("n = 4")
+    return g.groupBy("g").agg(F.count(F.lit(1)).alias("dates"), rnd(F.avg("r")).alias("mean"), rnd(F.stddev_samp("r")).alias("sd"))
+
+
+@query("k_return_cross_check", f"WITH {_RM}, f AS (SELECT date, CAST(year(date) AS INTEGER) AS year, max(m) AS a, avg(r) AS b FROM rm GROUP BY 1, 2) SELECT year, count(*) AS n, round(avg(a - b) * 252, 4) + 0.0 AS gap, round(regr_slope(a, b), 4) + 0.0 AS slope, round(regr_intercept(a, b), 5) + 0.0 AS intercept, round(corr(a, b), 4) + 0.0 AS corr FROM f GROUP BY 1")
+def return_cross_check(spark, d):
+    """One return against another by year: gap, slope, intercept, correlation."""
+    f = _with_market(spark, d).groupBy("date").agg(F.max("m").alias("a"), F.avg("r").alias("b"))
+    return f.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(F.col("a") - F.col("b")) * 252, 4).alias("gap"), rnd(F.regr_slope("a", "b"), 4).alias("slope"), rnd(F.regr_intercept("a", "b")).alias("intercept"), rnd(corr("a", "b"), 4).alias("corr"))

@@ -83,3 +83,16 @@ def test_book_and_quantiles(spark):
     q = spark.createDataFrame([("a", float(x), 1.0, i) for i, x in enumerate([1, 2, 3, 4, 5])], "k string, x double, w double, t int")
     got = book.weighted_quantiles(q, ["k"], "x", "w", {"a": 0.25, "b": 0.6}, "t").first()
     assert (got.a, got.b) == pytest.approx((2.0, 3.4))
+
+
+def test_lookahead_is_found(spark):
+    from pyspark.sql import Window
+
+    from riskloom import contracts
+
+    df = spark.sql("SELECT date_add(DATE '2020-01-01', CAST(id AS INT)) AS date, 1.0D + id AS x FROM range(20)")
+    w = Window.orderBy("date")
+    honest = lambda d: d.select("date", F.avg("x").over(w.rowsBetween(-3, 0)).alias("s"))
+    peeks = lambda d: d.select("date", F.avg("x").over(w.rowsBetween(-3, 1)).alias("s"))
+    assert contracts.lookahead(honest, df, "date", "2020-01-10", ["x"]).count() == 0
+    assert contracts.lookahead(peeks, df, "date", "2020-01-10", ["x"]).count() == 1
