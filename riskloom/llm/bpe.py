@@ -5,11 +5,12 @@ right context that the change can still alter. A run of merges that reacts to an
 moves the first differing boundary leftwards only by a merge of higher rank whose right part begins
 at that boundary, so the longest such chain of rising ranks bounds it. ``WordTransducer`` therefore
 reads symbols into a buffer, and whenever the buffer holds twice the lookahead it emits the tokens
-that end at least a lookahead before its end: nothing that follows can change them. Memory is
+that end at least a lookahead before its end: nothing that follows can change them. Its memory is
 constant for words of any length. ``TokenDecoder`` turns ids into text one at a time.
 
 Texts are read in portions of ``PORTION`` bytes, piece by piece (a piece ends at a space or a line
-feed, which no token crosses), and a bounded table remembers the ids of short pieces met before.
+feed, which no token crosses), and a bounded table remembers the ids of short pieces met before. A
+run without space and line feed is one portion, held as bytes, text and 32-bit ids.
 
 Defined results: null and empty texts have no tokens and decode to the empty string. Rows are handled
 alone; an empty table gives an empty one; extra columns are kept, and one that bears an added name is
@@ -22,7 +23,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .blocks import small_batches, text_blocks
-from .piecetable import PieceTable, Store, piece_hashes, piece_spans
+from .piecetable import PORTION, PieceTable, Store, distinct, piece_keys, piece_spans, portions
 
 SLOT_BITS = 20
-PORTION = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -220,6 +219,11 @@ class TokenDecoder:
     def decode(self, ids: Iterable[int]) -> str:
         return "".join([self.step(i) for i in ids]) + self.finish()
 
+    def decode_array(self, ids: np.ndarray, step: int = 1 << 14) -> bytes:
+        """UTF-8 text of an array of ids, ``step`` of them as objects at a time."""
+        said = ["".join([self.step(i) for i in ids[k : k + step].tolist()]).encode() for k in range(0, len(ids), step)]
+        return b"".join(said) + self.finish().encode()
+
 
 class RememberedPieces:
     """Ids and decoded text of the pieces of texts, by the transducers; a bounded table remembers short pieces."""
@@ -239,47 +243,32 @@ class RememberedPieces:
         begins, ends = piece_spans(data, offsets)
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         bounds = np.searchsorted(start, offsets)
-        h = piece_hashes(data, start, end) if len(start) else np.zeros(0, np.uint64)
-        slot = self.table.find(h)
+        keys = piece_keys(data, start, end)
+        slot = self.table.find(keys)
         of = self.table.values[:, slot].astype(np.int64)
         miss = np.flatnonzero(slot < 0)
         if len(miss):
-            new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            first, which = distinct(keys[:, miss])
             first = miss[first]
             raw = data.tobytes()
             ids, said = [], []
             for a, e in zip(start[first].tolist(), end[first].tolist(), strict=True):
-                one = list(self.encoder.encode(raw[a:e].decode()))
+                one = np.fromiter(self.encoder.encode(raw[a:e].decode()), np.uint32)
                 ids.append(one)
-                text = self.decoder.decode(one).encode()
+                text = self.decoder.decode_array(one)
                 said.append(text + self.gap if text else b"")
             n_ids, n_said = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, said))
-            at_ids = self.ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(n_ids.sum())), n_ids)
+            at_ids = self.ids.add(np.concatenate(ids), n_ids)
             at_said = self.said.add(np.frombuffer(b"".join(said), np.uint8), n_said)
             values = np.stack([at_ids, n_ids, at_said, n_said])
             of[:, miss] = values[:, which]
             short = end[first] - start[first] <= PieceTable.LONGEST
-            self.table.insert(new[short], values[:, short])
+            self.table.insert(keys[:, first[short]], values[:, short])
         ids, edges = self.ids.gather(of[0], of[1])
         said, said_edges = self.said.gather(of[2], of[3])
         return ids, edges[bounds], said, said_edges[bounds]
 
 
-def _portions(data: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text in portions that end behind a blank or a line feed; without one the portion grows."""
-    at = 0
-    while at < len(data):
-        end, size = len(data), PORTION
-        while at + size < len(data):
-            blank = np.flatnonzero((data[at : at + size] == 0x20) | (data[at : at + size] == 0x0A))
-            if len(blank):
-                end = at + int(blank[-1]) + 1
-                break
-            size *= 2
-        yield data[at:end]
-        at = end
-
-
 def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Add n_tokens, ids_sha256 and decoded_sha256 (and ``ids``) to each row; the text column goes."""
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -301,7 +290,7 @@ def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text", keep_id
 
             if len(b) == 1 and len(b.data) > 2 * PORTION:
                 n, ids_sha, said_sha, wait, kept_ids = 0, hashlib.sha256(), hashlib.sha256(), b"", []
-                for part in _portions(b.data):
+                for part in portions(b.data, PORTION):
                     ids, _, said, _ = known.coded(part, np.array([0, len(part)]))
                     n += len(ids)
                     ids_sha.update(ids.tobytes())

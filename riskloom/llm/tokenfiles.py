@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, shared_dir, small_batches, text_blocks
 from .bpe import default_tokenizer
-from .piecetable import PieceTable, Store, piece_hashes, piece_spans
+from .piecetable import PORTION, PieceTable, Store, distinct, piece_keys, piece_spans, portions
 
 MAGIC = b"RLTOKEN1"
 FOOTER = struct.Struct("<QQc7x8s")
@@ -57,8 +57,8 @@ def open_path(uri: str) -> tuple[fs.FileSystem, str]:
 class LibraryPieces:
     """Ids of texts by the tokenizers library; a bounded table remembers the ids of pieces between blanks.
 
-    The table is open addressing over arrays: 64-bit hash of a piece of at most ``LONGEST`` bytes,
-    and where its ids lie in ``flat``. A table or an id store that fills up starts anew. Probes tell
+    The table is open addressing over arrays: two 64-bit keys of a piece of at most ``LONGEST`` bytes,
+    and where its ids lie in ``store``. A table or an id store that fills up starts anew. Probes tell
     whether the tokenizer's ids allow cuts at blanks, and at marks behind plain letters; one whose
     ids depend on blanks has its texts encoded whole.
     """
@@ -86,28 +86,33 @@ class LibraryPieces:
         return [e.ids for e in getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)(texts, add_special_tokens=False)]
 
     def ids(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents of a block one behind the other, and each document's range."""
+        """Ids of all documents of a block one behind the other, and each document's range; a long text in portions."""
         if not self.in_pieces:
             coded = self._encode([block.text(i).decode() for i in range(len(block))])
             return np.fromiter(chain.from_iterable(coded), self.dtype), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+        if len(block) > 1 or len(block.data) <= 4 * PORTION:
+            return self._of_pieces(block.data, block.offsets)
+        ids = np.concatenate([self._of_pieces(p, np.array([0, len(p)]))[0] for p in portions(block.data)])
+        return ids, np.array([0, len(ids)])
+
+    def _of_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.table.full or self.store.used > self.MOST_IDS:
             self.table.clear()
             self.store.used = 0
-        data = block.data
-        begins, ends = piece_spans(data, block.offsets)
+        begins, ends = piece_spans(data, offsets)
         if self.at_marks:
             cut = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
             begins[cut], ends[cut - 1] = True, True
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        bounds = np.searchsorted(start, block.offsets)
+        bounds = np.searchsorted(start, offsets)
         if not len(start):
             return np.zeros(0, self.dtype), bounds
-        h = piece_hashes(data, start, end)
-        slot = self.table.find(h)
+        keys = piece_keys(data, start, end)
+        slot = self.table.find(keys)
         at, count = self.table.values[:, slot].astype(np.int64)
         miss = np.flatnonzero(slot < 0)
         if len(miss):
-            new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            first, which = distinct(keys[:, miss])
             first = miss[first]
             raw = data.tobytes()
             coded = self._encode([raw[a:e].decode() for a, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
@@ -115,7 +120,7 @@ class LibraryPieces:
             place = self.store.add(np.fromiter(chain.from_iterable(coded), self.dtype, int(size.sum())), size)
             at[miss], count[miss] = place[which], size[which]
             short = end[first] - start[first] <= PieceTable.LONGEST
-            self.table.insert(new[short], np.stack([place, size])[:, short])
+            self.table.insert(keys[:, first[short]], np.stack([place, size])[:, short])
         out, edges = self.store.gather(at, count)
         return out, edges[bounds]
 

@@ -11,8 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, media, tokenfiles, warc
-from riskloom.llm.blocks import shared_dir
+from riskloom.llm import bpe, media, ngramjoin, tokenfiles, warc
+from riskloom.llm.blocks import Block, shared_dir
+from riskloom.llm.blocks import words as word_spans
+from riskloom.llm.piecetable import PieceTable, distinct, portions
 
 WORD_BPE = bpe.default_tokenizer()
 
@@ -61,7 +63,7 @@ def test_bpe_reads_long_texts_in_portions(spark, texts, monkeypatch):
     long_ = [" ".join([t or "" for t in texts] * 3), "  " + texts[6] + " \n ", "x" * 500 + " " + "y" * 300, " " * 400, texts[11]]
     known = bpe.RememberedPieces(bpe.MergeList(WORD_BPE), bits=6)  # so small that it starts anew again and again
     for t in long_:
-        parts = list(bpe._portions(np.frombuffer(t.encode(), np.uint8)))
+        parts = list(portions(np.frombuffer(t.encode(), np.uint8), 64))
         assert b"".join(p.tobytes() for p in parts) == t.encode()
         ids = [i for p in parts for i in known.coded(p, np.array([0, len(p)]))[0].tolist()]
         assert ids == tok.encode(t, add_special_tokens=False).ids
@@ -73,16 +75,76 @@ def test_bpe_reads_long_texts_in_portions(spark, texts, monkeypatch):
 
 
 def test_piece_table_keeps_and_forgets():
-    from riskloom.llm.piecetable import PieceTable
-
     t = PieceTable(4, 1)
-    h = np.array([1, 17, 33, 49, 2], np.uint64)  # four of them want one slot
+    both = lambda *h: np.array([h, [7] * len(h)], np.uint64)
+    h = both(1, 17, 33, 49, 2)  # four of them want one slot
     t.insert(h, np.arange(5)[None])
-    assert t.values[0, t.find(h)].tolist() == [0, 1, 2, 3, 4] and t.find(np.array([65, 3], np.uint64)).tolist() == [-1, -1]
+    assert t.values[0, t.find(h)].tolist() == [0, 1, 2, 3, 4] and t.find(both(65, 3)).tolist() == [-1, -1]
+    other = np.array([[1], [8]], np.uint64)  # the first key of another piece
+    assert t.find(other).tolist() == [-1]
+    t.insert(other, np.array([[9]]))
+    assert t.values[0, t.find(other)].tolist() == [9] and t.values[0, t.find(h)].tolist() == [0, 1, 2, 3, 4]
     t.clear()
     assert t.find(h).tolist() == [-1] * 5
 
 
+@pytest.mark.parametrize("more", [-1, 0, 1, 5000])
+def test_piece_table_takes_more_keys_than_slots(more):
+    t = PieceTable(4, 1)
+    n = 16 + more
+    keys = np.stack([np.arange(1, n + 1), np.arange(n)]).astype(np.uint64)
+    t.insert(keys, np.arange(n)[None])
+    assert t.full and t.held == 8
+    found = t.find(keys)
+    assert (found >= 0).sum() == 8 and t.values[0, found[found >= 0]].tolist() == list(range(8))
+
+
+def test_distinct_looks_at_both_keys():
+    first, which = distinct(np.array([[5, 5, 5, 1], [1, 2, 1, 1]], np.uint64))
+    assert len(first) == 3 and which[0] == which[2] != which[1]
+
+
+def rule_words(n: int = 1024) -> tuple[str, str]:
+    """The two words of x -> xy, y -> yx from a and from b: a polynomial hash modulo 2**64 can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_built_by_a_rule_are_told_apart(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD_BPE)
+    a, b = rule_words()
+    texts = [a, b, f"{a} {b}", f"{b} {a} {a}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {i: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for i, t in enumerate(texts)}
+    assert {r.doc_id: bytes(r.ids) for r in bpe.encode_and_decode(df, WORD_BPE, keep_ids=True).collect()} == want
+    folder = shared_dir(spark, "tokens")
+    tokenfiles.write_token_files(df, folder, WORD_BPE)
+    end = np.array([2], "<u4").tobytes()
+    assert {r.doc_id: r.ids_crc32 for r in tokenfiles.read_token_files(spark, folder).collect()} == {i: zlib.crc32(x + end) for i, x in want.items()}
+    words = Block(None, np.frombuffer(f"{a} {b}".encode(), np.uint8), np.array([0, 2049]))
+    h = word_spans(words).hashes()
+    assert len(h) == 2 and h[0] != h[1]
+    links = spark.createDataFrame([(1, f"{a} x"), (2, f"{b} x"), (3, f"{a} x")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(links).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_token_files_take_long_texts_in_portions():
+    from tokenizers import Tokenizer
+
+    known = tokenfiles.LibraryPieces(WORD_BPE, "<u2")
+    known.table = PieceTable(19, 2)  # fewer slots than pieces
+    part = " ".join(map(str, range(280_000))) + " "
+    solid = "".join("abcdefghij0123456789"[(k * k + k // 7) % 20] for k in range(50_000)) * 100
+    tok = Tokenizer.from_file(WORD_BPE)
+    for text, again in ((part, 11), (solid, 1)):  # 21 MB of far more pieces than slots, 5 MB without a blank
+        raw = np.frombuffer(text.encode() * again, np.uint8)
+        ids, bounds = known.ids(Block(None, raw, np.array([0, len(raw)])))
+        assert bounds.tolist() == [0, len(ids)] and known.table.held <= 1 << 18
+        assert np.array_equal(ids, np.tile(np.array(tok.encode(text, add_special_tokens=False).ids, "<u2"), again))
+
+
 def test_bpe_streams_long_words():
     m = bpe.MergeList(WORD_BPE)
     word = ("thereisnospaceinthisword" * 400).encode()
