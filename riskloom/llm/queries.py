@@ -11,6 +11,7 @@ from .bpe import op10_bpe_round_trip
 from .decontaminate import op8_decontaminate
 from .lm import op4_lm_scores
 from .media import op1_media_columns
+from .negatives import op11_hard_negatives
 from .ngramjoin import op5_ngram_jaccard
 from .sharding import op2_balanced_shards
 from .suffixes import op7_repeats
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
-SQL: dict[str, str] = {"op5_ngram_jaccard": oracle.COMPONENTS, "op6_warc_segments": oracle.PAGES, "op7_repeats": oracle.REPEATS}
+SQL: dict[str, str] = {"op5_ngram_jaccard": oracle.COMPONENTS, "op6_warc_segments": oracle.PAGES, "op7_repeats": oracle.REPEATS, "op11_hard_negatives": oracle.NEGATIVES}
