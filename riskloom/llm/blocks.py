@@ -122,30 +122,38 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 #: Spans of more bytes than this get a digest instead of mixed lanes.
 _MOST_LANES = 64
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LANE_ODD = (_M1, _M2)
 
 
-def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit keys of the byte spans [start, end): lanes of eight bytes mixed in one after the other.
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, count: int = 1) -> np.ndarray:
+    """``count`` (1 or 2) independent 64-bit keys of each byte span [start, end), a row each: lanes of eight bytes mixed in one after the other.
 
     Unlike ``span_hash`` there is no algebra between the keys of different spans, so texts built by a
-    rule don't collide more often than others. Another ``seed`` gives independent keys.
+    rule don't collide more often than others.
     """
     n = end - start
-    h = mix64(n.astype(np.uint64) * _M2 + np.uint64((2 * seed + 1) * int(_BASE) % (1 << 64)))
+    h = np.stack([mix64(n.astype(np.uint64) * _M2 + np.uint64((2 * k + 1) * int(_BASE) % (1 << 64))) for k in range(count)])
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    long_ = np.flatnonzero(n > 8 * _MOST_LANES)
-    for i in long_.tolist():
-        h[i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=bytes([seed])).digest(), np.uint64)[0]
-    todo = np.flatnonzero((n > 0) & (n <= 8 * _MOST_LANES)) if len(long_) else np.flatnonzero(n > 0)
-    at, rest, k = start[todo], n[todo], 0
+    most = 8 * _MOST_LANES
+    if len(n) and n.max() > most:
+        for i in np.flatnonzero(n > most).tolist():
+            h[:, i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest(), np.uint64)[:count]
+    todo, at, rest = np.flatnonzero(n <= most), start, n
+    if len(todo) < len(n):
+        at, rest = at[todo], rest[todo]
+    whole = len(todo) == len(n)  # the first lane needs no places
     while len(todo):
         w = lanes[at]
-        part = rest < 8
-        w[part] &= (np.uint64(1) << (rest[part].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
-        h[todo] = mix64((h[todo] ^ w) * _M1 + _BASE)
-        on = rest > 8
-        todo, at, rest, k = todo[on], at[on] + 8, rest[on] - 8, k + 1
+        w &= _LANE_MASK[np.minimum(rest, 8)]
+        for k in range(count):
+            if whole:
+                h[k] = mix64((h[k] ^ w) * _LANE_ODD[k] + _BASE)
+            else:
+                h[k, todo] = mix64((h[k, todo] ^ w) * _LANE_ODD[k] + _BASE)
+        on = np.flatnonzero(rest > 8)
+        todo, at, rest, whole = todo[on], at[on] + 8, rest[on] - 8, False
     return h
 
 
@@ -207,7 +215,7 @@ class Words:
     first: np.ndarray  # per document, and one more at the end
 
     def hashes(self) -> np.ndarray:
-        return span_keys(self.data, self.start, self.end)
+        return span_keys(self.data, self.start, self.end)[0]
 
 
 def words(block: Block) -> Words:

@@ -110,8 +110,9 @@ def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def piece_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Two keys of each piece; the first is never zero."""
-    one = np.maximum(span_keys(data, start, end), np.uint64(1))
-    return np.stack([one, span_keys(data, start, end, 1)])
+    keys = span_keys(data, start, end, 2)
+    np.maximum(keys[0], np.uint64(1), out=keys[0])
+    return keys
 
 
 def portions(data: np.ndarray, size: int = PORTION) -> Iterator[np.ndarray]:

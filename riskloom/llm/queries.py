@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .bpe import op10_bpe_round_trip
 from .decontaminate import op8_decontaminate
+from .langid import op12_language_id
 from .lm import op4_lm_scores
 from .media import op1_media_columns
 from .negatives import op11_hard_negatives
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_language_id": op12_language_id,
 }
 
 SQL: dict[str, str] = {"op5_ngram_jaccard": oracle.COMPONENTS, "op6_warc_segments": oracle.PAGES, "op7_repeats": oracle.REPEATS, "op11_hard_negatives": oracle.NEGATIVES}
