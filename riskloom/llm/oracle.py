@@ -40,3 +40,18 @@ p AS (SELECT anchor, other, score FROM s WHERE same QUALIFY row_number() OVER (P
 n AS (SELECT p.anchor AS anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+#: All phrases of up to four words, their cuts, and those that a longer one explains.
+COLLOCATIONS = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+g AS (SELECT lang, k.n AS size, array_to_string(w[i:i + k.n - 1], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w) x, (SELECT unnest(range(1, 5)) AS n) k WHERE i + k.n - 1 <= len(w)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
+k AS (SELECT lang, size, phrase, a, w, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT k.lang, k.size, k.phrase, k.a, k.w, k.k, x.f AS l, y.f AS r, CAST((CAST(k.a AS HUGEINT) * 2000000) // (x.f + y.f) AS BIGINT) AS score FROM k
+ JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, array_to_string(w[i:i + m.m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, size, w, a, unnest(range(1, size + 1)) AS i FROM c) x, (SELECT unnest(range(2, 4)) AS m) m WHERE m.m < size AND i + m.m - 1 <= size GROUP BY 1, 2),
+r AS (SELECT b.lang, b.phrase, a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80)
+SELECT r.lang, rank, phrase, a, l, r, t.n, score FROM r JOIN t ON t.lang = r.lang WHERE rank <= 2000"""

@@ -14,6 +14,7 @@ from .lm import op4_lm_scores
 from .media import op1_media_columns
 from .negatives import op11_hard_negatives
 from .ngramjoin import op5_ngram_jaccard
+from .phrases import op13_collocations
 from .sharding import op2_balanced_shards
 from .suffixes import op7_repeats
 from .tokenfiles import op3_token_files
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_language_id": op12_language_id,
+    "op13_collocations": op13_collocations,
 }
 
-SQL: dict[str, str] = {"op5_ngram_jaccard": oracle.COMPONENTS, "op6_warc_segments": oracle.PAGES, "op7_repeats": oracle.REPEATS, "op11_hard_negatives": oracle.NEGATIVES}
+SQL: dict[str, str] = {"op5_ngram_jaccard": oracle.COMPONENTS, "op6_warc_segments": oracle.PAGES, "op7_repeats": oracle.REPEATS, "op11_hard_negatives": oracle.NEGATIVES, "op13_collocations": oracle.COLLOCATIONS}
