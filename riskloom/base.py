@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .running import numbered
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -80,8 +82,8 @@ MARKET = RETURNS + ", mkt AS (SELECT date, sum(lag_cap * r) / sum(CASE WHEN r IS
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factor vectors: label, row number within it (0 the newest, so that decay weights stay finite), and all entries."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    w = Window.partitionBy("label")
-    return e.withColumn("rn", F.row_number().over(w.orderBy("vec_id")) - F.count(F.lit(1)).over(w))
+    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("_all"))
+    return numbered(e, ["label"], ["vec_id"], F.expr("vec_id div 4096")).join(n, "label").withColumn("rn", F.col("rn") - F.col("_all")).drop("_all")
 
 
 VECTORS = """vecs AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - count(*) OVER (PARTITION BY label) AS rn, embedding FROM embeddings),
