@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import book as K
+from . import moments as M
 from . import regress as G
 from .base import BARS, MARKET, RETURNS, bars, corr, market, query, returns, rnd, table
 from .panel import month
@@ -193,15 +194,23 @@ def correlation_gates(spark, d):
     return p.select("pair", rnd("v", 4).alias("corr"), (F.abs("v") <= 0.5).alias("passes"))
 
 
-@query("k_asset_covariance", "WITH e AS (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) AS a, avg(CAST(embedding[2] AS DOUBLE)) AS b FROM embeddings GROUP BY 1), f AS (SELECT var_pop(CAST(embedding[1] AS DOUBLE)) AS aa, covar_pop(CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)) AS ab, var_pop(CAST(embedding[2] AS DOUBLE)) AS bb FROM embeddings) SELECT x.label AS i, y.label AS j, round(x.a * y.a * aa + (x.a * y.b + x.b * y.a) * ab + x.b * y.b * bb + CASE WHEN x.label = y.label THEN 0.01 ELSE 0 END, 6) AS value FROM e x JOIN e y ON x.label <= y.label, f")
+@query("k_asset_covariance", """WITH c AS (SELECT label, vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), e AS (SELECT label, i, avg(x) AS b FROM c GROUP BY 1, 2),
+ f AS (SELECT p.i, q.i AS j, covar_pop(p.x, q.x) AS v FROM c p JOIN c q ON q.vec_id = p.vec_id GROUP BY 1, 2), o AS (SELECT c.label, avg((x - b) * (x - b)) AS own FROM c JOIN e ON e.label = c.label AND e.i = c.i GROUP BY 1),
+ h AS (SELECT e.label, f.j, sum(e.b * f.v) AS h FROM e JOIN f ON f.i = e.i GROUP BY 1, 2)
+ SELECT h.label AS i, e.label AS j, round(sum(h.h * e.b) + max(CASE WHEN h.label = e.label THEN own ELSE 0 END), 8) AS value FROM h JOIN e ON e.i = h.j JOIN o ON o.label = h.label WHERE h.label <= e.label GROUP BY 1, 2""")
 def asset_covariance(spark, d):
-    """X F X' plus the specific variance on the diagonal; one asset a label."""
-    v = table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    e = v.groupBy("label").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
-    f = v.agg(F.var_pop("a").alias("aa"), F.covar_pop("a", "b").alias("ab"), F.var_pop("b").alias("bb"))
-    y = e.select(F.col("label").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    p = e.join(F.broadcast(y), F.col("label") <= F.col("j")).join(F.broadcast(f), F.lit(True))
-    return p.select(F.col("label").alias("i"), "j", rnd(F.expr("a * a2 * aa + (a * b2 + b * a2) * ab + b * b2 * bb + if(label = j, 0.01D, 0D)"), 6).alias("value"))
+    """X F X' over all factors, with each asset's own variance on the diagonal; an asset is a label, its exposures the mean vector."""
+    v = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")).withColumn("one", F.lit(1))
+    cells = v.select("label", F.posexplode("v").alias("i", "x"))
+    b = cells.groupBy("label", "i").agg(F.avg("x").alias("b"))
+    mean = cells.groupBy("i").agg(F.avg("x").alias("m"))
+    second = M.both_triangles(M.second_moment(M.pairs(v, "one", "v", []), "one"), "one")
+    cov = second.join(mean, "i").join(mean.select(F.col("i").alias("j"), F.col("m").alias("n")), "j").select("i", "j", (F.col("value") - F.col("m") * F.col("n")).alias("v"))
+    half = b.join(cov, "i").groupBy("label", "j").agg(F.sum(F.col("b") * F.col("v")).alias("h"))
+    own = cells.join(b, ["label", "i"]).groupBy("label").agg(F.avg(F.pow(F.col("x") - F.col("b"), 2)).alias("own"))
+    p = half.withColumnRenamed("label", "a").join(b.select(F.col("label").alias("c"), F.col("i").alias("j"), F.col("b").alias("y")), "j").where("a <= c")
+    p = p.groupBy("a", "c").agg(F.sum(F.col("h") * F.col("y")).alias("s")).join(own.withColumnRenamed("label", "a"), "a")
+    return p.select(F.col("a").alias("i"), F.col("c").alias("j"), rnd(F.col("s") + F.when(F.col("a") == F.col("c"), F.col("own")).otherwise(0.0), 8).alias("value"))
 
 
 @query("k_variance_additive", f"WITH {_RM}, b AS (SELECT asset, regr_slope(r, m) AS beta, var_pop(r) AS total, var_pop(m) AS vm FROM rm GROUP BY 1), e AS (SELECT rm.asset, var_pop(r - beta * m) AS own, max(beta * beta * vm) AS common, max(total) AS total FROM rm JOIN b ON b.asset = rm.asset GROUP BY 1) SELECT asset, round(common / total, 4) AS common_share, abs(common + own - total) <= 1e-9 * total AS adds_up FROM e WHERE total > 0")
