@@ -4,14 +4,17 @@ The documents are dealt into a few shards, which are scanned one after the other
 are counted from the first scan on. A longer phrase becomes active behind the scan in which both of
 its subphrases (without its last and without its first word) have reached the threshold, whatever
 shard that was, and is counted in each scan from then on until it has seen every shard once: then its
-count is exact. Scans thus count phrases of several lengths at a time. A phrase that is frequent has
-frequent subphrases, so none is missed.
+count is complete. Scans thus count phrases of several lengths at a time. A phrase that is frequent
+has frequent subphrases, so none is missed.
 
-Tasks count the phrases of their texts by array operations. Whether a phrase may be active they see
-in a table of fixed size that says in which scans some phrase of a slot reached the threshold; Spark
-then adds up the counts by phrase and settles it exactly by two joins with the phrases that have.
-The work of a scan is one pass over one shard; what is kept between scans are the phrases whose cycle
-isn't over and the frequent ones.
+Tasks count by 64-bit keys in array operations; a key holds the phrase's length and first scan. When
+its subphrases reached the threshold a task sees in a table of fixed size, by slot the first such scan
+of any phrase in it. A slot that several phrases share can only make a phrase active earlier, and it is
+still counted in as many consecutive scans as there are shards: once in each. What is kept between
+scans are the keys whose cycle isn't over, in a table bucketed by key, so that only new counts are shuffled.
+
+Keys may collide, which makes counts too large and never too small. A last scan therefore reads the
+texts of the phrases that look frequent and counts these exactly, by text.
 
 Scores are lift-like: of a phrase with count a, cut into parts with counts l and r, floor(2000000 a /
 (l + r)), of all cuts the lowest. All counts are by language; a null language is ``und``.
@@ -23,8 +26,8 @@ empty table gives an empty one; other columns are not read; a text may be of any
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,11 @@ LONGEST = 4
 THRESHOLD = 30
 MOST = 2000
 #: Slots of the table of phrases that reached the threshold: 16 MB, however many there are.
-SLOT_BITS = 22
+SLOT_BITS = 24
 BLOCK_BYTES = 1 << 20
-#: Rows of counts that a task keeps before it adds them up, and before it hands them on.
-HELD = 1 << 19
+#: Counts that a task keeps before it adds them up, and before it hands them on.
+HELD = 1 << 21
+NEVER = 127
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,16 +77,13 @@ def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarra
 
 
 class Scan:
-    """One scan: which phrases of a text may be active in it, and their counts."""
-
-    SCHEMA = pa.schema([("lang", pa.large_string()), ("n", pa.int32()), ("phrase", pa.large_string()), ("key", pa.int64()), ("c", pa.int64())])
+    """One scan: which phrases of a text are active in it, and their counts by key (or, in the last scan, by text)."""
 
-    def __init__(self, step: int, shards: int, longest: int, slots: np.ndarray, bits: np.ndarray, slot_bits: int) -> None:
-        self.step, self.shards, self.longest = step, shards, longest
-        self.slots, self.bits, self.slot_bits = slots, bits, slot_bits
-        self.reached = np.zeros(1, np.int32)
+    def __init__(self, step: int, shards: int, longest: int, reached: np.ndarray, frequent: np.ndarray | None = None) -> None:
+        self.step, self.shards, self.longest, self.reached, self.frequent = step, shards, longest, reached, frequent
+        self.slots = np.uint64(len(reached) - 1)
 
-    def count(self, data: np.ndarray, offsets: np.ndarray, langs: list[str], limit: int | None = None) -> Iterator[pa.Table]:
+    def count(self, data: np.ndarray, offsets: np.ndarray, langs: list[str], limit: int | None = None) -> Iterator[tuple]:
         """Counts of the phrases of whole documents; of those that begin before byte ``limit`` only."""
         data = _LOWER[data]
         cut = _BREAK[data]
@@ -104,27 +105,39 @@ class Scan:
         word = span_keys(data, start, end)[0]
         keys = mix64(word + np.array([_lang_key(x) for x in names], np.uint64)[lang])
         total = len(start) if limit is None else int(np.searchsorted(start, limit))
-        slots = np.uint64(len(self.reached) - 1)
+        if self.frequent is not None:
+            all_words = np.bincount(lang[:total], minlength=len(names))
+            yield pa.array(names, pa.large_string()), pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names), pa.large_string()), pa.array(np.zeros(len(names), np.int32)), pa.array(all_words)
+        seen = np.zeros(0, np.int8)
         for n in range(1, self.longest + 1):
             if n == 1:
-                at = np.arange(total if self.step < self.shards else 0)
+                first_scan = np.zeros(len(word), np.int64)
+                may = np.ones(len(word), bool)
             else:
                 # Behind the last word of a piece nothing follows, so pieces of fewer than n words drop out.
                 last = len(word) - n + 1
                 if last <= 0:
                     break
-                seen = self.reached[(keys & slots).astype(np.int64)]
-                one, two = seen[:last], seen[1 : last + 1]
-                may = (piece[:last] == piece[n - 1 :]) & (one != 0) & (two != 0) & (((one | two) >> max(self.step - self.shards, 0)) != 0)
+                late = np.maximum(seen[:last], seen[1 : last + 1])
+                may = (piece[:last] == piece[n - 1 :]) & (late < NEVER)
+                first_scan = late.astype(np.int64) + 1
                 keys = mix64(keys[:last] * _ODD + word[n - 1 :])
-                at = np.flatnonzero(may[:total])
+            slot = ((keys >> np.uint64(8)) & self.slots).astype(np.int64)
+            seen = self.reached[slot]
+            if self.frequent is not None:
+                at = np.flatnonzero(may[:total] & self.frequent[slot[:total]])
+            else:
+                at = np.flatnonzero(may[:total] & (first_scan[:total] <= self.step) & (self.step < first_scan[:total] + self.shards))
             if len(at):
                 key, first, c = np.unique(keys[at], return_index=True, return_counts=True)
                 first = at[first]
-                where = pa.DictionaryArray.from_arrays(pa.array(lang[first], pa.int32()), pa.array(names, pa.large_string()))
-                yield pa.Table.from_arrays([where.cast(pa.large_string()), pa.array(np.full(len(key), n, np.int32)), spans(data, start, end, first, n), pa.array(key.view(np.int64)), pa.array(c)], schema=self.SCHEMA)
+                if self.frequent is None:
+                    yield ((key >> np.uint64(8)) << np.uint64(8)) | (first_scan[first] << 3 | n - 1).astype(np.uint64), c
+                else:
+                    where = pa.DictionaryArray.from_arrays(pa.array(lang[first], pa.int32()), pa.array(names, pa.large_string()))
+                    yield where.cast(pa.large_string()), pa.array(np.full(len(key), n, np.int32)), spans(data, start, end, first, n), pa.array(first_scan[first].astype(np.int32)), pa.array(c)
 
-    def parts(self, data: np.ndarray, lang: str) -> Iterator[pa.Table]:
+    def parts(self, data: np.ndarray, lang: str) -> Iterator[tuple]:
         """Counts of one long text, in portions that see the words behind them."""
         sep = lambda a, b: np.flatnonzero((_BREAK | _BLANK)[data[a:b]])
         at = 0
@@ -146,7 +159,7 @@ class Scan:
             yield from self.count(data[at:far], np.array([0, far - at]), [lang], end - at)
             at = end
 
-    def tables(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             data, offsets = column_bytes(b.column(1))
             langs = b.column(0).to_pylist()
@@ -158,36 +171,58 @@ class Scan:
                 yield from self.parts(part, langs[i]) if len(part) > 2 * BLOCK_BYTES else self.count(part, offsets[i : j + 1] - offsets[i], langs[i:j])
                 i = j
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        self.reached = np.zeros(1 << self.slot_bits, np.int32)
-        self.reached[self.slots] = self.bits
+    def by_key(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            k, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(k, kind="stable")
+            k, c = k[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            return k[first], np.add.reduceat(c, first)
+
+        def out(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(k), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + (1 << 16)].view(np.int64)), pa.array(c[a : a + (1 << 16)].astype(np.int64))], ["key", "c"])
+
+        for k, c in self.blocks(batches):
+            held.append((k, c))
+            rows += len(k)
+            if rows > HELD:
+                held = [added()]
+                rows = len(held[0][0])
+                if rows > HELD // 2:
+                    yield from out(*held.pop())
+                    rows = 0
+        if held:
+            yield from out(*added())
+
+    def by_text(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "n", "phrase", "start", "c"]
         held: list[pa.Table] = []
         rows = 0
 
         def added() -> pa.Table:
-            return pa.concat_tables(held).group_by(["lang", "n", "phrase", "key"]).aggregate([("c", "sum")]).rename_columns(self.SCHEMA.names).cast(self.SCHEMA)
+            return pa.concat_tables(held).group_by(names[:4]).aggregate([("c", "sum")]).rename_columns(names)
 
-        for t in self.tables(batches):
-            held.append(t)
-            rows += len(t)
-            if rows > HELD:
+        for cols in self.blocks(batches):
+            held.append(pa.Table.from_arrays(list(cols), names))
+            rows += len(held[-1])
+            if rows > HELD // 4:
                 held = [added()]
                 rows = len(held[0])
-                if rows > HELD // 2:
+                if rows > HELD // 8:
                     yield from held.pop().to_batches(1 << 16)
                     rows = 0
         if held:
             yield from added().to_batches(1 << 16)
 
 
-def reached_slots(reached: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the phrases' keys (``1 << bits`` at most), and the scans in which they reached the threshold, as bits."""
-    slot = F.pmod("key", F.lit(1 << bits)).cast("int")
-    found = reached.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr("shiftleft(1, reach)")).alias("bits")).toArrow()
-    return found.column("slot").to_numpy(), found.column("bits").to_numpy()
-
-
-_STATE = ["lang", "n", "phrase", "key", "f", "start", "reach"]
+def _slots(keys: DataFrame, bits: int) -> np.ndarray:
+    """Slots (1 << bits of them) that hold one of ``keys``, each once."""
+    slot = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return keys.select(slot.alias("slot")).distinct().toArrow().column(0).to_numpy()
 
 
 def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
@@ -195,45 +230,56 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
 
     ``docs`` has lang and text; ``start`` is the scan in which a phrase became active.
     """
-    if longest * shards > 30:
-        raise ValueError("longest * shards has to be 30 at most")
+    if longest > 8 or longest * shards > 31:
+        raise ValueError("longest has to be 8, longest * shards 31 at most")
     spark = docs.sparkSession
     home = shared_dir(spark, "phrases")
     dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
     dealt.write.partitionBy("shard").parquet(home)
     corpus = small_batches(spark.read.schema("lang string, text string, shard int").parquet(home))
     corpus.stored_at = home
-    nothing = spark.createDataFrame([], "lang string, n int, phrase string, key long, f long, start int, reach int")
-    state, over, words = nothing, [], []
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reached = np.full(1 << slot_bits, NEVER, np.int8)
+    frequent = np.zeros(1 << slot_bits, bool)
+    first = F.shiftright("key", 3).bitwiseAND(F.lit(31))
+    state, held = None, None
     step, last = 0, -1
     while step < shards or step <= last + shards:
-        reached = reduce(DataFrame.unionByName, [o.select("lang", "n", "phrase", "key", "reach") for o in over], state.where("reach IS NOT NULL").select("lang", "n", "phrase", "key", "reach")).where(F.col("n") < longest)
-        table = reached_slots(reached, slot_bits) if step else (np.zeros(0, np.int32),) * 2
-        found = corpus.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(Scan(step, shards, longest, *table, slot_bits), "lang string, n int, phrase string, key long, c long")
-        found = found.groupBy("lang", "n", "phrase").agg(F.first("key").alias("key"), F.sum("c").alias("f"))
-        new = found.where("n = 1").withColumn("start", F.lit(0))
-        if step:
-            found = found.where("n > 1").withColumn("_one", F.expr("substring_index(phrase, ' ', n - 1)")).withColumn("_two", F.expr("substring_index(phrase, ' ', 1 - n)"))
-            at = lambda name: reached.select("lang", F.col("phrase").alias(name), F.col("reach").alias(f"r{name}"))
-            longer = found.join(at("_one"), ["lang", "_one"]).join(at("_two"), ["lang", "_two"]).withColumn("start", F.greatest("r_one", "r_two") + 1)
-            longer = longer.where(f"start <= {step} AND {step} < start + {shards}").select(new.columns)
-            new = new.unionByName(longer) if step < shards else longer
-        both = state.unionByName(new.withColumn("reach", F.lit(None).cast("int")))
-        both = both.groupBy("lang", "n", "phrase").agg(F.first("key").alias("key"), F.sum("f").alias("f"), F.first("start").alias("start"), F.min("reach").alias("reach"))
-        both = stored(both.withColumn("reach", F.coalesce("reach", F.when(F.col("f") >= threshold, F.lit(step)))).select(_STATE), f"phrases-{step}")
-        done = both.where(F.col("start") + shards - 1 == step)
-        over.append(stored(done.where("reach IS NOT NULL"), f"phrases-over-{step}"))
-        if step == shards - 1:
-            words.append(stored(both.where("n = 1").groupBy("lang").agg(F.sum("f").alias("words")), "phrases-words"))
-        if state is not nothing:
-            forget(state)
-        before, state = both, both.where(F.col("start") + shards - 1 > step)
-        state.stored_at = before.stored_at
-        newest = both.where(F.col("n") < longest).agg(F.max("reach")).first()[0]
-        last = max(last, -1 if newest is None else newest)
+        found = corpus.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(Scan(step, shards, longest, reached).by_key, "key long, c long")
+        found = found.groupBy("key").agg(F.sum("c").alias("c"))
+        if state is not None:
+            # The state is bucketed by key: new counts alone are shuffled.
+            found = state.join(found, "key", "full_outer").select("key", (F.coalesce("f", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("f"), "reach")
+        else:
+            found = found.select("key", F.col("c").alias("f"), F.lit(None).cast("int").alias("reach"))
+        found = found.withColumn("reach", F.coalesce("reach", F.when(F.col("f") >= threshold, F.lit(step))))
+        name = f"phrases_{uuid.uuid4().hex}"
+        place = shared_dir(spark, "phrases-state")
+        found.where((first + shards > step + 1) | F.col("reach").isNotNull()).write.bucketBy(buckets, "key").sortBy("key").option("path", place).saveAsTable(name)
+        before, held = held, (name, place)
+        both = spark.table(name)
+        new = _slots(both.where((F.col("reach") == step) & (F.col("key").bitwiseAND(F.lit(7)) < longest - 1)), slot_bits)
+        reached[new] = np.minimum(reached[new], step)
+        over = _slots(both.where((F.col("reach") == step)), slot_bits)
+        frequent[over] = True
+        last = step if len(new) else last
+        state = both.where(first + shards > step + 1)
+        if before:
+            _drop(spark, *before)
         step += 1
-    forget(state, corpus)
-    return reduce(DataFrame.unionByName, over).select("lang", "n", "phrase", "f", "start"), words[0]
+    if held:
+        _drop(spark, *held)
+    exact = corpus.select("lang", "text").mapInArrow(Scan(step, shards, longest, reached, frequent).by_text, "lang string, n int, phrase string, start int, c long")
+    counted = stored(exact.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f"), F.min("start").alias("start")).where((F.col("f") >= threshold) | (F.col("n") == 0)), "phrases-frequent")
+    forget(corpus)
+    return counted.where("n > 0").select("lang", "n", "phrase", "f", "start"), counted.where("n = 0 AND f > 0").select("lang", F.col("f").alias("words"))
+
+
+def _drop(spark: SparkSession, name: str, place: str) -> None:
+    table = spark.table(name)
+    table.stored_at = place
+    spark.sql(f"DROP TABLE {name}")
+    forget(table)
 
 
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, most: int = MOST, shards: int = SHARDS) -> DataFrame:
