@@ -345,6 +345,14 @@ def average_hash(px: np.ndarray) -> str:
     return np.packbits(cell.ravel() > cell.mean()).tobytes().hex()
 
 
+def stacked(images: list[tuple[int, int, np.ndarray]]) -> tuple[int, int, np.ndarray]:
+    """All images of a value under one another: the largest width, all heights, thumbnails padded with black."""
+    if len(images) == 1:
+        return images[0]
+    wide = max(px.shape[1] for _, _, px in images)
+    return max(w for w, _, _ in images), sum(h for _, h, _ in images), np.concatenate([np.pad(px, ((0, 0), (0, wide - px.shape[1]))) for _, _, px in images])
+
+
 def _schema(df: DataFrame, fields: list[T.StructField]) -> tuple[list[str], T.StructType]:
     new = {f.name for f in fields}
     keep = [f for f in df.schema.fields if f.name not in new]
@@ -370,12 +378,13 @@ def store_as_jpeg(df: DataFrame, text: str = "text", media: str = "media", keep_
 
 
 def jpeg_thumbnails(df: DataFrame, media: str = "media", on_error: str = "raise") -> DataFrame:
-    """Replace the JPEG column by width and height (of the first image), number of images, media size
-    and hash, thumbnail bytes (``thumb``, all images one behind the other) and ``thumb_hash``."""
+    """Replace the JPEG column by width and height (of all its images under one another), number of images,
+    media size and hash, thumbnail bytes (``thumb``, all images one behind the other), ``thumb_hash`` (which
+    areas of all images are light) and ``thumb_digest`` (of all thumbnail bytes)."""
     fields = [
         T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("images", T.IntegerType()),
         T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()),
-        T.StructField("thumb", T.BinaryType()), T.StructField("thumb_hash", T.StringType()),
+        T.StructField("thumb", T.BinaryType()), T.StructField("thumb_hash", T.StringType()), T.StructField("thumb_digest", T.StringType()),
     ]
     keep, schema = _schema(df.drop(media), fields)
 
@@ -395,12 +404,14 @@ def jpeg_thumbnails(df: DataFrame, media: str = "media", on_error: str = "raise"
             cols: list[list] = [[] for _ in fields]
             for value, images in zip(values, read(values), strict=True):
                 if images:
-                    row = (images[0][0], images[0][1], len(images), len(value), hashlib.sha256(value).hexdigest(), b"".join(px.tobytes() for _, _, px in images), average_hash(images[0][2]))
+                    width, height, px = stacked(images)
+                    thumb = b"".join(one.tobytes() for _, _, one in images)
+                    row = (width, height, len(images), len(value), hashlib.sha256(value).hexdigest(), thumb, average_hash(px), hashlib.sha256(thumb).hexdigest()[:16])
                 else:
-                    row = (None, None, 0, len(value), hashlib.sha256(value).hexdigest(), None, None)
+                    row = (None, None, 0, len(value), hashlib.sha256(value).hexdigest(), None, None, None)
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.rows.column(b.rows.schema.get_field_index(c)) for c in keep] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*keep, *(f.name for f in fields)])
 
     return df.mapInArrow(run, schema)
@@ -419,7 +430,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(tail).alias("tail_crc32"),
         "media_bytes",
         "media_sha256",
-        F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumb_hash").alias("feature"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumb_hash", "thumb_digest").alias("feature"),
         "width",
         "height",
         "images",

@@ -25,7 +25,7 @@ def test_jpeg_keeps_payloads(docs, texts):
     for r in rows:
         n, payload, tail = media.expected_payload(texts[r.doc_id])
         assert (r.n_bytes, bytes(r.thumb), zlib.crc32(bytes(r.thumb)[-64:])) == (n, payload, tail)
-        assert r.width == 512 and r.height == 8 * len(payload) // 64 and r.key == "k"
+        assert r.width == 512 and r.height == 8 * (len(payload) // 64) and r.key == "k"
 
 
 def test_jpeg_long_and_foreign_streams():
@@ -37,6 +37,24 @@ def test_jpeg_long_and_foreign_streams():
         media.thumbnails([b"no jpeg"])
 
 
+def test_features_see_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    base = "".join(chr(c) for c in rng.integers(97, 123, 1_500_000))
+    late = base[:600_000] + base[600_000:].upper()  # darker after 600,000 bytes, which is more than one image
+    one = base[:1_400_000] + "!" + base[1_400_001:]
+    texts = [base, late, one, base, "short", ""]
+    rows = media.jpeg_thumbnails(media.store_as_jpeg(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    feature = [(r.width, r.height, r.thumb_hash, r.thumb_digest) for r in rows]
+    assert feature[0] == feature[3] and len(set(feature)) == 5 and rows[0].images == 3 and rows[0].thumb_hash != rows[1].thumb_hash
+    for r, t in zip(rows, texts, strict=True):  # brute force: means of 8 x 8 areas of the payload, 64 bytes a row
+        px = np.frombuffer(media.expected_payload(t)[1], np.uint8).reshape(-1, 64)
+        assert r.height == 8 * len(px) and r.width == 512 and r.thumb_digest == hashlib.sha256(px.tobytes()).hexdigest()[:16]
+        if len(px) >= 8:
+            edge = [k * len(px) // 8 for k in range(9)]
+            cell = np.array([[px[edge[i] : edge[i + 1], 8 * j : 8 * j + 8].mean() for j in range(8)] for i in range(8)])
+            assert r.thumb_hash == np.packbits(cell.ravel() > cell.mean()).tobytes().hex()
+
+
 def test_jpeg_null_on_error(spark):
     df = spark.createDataFrame([(1, bytearray(b"junk")), (2, None)], "doc_id long, media binary")
     rows = media.jpeg_thumbnails(df, on_error="null").orderBy("doc_id").collect()
