@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,15 @@ class Scan:
         self.step, self.shards, self.longest, self.reached, self.frequent = step, shards, longest, reached, frequent
         self.slots = np.uint64(len(reached) - 1)
 
+    def __getstate__(self) -> dict:
+        """Tables are mostly empty: they travel compressed."""
+        pack = lambda a: None if a is None else (zlib.compress(a.tobytes(), 1), a.dtype.str)
+        return self.__dict__ | {"reached": pack(self.reached), "frequent": pack(self.frequent)}
+
+    def __setstate__(self, state: dict) -> None:
+        unpack = lambda p: None if p is None else np.frombuffer(zlib.decompress(p[0]), p[1])
+        self.__dict__ |= state | {"reached": unpack(state["reached"]), "frequent": unpack(state["frequent"])}
+
     def count(self, data: np.ndarray, offsets: np.ndarray, langs: list[str], limit: int | None = None) -> Iterator[tuple]:
         """Counts of the phrases of whole documents; of those that begin before byte ``limit`` only."""
         data = _LOWER[data]
