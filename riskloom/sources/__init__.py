@@ -78,18 +78,28 @@ def parse_submissions(df: DataFrame, body: str = "body") -> DataFrame:
     return o.withColumn("filing_date", F.to_date("filing_date")).withColumn("report_date", F.to_date(blank_to_null(F.col("report_date"))))
 
 
-def parse_index_line(df: DataFrame, line: str = "line") -> DataFrame:
-    """Pipe-delimited index lines: cik, company_name, form, filed, accn; other lines (preamble, rule) are left out."""
+def parse_index_line(df: DataFrame, line: str = "line", rejects: bool = False) -> DataFrame:
+    """Pipe-delimited index lines: cik, company_name, form, filed, accn; other lines (preamble, rule) are left out.
+
+    With ``rejects`` instead the lines that begin like one and aren't.
+    """
     part = F.split(line, r"\|")
+    if rejects:
+        return df.where(F.col(line).rlike(r"^\d+\|") & (F.size(part) != 5))
     ok = df.where(F.size(part) == 5).where(F.col(line).rlike(r"^\d+\|"))
     return ok.select(*(c for c in df.columns if c != line), part[0].cast("long").alias("cik"), F.trim(part[1]).alias("company_name"), part[2].alias("form"), F.to_date(part[3]).alias("filed"), F.regexp_extract(part[4], r"(\d{10}-\d{2}-\d{6})", 1).alias("accn"))
 
 
-def parse_code_ranges(df: DataFrame, file: str, number: str, line: str) -> DataFrame:
-    """Fixed-width code table: a header line (number, abbreviation, name) opens a group, indented low-high lines belong to it."""
+def parse_code_ranges(df: DataFrame, file: str, number: str, line: str, rejects: bool = False) -> DataFrame:
+    """Fixed-width code table: a header line (number, abbreviation, name) opens a group, indented low-high lines belong to it.
+
+    With ``rejects`` instead the lines that are neither, nor blank.
+    """
     head = F.regexp_extract(line, r"^\s{0,2}(\d{1,2})\s+(\w+)\s+(.+?)\s*$", 1)
     w = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
     rng = r"^\s{3,}(\d{4})-(\d{4})"
+    if rejects:
+        return df.where(~F.col(line).rlike(rng) & (head == "") & (F.trim(line) != ""))
     g = df.withColumn("_h", F.when(~F.col(line).rlike(rng) & (head != ""), F.struct(head.cast("int").alias("group"), F.regexp_extract(line, r"^\s{0,2}\d{1,2}\s+(\w+)", 1).alias("label"))))
     g = g.withColumn("_g", F.last("_h", ignorenulls=True).over(w)).where(F.col(line).rlike(rng))
     return g.select(file, F.col("_g.group").alias("group"), F.col("_g.label").alias("label"), F.regexp_extract(line, rng, 1).cast("int").alias("low"), F.regexp_extract(line, rng, 2).cast("int").alias("high"))
@@ -154,10 +164,17 @@ def parse_ohlcv(df: DataFrame, line: str = "line") -> DataFrame:
     return x.withColumn("rejected", F.col("date").isNull() | F.col("close").isNull())
 
 
-def parse_series_csv(df: DataFrame, line: str = "line") -> DataFrame:
-    """Lines "date,value": '.', 'NA' and blank values are dropped, and so are lines that begin with no date."""
+def parse_series_csv(df: DataFrame, line: str = "line", rejects: bool = False) -> DataFrame:
+    """Lines "date,value": '.', 'NA' and blank values are dropped, and so are lines that begin with no date.
+
+    With ``rejects`` instead the lines without a date, and those whose value is neither a number nor one of these marks.
+    """
     part = F.split(line, ",")
     x = df.select(*_rest(df, line), F.try_to_timestamp(F.get(part, 0), F.lit("yyyy-MM-dd")).cast("date").alias("date"), F.expr(f"try_cast(trim(get(split({line}, ','), 1)) AS double)").alias("value"))
+    if rejects:
+        mark = F.trim(F.coalesce(F.get(part, 1), F.lit(""))).isin(".", "NA", "")
+        date = F.try_to_timestamp(F.get(part, 0), F.lit("yyyy-MM-dd"))
+        return df.where(date.isNull() | (F.expr(f"try_cast(trim(get(split({line}, ','), 1)) AS double)").isNull() & ~mark))
     return x.where("date IS NOT NULL AND value IS NOT NULL")
 
 

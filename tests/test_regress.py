@@ -29,8 +29,9 @@ def test_constrained_day(day):
 
 
 def test_constraint_matrix():
-    r = regress.constraint_matrix(np.array([0.5, 0.3, 0.2]), 0)
-    assert np.allclose(r, [[-0.6, -0.4], [1, 0], [0, 1]])
+    w = np.array([0.11, 0.64, 0.25])
+    r = regress.constraint_matrix(w, 1)
+    assert np.allclose(r, [[1, 0], [-11 / 64, -25 / 64], [0, 1]]) and np.allclose(w @ r, 0)
 
 
 def test_rolling_two_and_hac_equal_numpy(spark):

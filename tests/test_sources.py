@@ -19,15 +19,21 @@ def test_observations_keep_the_sentinel(spark):
 
 
 def test_index_lines_skip_preamble(spark):
-    lines = ["Description: index", "CIK|Company Name|Form|Date|File", "-----", "34088|EXXON|10-K|2020-02-26|edgar/data/34088/0000034088-20-000016.txt"]
+    lines = ["Description: index", "CIK|Company Name|Form|Date|File", "-----", "90210|HILLTOP WIDGETS|Q-9|2031-07-08|files/90210/0000777777-31-000042.txt", "90211|TORN"]
     rows = sources.parse_index_line(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
-    assert [(r.cik, r.filed, r.accn) for r in rows] == [(34088, date(2020, 2, 26), "0000034088-20-000016")]
+    assert [(r.cik, r.filed, r.accn) for r in rows] == [(90210, date(2031, 7, 8), "0000777777-31-000042")]
+    bad = sources.parse_index_line(spark.createDataFrame([(x,) for x in lines], "line string"), rejects=True).collect()
+    assert [r.line for r in bad] == ["90211|TORN"]
 
 
 def test_code_ranges_carry_their_header(spark):
-    lines = [" 1 Agric  Agriculture", "          0100-0199 Crops", "          0200-0299 Livestock", " 2 Food   Food Products", "          2000-2009 Meat"]
+    lines = [" 1 Kites  Kite making", "          0310-0319 Silk kites", "          0320-0349 Paper kites", " 2 Bells  Bell foundries", "          4100-4107 Small bells", "          41x0-4107 torn"]
     rows = sources.parse_code_ranges(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, n int, line string"), "file", "n", "line").collect()
-    assert sorted((r.group, r.label, r.low, r.high) for r in rows) == [(1, "Agric", 100, 199), (1, "Agric", 200, 299), (2, "Food", 2000, 2009)]
+    assert sorted((r.group, r.label, r.low, r.high) for r in rows) == [(1, "Kites", 310, 319), (1, "Kites", 320, 349), (2, "Bells", 4100, 4107)]
+    bad = sources.parse_code_ranges(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, n int, line string"), "file", "n", "line", rejects=True).collect()
+    assert [r.line.strip() for r in bad] == ["41x0-4107 torn"]
+    series = spark.createDataFrame([(x,) for x in ("day,v", "2031-01-02,.", "2031-01-03,4.5", "2031-01-04,4,5x", "junk")], "line string")
+    assert [r.value for r in sources.parse_series_csv(series).collect()] == [4.5, 4.0] and [r.line for r in sources.parse_series_csv(series, rejects=True).collect()] == ["day,v", "junk"]
 
 
 def test_first_filing(spark):
