@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import moments as M
 from . import solve as S
 from .base import BARS, MARKET, RETURNS, VECTORS, bars, market, query, returns, rnd, vectors
+from .running import numbered
 
 _W = "pow(2.0, rn / 84.0)"
 _COV = f"cov AS (SELECT label, i, j, sum({_W} * xi * xj) / sum({_W}) AS value FROM prs GROUP BY 1, 2, 3)"
@@ -62,8 +63,9 @@ def effective_size(spark, d):
 def bucket_dispersion(spark, d):
     """Volatility of each asset, drawn to its size bucket's mean by v = sd / (sd + q |s - mean|)."""
     v = bars(spark, d).groupBy("asset").agg(F.stddev_samp(F.log("close")).alias("s"), F.avg("cap").alias("cap"))
-    # One row an asset here, so a rank over all of them is small beside the bars.
-    b = v.withColumn("bucket", F.floor((F.row_number().over(Window.orderBy("cap", "asset")) - 1) * 5 / F.count(F.lit(1)).over(Window.partitionBy())).cast("int"))
+    # Ranks within classes of the cap's logarithm, and sums over the classes.
+    n = v.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    b = numbered(v, [], ["cap", "asset"], F.floor(16 * F.log2("cap"))).crossJoin(F.broadcast(n)).withColumn("bucket", F.floor((F.col("rn") - 1) * 5 / F.col("_all")).cast("int")).drop("rn", "_all")
     w = Window.partitionBy("bucket")
     g = b.withColumn("mu", F.avg("s").over(w)).withColumn("sd", F.stddev_pop("s").over(w)).where("sd > 0")
     keep = F.col("sd") / (F.col("sd") + 0.1 * F.abs(F.col("s") - F.col("mu")))

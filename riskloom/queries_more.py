@@ -28,8 +28,7 @@ def scenarios(spark, d):
 
 @query("e_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderstatus, o_orderpriority))")
 def grouping_sets(spark, d):
-    table(spark, d, "orders").createOrReplaceTempView("riskloom_orders")
-    return spark.sql("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM riskloom_orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderstatus, o_orderpriority))")
+    return spark.sql("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderstatus, o_orderpriority))", orders=table(spark, d, "orders"))
 
 
 @query("e_rollup_years", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (1, 2)")
