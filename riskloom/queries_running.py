@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import running as R
 from .base import VECTORS, query, rnd, table, vectors
+from .risk import newey_west_two as newey_west_two_half_lives
 
 
 def weekly(spark, d):
@@ -110,3 +111,13 @@ def rate_factors(spark, d):
 def principal_components(spark, d):
     """Components of the expanding correlation with signs that follow the week before."""
     return R.oriented(R.principal_components(weekly(spark, d), "key", 12, 3, edge=True), "key", 3).drop("raw")
+
+
+@query("u_newey_west_two", f"""WITH {WEEKLY}, x AS (SELECT a.key, h.h, k.k, a.i, b.i AS j, sum(pow(2.0, a.rn / h.h) * a.x * b.x) / sum(pow(2.0, a.rn / h.h)) AS v FROM cell a JOIN (SELECT unnest([0, 1, 2]) AS k) k ON true JOIN (SELECT unnest([42.0, 126.0]) AS h) h ON true JOIN cell b ON b.key = a.key AND b.rn = a.rn - k.k GROUP BY ALL),
+ nw AS (SELECT a.key, a.h, a.i, a.j, sum(CASE WHEN a.k = 0 THEN a.v ELSE (1 - a.k / 3.0) * (a.v + b.v) END) AS v, max(CASE WHEN a.k = 0 THEN a.v END) AS plain FROM x a JOIN x b ON b.key = a.key AND b.h = a.h AND b.k = a.k AND b.i = a.j AND b.j = a.i GROUP BY 1, 2, 3, 4),
+ va AS (SELECT key, i, CASE WHEN v > 0 THEN v ELSE plain END AS v, v <= 0 AS fell FROM nw WHERE h = 42 AND i = j), d AS (SELECT key, i, v, plain FROM nw WHERE h = 126 AND i = j)
+ SELECT m.key, m.i, m.j, round((CASE WHEN m.i = m.j THEN 1.0 WHEN di.v > 0 AND dj.v > 0 THEN m.v / sqrt(di.v * dj.v) ELSE m.plain / sqrt(di.plain * dj.plain) END) * sqrt(vi.v * vj.v), 5) + 0.0 AS value, NOT (di.v > 0 AND dj.v > 0) OR vi.fell OR vj.fell AS fell_back
+ FROM nw m JOIN d di ON di.key = m.key AND di.i = m.i JOIN d dj ON dj.key = m.key AND dj.i = m.j JOIN va vi ON vi.key = m.key AND vi.i = m.i JOIN va vj ON vj.key = m.key AND vj.i = m.j WHERE m.h = 126""")
+def newey_west_two(spark, d):
+    """Covariance of the weekly changes with variances and correlations corrected at half-lives of their own."""
+    return newey_west_two_half_lives(weekly(spark, d), "key", 42.0, 126.0, 2).select("key", "i", "j", rnd("value").alias("value"), "fell_back")

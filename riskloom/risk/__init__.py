@@ -38,6 +38,29 @@ def newey_west(vectors: DataFrame, key: str, half_life: float, lags: int) -> Dat
     return parts.groupBy(key, "i", "j").agg(F.sum(F.col("share") * F.col("value")).alias("value"))
 
 
+def newey_west_two(vectors: DataFrame, key: str, variance_half_life: float, correlation_half_life: float, lags: int) -> DataFrame:
+    """(key, i, j, value, fell_back): variances and correlations corrected apart, each at a half-life of its own.
+
+    A variance that the correction doesn't leave positive gives way to the plain decayed one, and a
+    pair with such a side at the correlation's half-life to the plain correlation; ``fell_back`` tells
+    rows with either. Both triangles; a pair whose plain variance is zero has no correlation and is null.
+    """
+    def diagonal(m: DataFrame, name: str, side: str) -> DataFrame:
+        return m.where("i = j").select(key, F.col("i").alias(side), F.col("value").alias(name))
+
+    own, plain_own = newey_west(vectors, key, variance_half_life, lags), ewma(vectors, key, variance_half_life)
+    corrected, plain = newey_west(vectors, key, correlation_half_life, lags), ewma(vectors, key, correlation_half_life)
+    d = corrected.join(plain.withColumnRenamed("value", "plain"), [key, "i", "j"])
+    for side in ("i", "j"):
+        for name, m in (("c", corrected), ("p", plain), ("v", own), ("w", plain_own)):
+            d = d.join(diagonal(m, f"{name}{side}", side), [key, side])
+    good = F.expr("ci > 0 AND cj > 0")
+    root = lambda a, b: F.sqrt(F.when(F.col(a) * F.col(b) > 0, F.col(a) * F.col(b)))
+    r = F.when(F.col("i") == F.col("j"), 1.0).when(good, F.col("value") / root("ci", "cj")).otherwise(F.try_divide(F.col("plain"), root("pi", "pj")))
+    sd = [F.sqrt(F.expr(f"if(v{s} > 0, v{s}, w{s})")) for s in ("i", "j")]
+    return d.select(key, "i", "j", (r * sd[0] * sd[1]).alias("value"), (~good | F.expr("vi <= 0 OR vj <= 0")).alias("fell_back"))
+
+
 def repaired(matrices: DataFrame) -> DataFrame:
     return matrices.withColumn("cells", S.floored()("n", "cells"))
 
