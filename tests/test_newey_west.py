@@ -23,7 +23,7 @@ def test_two_half_lives_and_fallback(spark):
     rng = np.random.default_rng(11)
     a = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 3))
     b = a.copy()
-    b[:, 1] = np.array([(-0.9) ** i for i in range(60)]) + 1e-3 * rng.normal(size=60)  # turns from row to row
+    b[:, 1] = np.array([(-1.0) ** i * (3 - 0.04 * i) for i in range(60)])  # turns from row to row
     rows = [(k, i, x[i].tolist()) for k, x in (("a", a), ("b", b)) for i in range(60)]
     df = spark.createDataFrame(rows, "k string, rn int, v array<double>").repartition(3)
     got = {(r.k, r.i, r.j): r for r in risk.newey_west_two(df, "k", 8.0, 25.0, 1).collect()}
