@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import column_bytes, forget, mix64, shared_dir, small_batches, span_keys, stored
+from .piecetable import distinct
 
 SHARDS = 3
 LONGEST = 4
@@ -112,12 +113,13 @@ class Scan:
         names = sorted(set(langs))
         number = {x: k for k, x in enumerate(names)}
         lang = np.array([number[x] for x in langs])[doc]
-        word = span_keys(data, start, end)[0]
+        both = span_keys(data, start, end, 1 if self.frequent is None else 2)
+        word = both[0]
         keys = mix64(word + np.array([_lang_key(x) for x in names], np.uint64)[lang])
+        checks = both[-1]  # of the same words, independent of the keys
         total = len(start) if limit is None else int(np.searchsorted(start, limit))
         if self.frequent is not None:
-            all_words = np.bincount(lang[:total], minlength=len(names))
-            yield pa.array(names, pa.large_string()), pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names), pa.large_string()), pa.array(np.zeros(len(names), np.int32)), pa.array(all_words)
+            yield names, np.bincount(lang[:total], minlength=len(names))
         seen = np.zeros(0, np.int8)
         for n in range(1, self.longest + 1):
             if n == 1:
@@ -132,6 +134,8 @@ class Scan:
                 may = (piece[:last] == piece[n - 1 :]) & (late < NEVER)
                 first_scan = late.astype(np.int64) + 1
                 keys = mix64(keys[:last] * _ODD + word[n - 1 :])
+                if self.frequent is not None:
+                    checks = mix64(checks[:last] + both[-1][n - 1 :] * _ODD)
             slot = ((keys >> np.uint64(8)) & self.slots).astype(np.int64)
             seen = self.reached[slot]
             if self.frequent is not None:
@@ -139,13 +143,25 @@ class Scan:
             else:
                 at = np.flatnonzero(may[:total] & (first_scan[:total] <= self.step) & (self.step < first_scan[:total] + self.shards))
             if len(at):
-                key, first, c = np.unique(keys[at], return_index=True, return_counts=True)
+                if self.frequent is None:
+                    key, first, c = np.unique(keys[at], return_index=True, return_counts=True)
+                else:
+                    first, which = distinct(np.stack([keys[at], checks[at]]))
+                    key, c = keys[at[first]], np.bincount(which, minlength=len(first))
+                    order = np.argsort(key, kind="stable")
+                    key, first, c = key[order], first[order], c[order]
                 first = at[first]
                 if self.frequent is None:
                     yield ((key >> np.uint64(8)) << np.uint64(8)) | (first_scan[first] << 3 | n - 1).astype(np.uint64), c
                 else:
-                    where = pa.DictionaryArray.from_arrays(pa.array(lang[first], pa.int32()), pa.array(names, pa.large_string()))
-                    yield where.cast(pa.large_string()), pa.array(np.full(len(key), n, np.int32)), spans(data, start, end, first, n), pa.array(first_scan[first].astype(np.int32)), pa.array(c)
+
+                    def rows(some: np.ndarray, first: np.ndarray = first, n: int = n, scan: np.ndarray = first_scan) -> pa.Table:
+                        """Language, length, text and first scan of some of these phrases."""
+                        at = first[some]
+                        where = pa.DictionaryArray.from_arrays(pa.array(lang[at], pa.int32()), pa.array(names, pa.large_string())).cast(pa.large_string())
+                        return pa.Table.from_arrays([where, pa.array(np.full(len(at), n, np.int32)), spans(data, start, end, at, n), pa.array(scan[at].astype(np.int32))], ["lang", "n", "phrase", "start"])
+
+                    yield key, checks[first], c, rows
 
     def parts(self, data: np.ndarray, lang: str) -> Iterator[tuple]:
         """Counts of one long text, in portions that see the words behind them."""
@@ -209,24 +225,47 @@ class Scan:
             yield from out(*added())
 
     def by_text(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "n", "phrase", "start", "c"]
-        held: list[pa.Table] = []
-        rows = 0
-
-        def added() -> pa.Table:
-            return pa.concat_tables(held).group_by(names[:4]).aggregate([("c", "sum")]).rename_columns(names)
-
-        for cols in self.blocks(batches):
-            held.append(pa.Table.from_arrays(list(cols), names))
-            rows += len(held[-1])
-            if rows > HELD // 4:
-                held = [added()]
-                rows = len(held[0])
-                if rows > HELD // 8:
-                    yield from held.pop().to_batches(1 << 16)
-                    rows = 0
-        if held:
-            yield from added().to_batches(1 << 16)
+        """Counts by text: a task makes the text of a key once, and hands on a key whose second one differs as it comes."""
+        words: dict[str, int] = {}
+        keys, checks, place, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        texts: list[pa.Table] = []
+
+        def out(t: pa.Table, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from t.append_column("c", pa.array(c.astype(np.int64))).to_batches(1 << 16)
+
+        def held() -> Iterator[pa.RecordBatch]:
+            yield from out(pa.concat_tables(texts), counts)
+
+        for x in self.blocks(batches):
+            if len(x) == 2:
+                for lang, n in zip(*x, strict=True):
+                    words[lang] = words.get(lang, 0) + int(n)
+                continue
+            key, check, c, rows = x
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            known = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            same = known.copy()
+            same[known] = checks[at[known]] == check[known]
+            counts[place[at[same]]] += c[same]
+            odd, new = np.flatnonzero(known & ~same), np.flatnonzero(~known)
+            if len(odd):
+                yield from out(rows(odd), c[odd])
+            if len(new):
+                texts.append(rows(new))
+                where = np.searchsorted(keys, key[new])
+                keys, checks = np.insert(keys, where, key[new]), np.insert(checks, where, check[new])
+                place = np.insert(place, where, len(counts) + np.arange(len(new)))
+                counts = np.concatenate([counts, c[new]])
+            if len(counts) > HELD:
+                yield from held()
+                keys, checks, place, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                texts = []
+        if texts:
+            yield from held()
+        if words:
+            names = list(words)
+            t = pa.table({"lang": pa.array(names, pa.large_string()), "n": pa.array([0] * len(names), pa.int32()), "phrase": pa.array([""] * len(names), pa.large_string()), "start": pa.array([0] * len(names), pa.int32())})
+            yield from out(t, np.array([words[x] for x in names]))
 
 
 def _slots(keys: DataFrame, bits: int) -> np.ndarray:

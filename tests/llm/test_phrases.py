@@ -85,13 +85,36 @@ def test_long_texts_in_portions(monkeypatch):
     # Everything looks frequent, so the last scan's texts are all phrases.
     scan = Scan(9, 3, 4, np.zeros(4, np.int8), np.ones(4, bool))
     got = Counter()
-    for _, n, p, _, c in scan.parts(np.frombuffer(text.encode(), np.uint8), "en"):
-        for size, phrase, count in zip(n.to_pylist(), p.to_pylist(), c.to_pylist(), strict=True):
-            got[phrase if size else None] += count
-    assert got.pop(None) == len(text.replace(".", " ").split())
+    words = 0
+    for x in scan.parts(np.frombuffer(text.encode(), np.uint8), "en"):
+        if len(x) == 2:
+            words += int(x[1].sum())
+            continue
+        key, _, c, rows = x
+        for phrase, count in zip(rows(np.arange(len(key))).column("phrase").to_pylist(), c.tolist(), strict=True):
+            got[phrase] += count
+    assert words == len(text.replace(".", " ").split())
     assert got == counts([("en", text)])["en"]
 
 
+def test_colliding_keys_are_counted_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "HELD", 3)
+    # One key for all words of a length: only the second keys tell them apart.
+    monkeypatch.setattr(phrases, "mix64", lambda x: np.asarray(x) % np.uint64(5) + np.uint64(1))
+    scan = Scan(9, 3, 2, np.zeros(4, np.int8), np.ones(4, bool))
+    text = "a b c d e f g h a b c d a b . x y a"
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 3), pa.array([text, text, "a a a"])], ["lang", "text"])
+    got = Counter()
+    for b in scan.by_text(iter([batch])):
+        for r in b.to_pylist():
+            got[r["phrase"]] += r["c"]
+    want = counts([("en", text), ("en", text), ("en", "a a a")], 2)["en"]
+    assert got.pop("") == sum(v for k, v in want.items() if " " not in k) and {k for k in got if " " not in k} == {k for k in want if " " not in k}
+    assert all(got[k] == v for k, v in want.items() if " " not in k)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "lang string, text string")
     assert collocations(df).count() == 0
