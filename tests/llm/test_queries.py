@@ -22,6 +22,9 @@ CONTRACT = {
     "op8_decontaminate": "doc_id bigint, item_id bigint",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_bpe_round_trip": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op13_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
 }
 
 
@@ -35,6 +38,9 @@ def folder(spark, texts, tmp_path_factory):
     spark.createDataFrame([(1, texts[12]), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     html = [None, "", "<p>x</p>", "<p>x</p>", "é" * 9000]
     spark.createDataFrame([(i, "http://h", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    rng = np.random.default_rng(1)
+    vectors = [(k, k % 10, [float(x) for x in np.float32(rng.normal(size=6))]) for k in range(250)] + [(300, None, [0.0] * 6), (400, 1, None), (500, 2, [None] * 6), (600, 3, [float("nan")] * 6)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
     return at, rows, html
 
 
@@ -56,6 +62,17 @@ def test_contract(spark, folder, name):
         digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
         assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == [(k, len((h or "").encode()), digest(h), "response" if first[h or ""] == k else "revisit", None if first[h or ""] == k else first[h or ""]) for k, h in enumerate(html)]
         return
+    if name == "op11_hard_negatives":
+        assert {r.anchor_id for r in got} == {0, 100, 200} and all(80 * r.positive_score <= 100 * r.negative_score <= 100 * r.positive_score and 1 <= r.rank <= 5 for r in got)
+        return
+    if name == "op13_collocations":
+        # One document of "abc " 400,000 times is all that repeats often enough in its language.
+        of = {(r.lang, r.phrase): r for r in got}
+        lang = next(k for k, _ in of)
+        r = of[lang, "abc abc abc abc"]
+        assert {r.rank for r in got if r.lang == lang} == set(range(1, 1 + sum(r.lang == lang for r in got))) and r.a == 399_997 and (r.l, r.r) in {(400_000, 399_998), (399_999, 399_999)}
+        assert r.score == 2_000_000 * r.a // (r.l + r.r) and ("en", "abc abc") not in of and ("und", "abc abc") not in of
+        return
     if name == "op8_decontaminate":
         assert {(r.doc_id, r.item_id) for r in got} == {(10, 1), (11, 1), (12, 1)}
         return
@@ -86,3 +103,7 @@ def test_contract(spark, folder, name):
         assert all(r.held_out == (fold(r.doc_id) == 1) and r.score < 0 and r.base_score < 0 for r in got)
     if name == "op9_toxicity":
         assert all(r.held_out == (fold(r.doc_id) == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    if name == "op12_language_id":
+        text = {key(i): t for i, t in rows if rows.count((i, t)) == len([1 for j, _ in rows if j == i])}
+        assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+        assert {r.lang_pred for r in got} <= {"en", "und"} and all((r.lang_pred == "und") == (not any(c.isalpha() for c in text[key(r.doc_id)] or "")) for r in got if key(r.doc_id) in text)
