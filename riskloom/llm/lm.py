@@ -9,9 +9,10 @@ log-probabilities. A word outside the vocabulary gets the probability of the tok
 its smoothed share of them, for which the counts of all training words are used; that share leaves
 half a count for words never seen, as the base does.
 
-Noise-contrastive estimation runs in tasks over all training documents, for the class and for the
-word within it; the number of draws grows with the tokens, and Spark averages the parameters after
-each round. The vocabulary holds every word that occurs ``LEAST`` times and makes up 1 / ``SHARE`` of
+Noise-contrastive estimation runs in tasks over every token of all training documents, for the class
+and for the word within it: each token is learned from in one of the rounds (small corpora pass over
+theirs many times), and Spark averages the parameters after each round. A batch's tokens are sorted
+by class, and those of a class share its noise words, so that the work is done by matrix products. The vocabulary holds every word that occurs ``LEAST`` times and makes up 1 / ``SHARE`` of
 all tokens, so it has ``SHARE`` words at most (17 MB of parameters), whatever the input. The ``KNOWN``
 most frequent words' counts are broadcast; the counts of all other words are joined.
 
@@ -36,9 +37,11 @@ KNOWN = 1 << 19
 #: A word is in the vocabulary if it occurs LEAST times and makes up 1 / SHARE of all training tokens, so there are SHARE words at most.
 LEAST, SHARE = 8, 1 << 17
 DIM, CONTEXT, ROUNDS = 16, 3, 2
-#: Each training token is drawn DRAWS + DRAWS_LEAST / tokens times.
-DRAWS, DRAWS_LEAST = 0.125, 1_500_000
-BATCH, NOISE_CLASSES, NOISE_WORDS = 256, 24, 8
+#: Each training token is learned from once, and small corpora MORE / tokens times more.
+MORE = 1_500_000
+#: Tokens of a batch, of which a block has some eight; gradients add up in units of LEAST_BATCH tokens.
+LEAST_BATCH, MOST_BATCH = 256, 8192
+NOISE_CLASSES, NOISE_WORDS = 24, 8
 FLUSH_BYTES = 16 << 20
 OTHER, END = 0, 1
 END_HASH = np.uint64(0x9D5F3A7E21C4B680)
@@ -160,52 +163,84 @@ class LogBilinear:
             "S": rng.normal(0, 0.1, (len(self.class_q), dim)).astype(f), "s": np.log(self.class_q).astype(f),
             "T": rng.normal(0, 0.1, (v, dim)).astype(f), "b": np.log(self.word_q).astype(f),
         }
-        self.cum = np.cumsum(self.word_q)  # of all classes one behind the other
+        self.cum = np.concatenate([[0.0], np.cumsum(self.word_q)])  # of all classes one behind the other
+        self.class_cum = np.cumsum(self.class_q)
+        self.class_noise, self.word_noise = np.log(NOISE_CLASSES * self.class_q).astype(f), np.log(NOISE_WORDS * self.word_q).astype(f)
         self.sums: dict[str, np.ndarray] = {}
 
     def context(self, before: np.ndarray) -> np.ndarray:
         p = self.params
         return sum(p["E"][before[:, k]] @ p["C"][k] for k in range(CONTEXT))
 
-    def _step(self, name: str, rows: np.ndarray | None, grad: np.ndarray, rate: float) -> None:
+    def _step(self, name: str, rows: np.ndarray | slice, grad: np.ndarray, rate: float) -> None:
+        """Adagrad on some rows, each there once."""
         p = self.params[name]
         s = self.sums.setdefault(name, np.full(p.shape, 1e-2, np.float32))
-        if rows is None:
-            s += grad * grad
-            p += rate * grad / np.sqrt(s)
-            return
-        u, inv = np.unique(rows, return_inverse=True)
-        order = np.argsort(inv, kind="stable")
-        g = np.add.reduceat(grad[order], np.searchsorted(inv[order], np.arange(len(u))), axis=0)
-        s[u] += g * g
-        p[u] += rate * g / np.sqrt(s[u])
+        now = s[rows] + grad * grad
+        s[rows] = now
+        p[rows] += np.float32(rate) * grad / np.sqrt(now)
+
+    def _added(self, rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows and the sums of their gradients."""
+        rows = rows.astype(np.uint16 if len(self.rank) <= 1 << 16 else np.uint32)  # sorted by radix
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = _runs(rows)
+        return rows[first].astype(np.int64), np.add.reduceat(grad[order], first, axis=0)
 
     def learn(self, before: np.ndarray, target: np.ndarray, rng: np.random.Generator, rate: float = 0.15) -> None:
         """One step of noise-contrastive estimation on a batch, for the class and for the word within it."""
-        p, n = self.params, len(target)
-        r = self.context(before)
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p, n, one = self.params, len(target), np.float32(1 / LEAST_BATCH)
+        sig = lambda z: 0.5 + 0.5 * np.tanh(0.5 * z)
+        order = np.argsort(self.cls[target], kind="stable")
+        before, target = before[order], target[order]
         c, w = self.cls[target], self.rank[target]
-        x = np.minimum(np.searchsorted(np.cumsum(self.class_q), rng.random(NOISE_CLASSES)), len(self.class_q) - 1)
-        log_k = np.log(NOISE_CLASSES)
-        up = (1 - sig(np.einsum("nd,nd->n", r, p["S"][c]) + p["s"][c] - log_k - np.log(self.class_q[c]))) / n
-        down = sig(r @ p["S"][x].T + p["s"][x] - log_k - np.log(self.class_q[x])) / n
-        g_r = up[:, None] * p["S"][c] - down @ p["S"][x]
-        rows = np.concatenate([c, x])
-        steps = [("S", rows, np.concatenate([up[:, None] * r, -(down.T @ r)])), ("s", rows, np.concatenate([up, -down.sum(0)]))]
-        base = np.where(self.first[c] > 0, self.cum[self.first[c] - 1], 0.0)
-        y = np.searchsorted(self.cum, base[:, None] + rng.random((n, NOISE_WORDS)) * (self.cum[self.first[c + 1] - 1] - base)[:, None])
-        y = np.clip(y, self.first[c][:, None], self.first[c + 1][:, None] - 1)
-        log_k = np.log(NOISE_WORDS)
-        up = (1 - sig(np.einsum("nd,nd->n", r, p["T"][w]) + p["b"][w] - log_k - np.log(self.word_q[w]))) / n
-        down = sig(np.einsum("nd,nkd->nk", r, p["T"][y]) + p["b"][y] - log_k - np.log(self.word_q[y])) / n
-        g_r += up[:, None] * p["T"][w] - np.einsum("nk,nkd->nd", down, p["T"][y])
-        rows = np.concatenate([w, y.ravel()])
-        steps += [("T", rows, np.concatenate([up[:, None] * r, -(down[:, :, None] * r[:, None, :]).reshape(-1, r.shape[1])])), ("b", rows, np.concatenate([up, -down.ravel()]))]
-        e = [p["E"][before[:, k]] for k in range(CONTEXT)]
-        steps += [("E", before.T.ravel(), np.concatenate([g_r @ p["C"][k].T for k in range(CONTEXT)])), ("C", None, np.stack([e[k].T @ g_r for k in range(CONTEXT)]))]
-        for name, rows, grad in steps:
-            self._step(name, rows, grad.astype(np.float32), rate)
+        first = _runs(c)
+        own = c[first]  # the batch's classes, whose tokens are runs
+        r = self.context(before)
+        S, s = p["S"], p["s"] - self.class_noise
+        x = np.minimum(np.searchsorted(self.class_cum, rng.random(NOISE_CLASSES)), len(self.class_q) - 1)
+        up = (1 - sig(np.einsum("nd,nd->n", r, S[c]) + s[c])) * one
+        down = sig(r @ S[x].T + s[x]) * one
+        g_r = up[:, None] * S[c] - down @ S[x]
+        g_S, g_s = np.zeros_like(S), np.zeros_like(s)
+        g_S[own], g_s[own] = np.add.reduceat(up[:, None] * r, first, axis=0), np.add.reduceat(up, first)
+        np.subtract.at(g_S, x, down.T @ r)
+        np.subtract.at(g_s, x, down.sum(0))
+        T, b = p["T"], p["b"]
+        low, high = self.cum[self.first[own]], self.cum[self.first[own + 1]]
+        y = np.searchsorted(self.cum[1:], low[:, None] + rng.random((len(own), NOISE_WORDS)) * (high - low)[:, None])
+        y = np.clip(y, self.first[own][:, None], self.first[own + 1][:, None] - 1)
+        T_w, T_y, b_y = T[w], T[y], b[y] - self.word_noise[y]
+        up = (1 - sig(np.einsum("nd,nd->n", r, T_w) + b[w] - self.word_noise[w])) * one
+        g_r += up[:, None] * T_w
+        grad = np.empty((n + y.size, T.shape[1] + 1), np.float32)
+        grad[:n, :-1], grad[:n, -1] = up[:, None] * r, up
+        noise = grad[n:].reshape(*y.shape, -1)
+        for k, (lo, hi) in enumerate(zip(first.tolist(), [*first[1:].tolist(), n], strict=True)):
+            down = sig(r[lo:hi] @ T_y[k].T + b_y[k]) * one
+            g_r[lo:hi] -= down @ T_y[k]
+            noise[k, :, :-1], noise[k, :, -1] = -(down.T @ r[lo:hi]), -down.sum(0)
+        rows, grad = self._added(np.concatenate([w, y.ravel()]), grad)
+        g_C = np.stack([p["E"][before[:, k]].T @ g_r for k in range(CONTEXT)])
+        rows_e, grad_e = self._added(before.T.ravel(), np.concatenate([g_r @ p["C"][k].T for k in range(CONTEXT)]))
+        every = slice(None)
+        for name, at, g in (("S", every, g_S), ("s", every, g_s), ("T", rows, grad[:, :-1]), ("b", rows, grad[:, -1]), ("E", rows_e, grad_e), ("C", every, g_C)):
+            self._step(name, at, g, rate)
+
+    def learn_all(self, before: np.ndarray, ids: np.ndarray, number: int, rounds: int, passes: float, rng: np.random.Generator) -> int:
+        """Learn from every token of a block whose turn is round ``number``, ``passes`` times (at least once); the number learned from."""
+        pool = np.arange(number, len(ids), rounds)
+        batch, learned = min(MOST_BATCH, max(LEAST_BATCH, len(pool) // 8)), 0
+        while passes > 0 and len(pool):
+            pick = rng.permutation(pool)
+            if passes < 1:
+                pick = pick[: int(passes * len(pool) + rng.random())]
+            for lo in range(0, len(pick), batch):
+                at = pick[lo : lo + batch]
+                self.learn(before[at], ids[at], rng)
+            learned, passes = learned + len(pick), passes - 1
+        return learned
 
     def log_probabilities(self, before: np.ndarray, target: np.ndarray, batch: int = 4096) -> np.ndarray:
         """Natural log P(target | tokens before), normalised, in batches of contexts against all classes,
@@ -228,6 +263,11 @@ class LogBilinear:
         return out
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """First places of the runs of equal values."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(z)), at].astype(np.float64)
@@ -235,13 +275,14 @@ def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def train(learn: DataFrame, lex: Lexicon, counts: np.ndarray, rounds: int = ROUNDS) -> LogBilinear:
-    """The model, fitted in tasks on all training documents and averaged after each round.
+    """The model, fitted in tasks on all tokens of all training documents and averaged after each round.
 
-    Each round takes every ``rounds``-th document of each block. Tasks give their parameters in pieces
-    of 64K numbers with the number of tokens they drew; Spark adds the pieces up, piece by piece.
+    Each round takes every ``rounds``-th token of each block, with the tokens before it. Tasks give their
+    parameters in pieces of 64K numbers with the number of tokens they learned from; Spark adds the
+    pieces up, piece by piece.
     """
     model = LogBilinear(counts)
-    draws = DRAWS + DRAWS_LEAST / max(1, lex.tokens)
+    passes = 1 + MORE / max(1, lex.tokens)
     sc = learn.sparkSession.sparkContext
     piece = 1 << 16
     shapes = {k: v.shape for k, v in model.params.items()}
@@ -259,21 +300,14 @@ def train(learn: DataFrame, lex: Lexicon, counts: np.ndarray, rounds: int = ROUN
             mine = LogBilinear(counts)
             mine.params = {k: v.copy() for k, v in params.items()}
             rng = np.random.default_rng([number, TaskContext.get().partitionId()])
-            drawn = 0
+            learned = 0
             for b in text_blocks(batches):
-                ids, first, before, _, _ = _tokens(words(b), lex)
-                doc = np.repeat(np.arange(len(b)), np.diff(first))
-                pool = np.flatnonzero(doc % rounds == number % max(1, min(rounds, len(b))))
-                want = draws * len(pool)
-                pick = pool[rng.integers(0, len(pool), int(want) + (rng.random() < want % 1))] if len(pool) else pool
-                for lo in range(0, len(pick), BATCH):
-                    at = pick[lo : lo + BATCH]
-                    mine.learn(before[at], ids[at], rng)
-                drawn += len(pick)
-            if drawn:
+                ids, _, before, _, _ = _tokens(words(b), lex)
+                learned += mine.learn_all(before, ids, number, rounds, passes, rng)
+            if learned:
                 flat = pieces(mine.params)
                 parts = [flat[lo : lo + piece] for lo in range(0, len(flat), piece)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(drawn)] * len(parts)), pa.array([x.tobytes() for x in parts], pa.binary())], ["piece", "weight", "numbers"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(learned)] * len(parts)), pa.array([x.tobytes() for x in parts], pa.binary())], ["piece", "weight", "numbers"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list] = {}  # the pieces dealt to this task, each one array

@@ -311,6 +311,21 @@ def test_lm_is_normalised_and_learns():
     assert now > was + 0.8
 
 
+@pytest.mark.parametrize(("tokens", "passes"), [(30_001, 1.0), (700, 3.4), (1, 1.0)])
+def test_lm_learns_from_every_token(monkeypatch, tokens, passes):
+    """Over the rounds each token of a block is a target once at least, with its own tokens before it."""
+    import numpy as np
+
+    seen = []
+    monkeypatch.setattr(lm.LogBilinear, "learn", lambda self, before, target, rng: seen.extend(zip(before[:, 0].tolist(), target.tolist(), strict=True)))
+    ids = np.arange(tokens)
+    m, rng = lm.LogBilinear(np.ones(4)), np.random.default_rng(2)
+    learned = sum(m.learn_all(np.stack([ids - 1] * 3, axis=1), ids, k, 2, passes, rng) for k in range(2))
+    times = Counter(t for _, t in seen)
+    assert set(times) == set(range(tokens)) and all(b == t - 1 for b, t in seen)
+    assert learned == len(seen) and abs(learned - passes * tokens) <= 2 and max(times.values()) - min(times.values()) <= 1
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     """Words that follow each other in pairs: the model's perplexity on the held-out fold is clearly under the base's."""
     import random
