@@ -7,7 +7,8 @@ the documents of a hub by shard; documents outside their hub's favourite shard a
 For each ordered pair of shards the requests are met up to a quota: as many documents move back,
 first those that ask to, then documents without links, which cost nothing. So every round keeps all
 shard sizes and cuts fewer links. Ranks within a shard or a pair of shards are sums of counts over
-buckets plus a rank within a small bucket, so that no task sorts a whole shard.
+buckets plus a rank within a small bucket, so that no task sorts a whole shard. What a round asks for
+is stored before it is ranked, and quotas are looked up in small arrays, so that plans stay small.
 
 Defined results: law ``rows`` (counts at most one apart); null text has no bytes and links to
 nothing, an empty text links like any other; a null doc_id hashes like any value; repeated rows are
@@ -17,8 +18,6 @@ added name is replaced.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +58,7 @@ def one_round(state: DataFrame, number: int, buckets: int, total: int) -> DataFr
     best = held.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("top"), F.sum("n").alias("_copies")).select("hub", F.col("top.shard").alias("best"), "_copies")
     # Rows without a hub stay out of the join, whose key would be null for all of them.
     linked = with_group(state.where("hub IS NOT NULL"), best, "hub", "_copies", total).withColumn("to", F.when(F.col("best") != F.col("shard"), F.col("best"))).drop("best", "_copies")
-    asked = linked.unionByName(state.where("hub IS NULL").withColumn("to", F.lit(None).cast("int")))
+    asked = stored(linked.unionByName(state.where("hub IS NULL").withColumn("to", F.lit(None).cast("int"))), f"asked-{number}")
     want = asked.where("to IS NOT NULL").groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n"))
     free = asked.where("hub IS NULL").groupBy("shard").agg(F.count(F.lit(1)).alias("free"))
     # 16 x 16 counts: the quotas are settled in the driver.
@@ -74,25 +73,29 @@ def one_round(state: DataFrame, number: int, buckets: int, total: int) -> DataFr
         spare[i] = spare.get(i, 0) - extra_ji
         quota += [(i, j, both + extra_ij, extra_ji), (j, i, both + extra_ji, extra_ij)]
     if not quota:
+        forget(asked)
         return state
-    spark = state.sparkSession
-    q = F.broadcast(spark.createDataFrame([(i, j, m) for i, j, m, _ in quota], "shard int, to int, most long"))
-    movers = ranked(asked.where("to IS NOT NULL"), ["shard", "to"], [], ["row_id"], buckets, "_rank").join(q, ["shard", "to"])
-    movers = movers.withColumn("shard", F.when(F.col("_rank") < F.col("most"), F.col("to")).otherwise(F.col("shard"))).select(*state.columns)
+    size = 1 + max(j for _, j, _, _ in quota)
+    of_shard = lambda rows, kind, at="shard": F.get(F.array(*(F.array(*map(F.lit, r)).cast(f"array<{kind}>") for r in rows)), F.col(at))
+    most = [[0] * size for _ in range(size)]
     # Rows without links fill the places: ranges of their rank in the shard lead to the other shards.
-    spans, at = [], {}
-    for i, j, _, n in quota:
+    ends, tos = [[] for _ in range(size)], [[] for _ in range(size)]
+    for i, j, m, n in quota:
+        most[i][j] = m
         if n:
-            lo = at.get(i, 0)
-            spans.append((i, j, lo, lo + n))
-            at[i] = lo + n
+            ends[i].append((ends[i] or [0])[-1] + n)
+            tos[i].append(j)
+    movers = ranked(asked.where("to IS NOT NULL"), ["shard", "to"], [], ["row_id"], buckets, "_rank")
+    movers = movers.withColumn("shard", F.when(F.col("_rank") < F.get(of_shard(most, "bigint"), F.col("to")), F.col("to")).otherwise(F.col("shard"))).select(*state.columns)
     unlinked = asked.where("hub IS NULL")
-    if spans:
+    if any(ends):
         r = ranked(unlinked.drop("to"), ["shard"], [], ["row_id"], buckets, "_rank")
-        to = reduce(lambda c, s: F.when((F.col("shard") == s[0]) & (F.col("_rank") >= s[2]) & (F.col("_rank") < s[3]), F.lit(s[1])).otherwise(c), spans, F.col("shard"))
-        unlinked = r.withColumn("shard", to.cast("int"))
+        passed = F.size(F.filter(of_shard(ends, "bigint"), lambda e: e <= F.col("_rank")))
+        unlinked = r.withColumn("shard", F.coalesce(F.get(of_shard(tos, "int"), passed), F.col("shard")))
     stay = asked.where("hub IS NOT NULL AND to IS NULL")
-    return stored(stay.select(*state.columns).unionByName(movers).unionByName(unlinked.select(*state.columns)), f"shards-{number}")
+    moved = stored(stay.select(*state.columns).unionByName(movers).unionByName(unlinked.select(*state.columns)), f"shards-{number}")
+    forget(asked)
+    return moved
 
 
 def balanced_shards(docs: DataFrame, link: Column, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -108,9 +111,9 @@ def balanced_shards(docs: DataFrame, link: Column, shards: int = SHARDS, rounds:
     # A hub that outgrows a shard is cut by a hash of the row into parts that fit with room to spare.
     parts = F.ceil(F.col("_copies") * 1.25 / room)
     salt = F.when(F.col("_copies") > room, F.pmod(F.xxhash64("row_id", F.lit(23)), parts)).otherwise(F.lit(0))
-    linked = linked.withColumn("hub", F.when(F.col("_copies").isNotNull(), F.xxhash64("_link", salt))).drop("_copies", "_link")
+    linked = stored(linked.withColumn("hub", F.when(F.col("_copies").isNotNull(), F.xxhash64("_link", salt))).drop("_copies", "_link"), "linked")
     state = stored(first_shards(linked, shards, buckets), "shards-0")
-    forget(rows)
+    forget(rows, linked)
     for k in range(1, rounds + 1):
         before, state = state, one_round(state, k, buckets, total)
         if before is not state:

@@ -272,6 +272,15 @@ def test_balanced_shards(spark, monkeypatch, share):
     assert cut(rows)[1] <= 0.5 * cut(still.collect())[1]
 
 
+def test_balanced_shards_has_small_plans(spark, monkeypatch):
+    """The largest plan of a round: the driver holds it with all its stages."""
+    plans, write = [], sharding.stored
+    monkeypatch.setattr(sharding, "stored", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    df = spark.createDataFrame([(i, f"t{i // 2}" if i < 300 else None) for i in range(360)], "doc_id long, k string")
+    sharding.balanced_shards(df, F.col("k"), rounds=1)
+    assert len(plans) > 3 and max(x.count("Exchange ") for x in plans) <= 20 and max(x.count("CASE WHEN") for x in plans) < 10
+
+
 def test_lm_counts_and_scores(docs, texts):
     rows = lm.score_texts(docs, lm.fold() != 1, known=60, least=6).collect()
     ids = [*range(len(texts)), 6]
