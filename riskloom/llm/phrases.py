@@ -13,8 +13,11 @@ of any phrase in it. A slot that several phrases share can only make a phrase ac
 still counted in as many consecutive scans as there are shards: once in each. What is kept between
 scans are the keys whose cycle isn't over, in a table bucketed by key, so that only new counts are shuffled.
 
-Keys may collide, which makes counts too large and never too small. A last scan therefore reads the
-texts of the phrases that look frequent and counts these exactly, by text.
+Slots and keys of one word's length are shared, counts are not: they are kept by the key (56 bits of
+hash) and an independent second key (64 bits) together. At the end each frequent pair of keys is given its text. The
+documents are dealt into portions, each of which is twice as large as the one before; a portion is read
+for the texts that all portions before it didn't have, until none is missing. A frequent phrase stands in many
+documents, so most texts are found in the first few portions, and few tasks make the same one.
 
 Scores are lift-like: of a phrase with count a, cut into parts with counts l and r, floor(2000000 a /
 (l + r)), of all cuts the lowest. All counts are by language; a null language is ``und``.
@@ -29,6 +32,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,8 @@ BLOCK_BYTES = 1 << 20
 #: Counts that a task keeps before it adds them up, and before it hands them on.
 HELD = 1 << 21
 NEVER = 127
+#: Portions of the documents that are read for texts: 1/64, 1/64, 1/32, ... 1/2 of them.
+PORTIONS = 7
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,7 +85,7 @@ def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarra
 
 
 class Scan:
-    """One scan: which phrases of a text are active in it, and their counts by key (or, in the last scan, by text)."""
+    """One scan: which phrases of a text are active in it, and their counts by key (or, when texts are looked for, by text)."""
 
     def __init__(self, step: int, shards: int, longest: int, reached: np.ndarray, frequent: np.ndarray | None = None) -> None:
         self.step, self.shards, self.longest, self.reached, self.frequent = step, shards, longest, reached, frequent
@@ -113,10 +119,10 @@ class Scan:
         names = sorted(set(langs))
         number = {x: k for k, x in enumerate(names)}
         lang = np.array([number[x] for x in langs])[doc]
-        both = span_keys(data, start, end, 1 if self.frequent is None else 2)
+        both = span_keys(data, start, end, 2)
         word = both[0]
         keys = mix64(word + np.array([_lang_key(x) for x in names], np.uint64)[lang])
-        checks = both[-1]  # of the same words, independent of the keys
+        checks = both[-1] + np.array([_lang_key(x) for x in names], np.uint64)[lang] * _ODD  # of the same words, independent of the keys
         total = len(start) if limit is None else int(np.searchsorted(start, limit))
         if self.frequent is not None:
             yield names, np.bincount(lang[:total], minlength=len(names))
@@ -134,8 +140,7 @@ class Scan:
                 may = (piece[:last] == piece[n - 1 :]) & (late < NEVER)
                 first_scan = late.astype(np.int64) + 1
                 keys = mix64(keys[:last] * _ODD + word[n - 1 :])
-                if self.frequent is not None:
-                    checks = mix64(checks[:last] + both[-1][n - 1 :] * _ODD)
+                checks = mix64(checks[:last] + both[-1][n - 1 :] * _ODD)
             slot = ((keys >> np.uint64(8)) & self.slots).astype(np.int64)
             seen = self.reached[slot]
             if self.frequent is not None:
@@ -143,23 +148,21 @@ class Scan:
             else:
                 at = np.flatnonzero(may[:total] & (first_scan[:total] <= self.step) & (self.step < first_scan[:total] + self.shards))
             if len(at):
-                if self.frequent is None:
-                    key, first, c = np.unique(keys[at], return_index=True, return_counts=True)
-                else:
-                    first, which = distinct(np.stack([keys[at], checks[at]]))
-                    key, c = keys[at[first]], np.bincount(which, minlength=len(first))
+                first, which = distinct(np.stack([keys[at], checks[at]]))
+                key, c = keys[at[first]], np.bincount(which, minlength=len(first))
+                first = at[first]
+                if self.frequent is not None:
                     order = np.argsort(key, kind="stable")
                     key, first, c = key[order], first[order], c[order]
-                first = at[first]
                 if self.frequent is None:
-                    yield ((key >> np.uint64(8)) << np.uint64(8)) | (first_scan[first] << 3 | n - 1).astype(np.uint64), c
+                    yield _marked(key, first_scan[first], n), checks[first], c
                 else:
 
-                    def rows(some: np.ndarray, first: np.ndarray = first, n: int = n, scan: np.ndarray = first_scan) -> pa.Table:
-                        """Language, length, text and first scan of some of these phrases."""
+                    def rows(some: np.ndarray, first: np.ndarray = first, n: int = n, scan: np.ndarray = first_scan, keys: np.ndarray = keys, checks: np.ndarray = checks) -> pa.Table:
+                        """Language, length, text, first scan and both keys of some of these phrases."""
                         at = first[some]
                         where = pa.DictionaryArray.from_arrays(pa.array(lang[at], pa.int32()), pa.array(names, pa.large_string())).cast(pa.large_string())
-                        return pa.Table.from_arrays([where, pa.array(np.full(len(at), n, np.int32)), spans(data, start, end, at, n), pa.array(scan[at].astype(np.int32))], ["lang", "n", "phrase", "start"])
+                        return pa.Table.from_arrays([where, pa.array(np.full(len(at), n, np.int32)), spans(data, start, end, at, n), pa.array(scan[at].astype(np.int32)), pa.array(_marked(keys[at], scan[at], n).view(np.int64)), pa.array(checks[at].view(np.int64))], ["lang", "n", "phrase", "start", "key", "twin"])
 
                     yield key, checks[first], c, rows
 
@@ -198,25 +201,27 @@ class Scan:
                 i = j
 
     def by_key(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rows = 0
 
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            k, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            k, check, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.argsort(k, kind="stable")
-            k, c = k[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            return k[first], np.add.reduceat(c, first)
+            k, check, c = k[order], check[order], c[order]
+            # Should one key have several second ones here, a pair may remain in several rows: they are added up later.
+            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (check[1:] != check[:-1])]))
+            return k[first], check[first], np.add.reduceat(c, first)
 
-        def out(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + (1 << 16)].view(np.int64)), pa.array(c[a : a + (1 << 16)].astype(np.int64))], ["key", "c"])
+        def out(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)].view(np.int64)) for x in columns], ["key", "twin", "c"])
 
-        for k, c in self.blocks(batches):
-            held.append((k, c))
-            rows += len(k)
+        for x in self.blocks(batches):
+            held.append(x)
+            rows += len(x[0])
             if rows > HELD:
-                held = [added()]
+                held.append(added())
                 rows = len(held[0][0])
                 if rows > HELD // 2:
                     yield from out(*held.pop())
@@ -264,10 +269,15 @@ class Scan:
             yield from held()
         if words:
             names = list(words)
-            t = pa.table({"lang": pa.array(names, pa.large_string()), "n": pa.array([0] * len(names), pa.int32()), "phrase": pa.array([""] * len(names), pa.large_string()), "start": pa.array([0] * len(names), pa.int32())})
+            t = pa.table({"lang": pa.array(names, pa.large_string()), "n": pa.array([0] * len(names), pa.int32()), "phrase": pa.array([""] * len(names), pa.large_string()), "start": pa.array([0] * len(names), pa.int32()), "key": pa.array([0] * len(names)), "twin": pa.array([0] * len(names))})
             yield from out(t, np.array([words[x] for x in names]))
 
 
+def _marked(key: np.ndarray, start: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    """Keys whose last byte holds first scan and length."""
+    return (key >> np.uint64(8) << np.uint64(8)) | (start.astype(np.uint64) << np.uint64(3)) | (np.asarray(n) - 1).astype(np.uint64)
+
+
 def _slots(keys: DataFrame, bits: int) -> np.ndarray:
     """Slots (1 << bits of them) that hold one of ``keys``, each once."""
     slot = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
@@ -283,45 +293,64 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
         raise ValueError("longest has to be 8, longest * shards 31 at most")
     spark = docs.sparkSession
     home = shared_dir(spark, "phrases")
-    dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
+    row = F.monotonically_increasing_id()
+    dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(row), F.lit(1 << PORTIONS - 1)).alias("portion"), (row % shards).cast("int").alias("shard"))
+    dealt = dealt.withColumn("portion", F.when(F.col("portion") > 0, F.length(F.bin("portion"))).otherwise(0))
     dealt.write.partitionBy("shard").parquet(home)
-    corpus = small_batches(spark.read.schema("lang string, text string, shard int").parquet(home))
+    corpus = small_batches(spark.read.schema("lang string, text string, portion int, shard int").parquet(home))
     corpus.stored_at = home
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reached = np.full(1 << slot_bits, NEVER, np.int8)
-    frequent = np.zeros(1 << slot_bits, bool)
     first = F.shiftright("key", 3).bitwiseAND(F.lit(31))
     state, held = None, None
+    done: list[DataFrame] = []  # frequent keys whose cycle is over
     step, last = 0, -1
     while step < shards or step <= last + shards:
-        found = corpus.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(Scan(step, shards, longest, reached).by_key, "key long, c long")
-        found = found.groupBy("key").agg(F.sum("c").alias("c"))
+        found = corpus.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(Scan(step, shards, longest, reached).by_key, "key long, twin long, c long")
+        found = found.groupBy("key", "twin").agg(F.sum("c").alias("c"))
         if state is not None:
             # The state is bucketed by key: new counts alone are shuffled.
-            found = state.join(found, "key", "full_outer").select("key", (F.coalesce("f", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("f"), "reach")
+            found = state.join(found, ["key", "twin"], "full_outer").select("key", "twin", (F.coalesce("f", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("f"), "reach")
         else:
-            found = found.select("key", F.col("c").alias("f"), F.lit(None).cast("int").alias("reach"))
+            found = found.select("key", "twin", F.col("c").alias("f"), F.lit(None).cast("int").alias("reach"))
         found = found.withColumn("reach", F.coalesce("reach", F.when(F.col("f") >= threshold, F.lit(step))))
         name = f"phrases_{uuid.uuid4().hex}"
         place = shared_dir(spark, "phrases-state")
-        found.where((first + shards > step + 1) | F.col("reach").isNotNull()).write.bucketBy(buckets, "key").sortBy("key").option("path", place).saveAsTable(name)
+        found.where((first + shards > step + 1) | F.col("reach").isNotNull()).write.bucketBy(buckets, "key", "twin").sortBy("key", "twin").option("path", place).saveAsTable(name)
         before, held = held, (name, place)
         both = spark.table(name)
         new = _slots(both.where((F.col("reach") == step) & (F.col("key").bitwiseAND(F.lit(7)) < longest - 1)), slot_bits)
         reached[new] = np.minimum(reached[new], step)
-        over = _slots(both.where((F.col("reach") == step)), slot_bits)
-        frequent[over] = True
         last = step if len(new) else last
         state = both.where(first + shards > step + 1)
+        done.append(stored(both.where((first + shards <= step + 1) & F.col("reach").isNotNull()).select("key", "twin", "f"), "phrases-done"))
         if before:
             _drop(spark, *before)
         step += 1
-    if held:
-        _drop(spark, *held)
-    exact = corpus.select("lang", "text").mapInArrow(Scan(step, shards, longest, reached, frequent).by_text, "lang string, n int, phrase string, start int, c long")
-    counted = stored(exact.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f"), F.min("start").alias("start")).where((F.col("f") >= threshold) | (F.col("n") == 0)), "phrases-frequent")
-    forget(corpus)
-    return counted.where("n > 0").select("lang", "n", "phrase", "f", "start"), counted.where("n = 0 AND f > 0").select("lang", F.col("f").alias("words"))
+    _drop(spark, *held)
+    missing = stored(reduce(DataFrame.unionByName, done), "phrases-missing")
+    forget(*done)
+    found = []
+    for portion in range(PORTIONS):
+        wanted = np.zeros(1 << slot_bits, bool)
+        wanted[_slots(missing, slot_bits)] = True
+        if not wanted.any():
+            break
+        made = corpus.where(F.col("portion") == portion).select("lang", "text").mapInArrow(Scan(step, shards, longest, reached, wanted).by_text, "lang string, n int, phrase string, start int, key long, twin long, c long")
+        one = made.where("n > 0").groupBy("key", "twin").agg(F.min(F.struct("lang", "n", "phrase", "start")).alias("x"))
+        found.append(stored(missing.join(one, ["key", "twin"]).select("key", "twin", "x.lang", "x.n", "x.phrase", "f", "x.start"), "phrases-frequent"))
+        before, missing = missing, stored(missing.join(found[-1], ["key", "twin"], "left_anti"), "phrases-missing")
+        forget(before)
+    word = r"[^ \t.,;:!?\n\x0B\f\r]+"
+    words = stored(corpus.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(word)).cast("long")).alias("words")).where("words > 0"), "phrases-words")
+    forget(corpus, missing)
+    texts = reduce(DataFrame.unionByName, found) if found else _no_texts(spark)
+    return texts.select("lang", "n", "phrase", "f", "start"), words
+
+
+def _no_texts(spark: SparkSession) -> DataFrame:
+    """No texts: what a corpus without frequent phrases has."""
+    return spark.createDataFrame([], "lang string, n int, phrase string, f long, start int")
 
 
 def _drop(spark: SparkSession, name: str, place: str) -> None:

@@ -115,6 +115,37 @@ def test_colliding_keys_are_counted_apart(monkeypatch):
     assert all(got[k] == v for k, v in want.items() if " " not in k)
 
 
+def test_texts_are_made_from_the_first_portions(spark, monkeypatch):
+    """Texts of frequent phrases are looked for where they were missing, not counted anew in the whole corpus."""
+    made, write = [], phrases.stored
+
+    def stored(df, label):
+        table = write(df, label)
+        if label == "phrases-missing":
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(phrases, "stored", stored)
+    texts = ["new york city and the of"] * 600 + ["rare pair"] * 4
+    freq, words = frequent_phrases(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"), 4)
+    f = {p: c for p, c in counts([("en", t) for t in texts])["en"].items() if c >= 4}
+    assert {(r.phrase, r.f) for r in freq.collect()} == set(f.items()) and words.first().words == 600 * 6 + 8
+    assert made[0] == len(f) and made[1] <= 3 and made[-1] == 0 and len(made) <= phrases.PORTIONS + 1
+
+
+def test_keys_that_collide_keep_their_own_counts(monkeypatch):
+    import pyarrow as pa
+
+    real = phrases.mix64
+    # The first keys have few values; words are told apart by the second ones alone.
+    monkeypatch.setattr(phrases, "mix64", lambda x: real(np.asarray(x)) % np.uint64(3) << np.uint64(8))
+    got = Counter()
+    for b in Scan(0, 3, 1, np.full(4, phrases.NEVER, np.int8)).by_key(iter([pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array(["a b c d e f g a a", "b b"])], ["lang", "text"])])):
+        for r in b.to_pylist():
+            got[r["key"], r["twin"]] += r["c"]
+    assert sorted(got.values()) == [1, 1, 1, 1, 1, 3, 3] and len({k for k, _ in got}) <= 3
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "lang string, text string")
     assert collocations(df).count() == 0
