@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import stored
+from .blocks import forget, stored
 
 
 def _state(e: DataFrame) -> tuple:
@@ -17,7 +17,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, comp) for each node of an edge (a, b); comp is the smallest node of its component.
 
     Each step is a groupBy with partial sums and joins on the node, so a node with very many edges
-    is combined on the map side and its join can be split. An empty edge table gives no rows.
+    is combined on the map side and its join can be split. Both halves of a step are stored, so that
+    plans stay small in the driver. An empty edge table gives no rows.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
     before, k = _state(e), 0
@@ -25,10 +26,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         k += 1
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{label}-{k}-large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-{k}-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = stored(small, f"{label}-{k}")
+        last, e = e, stored(small, f"{label}-{k}")
+        forget(last, large, low)
         now = _state(e)
         if now == before:
             break

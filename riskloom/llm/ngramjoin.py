@@ -198,24 +198,28 @@ def shingle_sets(docs: DataFrame, orders: Orders, size: int = SIZE) -> DataFrame
     return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, n int, set_id long, prefix array<bigint>, parities binary, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
-def _known(sets: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """set_id and columns of the sets of ``wanted`` (one column, distinct)."""
+def _known(sets: DataFrame, wanted: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """set_id and columns of the sets of ``wanted`` (one column, distinct), stored."""
+    wanted = stored(wanted, f"{label}-wanted")
     known = may_be_in(sets.where("prefix IS NOT NULL").select("set_id", *columns), "set_id", wanted)
-    return known.join(wanted.withColumnsRenamed({wanted.columns[0]: "set_id"}), "set_id").groupBy("set_id").agg(*(F.first(c).alias(c) for c in columns))
+    known = known.join(wanted, "set_id").groupBy("set_id").agg(*(F.first(c).alias(c) for c in columns))
+    known = stored(known, label)
+    forget(wanted)
+    return known
 
 
 def _by_sketch(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with n tokens together whose sketches allow a link."""
-    known = stored(_known(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), SKETCH), "jaccard-sketches")
+    """The stored pairs (a, b) with n tokens together whose sketches allow a link; takes their place."""
+    known = _known(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), SKETCH, "jaccard-sketches")
     side = lambda c: known.select(F.col("set_id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in SKETCH))
     out = stored(pairs.join(side("b"), "b").join(side("a"), "a").where(may_link("a_", "b_", F.col("n"))).select("a", "b", "n"), "jaccard-pairs")
-    forget(known)
+    forget(known, pairs)
     return out
 
 
 def _by_parities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The stored pairs (a, b) with n tokens together whose parities allow a link; takes their place."""
-    known = _known(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), ["parities"])
+    known = _known(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), ["parities"], "jaccard-parities")
     side = lambda c: known.select(F.col("set_id").alias(c), F.col("parities").alias(f"x_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +230,7 @@ def _by_parities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     out = stored(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n", "x_a", "x_b").mapInArrow(run, "a long, b long"), "jaccard-likely")
-    forget(pairs)
+    forget(known, pairs)
     return out
 
 
@@ -316,13 +320,14 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
     meet = stored(meet.select("set_id", "n", "p", "hit.token", (F.col("hit.pos") - F.col("place")).alias("alone")), "jaccard-meet")
     # The set in the middle of its group has the most common tokens.
     common = meet.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
-    middle = meet.join(common, "token").groupBy("set_id").agg((F.sum("sets") / F.first("p")).alias("middle"))
+    middle = stored(meet.join(common, "token").groupBy("set_id").agg((F.sum("sets") / F.first("p")).alias("middle")), "jaccard-middle")
     hubs = meet.join(middle, "set_id").groupBy("token").agg(F.max(F.struct("middle", "set_id", "n")).alias("hub")).select("token", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n"))
     members = stored(meet.join(hubs, "token").groupBy("hub", "hub_n", "set_id", "n").agg(F.min("alone").alias("alone")), "jaccard-members")
     fits = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
     own_hub = members.where(F.col("hub") == F.col("set_id")).select("hub", F.col("alone").alias("hub_alone"))
     star = members.where(F.col("hub") != F.col("set_id")).where(fits(F.col("hub_n"), F.col("n"))).join(own_hub, "hub").where(9 * (F.col("alone") + F.col("hub_alone")) <= F.col("n") + F.col("hub_n"))
-    star = _by_parities(_by_sketch(star.select(F.col("hub").alias("a"), F.col("set_id").alias("b"), (F.col("n") + F.col("hub_n")).alias("n")), sets), sets)
+    star = stored(star.select(F.col("hub").alias("a"), F.col("set_id").alias("b"), (F.col("n") + F.col("hub_n")).alias("n")), "jaccard-hub-pairs")
+    star = _by_parities(_by_sketch(star, sets), sets)
     tested = stored(_verify(_with_tokens(docs, sets, star, size), orders), "jaccard-star")
     near = stored(components(tested, "jaccard-cc"), "jaccard-near")
 
@@ -331,7 +336,8 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
     # Hubs with a set that is apart from them and another set besides.
     open_ = m.groupBy("hub").agg(F.max((F.col("comp") != F.col("hub_comp")).cast("int")).alias("apart"), F.count(F.lit(1)).alias("sets")).where("apart = 1 AND sets > 1").select("hub")
     m = m.join(open_, "hub")
-    m = stored(m.join(_known(sets, m.select("set_id").distinct(), SKETCH), "set_id"), "jaccard-open")
+    known = _known(sets, m.select("set_id").distinct(), SKETCH, "jaccard-open-sketches")
+    m = stored(m.join(known, "set_id"), "jaccard-open")
     side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("set_id", "n", "alone", "comp", *SKETCH)]
     x = m.where(F.col("comp") != F.col("hub_comp")).select("hub", *side("x"))
     y = m.select(F.col("hub").alias("y_hub"), "hub_comp", *side("y"))
@@ -344,12 +350,14 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
     rest = stored(rest.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"), total.alias("n")).distinct(), "jaccard-pairs")
     rest = _by_parities(rest, sets)
     late = stored(_verify(_with_tokens(docs, sets, rest, size), orders), "jaccard-late")
-    links = tested.union(late)
-    final = stored(components(links, "jaccard-final"), "jaccard-comps")
-    forget(repeated, by_set, meet, members, star, tested, near, m, rest, late)
+    # The components of the first links are stars by now, so few steps are left; without a late link none.
+    links = near.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(late)
+    final = near if late.isEmpty() else stored(components(links, "jaccard-final"), "jaccard-comps")
+    forget(repeated, by_set, meet, middle, members, star, tested, known, m, rest, late)
 
     own = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("copies"))
     own = own.join(final.select(F.col("node").alias("set_id"), "comp"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    own = stored(own, "jaccard-own")
     low = own.groupBy("comp").agg(F.min("least").alias("low"))
     own = stored(own.join(low, "comp").select("set_id", "copies", "low"), "jaccard-low")
     # Copies share a set, and a third of all rows may be copies of one text.

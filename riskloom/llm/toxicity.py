@@ -190,8 +190,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
         ids, first = word_features(b)
         texts += [ids[first[i] : first[i + 1]] for i in range(len(b))]
     toxic = rows.column("toxic").to_numpy().astype(np.float32)
+    # The driver keeps neither texts nor their features longer than it needs them.
+    del rows, b, ids
+    pa.default_memory_pool().release_unused()
     model = TextCNN()
     model.fit(texts, toxic)
+    texts.clear()
     # Scored before the join, so that no text is shuffled.
     scored = score_toxicity(docs.select("doc_id", "text", lang).where("doc_id IS NOT NULL AND lang IS NOT NULL"), model)
     scored = scored.select("doc_id", "lang", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))

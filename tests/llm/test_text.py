@@ -57,6 +57,14 @@ def test_jaccard_chain_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_components_have_small_plans(spark, monkeypatch):
+    """The driver holds each plan with all its stages."""
+    plans, write = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")) or write(df, label))
+    components.components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"))
+    assert len(plans) > 3 and max(plans) <= 6, plans
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
