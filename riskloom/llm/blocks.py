@@ -129,20 +129,20 @@ _LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LANE_ODD = (_M1, _M2)
 
 
-def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, count: int = 1) -> np.ndarray:
-    """``count`` (1 or 2) independent 64-bit keys of each byte span [start, end), a row each: lanes of eight bytes mixed in one after the other.
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, count: int = 1, first: int = 0) -> np.ndarray:
+    """``count`` (1 or 2) independent 64-bit keys of each byte span [start, end), a row each, from number ``first`` on: lanes of eight bytes mixed in one after the other.
 
     Unlike ``span_hash`` there is no algebra between the keys of different spans, so texts built by a
     rule don't collide more often than others.
     """
     n = end - start
-    h = np.stack([mix64(n.astype(np.uint64) * _M2 + np.uint64((2 * k + 1) * int(_BASE) % (1 << 64))) for k in range(count)])
+    h = np.stack([mix64(n.astype(np.uint64) * _M2 + np.uint64((2 * k + 1) * int(_BASE) % (1 << 64))) for k in range(first, first + count)])
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     most = 8 * _MOST_LANES
     if len(n) and n.max() > most:
         for i in np.flatnonzero(n > most).tolist():
-            h[:, i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest(), np.uint64)[:count]
+            h[:, i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest(), np.uint64)[first : first + count]
     todo, at, rest = np.flatnonzero(n <= most), start, n
     if len(todo) < len(n):
         at, rest = at[todo], rest[todo]
@@ -152,9 +152,9 @@ def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, count: int =
         w &= _LANE_MASK[np.minimum(rest, 8)]
         for k in range(count):
             if whole:
-                h[k] = mix64((h[k] ^ w) * _LANE_ODD[k] + _BASE)
+                h[k] = mix64((h[k] ^ w) * _LANE_ODD[first + k] + _BASE)
             else:
-                h[k, todo] = mix64((h[k, todo] ^ w) * _LANE_ODD[k] + _BASE)
+                h[k, todo] = mix64((h[k, todo] ^ w) * _LANE_ODD[first + k] + _BASE)
         on = np.flatnonzero(rest > 8)
         todo, at, rest, whole = todo[on], at[on] + 8, rest[on] - 8, False
     return h

@@ -10,12 +10,14 @@ has frequent subphrases, so none is missed.
 Tasks count by 64-bit keys in array operations; a key holds the phrase's length and first scan. When
 its subphrases reached the threshold a task sees in a table of fixed size, by slot the first such scan
 of any phrase in it. A slot that several phrases share can only make a phrase active earlier, and it is
-still counted in as many consecutive scans as there are shards: once in each. What is kept between
+still counted in as many consecutive scans as there are shards: once in each. Only the words behind each
+other whose shorter phrases have all reached the threshold get keys of longer ones, and only what is active
+in a scan gets second keys, so that late scans, in which little is active, cost little. What is kept between
 scans are the keys whose cycle isn't over, in a table bucketed by key, so that only new counts are shuffled.
 
 Slots and keys of one word's length are shared, counts are not: they are kept by the key (56 bits of
 hash) and an independent second key (64 bits) together. At the end each frequent pair of keys is given its text. The
-documents are dealt into portions, each of which is twice as large as the one before; a portion is read
+documents are dealt into portions, each larger than the one before and stored apart; a portion is read
 for the texts that all portions before it didn't have, until none is missing. A frequent phrase stands in many
 documents, so most texts are found in the first few portions, and few tasks make the same one.
 
@@ -52,8 +54,9 @@ BLOCK_BYTES = 1 << 20
 #: Counts that a task keeps before it adds them up, and before it hands them on.
 HELD = 1 << 21
 NEVER = 127
-#: Portions of the documents that are read for texts: 1/64, 1/64, 1/32, ... 1/2 of them.
-PORTIONS = 7
+#: Portions of the documents that are read for texts, and their share in 32: a portion's files hold nothing else.
+PORTION_ENDS = (1, 8, 32)
+PORTIONS = len(PORTION_ENDS)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -119,50 +122,74 @@ class Scan:
         names = sorted(set(langs))
         number = {x: k for k, x in enumerate(names)}
         lang = np.array([number[x] for x in langs])[doc]
-        both = span_keys(data, start, end, 2)
-        word = both[0]
-        keys = mix64(word + np.array([_lang_key(x) for x in names], np.uint64)[lang])
-        checks = both[-1] + np.array([_lang_key(x) for x in names], np.uint64)[lang] * _ODD  # of the same words, independent of the keys
+        all_twins = self.step <= self.shards or self.frequent is not None
+        both = span_keys(data, start, end, 2 if all_twins else 1)
+        word, twin = both[0], both[1] if all_twins else None
+        lang_keys = np.array([_lang_key(x) for x in names], np.uint64)
+        keys = mix64(word + lang_keys[lang])
         total = len(start) if limit is None else int(np.searchsorted(start, limit))
         if self.frequent is not None:
             yield names, np.bincount(lang[:total], minlength=len(names))
+
+        def second_keys(at: np.ndarray, n: int) -> np.ndarray:
+            """Of the same words, independent of the keys."""
+            if twin is None:
+                need = np.zeros(len(start), bool)
+                for k in range(n):
+                    need[at + k] = True
+                of = np.zeros(len(start), np.uint64)
+                of[need] = span_keys(data, start[need], end[need], 1, 1)[0]
+            else:
+                of = twin
+            out = of[at] + lang_keys[lang[at]] * _ODD
+            for k in range(1, n):
+                out = mix64(out * _ODD + of[at + k])
+            return out
+
         seen = np.zeros(0, np.int8)
         for n in range(1, self.longest + 1):
             if n == 1:
-                first_scan = np.zeros(len(word), np.int64)
-                may = np.ones(len(word), bool)
+                may, late = np.arange(len(word)), np.full(len(word), -1, np.int8)
+                own = keys
             else:
                 # Behind the last word of a piece nothing follows, so pieces of fewer than n words drop out.
                 last = len(word) - n + 1
                 if last <= 0:
                     break
                 late = np.maximum(seen[:last], seen[1 : last + 1])
-                may = (piece[:last] == piece[n - 1 :]) & (late < NEVER)
-                first_scan = late.astype(np.int64) + 1
-                keys = mix64(keys[:last] * _ODD + word[n - 1 :])
-                checks = mix64(checks[:last] + both[-1][n - 1 :] * _ODD)
-            slot = ((keys >> np.uint64(8)) & self.slots).astype(np.int64)
-            seen = self.reached[slot]
+                may = np.flatnonzero((late < NEVER) & (piece[:last] == piece[n - 1 :]))
+                if not len(may):
+                    break
+                late = late[may]
+                own = mix64(keys[may] * _ODD + word[may + n - 1])
+                keys = np.zeros(last, np.uint64)
+                keys[may] = own
+            slot = ((own >> np.uint64(8)) & self.slots).astype(np.int64)
+            # No phrase counts as reached before its parts, whatever it shares its slot with.
+            seen = np.full(len(word) - n + 1, NEVER, np.int8)
+            seen[may] = np.maximum(self.reached[slot], late)
+            first_scan = late.astype(np.int64) + 1
             if self.frequent is not None:
-                at = np.flatnonzero(may[:total] & self.frequent[slot[:total]])
+                on = (may < total) & self.frequent[slot]
             else:
-                at = np.flatnonzero(may[:total] & (first_scan[:total] <= self.step) & (self.step < first_scan[:total] + self.shards))
+                on = (may < total) & (first_scan <= self.step) & (self.step < first_scan + self.shards)
+            at = may[on]
             if len(at):
-                first, which = distinct(np.stack([keys[at], checks[at]]))
-                key, c = keys[at[first]], np.bincount(which, minlength=len(first))
-                first = at[first]
-                if self.frequent is not None:
-                    order = np.argsort(key, kind="stable")
-                    key, first, c = key[order], first[order], c[order]
+                own, since = _marked(own[on], first_scan[on], n), first_scan[on]
+                checks = second_keys(at, n)
                 if self.frequent is None:
-                    yield _marked(key, first_scan[first], n), checks[first], c
+                    yield _added(own, checks, np.ones(len(own), np.int64))
                 else:
+                    first, which = distinct(np.stack([own, checks]))
+                    key, c = own[first], np.bincount(which, minlength=len(first))
+                    order = np.argsort(key, kind="stable")
+                    key, first, c = key[order], first[order], c[order]
 
-                    def rows(some: np.ndarray, first: np.ndarray = first, n: int = n, scan: np.ndarray = first_scan, keys: np.ndarray = keys, checks: np.ndarray = checks) -> pa.Table:
+                    def rows(some: np.ndarray, first: np.ndarray = first, n: int = n, at: np.ndarray = at, since: np.ndarray = since, own: np.ndarray = own, checks: np.ndarray = checks) -> pa.Table:
                         """Language, length, text, first scan and both keys of some of these phrases."""
-                        at = first[some]
-                        where = pa.DictionaryArray.from_arrays(pa.array(lang[at], pa.int32()), pa.array(names, pa.large_string())).cast(pa.large_string())
-                        return pa.Table.from_arrays([where, pa.array(np.full(len(at), n, np.int32)), spans(data, start, end, at, n), pa.array(scan[at].astype(np.int32)), pa.array(_marked(keys[at], scan[at], n).view(np.int64)), pa.array(checks[at].view(np.int64))], ["lang", "n", "phrase", "start", "key", "twin"])
+                        some = first[some]
+                        where = pa.DictionaryArray.from_arrays(pa.array(lang[at[some]], pa.int32()), pa.array(names, pa.large_string())).cast(pa.large_string())
+                        return pa.Table.from_arrays([where, pa.array(np.full(len(some), n, np.int32)), spans(data, start, end, at[some], n), pa.array(since[some].astype(np.int32)), pa.array(own[some].view(np.int64)), pa.array(checks[some].view(np.int64))], ["lang", "n", "phrase", "start", "key", "twin"])
 
                     yield key, checks[first], c, rows
 
@@ -205,13 +232,9 @@ class Scan:
         rows = 0
 
         def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            k, check, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            order = np.argsort(k, kind="stable")
-            k, check, c = k[order], check[order], c[order]
-            # Should one key have several second ones here, a pair may remain in several rows: they are added up later.
-            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (check[1:] != check[:-1])]))
-            return k[first], check[first], np.add.reduceat(c, first)
+            return _added(*columns)
 
         def out(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(columns[0]), 1 << 16):
@@ -273,6 +296,14 @@ class Scan:
             yield from out(t, np.array([words[x] for x in names]))
 
 
+def _added(key: np.ndarray, check: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by both keys. Should one key have several second ones here, a pair may remain in several rows: they are added up later."""
+    order = np.argsort(key)
+    key, check, c = key[order], check[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])]))
+    return key[first], check[first], np.add.reduceat(c, first)
+
+
 def _marked(key: np.ndarray, start: np.ndarray, n: int | np.ndarray) -> np.ndarray:
     """Keys whose last byte holds first scan and length."""
     return (key >> np.uint64(8) << np.uint64(8)) | (start.astype(np.uint64) << np.uint64(3)) | (np.asarray(n) - 1).astype(np.uint64)
@@ -294,10 +325,10 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
     spark = docs.sparkSession
     home = shared_dir(spark, "phrases")
     row = F.monotonically_increasing_id()
-    dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(row), F.lit(1 << PORTIONS - 1)).alias("portion"), (row % shards).cast("int").alias("shard"))
-    dealt = dealt.withColumn("portion", F.when(F.col("portion") > 0, F.length(F.bin("portion"))).otherwise(0))
-    dealt.write.partitionBy("shard").parquet(home)
-    corpus = small_batches(spark.read.schema("lang string, text string, portion int, shard int").parquet(home))
+    dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(row), F.lit(PORTION_ENDS[-1])).alias("portion"), (row % shards).cast("int").alias("shard"))
+    dealt = dealt.withColumn("portion", sum((F.col("portion") >= end).cast("int") for end in PORTION_ENDS[:-1]))
+    dealt.write.partitionBy("shard", "portion").parquet(home)
+    corpus = small_batches(spark.read.schema("lang string, text string, shard int, portion int").parquet(home))
     corpus.stored_at = home
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reached = np.full(1 << slot_bits, NEVER, np.int8)

@@ -146,6 +146,24 @@ def test_keys_that_collide_keep_their_own_counts(monkeypatch):
     assert sorted(got.values()) == [1, 1, 1, 1, 1, 3, 3] and len({k for k, _ in got}) <= 3
 
 
+def test_late_scans_make_second_keys_of_what_is_active_only(monkeypatch):
+    import pyarrow as pa
+
+    made, real = [], phrases.span_keys
+    monkeypatch.setattr(phrases, "span_keys", lambda data, start, end, count=1, first=0: made.append((first + count - 1, len(start))) or real(data, start, end, count, first))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 2), pa.array(["a b c d e f g h", "a b x"])], ["lang", "text"])
+    reached = np.full(1 << 16, phrases.NEVER, np.int8)
+    for word in (b"a", b"b"):
+        key = phrases.mix64(real(np.frombuffer(word, np.uint8), np.array([0]), np.array([1]))[0] + np.uint64(phrases._lang_key("en")))
+        reached[int(key[0] >> np.uint64(8)) & 0xFFFF] = 6
+    out = [r for b in Scan(7, 3, 4, reached).by_key(iter([batch])) for r in b.to_pylist()]
+    # "a b" alone is active; the 11 words get first keys, and four of them second ones.
+    assert sum(r["c"] for r in out) == 2 and made == [(0, 11), (1, 4)]
+    early = [r for b in Scan(2, 7, 4, reached).by_key(iter([batch])) for r in b.to_pylist()]
+    late = [r for b in Scan(7, 7, 4, reached).by_key(iter([batch])) for r in b.to_pylist()]
+    assert len(early) == 9 and {(r["key"], r["twin"]) for r in out} == {(r["key"], r["twin"]) for r in late}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "lang string, text string")
     assert collocations(df).count() == 0
