@@ -43,10 +43,15 @@ def corr(x: str, y: str, over: WindowSpec | None = None) -> Column:
     return F.try_divide(at(F.covar_pop(x, y)), at(sx) * at(sy))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars by supplier: volume-weighted price, high, low, quantity, value, trades."""
+def bars(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """Daily bars by supplier: volume-weighted price, high, low, quantity, value, trades.
+
+    ``together`` deals lines out by supplier at once: one shuffle also serves the windows over a
+    supplier's bars, and a query that reads the bars again shares it.
+    """
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset"), F.col("l_shipdate").cast("date").alias("date")).agg(
+    lines = table(spark, sf_dir, "lineitem")
+    return (lines.repartition("l_suppkey") if together else lines).groupBy(F.col("l_suppkey").alias("asset"), F.col("l_shipdate").cast("date").alias("date")).agg(
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.max(price).alias("high"), F.min(price).alias("low"),
         F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("cap"), F.count(F.lit(1)).alias("trades"),
     )
@@ -57,10 +62,10 @@ BARS = """bars AS (SELECT l_suppkey AS asset, CAST(l_shipdate AS DATE) AS date,
  sum(l_extendedprice) AS cap, count(*) AS trades FROM lineitem GROUP BY 1, 2)"""
 
 
-def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def returns(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
     """Bars with rn (row number by asset) and r, the logarithm of the price over the last bar's."""
     w = Window.partitionBy("asset").orderBy("date")
-    return bars(spark, sf_dir).withColumn("rn", F.row_number().over(w)).withColumn("r", F.log(F.col("close") / F.lag("close").over(w))).withColumn("lag_cap", F.lag("cap").over(w))
+    return bars(spark, sf_dir, together).withColumn("rn", F.row_number().over(w)).withColumn("r", F.log(F.col("close") / F.lag("close").over(w))).withColumn("lag_cap", F.lag("cap").over(w))
 
 
 RETURNS = (

@@ -19,11 +19,12 @@ pr AS (SELECT i, j, days, CASE WHEN a * b > 0 THEN c / sqrt(a * b) END AS value
 
 def _links(spark, d):
     """Suppliers that share an order with at most eight suppliers."""
-    return L.pairs_of(table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("asset")), "l_orderkey", "asset", _MOST)
+    return L.shared_pairs(table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("asset")), "l_orderkey", "asset", _MOST)
 
 
 def _correlations(spark, d):
-    return L.pair_correlation(L.decayed(residuals(spark, d), "date", 126.0), _links(spark, d), "asset", "date", "e", "g")
+    most = table(spark, d, "lineitem").count()  # a residual comes from one line at least
+    return L.pair_correlation(L.decayed(residuals(spark, d, True), "date", 126.0), _links(spark, d), "asset", "date", "e", "g", most)
 
 
 @query("q_linked_correlation", f"WITH {_RES}{_LINKS} SELECT i, j, days, round(value, 4) + 0.0 AS value FROM pr")

@@ -10,9 +10,11 @@ from .base import MARKET, market, query, returns, rnd
 _VOL, _LAG, _LAGS, _FLOOR, _Q, _REGIME = 42.0, 84.0, 2, 40, 0.1, 6.0
 
 
-def residuals(spark, d):
-    r = returns(spark, d)
-    return r.join(market(r).select("date", "m"), "date").where("r IS NOT NULL AND m IS NOT NULL").select("asset", "date", F.trunc("date", "MM").alias("month"), (F.col("r") - F.col("m")).alias("e"), "cap", "trades")
+def residuals(spark, d, together=False):
+    """Returns over the market's; ``together`` keeps them where their supplier's lines are (see ``bars``), and the market, a row a date, goes there."""
+    r = returns(spark, d, together)
+    m = market(r).select("date", "m")
+    return r.join(F.broadcast(m) if together else m, "date").where("r IS NOT NULL AND m IS NOT NULL").select("asset", "date", F.trunc("date", "MM").alias("month"), (F.col("r") - F.col("m")).alias("e"), "cap", "trades")
 
 
 def exposures(spark, d):

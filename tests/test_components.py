@@ -45,6 +45,43 @@ def test_forty_assets_equal_numpy_and_only_linked_pairs_exist(spark):
     assert (out["empty"].diagonal, out["empty"].linked) == (0.0, 0.0)
 
 
+def test_pairs_of_many_cells_equal_the_join_by_date(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    n, t = 60, 45
+    there = rng.random((t, n)) > 0.4
+    there[:, 0], there[:, 1], there[::2, 2], there[1::2, 3] = True, False, False, False
+    e = rng.normal(size=(t, n))
+    e[4, 5], e[6, 6], there[4, 5], there[6, 6] = np.inf, np.nan, True, True
+    rows = [(a, date(2020, 1, 1 + i) if i < 31 else date(1890, 2, i - 30), float(e[i, a]), 2.0**-i) for i in range(t) for a in range(n) if there[i, a]] + [(None, date(2020, 1, 1), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "asset long, date date, e double, g double").repartition(5)
+    given = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.3] + [(2, 3), (1, 9), (5, 77)]
+    pairs = spark.createDataFrame(given + given[:200] + [(None, 4)], "i long, j long").repartition(3)
+    monkeypatch.setattr(L, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(L, "_STEP", 100)
+    monkeypatch.setattr(L, "_PAIRS", 50)
+    monkeypatch.setattr(L, "_OUT", 40)
+    rows = L.pair_correlation(df, pairs, "asset", "date", "e", "g").collect()
+    got = {(r.i, r.j): r for r in rows}
+    assert len(got) == len(rows)  # a repeated pair is one row
+    g = 2.0 ** -np.arange(t)
+    want = {}
+    for i, j in given:
+        both = there[:, i] & there[:, j] if j < n else np.zeros(t, bool)
+        if both.any():
+            x, y, w = e[both, i], e[both, j], g[both]
+            with np.errstate(all="ignore"):
+                want[i, j] = both.sum(), (w * x * y).sum() / np.sqrt((w * x * x).sum() * (w * y * y).sum())
+    assert set(got) == set(want) and (2, 3) not in want
+    for k, (days, v) in want.items():
+        assert got[k].days == days and got[k].value == pytest.approx(v, rel=1e-9, abs=1e-12, nan_ok=True), k
+
+
+def test_pairs_and_dates_are_never_joined(spark):
+    df = spark.createDataFrame([(1, date(2020, 1, 1), 1.0, 1.0)], "asset int, date date, e double, g double")
+    cor = L.pair_correlation(df, spark.createDataFrame([(1, 2)], "i int, j int"), "asset", "date", "e", "g")
+    assert "Join" not in cor._jdf.queryExecution().executedPlan().toString()
+
+
 def split(spark):
     rng = np.random.default_rng(3)
     months, assets, k, days = [date(2021, m, 1) for m in (1, 2, 3)], 6, 2, 5
