@@ -226,10 +226,15 @@ def linked_variance(books: DataFrame, deviations: DataFrame, correlations: DataF
 
     diagonal = sum w^2 sd^2; linked = 2 sum over pairs of w_i w_j sd_i sd_j value. A missing deviation counts as zero.
     """
-    b = books.join(deviations.select(asset, "sd"), asset, "left").select(portfolio, asset, (F.col("w") * F.coalesce("sd", F.lit(0.0))).alias("s")).where("s <> 0")
+    # Null-safe joins, since a filter on assets would reach the scan and keep a side from sharing its shuffle with other reads. A null asset has no deviation.
+    mine = F.when(F.col(f"b.{asset}").isNotNull(), F.col("sd"))
+    b = books.alias("b").join(deviations.select(asset, "sd").alias("d"), F.col(f"b.{asset}").eqNullSafe(F.col(f"d.{asset}")), "left").select(portfolio, f"b.{asset}", (F.col("w") * F.coalesce(mine, F.lit(0.0))).alias("s")).where("s <> 0")
     own = b.groupBy(portfolio).agg(F.sum(F.col("s") * F.col("s")).alias("diagonal"))
     left, right = b.select(portfolio, F.col(asset).alias("i"), F.col("s").alias("si")), b.select(portfolio, F.col(asset).alias("j"), F.col("s").alias("sj"))
-    off = left.join(correlations.where("value IS NOT NULL").select("i", "j", "value"), "i").join(right, [portfolio, "j"]).groupBy(portfolio).agg((2 * F.sum(F.expr("si * sj * value"))).alias("linked"))
+    # Added up by (portfolio, j) before the other side's weight comes in, so that pairs aren't shuffled for each portfolio.
+    known = correlations.where("value IS NOT NULL")
+    half = left.alias("x").join(known.alias("p"), F.col("x.i").eqNullSafe(F.col("p.i"))).groupBy(portfolio, "j").agg(F.sum(F.expr("si * value")).alias("x"))
+    off = half.alias("h").join(right.alias("y"), (F.col(f"h.{portfolio}") == F.col(f"y.{portfolio}")) & F.col("h.j").eqNullSafe(F.col("y.j"))).groupBy(f"h.{portfolio}").agg((2 * F.sum(F.expr("sj * x"))).alias("linked"))
     every = books.select(portfolio).distinct()
     d = every.join(own, portfolio, "left").join(off, portfolio, "left").select(portfolio, F.coalesce("diagonal", F.lit(0.0)).alias("diagonal"), F.coalesce("linked", F.lit(0.0)).alias("linked"))
     return d.withColumn("variance", F.col("diagonal") + F.col("linked"))

@@ -38,7 +38,7 @@ def linked_correlation(spark, d):
  SELECT di.year, round(diagonal, 7) AS diagonal, round(coalesce(linked, 0), 7) + 0.0 AS linked, round(diagonal + coalesce(linked, 0), 7) AS variance FROM di LEFT JOIN od ON od.year = di.year""")
 def linked_variance(spark, d):
     """Specific variance of each year's cap-weighted book: the diagonal, and what linked suppliers put off it."""
-    r = residuals(spark, d)
+    r = residuals(spark, d, True)
     sd = r.groupBy("asset").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("sd"))
     v = r.groupBy(F.trunc("date", "year").alias("year"), "asset").agg(F.sum("cap").alias("v"))
     books = v.join(v.groupBy("year").agg(F.sum("v").alias("_all")), "year").select("year", "asset", (F.col("v") / F.col("_all")).alias("w"))

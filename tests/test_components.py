@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 import numpy as np
@@ -82,6 +83,15 @@ def test_pairs_and_dates_are_never_joined(spark):
     assert "Join" not in cor._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_are_added_up_before_the_other_sides_weight(spark):
+    b = spark.createDataFrame([("a", 1, 0.5)], "p string, asset int, w double")
+    sd = spark.createDataFrame([(1, 1.0), (None, 2.0)], "asset int, sd double")
+    cor = spark.createDataFrame([(1, 2, 0.1)], "i int, j int, value double")
+    out = L.linked_variance(b.unionByName(spark.createDataFrame([("a", None, 3.0)], b.schema)), sd, cor, "p", "asset")
+    assert re.search(r"HashAggregate\(keys=\[p#\d+, j#\d+\], functions=\[partial_sum", out._jdf.queryExecution().executedPlan().toString())
+    assert [tuple(r) for r in out.collect()] == [("a", 0.25, 0.0, 0.25)]  # no asset, no deviation
+
+
 def split(spark):
     rng = np.random.default_rng(3)
     months, assets, k, days = [date(2021, m, 1) for m in (1, 2, 3)], 6, 2, 5
