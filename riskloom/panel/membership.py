@@ -109,3 +109,25 @@ def gaps_by_year(parts: dict[str, DataFrame], changes: DataFrame, keys: list[str
         one = t.select(*keys, F.year("date").alias("year"), *(F.lit(int(n == name)).alias(n) for n in names))
         out = one if out is None else out.unionByName(one)
     return out.groupBy(*keys, "year").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def members_by_month(spells: DataFrame, bars: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
+    """(keys, month, members, without_bars) of months with members: tickers that a spell has in the month, and those without a row of ``bars`` (keys, ticker, date) in it.
+
+    An unknown start is ``first``, today is ``last``. A ticker's spells become runs of months that don't
+    overlap; a run counts from its first month until the one after its last, so no row is made for a month of a spell.
+    """
+    number = lambda c: F.year(c) * 12 + F.month(c) - 1
+    bound = lambda c, d: F.coalesce(c, F.to_date(F.lit(d)))
+    s = spells.where("start IS NULL OR end IS NULL OR start < end").select(*keys, "ticker", number(bound("start", first)).alias("_a"), number(F.date_sub(bound("end", last), 1)).alias("_b")).where("_a <= _b")
+    before = Window.partitionBy(*keys, "ticker").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    runs = s.withColumn("_a", F.greatest("_a", F.max("_b").over(before) + 1)).where("_a <= _b")  # greatest() leaves nulls out
+    seen = bars.select(*keys, "ticker", number("date").alias("_m")).repartition(*keys, "ticker").groupBy(*keys, "ticker").agg(F.collect_set("_m").alias("_seen"))
+    steps = "array(struct(_a AS _m, 1 AS _in, 0 AS _bar), struct(_b + 1 AS _m, -1 AS _in, 0 AS _bar))"
+    met = "transform(filter(coalesce(_seen, array()), x -> x BETWEEN _a AND _b), x -> struct(x AS _m, 0 AS _in, 1 AS _bar))"
+    rows = runs.join(seen, [*keys, "ticker"], "left").select(*keys, F.explode(F.expr(f"concat({steps}, {met})")).alias("s")).select(*keys, "s.*")
+    w = Window.partitionBy(*keys).orderBy("_m")
+    m = rows.groupBy(*keys, "_m").agg(F.sum("_in").alias("_in"), F.sum("_bar").alias("_bar"))
+    m = m.withColumn("members", F.sum("_in").over(w)).withColumn("_next", F.lead("_m").over(w)).where("members > 0")
+    m = m.select(*keys, "_m", "members", "_bar", F.explode(F.expr("sequence(_m, _next - 1)")).alias("_at"))
+    return m.select(*keys, F.expr("make_date(_at div 12, _at % 12 + 1, 1)").alias("month"), "members", (F.col("members") - F.when(F.col("_at") == F.col("_m"), F.col("_bar")).otherwise(0)).alias("without_bars"))

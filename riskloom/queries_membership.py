@@ -75,8 +75,5 @@ def membership_gaps(spark, d):
 def members_by_month(spark, d):
     """Members of each month, and those without a bar in it."""
     members, changes = _tables(spark, d)
-    s = M.reconstruct(members, changes, ["idx"])["spells"]
-    first, last = F.trunc(F.coalesce("start", F.to_date(F.lit("1992-01-01"))), "MM"), F.trunc(F.date_sub(F.coalesce("end", F.to_date(F.lit("1999-01-01"))), 1), "MM")
-    months = s.where("start IS NULL OR end IS NULL OR start < end").withColumn("_a", first).withColumn("_b", last).where("_a <= _b").select("idx", "ticker", F.explode(F.sequence("_a", "_b", F.expr("interval 1 month"))).alias("month"))
-    bar = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("idx"), F.col("l_partkey").cast("string").alias("ticker"), F.trunc("l_shipdate", "MM").alias("month"), F.lit(1).alias("_bar")).distinct()
-    return months.join(bar, ["idx", "ticker", "month"], "left").groupBy("idx", "month").agg(F.count_distinct("ticker").alias("members"), F.count_distinct(F.when(F.col("_bar").isNull(), F.col("ticker"))).alias("without_bars"))
+    bars = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("idx"), F.col("l_partkey").cast("string").alias("ticker"), F.col("l_shipdate").alias("date"))
+    return M.members_by_month(M.reconstruct(members, changes, ["idx"])["spells"], bars, ["idx"], "1992-01-01", "1999-01-01")

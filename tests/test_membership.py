@@ -112,3 +112,33 @@ def test_no_changes(spark):
     m = spark.createDataFrame([("A", "a", d("2010-01-01")), ("A", None, None), (None, "x", None)], MEMBERS)
     out = M.reconstruct(m, spark.createDataFrame([], CHANGES), [])
     assert [tuple(r) for r in out["spells"].collect()] == [("A", None, None, False, "a")] and out["links"].count() == 0
+
+
+def test_members_by_month_equal_a_plain_count(spark):
+    rng = random.Random(5)
+    day = lambda: date(2001 + rng.randrange(3), rng.randrange(1, 13), rng.randrange(1, 28))
+    spells, bars = [(1, "A", d("2001-02-10"), d("2001-03-05")), (1, "A", d("2001-03-20"), d("2001-03-25")), (1, "A", d("2001-03-27"), d("2001-06-01")), (1, "B", d("2002-02-02"), d("2002-02-02")), (None, "N", None, d("2001-02-01"))], [(None, "N", d("2001-01-02")), (1, "A", None), (1, "A", d("2001-03-02")), (1, "A", d("2001-03-30"))]
+    for ticker in "CDEFGHIJ":
+        cuts = sorted({day() for _ in range(rng.randrange(2, 9))})
+        spells += [(2, ticker, x, y) for x, y in zip(cuts[::2], cuts[1::2])] + [(2, ticker, cuts[-1], None)] * (len(cuts) % 2) + [(2, ticker, None, cuts[0])] * rng.randrange(2)
+        bars += [(2, ticker, day()) for _ in range(12)]
+    s = spark.createDataFrame(spells, "k int, ticker string, start date, end date").repartition(3)
+    b = spark.createDataFrame(bars + bars[:9], "k int, ticker string, date date").repartition(3)
+    want = {}
+    for k, ticker, start, end in spells:
+        start, end = start or d("2000-11-11"), end or d("2004-05-01")
+        low, high = start.year * 12 + start.month - 1, date.fromordinal(end.toordinal() - 1)
+        for m in range(low, high.year * 12 + high.month if start < end else low):
+            want.setdefault((k, date(m // 12, m % 12 + 1, 1)), set()).add(ticker)
+    there = {(k, t, x.replace(day=1)) for k, t, x in bars if x and k}
+    rows = M.members_by_month(s, b, ["k"], "2000-11-11", "2004-05-01").collect()
+    got = {(r.k, r.month): (r.members, r.without_bars) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {(k, m): (len(t), sum((k, x, m) not in there for x in t)) for (k, m), t in want.items()}
+
+
+def test_months_of_members_are_not_joined(spark):
+    from riskloom import queries
+
+    plan = queries.QUERIES["b_members_by_month"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "month" in line] and "Expand" not in plan
