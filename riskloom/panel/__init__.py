@@ -81,6 +81,28 @@ def membership_state(days: DataFrame, bars: DataFrame, keys: list[str]) -> DataF
     return days.join(b, keys, "left").withColumn("state", F.when(F.col("_bar").isNull(), 2).otherwise(1)).drop("_bar")
 
 
+def state_counts(spells: DataFrame, bars: DataFrame, keys: list[str], first: str, last: str, date: str = "date") -> DataFrame:
+    """(date, state, n): of each date's members how many have a bar (1) and how many don't (2), as counts of ``membership_state`` over ``spells_to_days``.
+
+    Members are counted from their first day until the day after their last, so no row is made for a day
+    of a spell; a bar is counted where its date lies in a spell.
+    """
+    low, high = F.to_date(F.lit(first)), F.to_date(F.lit(last))
+    start, end = F.greatest(F.coalesce("start", low), low), F.least(F.coalesce("end", high), high)
+    s = spells.select(*keys, start.alias("_s"), end.alias("_e")).where("_s < _e")
+    step = lambda c, n: F.struct(F.col(c).alias(date), F.lit(n).cast("long").alias("_in"))
+    steps = s.select(F.explode(F.array(step("_s", 1), step("_e", -1))).alias("x")).groupBy(F.col(f"x.{date}").alias(date)).agg(F.sum("x._in").alias("_in"))
+    b = bars.select(*keys, date).where((F.col(date) >= low) & (F.col(date) < high)).dropna(subset=keys).distinct()
+    same = F.lit(True)
+    for k in keys:  # null-safe, since a filter on spells would reach their scan and keep both reads of them from sharing a shuffle
+        same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}"))
+    met = b.alias("b").join(s.alias("s"), same).where((F.col(date) >= F.col("_s")) & (F.col(date) < F.col("_e"))).groupBy(date).agg(F.count(F.lit(1)).alias("_bars"))
+    calendar = spells.sparkSession.range(1).select(F.explode(F.sequence(low, high)).alias(date))  # all that follows has a row a day
+    n = calendar.join(steps, date, "left").withColumn("_in", F.sum("_in").over(Window.orderBy(date))).join(met, date, "left").withColumn("_bars", F.coalesce("_bars", F.lit(0)))
+    state = lambda k, c: F.struct(F.lit(k).alias("state"), c.alias("n"))
+    return n.select(date, F.explode(F.array(state(1, F.col("_bars")), state(2, F.col("_in") - F.col("_bars")))).alias("x")).select(date, "x.*").where("n > 0")
+
+
 def runs(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
     """Episodes of consecutive rows whose flag is true: first, last and length."""
     w = Window.partitionBy(*keys).orderBy(order)

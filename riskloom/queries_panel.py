@@ -120,9 +120,8 @@ days AS (SELECT asset, CAST(unnest(generate_series(greatest(s, DATE '1992-01-01'
 b AS (SELECT DISTINCT l_partkey AS asset, CAST(l_shipdate AS DATE) AS date FROM lineitem)
 SELECT days.date, CASE WHEN b.asset IS NULL THEN 2 ELSE 1 END AS state, count(*) AS n FROM days LEFT JOIN b ON days.asset = b.asset AND days.date = b.date GROUP BY 1, 2""")
 def membership_states(spark, d):
-    days = P.spells_to_days(_spells(spark, d), "1992-01-01", "1999-01-01").select("asset", "date")
     b = _items(spark, d).select(F.col("l_partkey").alias("asset"), "date")
-    return P.membership_state(days, b, ["asset", "date"]).groupBy("date", "state").agg(F.count(F.lit(1)).alias("n"))
+    return P.state_counts(_spells(spark, d), b, ["asset"], "1992-01-01", "1999-01-01")
 
 
 @query("p_month_ends", f"WITH {BARS} SELECT asset, CAST(date_trunc('month', date) AS DATE) AS month, max(date) AS month_end FROM bars GROUP BY 1, 2")

@@ -29,6 +29,25 @@ def test_spells_are_half_open(spark):
     assert {r.asset: r["count"] for r in days} == {"a": 2, "b": 3}
 
 
+def test_state_counts_equal_counts_of_days(spark):
+    rng = np.random.default_rng(4)
+    day = lambda: date(2020, 1 + int(rng.integers(4)), 1 + int(rng.integers(28)))
+    spells = [(a, *((x, y) if rng.random() < 0.8 else (x, None) if rng.random() < 0.5 else (None, y))) for a in range(40) for x, y in [sorted((day(), day()))]] + [(3, day(), None), (None, None, None), (90, date(2021, 1, 1), None)]
+    bars = [(int(rng.integers(45)), day()) for _ in range(900)] + [(None, day()), (5, None)]
+    s = spark.createDataFrame(spells, "asset int, start date, end date").repartition(3)
+    b = spark.createDataFrame(bars, "asset int, date date").repartition(3)
+    want = panel.membership_state(panel.spells_to_days(s, "2020-01-10", "2020-04-20").select("asset", "date"), b, ["asset", "date"]).groupBy("date", "state").agg(F.count(F.lit(1)).alias("n"))
+    got = panel.state_counts(s, b, ["asset"], "2020-01-10", "2020-04-20")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema["n"].dataType == want.schema["n"].dataType
+    empty = panel.state_counts(s.limit(0), b, ["asset"], "2020-01-10", "2020-04-20")
+    assert empty.collect() == []
+
+
+def test_days_of_spells_are_not_joined(spark):
+    plan = queries.QUERIES["p_membership_states"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Generate" in line and "sequence" in line and "asset" in line]
+
+
 def test_code_ranges(spark):
     r = spark.createDataFrame([("x", 1, 5), ("y", 7, 9)], "label string, low int, high int")
     got = panel.code_group(spark.createDataFrame([(1,), (6,), (9,), (None,)], "code int"), r, "code", "none").collect()
