@@ -47,11 +47,12 @@ def bars(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
     """Daily bars by supplier: volume-weighted price, high, low, quantity, value, trades.
 
     ``together`` deals lines out by supplier at once: one shuffle also serves the windows over a
-    supplier's bars, and a query that reads the bars again shares it.
+    supplier's bars, and a query that reads the bars again shares it. Lines without a date are left out
+    then, as those windows would put them first.
     """
     price = F.col("l_extendedprice") / F.col("l_quantity")
     lines = table(spark, sf_dir, "lineitem")
-    return (lines.repartition("l_suppkey") if together else lines).groupBy(F.col("l_suppkey").alias("asset"), F.col("l_shipdate").cast("date").alias("date")).agg(
+    return (lines.where("l_shipdate IS NOT NULL").repartition("l_suppkey") if together else lines).groupBy(F.col("l_suppkey").alias("asset"), F.col("l_shipdate").cast("date").alias("date")).agg(
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.max(price).alias("high"), F.min(price).alias("low"),
         F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("cap"), F.count(F.lit(1)).alias("trades"),
     )

@@ -31,8 +31,9 @@ def pairs_of(groups: DataFrame, group: str, asset: str, most: int) -> DataFrame:
 
 
 def shared_pairs(groups: DataFrame, group: str, asset: str, most: int) -> DataFrame:
-    """``pairs_of`` with a row a group that a pair shares."""
-    sets = groups.where(F.col(asset).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(asset)).alias("_all")).where(F.size("_all").between(2, most))
+    """``pairs_of`` with a row a group that a pair shares. An unknown asset counts as one more in its group; rows without a group link nothing."""
+    unknown = F.max(F.col(asset).isNull().cast("int"))
+    sets = groups.where(F.col(group).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(asset)).alias("_all"), unknown.alias("_unknown")).where((F.size("_all") > 1) & (F.size("_all") + F.col("_unknown") <= most))
     return sets.select("_all", F.posexplode("_all").alias("_p", "i")).select("i", F.explode(F.expr("slice(_all, _p + 2, size(_all))")).alias("j"))
 
 
@@ -64,7 +65,7 @@ class _Block:
         days = np.concatenate([r[2] for r in rows])
         self.u = np.concatenate([r[3] for r in rows])
         self.low, self.span, self.known = int(days.min()), int(days.max()) - int(days.min()) + 1, None
-        if self.span > max(1 << 16, len(days)):  # far apart: numbered anew
+        if self.span > 1 << 16:  # far apart: numbered anew
             self.known, days = np.unique(days, return_inverse=True)
             self.span = len(self.known)
         else:

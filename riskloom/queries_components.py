@@ -41,7 +41,8 @@ def linked_variance(spark, d):
     r = residuals(spark, d, True)
     sd = r.groupBy("asset").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("sd"))
     v = r.groupBy(F.trunc("date", "year").alias("year"), "asset").agg(F.sum("cap").alias("v"))
-    books = v.join(v.groupBy("year").agg(F.sum("v").alias("_all")), "year").select("year", "asset", (F.col("v") / F.col("_all")).alias("w"))
+    whole = v.groupBy("year").agg(F.sum(F.when(F.col("asset").isNotNull(), F.col("v"))).alias("_all")).where("_all IS NOT NULL")  # lines without a supplier are in no book
+    books = v.join(whole, "year").select("year", "asset", (F.col("v") / F.col("_all")).alias("w"))
     out = L.linked_variance(books, sd, _correlations(spark, d), "year", "asset")
     return out.select("year", *(rnd(c, 7).alias(c) for c in ("diagonal", "linked", "variance")))
 

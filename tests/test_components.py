@@ -92,6 +92,25 @@ def test_pairs_are_added_up_before_the_other_sides_weight(spark):
     assert [tuple(r) for r in out.collect()] == [("a", 0.25, 0.0, 0.25)]  # no asset, no deviation
 
 
+@pytest.mark.parametrize("name", ["q_linked_correlation", "q_linked_variance"])
+def test_lines_without_keys_count_as_in_the_sql(spark, tmp_path, name):
+    import duckdb
+
+    from riskloom import queries
+
+    con, path = duckdb.connect(), f"{tmp_path}/lineitem.parquet"
+    no = lambda c, k: f"CASE WHEN hash(rowid, {k}) % 30 = 0 THEN NULL ELSE {c} END AS {c}"
+    con.execute("create table raw as select * from read_parquet('/root/testdata/sf0.001/lineitem.parquet') limit 3000")
+    con.execute("update raw set l_suppkey = l_suppkey * 10 + l_partkey % 7, l_orderkey = l_orderkey // 3")
+    con.execute(f"create table lineitem as select * replace ({no('l_orderkey', 1)}, {no('l_suppkey', 2)}, {no('l_shipdate', 3)}) from raw where hash(rowid, 4) % 9 > 0")
+    con.execute(f"copy lineitem to '{path}' (format parquet)")
+    want = con.execute(queries.SQL[name]).fetchall()
+    got = [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert len(want) > 5 and len(got) == len(want)
+    for x, y in zip(sorted(got), sorted(want), strict=True):
+        assert x[0] == y[0] and x[1:] == pytest.approx(y[1:], abs=2e-4)
+
+
 def split(spark):
     rng = np.random.default_rng(3)
     months, assets, k, days = [date(2021, m, 1) for m in (1, 2, 3)], 6, 2, 5
